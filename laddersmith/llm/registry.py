@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from laddersmith.llm.near_dup import op3_minhash_near_dup
+from laddersmith.llm.suffix_dedup import op6_suffix_array_dedup
 
-_QUERIES = [op3_minhash_near_dup]
+_QUERIES = [op3_minhash_near_dup, op6_suffix_array_dedup]
 
 
 def queries() -> dict:
