@@ -2,10 +2,23 @@
 
 from __future__ import annotations
 
+from laddersmith.llm import decontaminate
+from laddersmith.llm.bpe import op7_byte_bpe
+from laddersmith.llm.decontaminate import op9_decontaminate
 from laddersmith.llm.near_dup import op3_minhash_near_dup
 from laddersmith.llm.suffix_dedup import op6_suffix_array_dedup
+from laddersmith.llm.toxicity import op1_toxicity
 
-_QUERIES = [op3_minhash_near_dup, op6_suffix_array_dedup]
+
+def pipeline(spark, sf_dir):
+    """The whole corpus pipeline (corpus_pipeline.py at the repository's top)."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+_QUERIES = [op1_toxicity, op3_minhash_near_dup, op6_suffix_array_dedup, op7_byte_bpe, op9_decontaminate, pipeline]
+_SQL = {"op9_decontaminate": decontaminate.SQL}
 
 
 def queries() -> dict:
@@ -13,4 +26,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
