@@ -5,8 +5,12 @@ from __future__ import annotations
 from laddersmith.llm import decontaminate
 from laddersmith.llm.bpe import op7_byte_bpe
 from laddersmith.llm.decontaminate import op9_decontaminate
+from laddersmith.llm.html_text import op2_html_text
+from laddersmith.llm.license_scan import op8_license_scan
 from laddersmith.llm.near_dup import op3_minhash_near_dup
+from laddersmith.llm.quality import op10_quality
 from laddersmith.llm.suffix_dedup import op6_suffix_array_dedup
+from laddersmith.llm.token_count import op4_token_counts
 from laddersmith.llm.toxicity import op1_toxicity
 
 
@@ -17,7 +21,18 @@ def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
 
 
-_QUERIES = [op1_toxicity, op3_minhash_near_dup, op6_suffix_array_dedup, op7_byte_bpe, op9_decontaminate, pipeline]
+_QUERIES = [
+    op1_toxicity,
+    op2_html_text,
+    op3_minhash_near_dup,
+    op4_token_counts,
+    op6_suffix_array_dedup,
+    op7_byte_bpe,
+    op8_license_scan,
+    op9_decontaminate,
+    op10_quality,
+    pipeline,
+]
 _SQL = {"op9_decontaminate": decontaminate.SQL}
 
 
