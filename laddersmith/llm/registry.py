@@ -8,6 +8,7 @@ from laddersmith.llm.decontaminate import op9_decontaminate
 from laddersmith.llm.html_text import op2_html_text
 from laddersmith.llm.license_scan import op8_license_scan
 from laddersmith.llm.near_dup import op3_minhash_near_dup
+from laddersmith.llm.ppm import op5_ppm_lm
 from laddersmith.llm.quality import op10_quality
 from laddersmith.llm.suffix_dedup import op6_suffix_array_dedup
 from laddersmith.llm.token_count import op4_token_counts
@@ -26,6 +27,7 @@ _QUERIES = [
     op2_html_text,
     op3_minhash_near_dup,
     op4_token_counts,
+    op5_ppm_lm,
     op6_suffix_array_dedup,
     op7_byte_bpe,
     op8_license_scan,
