@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from laddersmith.llm import words as W
 from laddersmith.llm.common import by_group, fold, materialize, parallelism, read
 
-ORDER = 4
+ORDER = 5
 #: Bytes that never occur in UTF-8 stand for the start and the end of a text.
 FIRST, END = 0xFF, 0xFE
 #: Symbols that may follow a context: all bytes and the end.
