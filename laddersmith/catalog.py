@@ -1,18 +1,485 @@
-"""Registered queries of the rating engine and their SQL twins."""
+"""Registered queries of the rating engine and their SQL twins.
+
+Each query reads the synthetic tables through the fixture views (fixtures.py) and returns
+rounded doubles (6 decimals) and times as epoch seconds, so that both engines agree on the values.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from laddersmith import fixtures
+from laddersmith.fixtures import CTE
+from laddersmith.functions import names, rating_math, scores, times
+from laddersmith.operators import aliases, folds, joins, stats, stint
+from laddersmith.plans import evaluation, export, history
+from laddersmith.plans.registry import MODELS
+from laddersmith.sources import html_files, sinks
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
 
 
+def query(sql: str | None = None):
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
+
+
+def _r6(c: str):
+    return F.round(F.col(c), 6).alias(c)
+
+
+def _epoch(c: str):
+    return F.unix_timestamp(c).alias(c)
+
+
+def _games(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixtures.games(spark, sf_dir)
+
+
+def _full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return folds.prepare(joins.with_rosters(_games(spark, sf_dir), fixtures.rosters(spark, sf_dir)))
+
+
+def _tables(spark: SparkSession, sf_dir: str, *names_: str) -> list[DataFrame]:
+    return [spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in names_]
+
+
+# ---- the flagship: Elo before each game -------------------------------------------------
+
+_ELO = f"""
+WITH RECURSIVE {CTE},
+ids AS (SELECT player, row_number() OVER (ORDER BY player) AS i FROM (SELECT DISTINCT r.player FROM rosters r JOIN games g ON r.team = g.team1 OR r.team = g.team2)),
+arr AS (SELECT team, list(i ORDER BY i) AS xs FROM (SELECT DISTINCT team, player FROM rosters) JOIN ids USING (player) GROUP BY team),
+seqd AS (SELECT row_number() OVER (ORDER BY ts NULLS LAST, game_id) AS k, game_id, score1 AS s1, score2 AS s2, CASE WHEN tournament <> '' THEN 1.514 ELSE 1.0 END AS mult,
+  coalesce(a.xs, []) AS r1, coalesce(b.xs, []) AS r2 FROM games LEFT JOIN arr a ON a.team = team1 LEFT JOIN arr b ON b.team = team2),
+fold AS (
+  SELECT 0::BIGINT AS k, NULL::BIGINT AS game_id, NULL::DOUBLE AS p, (SELECT list(1000.0::DOUBLE ORDER BY i) FROM ids) AS st
+  UNION ALL
+  SELECT k, game_id, p, list_transform(st, lambda x, j: x + CASE WHEN list_contains(r1, j) THEN c / len(r1) ELSE 0 END - CASE WHEN list_contains(r2, j) THEN c / len(r2) ELSE 0 END)
+  FROM (SELECT *, 346.446 * CASE WHEN abs(s1 - s2) <= 1 THEN 1.0 WHEN abs(s1 - s2) = 2 THEN 1.5 ELSE (11 + abs(s1 - s2)) / 8.0 END * mult
+      * (CASE WHEN s1 > s2 THEN 1.0 WHEN s1 < s2 THEN 0.0 ELSE 0.5 END - CASE WHEN len(r1) = 0 OR len(r2) = 0 THEN 0.5 ELSE p END) AS c
+    FROM (SELECT q.k, q.game_id, q.s1, q.s2, q.mult, q.r1, q.r2, f.st,
+        1.0 / (1.0 + pow(10.0, (coalesce(list_avg(list_transform(q.r2, lambda i: f.st[i])), 1000.0) - coalesce(list_avg(list_transform(q.r1, lambda i: f.st[i])), 1000.0)) / 400.0)) AS p
+      FROM fold f JOIN seqd q ON q.k = f.k + 1)))
+"""
+
+
+def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return folds.catalyst_elo(_full(spark, sf_dir)).select("game_id", _r6("p"))
+
+
+@query(_ELO + "SELECT game_id, round(p, 6) AS p FROM fold WHERE k > 0")
+def elo_pregame(spark, sf_dir):
+    """One task for each league."""
+    return folds.fold(_full(spark, sf_dir), lambda p: MODELS["elo"](**p)).select("game_id", _r6("p"))
+
+
+_METRICS = """SELECT round(avg(-ln(CASE WHEN y THEN q ELSE 1 - q END)), 6) AS nll, round(avg((q - y::INT) * (q - y::INT)), 6) AS brier, round(avg(((p >= 0.5) = y)::INT), 6) AS accuracy, count(*) AS n
+FROM (SELECT p, least(greatest(p, 1e-12), 1 - 1e-12) AS q, score1 > score2 AS y FROM fold JOIN games USING (game_id) WHERE score1 <> score2)"""
+
+
+@query(_ELO + _METRICS)
+def elo_chrono_metrics(spark, sf_dir):
+    """A10"""
+    g = _full(spark, sf_dir)
+    return evaluation.chrono_metrics(evaluation.chrono_predictions(g, "elo"), g).select(_r6("nll"), _r6("brier"), _r6("accuracy"), "n")
+
+
+# ---- ingest, filters, scalar functions --------------------------------------------------
+
+
+@query(f"""WITH {CTE} SELECT game_id, epoch(ts)::BIGINT AS ts, team1, team2, score1::INT AS s1, score2::INT AS s2, outcome_only <> '' AS outcome_only, tournament <> '' AS tournament,
+sign(score1 - score2)::INT AS outcome, score1 <> score2 AND outcome_only = '' AS is_margin FROM games""")
+def typed_games(spark, sf_dir):
+    """S2, P3, P7, P8"""
+    g = _games(spark, sf_dir)
+    s1, s2 = scores.model_score(F.col("score1").cast("string")), scores.model_score(F.col("score2").cast("string"))
+    only = scores.flag(F.col("outcome_only"))
+    return g.select("game_id", _epoch("ts"), "team1", "team2", s1.alias("s1"), s2.alias("s2"), only.alias("outcome_only"), scores.flag(F.col("tournament")).alias("tournament"), scores.outcome(s1, s2).alias("outcome"), scores.is_margin(s1, s2, only).alias("is_margin"))
+
+
+@query("""SELECT o_orderkey AS game_id, CASE WHEN o_orderkey % 4 = 3 THEN NULL ELSE epoch(date_trunc('minute', CASE WHEN o_orderkey % 4 = 2 THEN date_trunc('day', o_orderdate) ELSE o_orderdate END))::BIGINT END AS parsed,
+strftime(o_orderdate, '%-m/%-d/%Y %-H:%M:00') AS formatted FROM orders""")
+def time_formats(spark, sf_dir):
+    """four-digit and two-digit years, with and without a clock, and unreadable text."""
+    (o,) = _tables(spark, sf_dir, "orders")
+    k = F.col("o_orderkey") % 4
+    text = F.when(k == 0, F.date_format("o_orderdate", "M/d/yyyy H:mm")).when(k == 1, F.date_format("o_orderdate", "M/d/yy H:mm:'00'")).when(k == 2, F.date_format("o_orderdate", "M/d/yyyy")).otherwise(F.lit("soon"))
+    return o.select(F.col("o_orderkey").alias("game_id"), F.unix_timestamp(times.parse_time(text)).alias("parsed"), times.format_time(F.col("o_orderdate")).alias("formatted"))
+
+
+@query(r"""SELECT p_partkey AS id, trim(regexp_replace(lower(t), '[^\p{L}\p{N}]+', ' ', 'g')) AS lookup, string_split_regex(trim(lower(t)), '\s+')[-1] AS last,
+trim(regexp_replace(regexp_replace(string_split(t, ' |')[1], '\d+\s*[-–—]\s*\d+', ' ', 'g'), '\s+', ' ', 'g')) AS team, trim(string_split(t, '(')[1]) AS header
+FROM (SELECT p_partkey, p_name || ' ' || p_size || '-' || (p_partkey % 7) || ' (' || p_brand || ') | ' || p_type AS t FROM part)""")
+def name_normalisation(spark, sf_dir):
+    """F4, F5, F6, F8"""
+    (p,) = _tables(spark, sf_dir, "part")
+    t = F.concat("p_name", F.lit(" "), F.col("p_size").cast("string"), F.lit("-"), (F.col("p_partkey") % 7).cast("string"), F.lit(" ("), "p_brand", F.lit(") | "), "p_type")
+    return p.select(F.col("p_partkey").alias("id"), names.lookup_key(t).alias("lookup"), names.last_name(t).alias("last"), names.clean_team_name(t).alias("team"), names.clean_header(t).alias("header"))
+
+
+@query(r"""SELECT page_id, CASE WHEN h <> '' THEN h WHEN t <> '' THEN trim(string_split(string_split_regex(t, '\s[|\-–—]\s')[1], '(')[1]) END AS header FROM (SELECT page_id,
+trim(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<h1\b[^>]*>(.*?)</h1>', 1), '<[^>]*>', '', 'g'), '\s+', ' ', 'g')) AS h,
+trim(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<title\b[^>]*>(.*?)</title>', 1), '<[^>]*>', '', 'g'), '\s+', ' ', 'g')) AS t FROM pages)""")
+def page_headers(spark, sf_dir):
+    """S14"""
+    (p,) = _tables(spark, sf_dir, "pages")
+    return p.select("page_id", html_files.header(F.col("html")).alias("header"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, round(p_elo, 6) AS p_elo, round(f, 6) AS f, round(w, 6) AS w, round(l, 6) AS l, round(wt, 6) AS wt, round(ll, 6) AS ll, round(ph, 6) AS ph FROM (
+SELECT l_orderkey, l_linenumber, """ + f"""{rating_math.elo_expected('1000 + l_quantity', '1000 + 10 * l_linenumber')} AS p_elo, {rating_math.goal_factor('l_linenumber')} AS f, {rating_math.davidson('(l_quantity - 25) / 10', 0.3)[0]} AS w,
+{rating_math.davidson('(l_quantity - 25) / 10', 0.3)[1]} AS l, {rating_math.game_weight('l_linenumber', 'l_discount * 100', 0.98)} AS wt, {rating_math.margin_likelihood('l_discount', 'l_linenumber', 5.9)} AS ll, {rating_math.normal_cdf('((l_quantity - 25) / 4.2)')} AS ph FROM lineitem)""")
+def rating_formulas(spark, sf_dir):
+    """One expression text for both engines."""
+    (li,) = _tables(spark, sf_dir, "lineitem")
+    d = "(l_quantity - 25) / 10"
+    e = {"p_elo": rating_math.elo_expected("1000 + l_quantity", "1000 + 10 * l_linenumber"), "f": rating_math.goal_factor("l_linenumber"), "w": rating_math.davidson(d, 0.3)[0], "l": rating_math.davidson(d, 0.3)[1], "wt": rating_math.game_weight("l_linenumber", "l_discount * 100", 0.98), "ll": rating_math.margin_likelihood("l_discount", "l_linenumber", 5.9), "ph": rating_math.normal_cdf("((l_quantity - 25) / 4.2)")}
+    return li.select("l_orderkey", "l_linenumber", *[F.round(F.expr(x), 6).alias(n) for n, x in e.items()])
+
+
+# ---- joins and set operators ------------------------------------------------------------
+
+
+@query(f"""WITH {CTE}, r AS (SELECT team, list(player ORDER BY player) ps FROM rosters GROUP BY team)
+SELECT game_id, coalesce(len(a.ps), 0)::INT AS n1, coalesce(len(b.ps), 0)::INT AS n2, coalesce(list_sum(a.ps), 0)::BIGINT AS sum1, coalesce(list_sum(b.ps), 0)::BIGINT AS sum2 FROM games LEFT JOIN r a ON a.team = team1 LEFT JOIN r b ON b.team = team2""")
+def games_with_rosters(spark, sf_dir):
+    """J1"""
+    g = _full(spark, sf_dir)
+    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
+    return g.select("game_id", F.size("r1").alias("n1"), F.size("r2").alias("n2"), total("r1").alias("sum1"), total("r2").alias("sum2"))
+
+
+@query(f"WITH {CTE} SELECT game_id, team1, team2 FROM games WHERE team1 IN (SELECT team FROM rosters) AND team2 IN (SELECT team FROM rosters)")
+def known_teams(spark, sf_dir):
+    """P9, J2"""
+    return joins.known_teams_only(_games(spark, sf_dir), fixtures.rosters(spark, sf_dir)).select("game_id", "team1", "team2")
+
+
+@query(f"""WITH {CTE}, old AS (SELECT * FROM games WHERE game_id % 3 = 0), new AS (SELECT game_id, ts, team2 AS team1, team1 AS team2 FROM games)
+SELECT game_id, team1, team2 FROM new n WHERE NOT EXISTS (SELECT 1 FROM old o WHERE o.ts = n.ts AND (o.team1 = n.team1 AND o.team2 = n.team2 OR o.team1 = n.team2 AND o.team2 = n.team1))""")
+def new_games(spark, sf_dir):
+    """Additions with sides swapped against a third of the games."""
+    g = _games(spark, sf_dir)
+    add = g.select("game_id", "ts", F.col("team2").alias("team1"), F.col("team1").alias("team2"))
+    return joins.new_games(add, g.where("game_id % 3 = 0")).select("game_id", "team1", "team2")
+
+
+@query(f"""WITH {CTE}, cells AS (SELECT team, player::VARCHAR AS p, row_number() OVER (PARTITION BY team ORDER BY player)::INT AS slot FROM rosters),
+al AS (SELECT c_custkey::VARCHAR AS alias, 'player ' || (c_custkey // 2) AS preferred FROM customer WHERE c_custkey % 3 < 2)
+SELECT team, min(slot) AS slot, coalesce(preferred, p) AS player FROM cells LEFT JOIN al ON alias = p GROUP BY team, coalesce(preferred, p)""")
+def aliased_rosters(spark, sf_dir):
+    """J3, D3, S6"""
+    from pyspark.sql import Window
+
+    r = fixtures.rosters(spark, sf_dir)
+    cells = r.select("team", F.row_number().over(Window.partitionBy("team").orderBy("player")).alias("slot"), F.col("player").cast("string").alias("player"))
+    (c,) = _tables(spark, sf_dir, "customer")
+    al = c.where("c_custkey % 3 < 2").select(F.col("c_custkey").cast("string").alias("alias"), F.concat(F.lit("player "), F.expr("c_custkey div 2").cast("string")).alias("preferred"), F.lit(0).alias("ordinal"))
+    return joins.apply_aliases(cells, al, lambda x: x).select("team", "slot", "player")
+
+
+@query("""WITH m AS (SELECT n_name AS filename, '(S' || (n_regionkey + 20) || ')' AS suffix FROM nation WHERE n_nationkey % 4 <> 0)
+SELECT c_custkey AS id, CASE WHEN suffix IS NULL THEN c_name ELSE c_name || ' ' || suffix END AS name FROM customer JOIN nation ON n_nationkey = c_nationkey LEFT JOIN m ON filename = n_name""")
+def season_suffixes(spark, sf_dir):
+    """J4, F12, S5"""
+    c, n = _tables(spark, sf_dir, "customer", "nation")
+    seasons = n.where("n_nationkey % 4 <> 0").select(F.col("n_name").alias("filename"), F.concat(F.lit("(S"), (F.col("n_regionkey") + 20).cast("string"), F.lit(")")).alias("suffix"), F.lit(0).alias("ordinal"))
+    rows = c.join(n, F.col("n_nationkey") == F.col("c_nationkey")).select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("n_name").alias("filename"))
+    return joins.with_season_suffix(rows, seasons, "name").select("id", "name")
+
+
+@query(f"""WITH {CTE}, new AS (SELECT team, player + 1000000 AS player FROM rosters WHERE team LIKE 'N1%')
+SELECT team, player FROM rosters WHERE team NOT IN (SELECT team FROM new) UNION ALL SELECT * FROM new""")
+def roster_upsert(spark, sf_dir):
+    """K4"""
+    r = fixtures.rosters(spark, sf_dir)
+    return joins.upsert_teams(r, r.where("team LIKE 'N1%'").select("team", (F.col("player") + 1000000).alias("player")))
+
+
+@query(f"""WITH {CTE}, marks AS (SELECT DISTINCT team1 AS team, ts, score1 FROM games QUALIFY row_number() OVER (PARTITION BY team1, ts ORDER BY game_id DESC) = 1)
+SELECT g.game_id, m.score1 AS last_score FROM games g ASOF LEFT JOIN marks m ON g.team2 = m.team AND g.ts >= m.ts""")
+def asof_lookup(spark, sf_dir):
+    """The last home score of the visiting team at or before the game."""
+    from pyspark.sql import Window
+
+    g = _games(spark, sf_dir)
+    w = Window.partitionBy("team1", "ts").orderBy(F.desc("game_id"))
+    marks = g.withColumn("_n", F.row_number().over(w)).where("_n = 1").select(F.col("team1").alias("team"), "ts", F.col("score1").alias("last_score"))
+    return joins.asof(g.select(F.col("team2").alias("team"), "ts", "game_id"), marks, "team", "ts", "last_score").select("game_id", "last_score")
+
+
+@query(f"""WITH {CTE} SELECT game_id, team1, team2 FROM games QUALIFY row_number() OVER (PARTITION BY ts ORDER BY game_id DESC) = 1""")
+def last_per_time(spark, sf_dir):
+    """W1"""
+    return stats.last_per_time(_games(spark, sf_dir)).select("game_id", "team1", "team2")
+
+
+# ---- aggregates -------------------------------------------------------------------------
+
+_SIDES = "sides AS (SELECT game_id, ts, team1 AS team, score1 AS own, score2 AS other, 1 AS side FROM games UNION ALL SELECT game_id, ts, team2, score2, score1, 2 FROM games)"
+_REC = "count(*) AS games, count(*) FILTER (own > other) AS wins, count(*) FILTER (own < other) AS losses, count(*) FILTER (own = other) AS draws"
+
+
+@query(f"WITH {CTE}, {_SIDES} SELECT team, {_REC}, epoch(min(ts))::BIGINT AS first_played, epoch(max(ts))::BIGINT AS last_played FROM sides GROUP BY team")
+def team_records(spark, sf_dir):
+    """A4, A16"""
+    return stats.team_records(_games(spark, sf_dir)).select("team", "games", "wins", "losses", "draws", _epoch("first_played"), _epoch("last_played"))
+
+
+@query(f"WITH {CTE}, {_SIDES} SELECT player, {_REC}, epoch(max(ts))::BIGINT AS last_played FROM sides JOIN rosters USING (team) GROUP BY player")
+def player_records(spark, sf_dir):
+    """A2"""
+    return stats.player_records(_games(spark, sf_dir), fixtures.rosters(spark, sf_dir)).select("player", "games", "wins", "losses", "draws", _epoch("last_played"))
+
+
+@query(f"WITH {CTE} SELECT player, count(*) AS games FROM (SELECT team1 AS team FROM games UNION ALL SELECT team2 FROM games) JOIN rosters USING (team) GROUP BY player")
+def player_games(spark, sf_dir):
+    """A6"""
+    return stats.games_per_player(joins.with_rosters(_games(spark, sf_dir), fixtures.rosters(spark, sf_dir)))
+
+
+@query(f"WITH {CTE} SELECT player, list(team ORDER BY team) AS teams FROM rosters GROUP BY player")
+def player_team_lists(spark, sf_dir):
+    """J12"""
+    return stats.player_teams(fixtures.rosters(spark, sf_dir))
+
+
+@query("SELECT trim(p_brand) AS name, count(*) AS n FROM part WHERE trim(p_brand) <> '' GROUP BY 1")
+def cell_counts(spark, sf_dir):
+    """A1"""
+    (p,) = _tables(spark, sf_dir, "part")
+    return stats.name_counts(p.select(F.col("p_brand").alias("player")))
+
+
+_OVER = """sz AS (SELECT team, count(*) n FROM rosters GROUP BY team), ov AS (SELECT a.team AS team1, b.team AS team2, count(*) AS shared, count(*)::DOUBLE / (x.n + y.n - count(*)) AS jaccard
+FROM rosters a JOIN rosters b ON a.player = b.player AND a.team < b.team JOIN sz x ON x.team = a.team JOIN sz y ON y.team = b.team GROUP BY a.team, b.team, x.n, y.n)"""
+
+
+@query(f"WITH {CTE}, {_OVER} SELECT team1, team2, shared, round(jaccard, 6) AS jaccard FROM ov")
+def roster_overlap(spark, sf_dir):
+    """J7, A7"""
+    return stats.roster_overlap(fixtures.rosters(spark, sf_dir)).select("team1", "team2", "shared", _r6("jaccard"))
+
+
+_DIV = f"""WITH {CTE}, {_SIDES}, {_OVER}, pos AS (SELECT team, row_number() OVER (ORDER BY min(row(ts, game_id, side))) AS pos FROM sides GROUP BY team),
+sym AS (SELECT team1 a, team2 b, jaccard j FROM ov UNION ALL SELECT team2, team1, jaccard FROM ov), mine AS (SELECT player, team, pos FROM rosters JOIN pos USING (team)),
+near AS (SELECT m.player, m.team, max(coalesce(j, 0)) AS near FROM mine m JOIN mine o ON o.player = m.player AND o.pos < m.pos LEFT JOIN sym ON a = m.team AND b = o.team GROUP BY 1, 2),
+div AS (SELECT player, sum(1 - coalesce(near, 0)) AS complexity FROM mine LEFT JOIN near USING (player, team) GROUP BY player),
+sg AS (SELECT player, complexity, greatest(1 / sqrt(1 + complexity), 1e-8) AS sigma FROM div)
+"""
+
+
+@query(_DIV + "SELECT player, round(complexity, 6) AS complexity, round(sigma, 6) AS sigma FROM sg")
+def team_diversity(spark, sf_dir):
+    """A8, F24, W4"""
+    return stats.diversity(_games(spark, sf_dir), fixtures.rosters(spark, sf_dir)).select("player", _r6("complexity"), _r6("sigma"))
+
+
+@query(_DIV + "SELECT team, round(sum(pow(coalesce(sigma, 1.0), 2)) / pow(count(*), 2), 6) AS variance FROM rosters LEFT JOIN sg USING (player) GROUP BY team")
+def team_variances(spark, sf_dir):
+    """A9, F23"""
+    r = fixtures.rosters(spark, sf_dir)
+    return stats.team_variance(r, stats.diversity(_games(spark, sf_dir), r)).select("team", _r6("variance"))
+
+
+def _h2h(spark: SparkSession, sf_dir: str) -> DataFrame:
+    (c,) = _tables(spark, sf_dir, "supplier")
+    return c.select(F.col("s_suppkey").alias("player"), (F.col("s_acctbal") / 1000).alias("theta"), (1 / F.sqrt(1.0 + F.col("s_nationkey"))).alias("sigma"), (F.col("s_suppkey") % 10 != 0).alias("active"))
+
+
+@query(f"""WITH r AS (SELECT s_suppkey AS player, s_acctbal / 1000 AS theta, 1 / sqrt(1.0 + s_nationkey) AS sigma, s_suppkey % 10 <> 0 AS active FROM supplier)
+SELECT player, round(CASE WHEN NOT active THEN 1000.0 ELSE 2000.0 * m END, 6) AS rating FROM r LEFT JOIN (SELECT a.player, avg({rating_math.normal_cdf('((a.theta - b.theta) / sqrt(4.2458 * 4.2458 + a.sigma * a.sigma + b.sigma * b.sigma))')}) AS m FROM r a JOIN r b ON a.player <> b.player AND a.active AND b.active GROUP BY 1) USING (player)""")
+def head_to_head(spark, sf_dir):
+    """A12, J8, F22"""
+    return stats.head_to_head(_h2h(spark, sf_dir)).select("player", _r6("rating"))
+
+
+@query("""WITH s AS (SELECT user_id, list(value ORDER BY ts, event_id) AS x FROM events GROUP BY user_id), d AS (SELECT user_id, len(x) AS n, list_transform(x, lambda v: v - list_avg(x)) AS d FROM s),
+c AS (SELECT user_id, n, d, list_sum(list_transform(d, lambda v: v * v)) / n AS c0 FROM d),
+k AS (SELECT user_id, n, c0, k, list_sum(list_transform(range(1, n - k + 1), lambda i: d[i] * d[i + k])) / (n - k) / c0 AS r FROM c, unnest(range(1, least(50, n - 1) + 1)) t(k) WHERE n > 1 AND c0 > 0),
+stop AS (SELECT user_id, coalesce(min(k) FILTER (r <= 0), 1000) AS stop FROM k GROUP BY user_id),
+tot AS (SELECT user_id, sum(CASE WHEN k < stop THEN r ELSE 0 END) AS t FROM k JOIN stop USING (user_id) GROUP BY user_id)
+SELECT user_id, n::BIGINT AS n, round(CASE WHEN n <= 1 THEN n ELSE n / (1 + 2 * t) END, 6) AS ess FROM c LEFT JOIN tot USING (user_id) WHERE n <= 1 OR c0 > 0""")
+def sample_sizes(spark, sf_dir):
+    """A13, E10, W5"""
+    (e,) = _tables(spark, sf_dir, "events")
+    return stats.effective_sample_size(e, "user_id", ["ts", "event_id"], "value").where("not isnan(ess)").select("user_id", "n", _r6("ess"))
+
+
+@query(f"""WITH {CTE}, {_SIDES}, x AS (SELECT player, count(*)::BIGINT AS n FROM sides JOIN rosters USING (team) GROUP BY player)
+SELECT count(*) AS players, median(n)::DOUBLE AS median_n, count(*) FILTER (n >= 20) AS many_games FROM x""")
+def sample_size_summary(spark, sf_dir):
+    """A14, O4"""
+    s = stats.outcome_series(_games(spark, sf_dir), fixtures.rosters(spark, sf_dir))
+    return stats.ess_summary(stats.effective_sample_size(s, "player", ["ts", "game_id", "side", "team"], "x")).select("players", F.col("median_n").cast("double").alias("median_n"), "many_games")
+
+
+_HIST = "h AS (SELECT user_id AS player, ts, event_id AS game_id, value AS rating FROM events)"
+
+
+def _history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    (e,) = _tables(spark, sf_dir, "events")
+    return e.select(F.col("user_id").alias("player"), "ts", F.col("event_id").alias("game_id"), F.col("value").alias("rating"))
+
+
+@query(f"WITH {_HIST} SELECT player, round(arg_max(rating, row(ts, game_id)), 6) AS current, round(max(rating), 6) AS peak, round(min(rating), 6) AS lowest FROM h GROUP BY player")
+def rating_summaries(spark, sf_dir):
+    """A3"""
+    return stats.rating_summary(_history(spark, sf_dir)).select("player", _r6("current"), _r6("peak"), _r6("lowest"))
+
+
+@query(f"""WITH {CTE}, {_HIST}, t AS (SELECT team, floor(epoch(ts))::BIGINT AS ts, avg(rating) AS rating FROM h JOIN rosters USING (player) GROUP BY team, h.ts)
+SELECT team, ts, round(rating, 6) AS rating FROM t UNION ALL SELECT DISTINCT team, NULL::BIGINT, 1000.0 FROM rosters WHERE team NOT IN (SELECT team FROM t)""")
+def team_rating_history(spark, sf_dir):
+    """A5"""
+    return stats.team_history(_history(spark, sf_dir), fixtures.rosters(spark, sf_dir)).select("team", _epoch("ts"), _r6("rating"))
+
+
+_CMP = "WITH j AS (SELECT s_suppkey AS player, s_acctbal AS x, s_acctbal * 0.9 + s_nationkey * 20 AS y FROM supplier), g AS (SELECT *, abs(x - y) AS gap FROM j)"
+
+
+def _compare(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    (s,) = _tables(spark, sf_dir, "supplier")
+    return stats.compare_ratings(s.select(F.col("s_suppkey").alias("player"), F.col("s_acctbal").alias("rating")), s.select(F.col("s_suppkey").alias("player"), (F.col("s_acctbal") * 0.9 + F.col("s_nationkey") * 20).alias("rating")))
+
+
+@query(_CMP + " SELECT player, round(x, 6) AS x, round(y, 6) AS y, round(gap, 6) AS gap FROM g ORDER BY gap DESC, player LIMIT 15")
+def rating_gaps(spark, sf_dir):
+    """A top-k report."""
+    return _compare(spark, sf_dir)[0].select("player", _r6("x"), _r6("y"), _r6("gap"))
+
+
+@query(_CMP + """, r AS (SELECT rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0 AS rx, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0 AS ry FROM j)
+SELECT round(avg(gap), 6) AS mean_gap, round(max(gap), 6) AS max_gap, round(corr(x, y), 6) AS pearson, round((SELECT corr(rx, ry) FROM r), 6) AS spearman FROM g""")
+def rating_agreement(spark, sf_dir):
+    """A17"""
+    return _compare(spark, sf_dir)[1].select(_r6("mean_gap"), _r6("max_gap"), _r6("pearson"), _r6("spearman"))
+
+
+# ---- back-tests -------------------------------------------------------------------------
+
+
+@query(f"""WITH {CTE}, {_SIDES}, f AS (SELECT team, min(ts) AS first_ts FROM sides WHERE ts IS NOT NULL GROUP BY team), c AS (SELECT DISTINCT first_ts FROM f)
+SELECT epoch(first_ts)::BIGINT AS cp, (SELECT count(*) FROM f WHERE f.first_ts = c.first_ts) AS teams, (SELECT count(*) FROM games WHERE ts < c.first_ts) AS train_games FROM c""")
+def new_team_checkpoints(spark, sf_dir):
+    """E2, J11, W3"""
+    g = _games(spark, sf_dir)
+    first, cps = evaluation.new_team_metadata(g)
+    n = first.groupBy(F.col("first_ts").alias("cp_ts")).agg(F.count(F.lit(1)).alias("teams"))
+    train = joins.training_prefix(cps, g).groupBy("cp").agg(F.count(F.lit(1)).alias("train_games"))
+    return cps.join(n, "cp_ts").join(train, "cp", "left").select(F.unix_timestamp("cp_ts").alias("cp"), "teams", F.coalesce("train_games", F.lit(0)).cast("long").alias("train_games"))
+
+
+@query(f"""WITH {CTE}, x AS (SELECT team1 AS team, game_id, ts, false AS flipped FROM games UNION ALL SELECT team2, game_id, ts, true FROM games)
+SELECT team, game_id, flipped FROM x QUALIFY row_number() OVER (PARTITION BY team ORDER BY ts, game_id, flipped) <= 3""")
+def first_games_of_teams(spark, sf_dir):
+    """J10, L2"""
+    g = _games(spark, sf_dir)
+    return evaluation.team_games(g, evaluation.new_team_metadata(g)[0], 3).select("team", "game_id", "flipped")
+
+
+@query(_ELO + """, sd AS (SELECT game_id, ts, team1 AS team, false AS flipped, score1, score2 FROM games UNION ALL SELECT game_id, ts, team2, true, score1, score2 FROM games),
+f AS (SELECT team, min(ts) AS first_ts FROM sd GROUP BY team), base AS (SELECT f.team, count(g.game_id) AS k FROM f LEFT JOIN games g ON g.ts < f.first_ts GROUP BY f.team),
+pr AS (SELECT sd.team, sd.flipped, sd.score1, sd.score2, 1.0 / (1.0 + pow(10.0, (coalesce(list_avg(list_transform(q.r2, lambda i: fo.st[i])), 1000.0) - coalesce(list_avg(list_transform(q.r1, lambda i: fo.st[i])), 1000.0)) / 400.0)) AS p0
+  FROM sd JOIN base USING (team) JOIN fold fo ON fo.k = base.k JOIN seqd q ON q.game_id = sd.game_id),
+pq AS (SELECT team, CASE WHEN flipped THEN 1 - p0 ELSE p0 END AS p, (score1 > score2) = (NOT flipped) AS y FROM pr WHERE score1 <> score2),
+tm AS (SELECT team, avg(-ln(CASE WHEN y THEN least(greatest(p, 1e-12), 1 - 1e-12) ELSE 1 - least(greatest(p, 1e-12), 1 - 1e-12) END)) AS nll, avg((p - y::INT) * (p - y::INT)) AS brier, avg(((p >= 0.5) = y)::INT) AS hit FROM pq GROUP BY team)
+SELECT round(avg(nll), 6) AS mean_nll, round(avg(brier), 6) AS mean_brier, round(avg(hit), 6) AS mean_accuracy, count(*) AS teams FROM tm""")
+def elo_new_team_metrics(spark, sf_dir):
+    """E3, A11"""
+    p = evaluation.new_team_predictions(_full(spark, sf_dir), "elo")
+    return evaluation.new_team_metrics(p).select(_r6("mean_nll"), _r6("mean_brier"), _r6("mean_accuracy"), "teams")
+
+
+def _ratings(model: str):
+    def f(spark, sf_dir):
+        return history.run_model(_full(spark, sf_dir), model)
+
+    f.__name__, f.__doc__ = f"ratings_{model}", f"The rating history of {model}."
+    return query()(f)
+
+
+for _m in MODELS:
+    _ratings(_m)
+
+
+@query()
+def ttt_curves(spark, sf_dir):
+    """M4: learning curves after forward and backward sweeps."""
+    return history.curves(_full(spark, sf_dir))
+
+
+@query()
+def trueskill_chrono_metrics(spark, sf_dir):
+    """E1 over M2"""
+    g = _full(spark, sf_dir)
+    return evaluation.chrono_metrics(evaluation.chrono_predictions(g, "trueskill"), g)
+
+
+@query()
+def bt_mov_chrono_metrics(spark, sf_dir):
+    """Batch fits over growing prefixes, one for each tenth of the games."""
+    g = _full(spark, sf_dir)
+    return evaluation.chrono_metrics(evaluation.chrono_predictions(g, "bt_mov", refit_every=max(1, g.count() // 10)), g)
+
+
+@query()
+def elo_search(spark, sf_dir):
+    """A seeded search, trials side by side."""
+    spec = {"k": {"type": "float", "low": 50.0, "high": 500.0}, "tournament_factor": {"type": "float", "low": 1.0, "high": 2.0}}
+    return evaluation.best_trial(evaluation.search(_full(spark, sf_dir), "elo", spec, 8))
+
+
+@query()
+def alias_candidates(spark, sf_dir):
+    """J6, F7, F10, O2"""
+    (p,) = _tables(spark, sf_dir, "part")
+    return aliases.candidates(stats.name_counts(p.select(F.col("p_name").alias("player"))))
+
+
+@query()
+def alias_canonical(spark, sf_dir):
+    """G1, G2, O3"""
+    (p,) = _tables(spark, sf_dir, "supplier")
+    n = stats.name_counts(p.select(F.concat_ws(" ", F.lit("team"), F.regexp_replace("s_name", "[#0]+", " ")).alias("player")))
+    return aliases.canonical(n, aliases.candidates(n, 0.9))
+
+
+@query()
+def stint_coefficients(spark, sf_dir):
+    """B6"""
+    return stint.fit(_full(spark, sf_dir))[0]
+
+
+@query()
+def export_document(spark, sf_dir):
+    """K7, E12, S16-S18"""
+    g, r = _games(spark, sf_dir), fixtures.rosters(spark, sf_dir)
+    h = history.sequential_history(_full(spark, sf_dir), "elo")
+    return export.document(h, g, r, "elo")
+
+
+@query()
+def wide_rating_history(spark, sf_dir):
+    """K1: the wide form for the named players with the lowest ids."""
+    h = history.sequential_history(_full(spark, sf_dir), "elo")
+    who = [r.player for r in h.select("player").distinct().orderBy("player").limit(10).collect()]
+    return sinks.wide_history(h.where(F.col("player").isin(who)), who)
