@@ -146,4 +146,4 @@ FROM d LEFT JOIN g USING (doc_id)
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold an item of ``benchmark`` go."""
     bad = contamination(docs, read(spark, sf_dir, "benchmark", "item_id", "text")).where(F.size("matches") > 0).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]), "left_anti")

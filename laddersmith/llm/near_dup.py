@@ -268,4 +268,4 @@ def op3_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays (five words, similarity 0.8). Rows without words stay."""
     found = near_duplicates(docs, k=5, percent=80).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(found, F.col("doc_id") == F.col("_gone"), "left_anti")
+    return docs.join(found, docs["doc_id"] == found["_gone"], "left_anti")

@@ -16,7 +16,8 @@ them, and each block is scored by walking its own trie. No task holds more than
 Words are keyed by 64-bit hashes.
 
 Defined results: null or empty texts are scored as an end alone; without training texts N and V are 0 and the
-trie is empty, so every symbol costs log10(257); repeated rows each count and are scored alike; extra columns are ignored; an empty table gives an
+trie is empty, so every symbol costs log10(257); repeated rows each count and are scored alike; rows without id have no fold
+and are scored but not learned from; extra columns are ignored; an empty table gives an
 empty result.
 """
 
@@ -114,7 +115,7 @@ def blocks(docs: DataFrame) -> DataFrame:
             block = (part << 24) | nth
             nth += 1
             col = t.column(1).combine_chunks() if t.num_rows else None
-            train = ~t.column(2).to_numpy(zero_copy_only=False).astype(bool)
+            train = ~t.column(2).combine_chunks().fill_null(True).to_numpy(zero_copy_only=False).astype(bool)
             totals: dict[int, tuple[list, list]] = {0: ([], []), 1: ([], [])}
             for i, j, raw, offs in W.chunks(col, 4 << 20):
                 on = train[i:j]

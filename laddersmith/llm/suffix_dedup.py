@@ -232,9 +232,10 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     n_chars is counted anew where a text changed.
     """
     cols = docs.columns
-    out = remove_repeats(docs, least=200, k=48)
+    inner = [c if c in ("doc_id", "text") else f"_c{i}" for i, c in enumerate(cols)]  # names of the documents' own can't clash with ours
+    out = remove_repeats(docs.toDF(*inner), least=200, k=48)
     out = out.withColumn("text", F.when(F.col("n_removed") == 0, F.col("text")).otherwise(F.col("text_kept")))
     if "n_chars" in cols:
-        kind = dict(docs.dtypes)["n_chars"]
-        out = out.withColumn("n_chars", F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.length("text").cast(kind)))
-    return out.select(*cols)
+        n = inner[cols.index("n_chars")]
+        out = out.withColumn(n, F.when(F.col("n_removed") == 0, F.col(n)).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+    return out.select(*inner).toDF(*cols)
