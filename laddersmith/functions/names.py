@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType, StringType
 
 
 def clean_team_name(c: Column) -> Column:
@@ -35,7 +36,7 @@ def simple_key(c: Column) -> Column:
     return F.lower(F.trim(F.coalesce(c, F.lit(""))))
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def alias_key(names: pd.Series) -> pd.Series:
     """NFKD without marks, lower case, quotes, dots, dashes and brackets deleted, other signs to one space."""
     drop = str.maketrans("", "", "'\".`-()")
@@ -53,7 +54,7 @@ def last_name(c: Column) -> Column:
     return F.element_at(F.split(F.trim(F.lower(c)), r"\s+"), -1)
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp ratio; the order of the arguments matters."""
     return pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
