@@ -269,3 +269,20 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays (five words, similarity 0.8). Rows without words stay."""
     found = near_duplicates(docs, k=5, percent=80).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(found, docs["doc_id"] == found["_gone"], "left_anti")
+
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: All pairs by shared shingles: for small tables.
+SQL = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x20\x09-\x0D]+') w FROM documents),
+s AS (SELECT DISTINCT doc_id, hash(CASE WHEN len(w) < 3 THEN w ELSE w[i:i+2] END) s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) n, md5(string_agg(s::VARCHAR, ',' ORDER BY s)) k FROM s GROUP BY 1),
+rep AS (SELECT k, min(doc_id) r, any_value(n) n FROM n GROUP BY 1),
+rs AS (SELECT s.doc_id r, s.s, rep.n FROM s JOIN rep ON s.doc_id = rep.r),
+p AS (SELECT a.r x, b.r y FROM rs a JOIN rs b ON a.s = b.s AND a.r < b.r AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n) GROUP BY a.r, b.r, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+e AS (SELECT x, y FROM p UNION ALL SELECT y, x FROM p),
+reach AS (SELECT r AS v, r AS t FROM rep UNION SELECT reach.v, e.y FROM reach JOIN e ON e.x = reach.t),
+c AS (SELECT v, min(t) c FROM reach GROUP BY 1)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(c.c, d.doc_id) AS component_id, d.doc_id = coalesce(c.c, d.doc_id) AS kept
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN rep USING (k) LEFT JOIN c ON c.v = rep.r
+"""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from laddersmith.llm import decontaminate
+from laddersmith.llm import decontaminate, near_dup
 from laddersmith.llm.bpe import op7_byte_bpe
 from laddersmith.llm.decontaminate import op9_decontaminate
 from laddersmith.llm.html_text import op2_html_text
@@ -35,7 +35,7 @@ _QUERIES = [
     op10_quality,
     pipeline,
 ]
-_SQL = {"op9_decontaminate": decontaminate.SQL}
+_SQL = {"op3_minhash_near_dup": near_dup.SQL, "op9_decontaminate": decontaminate.SQL}
 
 
 def queries() -> dict:
