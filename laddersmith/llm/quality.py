@@ -3,7 +3,8 @@
 Base: counts of words, symbols, repeated lines and words in repeated 8-word windows. Method: a public
 vocabulary (pieces with byte fallback) gives each document its characters per token, its share of
 fallback bytes and the entropy of its tokens. A language's bands are the quartiles of its documents
-that pass the base rules, widened by FENCE times their distance; a document outside of its language's bands is not kept.
+that pass the base rules, widened by FENCE times their distance, and more for short documents, whose
+measures vary more; a document outside of its language's bands is not kept.
 Documents without language share one more set of bands. All documents count towards the bands.
 
 Each distinct word of a run of texts is encoded once; words don't join across white space in this vocabulary.
@@ -23,7 +24,8 @@ from laddersmith.llm import words as W
 from laddersmith.llm.common import materialize, read
 
 U = np.uint64
-FENCE = 4.0
+#: Widths of the bands in distances of the quartiles; words at which a document's bands are wider by the root of two.
+FENCE, SHORT = 2.0, 200
 MIN_DOCS = 50
 CACHE = 300_000
 _SYMBOL = np.zeros(256, bool)
@@ -173,8 +175,8 @@ def quality(docs: DataFrame, path: str) -> DataFrame:
     def outside(c: str, s: str):
         lo = F.coalesce(F.col(f"{s}1"), F.lit(every[f"a_{s}1"]).cast("double"))
         hi = F.coalesce(F.col(f"{s}3"), F.lit(every[f"a_{s}3"]).cast("double"))
-        # quartiles that fall together (no fallback at all) leave a tenth of the range as slack
-        wide = FENCE * F.greatest(hi - lo, F.lit(0.02) * F.greatest(F.abs(hi), F.lit(1.0)))
+        # quartiles that fall together (no fallback at all) leave a hundredth as slack
+        wide = FENCE * F.greatest(hi - lo, F.lit(0.01) * F.greatest(F.abs(hi), F.lit(1.0))) * F.sqrt(1 + SHORT / F.greatest(F.col("n_words"), F.lit(1)))
         return (F.col(c) < lo - wide) | (F.col(c) > hi + wide)
 
     j = m.join(own, F.col("lang") == F.col("_lang"), "left")
