@@ -11,6 +11,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
+#: Rows and bytes of an Arrow batch, at most (a single row may be longer).
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 
 def build_session(app: str = "laddersmith", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
@@ -35,6 +37,9 @@ def ship(spark: SparkSession) -> None:
     Functions then pickle by reference, so a worker that is reused keeps what the
     modules cache (tokenizers, tables).
     """
+    # batches between the JVM and Python are bounded in bytes by few rows each: texts may be long
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
