@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from laddersmith.llm import words as W
 from laddersmith.llm.common import by_group, components, discard, materialize, parallelism, read
 
-#: 20 bands of 4 rows miss a pair of similarity 0.85 with probability 4e-7, of 0.8 with 3e-5 (24 bands are used below 0.85: 4e-6).
+#: Bands of 4 rows: 20 miss a pair of similarity 0.85 with probability 4e-7, 28 (below 0.85) one of 0.8 with the same.
 ROWS = 4
 BITS = 512
 BUCKET = 4096
