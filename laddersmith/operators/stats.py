@@ -97,18 +97,21 @@ def team_variance(rosters: DataFrame, sigmas: DataFrame) -> DataFrame:
     return j.groupBy("team").agg((F.sum(F.pow(F.coalesce("sigma", F.lit(1.0)), 2)) / F.pow(F.count(F.lit(1)), 2)).alias("variance"))
 
 
-def head_to_head(ratings: DataFrame, sigma: float = 4.2458, best: float = 2000.0) -> DataFrame:
+def head_to_head(ratings: DataFrame, sigma: float = 4.2458, best: float = 2000.0, block: int = 4096) -> DataFrame:
     """(player, rating): the mean probability to beat each other active player, times ``best``.
 
-    ``ratings``: (player, theta, sigma, active). Every pair counts by definition; the others are the bounded set of active players of
-    a league, folded into one sorted array and broadcast, so no pairs are materialised.
+    ``ratings``: (player, theta, sigma, active). Every pair counts by definition. The active players are folded into blocks of about
+    ``block``, each an array in one row, and every player meets every block: no pairs are materialised and no row grows with the league.
     """
-    act = ratings.where("active")
-    arr = act.agg(F.array_sort(F.collect_list(F.struct("theta", "sigma"))).alias("others"), F.count(F.lit(1)).alias("n"))
+    act = ratings.where("active").select("theta", "sigma", "player")
+    n = act.count()
+    blocks = max(1, -(-n // block))
+    arr = act.groupBy(F.pmod(F.xxhash64("player"), F.lit(blocks)).alias("_b")).agg(F.collect_list(F.struct("theta", "sigma")).alias("others"))
     p = normal_cdf("((theta - o.theta) / " + sigma_eff(sigma, "sigma * sigma", "o.sigma * o.sigma") + ")")
-    mean = F.expr(f"(aggregate(others, 0D, (acc, o) -> acc + {p}) - 0.5D) / (n - 1)")
-    out = ratings.crossJoin(F.broadcast(arr))
-    return out.select("player", F.when(~F.col("active"), best / 2).when(F.col("n") == 1, best).otherwise(mean * best).alias("rating"))
+    part = ratings.where("active").crossJoin(arr).select("player", F.expr(f"aggregate(others, 0D, (acc, o) -> acc + {p})").alias("_s"))
+    total = part.groupBy("player").agg(F.sum("_s").alias("_s"))
+    mean = (F.col("_s") - 0.5) / F.lit(max(n - 1, 1))
+    return ratings.select("player", "active").join(total, "player", "left").select("player", F.when(~F.col("active"), best / 2).otherwise(F.lit(best) if n == 1 else mean * best).alias("rating"))
 
 
 def effective_sample_size(series: DataFrame, key: str, order: list[str], value: str, lags: int = 50) -> DataFrame:
