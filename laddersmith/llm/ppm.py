@@ -7,16 +7,17 @@ successors that the longer context has seen are excluded from the shorter one's
 symbols left are alike. Code lengths are pretrained: a text's log10 probability is the sum over its strings.
 
 Plan. One pass over the documents packs them into blocks and lists, for each block, its distinct
-byte strings and words with their counts in training texts (numpy tries, no row per position).
-Sums over blocks are the corpus's counts, and grow with it. Each distinct string gets its code length
-where all its suffix contexts are at hand (groups by the two bytes before the last; the tables of orders 0
-and 1 have at most 65,792 cells and are broadcast). Values go back to the blocks that listed
-them, and each block is scored by walking its own trie. No task holds more than a block or one group of contexts.
+byte strings and words with their counts in training texts (numpy tries, no row per position). The lists are cut by
+bucket, so that a bucket has all suffix contexts of its strings (they share the two bytes before the last), and packed. A
+bucket's task sums the blocks' counts, which are the corpus's and grow with it, turns them into code lengths, and sends each block its values
+in the order of its list; the tables of orders 0 and 1 have at most 65,792 cells and are broadcast. Each block lists its strings
+again, takes the values and is scored by walking its own trie. There are as many buckets as partitions of the input, so that a
+bucket is about as large as a block; no task holds more than one block or one bucket.
 
 Words are keyed by 64-bit hashes.
 
 Defined results: null or empty texts are scored as an end alone; without training texts N and V are 0 and the
-trie is empty, so every symbol costs log10(257); repeated rows each count and are scored alike; rows without id have no fold
+trie is empty, so every symbol costs log10(257); code lengths are kept as 32-bit floats; repeated rows each count and are scored alike; rows without id have no fold
 and are scored but not learned from; extra columns are ignored; an empty table gives an
 empty result.
 """
@@ -40,33 +41,35 @@ FIRST, END = 0xFF, 0xFE
 #: Symbols that may follow a context: all bytes and the end.
 SYMBOLS = 257
 #: Bytes of text in a block.
-BLOCK = 16 << 20
+BLOCK = 32 << 20
 U = np.uint64
 #: The end's key among words.
-END_WORD = -1
+END_WORD = (1 << 64) - 1
+#: Bytes of text that one trie holds.
+CHUNK = 2 << 20
 
 
 class Trie:
     """Distinct (ORDER + 1)-byte strings of a run of bytes, found level by level."""
 
     def __init__(self, buf: np.ndarray):
-        self.used, code = np.unique(buf, return_inverse=True)
-        self.size = len(self.used)
-        self.code = code.astype(np.int64).ravel()
-        self.levels: list[np.ndarray] = []
-        ids = self.code
-        keys = self.used.astype(U)
-        for _ in range(ORDER):
-            n = len(keys)
-            at = ids[: len(self.code) - len(self.levels) - 1] * self.size + self.code[len(self.levels) + 1 :]
-            seen = np.zeros(n * self.size, bool)
+        used = np.flatnonzero(np.bincount(buf, minlength=256))
+        size = len(used)
+        table = np.zeros(256, np.int32)
+        table[used] = np.arange(size)
+        code = table[buf]
+        ids, keys = code, used.astype(U)
+        for level in range(1, ORDER + 1):
+            kind = np.int32 if len(keys) * size < 1 << 31 else np.int64
+            at = ids[: len(code) - level].astype(kind) * kind(size)
+            at += code[level:]
+            seen = np.zeros(len(keys) * size, bool)
             seen[at] = True
             cell = np.flatnonzero(seen)
-            number = np.zeros(n * self.size, np.int32)
+            number = np.empty(len(keys) * size, np.int32)
             number[cell] = np.arange(len(cell), dtype=np.int32)
-            ids = number[at].astype(np.int64)
-            keys = (keys[cell // self.size] << U(8)) | self.used[cell % self.size].astype(U)
-            self.levels.append(number)
+            ids = number[at]
+            keys = (keys[cell // size] << U(8)) | used[cell % size].astype(U)
         #: For each place, the number of the string that starts there; for each number, its bytes as an integer.
         self.ids, self.keys = ids, keys
 
@@ -74,15 +77,15 @@ class Trie:
 def framed(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each text as FIRST * ORDER + bytes + END, and the places of the strings whose last byte is of the text or its end."""
     n = len(offs) - 1
-    size = np.diff(offs)
-    start = offs[:-1] + np.arange(n) * (ORDER + 1)
+    first = offs + np.arange(n + 1)
     out = np.full(len(buf) + n * (ORDER + 1), FIRST, np.uint8)
-    row = np.repeat(np.arange(n), size)
-    out[np.arange(len(buf)) + (row + 1) * (ORDER + 1) - 1] = buf
-    out[start + ORDER + size] = END
-    first = np.zeros(n + 1, np.int64)
-    np.cumsum(size + 1, out=first[1:])
-    place = np.repeat(start - first[:-1], size + 1) + np.arange(first[-1])
+    place = np.empty(len(buf) + n, np.int32)
+    at = 0
+    for r, (i, j) in enumerate(zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)):
+        out[at + ORDER : at + ORDER + j - i] = buf[i:j]
+        out[at + ORDER + j - i] = END
+        place[i + r : j + r + 1] = np.arange(at, at + j - i + 1, dtype=np.int32)
+        at += j - i + ORDER + 1
     return place, first, out
 
 
@@ -95,18 +98,73 @@ def _strings(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 def _words(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     wh, _, _, first = W.word_hashes(W.LOWER[raw], offs, W.SPACE)
-    return wh.view(np.int64), first
+    return wh, first
 
 
-def blocks(docs: DataFrame) -> DataFrame:
-    """Rows of blocks: either texts (payload) or, with w or g, a key and its count in training texts."""
-    schema = "block long, kind int, key long, n long, payload binary"
+def _buckets(kind: int, keys: np.ndarray, n: int) -> np.ndarray:
+    """Words by hash; strings by the two bytes before the last."""
+    return (W.mix(keys if kind == 0 else (keys >> U(8)) & U(0xFFFF)) % U(n)).astype(np.int64)
+
+
+def _pack(x: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(x.tobytes())
+
+
+def _unpack(b: bytes, kind) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(b), kind)
+
+
+def _planes(x: np.ndarray) -> np.ndarray:
+    """Bytes of the first differences, least significant first: sorted keys compress well so."""
+    d = np.diff(x, prepend=U(0))
+    return np.ascontiguousarray(d.view(np.uint8).reshape(-1, 8).T)
+
+
+def _from_planes(b: bytes) -> np.ndarray:
+    d = np.ascontiguousarray(_unpack(b, np.uint8).reshape(8, -1).T).view(U).ravel()
+    return np.cumsum(d, dtype=U)
+
+
+def listing(col: pa.Array, train: np.ndarray | None = None):
+    """What a block lists: for words (0) and strings (1), sorted distinct keys and their counts in training rows.
+
+    Without ``train`` the keys alone.
+    """
+    ks: dict[int, list] = {0: [np.array([END_WORD], U)], 1: []}
+    ns: dict[int, list] = {0: [np.array([0 if train is None else train.sum()])], 1: []}
+    for i, j, raw, offs in W.chunks(col, CHUNK):
+        keys, ids, first = _strings(raw, offs)
+        wh, wfirst = _words(raw, offs)
+        u, inv = np.unique(wh, return_inverse=True)
+        ks[1].append(keys)
+        ks[0].append(u)
+        if train is not None:
+            ns[1].append(np.bincount(ids[np.repeat(train[i:j], np.diff(first))], minlength=len(keys)))
+            ns[0].append(np.bincount(inv[np.repeat(train[i:j], np.diff(wfirst))], minlength=len(u)))
+    out = {}
+    for kind in (0, 1):
+        flat = np.concatenate(ks[kind] or [np.zeros(0, U)])
+        if train is None:
+            out[kind] = (np.unique(flat), None)
+        else:
+            k, inv = np.unique(flat, return_inverse=True)
+            out[kind] = (k, np.bincount(inv, np.concatenate(ns[kind] or [np.zeros(0)]), len(k)).astype(np.int64))
+    return out
+
+
+def blocks(docs: DataFrame, n_buckets: int) -> DataFrame:
+    """Rows of blocks: kind 0 and 1, packed keys and counts of a bucket; 2, the texts; 3, cells of the order-1 table; 4, training tokens."""
 
     def run(batches):
         from pyspark import TaskContext
 
         part, nth = TaskContext.get().partitionId(), 0
         held, size = [], 0
+        names = ["block", "kind", "bucket", "key", "n", "payload"]
+
+        def rows(block, kind, bucket, key, n, payload):
+            m = len(bucket)
+            return pa.RecordBatch.from_arrays([pa.array(np.full(m, block)), pa.array(np.full(m, kind, np.int32)), pa.array(bucket, pa.int64()), pa.array(key, pa.int64()), pa.array(n, pa.int64()), pa.array(payload, pa.binary())], names=names)
 
         def flush():
             nonlocal nth, held, size
@@ -114,36 +172,31 @@ def blocks(docs: DataFrame) -> DataFrame:
             held, size = [], 0
             block = (part << 24) | nth
             nth += 1
-            col = t.column(1).combine_chunks() if t.num_rows else None
             train = ~t.column(2).combine_chunks().fill_null(True).to_numpy(zero_copy_only=False).astype(bool)
-            totals: dict[int, tuple[list, list]] = {0: ([], []), 1: ([], [])}
-            for i, j, raw, offs in W.chunks(col, 4 << 20):
-                on = train[i:j]
-                keys, ids, first = _strings(raw, offs)
-                use = np.repeat(on, np.diff(first))
-                totals[1][0].append(keys.view(np.int64))
-                totals[1][1].append(np.bincount(ids[use], minlength=len(keys)))
-                wh, wfirst = _words(raw, offs)
-                u, inv = np.unique(wh, return_inverse=True)
-                totals[0][0].append(u)
-                totals[0][1].append(np.bincount(inv[np.repeat(on, np.diff(wfirst))], minlength=len(u)))
+            found = listing(t.column(1).combine_chunks(), train)
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, t.schema) as w:
                 w.write_table(t)
-            payload = zstandard.ZstdCompressor(level=1).compress(sink.getvalue())
-            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([2], pa.int32()), pa.array([0]), pa.array([0]), pa.array([payload], pa.binary())], names=["block", "kind", "key", "n", "payload"])
-            for kind, (ks, ns) in totals.items():
-                k, inv = np.unique(np.concatenate(ks), return_inverse=True)
-                n = np.bincount(inv, np.concatenate(ns), len(k)).astype(np.int64)
-                if kind == 0:
-                    k, n = np.append(k, END_WORD), np.append(n, int(train.sum()))
-                for i in range(0, len(k), 1 << 16):
-                    m = len(k[i : i + (1 << 16)])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(m, block)), pa.array(np.full(m, kind, np.int32)), pa.array(k[i : i + m]), pa.array(n[i : i + m]), pa.nulls(m, pa.binary())], names=["block", "kind", "key", "n", "payload"])
+            yield rows(block, 2, [0], [0], [0], [zstandard.ZstdCompressor(level=1).compress(sink.getvalue())])
+            yield rows(block, 4, [0], [0], [int(found[0][1].sum())], [None])
+            keys, n = found[1]
+            low = np.bincount((keys & U(0xFFFF)).astype(np.int64), n, 1 << 16).astype(np.int64)
+            cell = np.flatnonzero(low)
+            yield rows(block, 3, np.zeros(len(cell), np.int64), cell, low[cell], [None] * len(cell))
+            for kind, (keys, n) in found.items():
+                b = _buckets(kind, keys, n_buckets)
+                o = np.argsort(b, kind="stable")
+                cut = np.searchsorted(b[o], np.arange(n_buckets + 1))
+                full = np.flatnonzero(np.diff(cut))
+                packed = []
+                for i in full.tolist():
+                    mine = o[cut[i] : cut[i + 1]]
+                    a, c = _pack(_planes(keys[mine])), _pack(n[mine].astype(np.int64))
+                    packed.append(len(a).to_bytes(4, "little") + a + c)
+                yield rows(block, kind, full, np.zeros(len(full), np.int64), cut[full + 1] - cut[full], packed)
 
         for b in batches:
-            n = 0
-            for i, j, raw, _ in W.chunks(b.column(1), BLOCK // 4):
+            for i, j, raw, _ in W.chunks(b.column(1), BLOCK // 8):
                 held.append(b.slice(i, j - i))
                 size += len(raw)
                 if size >= BLOCK:
@@ -151,12 +204,7 @@ def blocks(docs: DataFrame) -> DataFrame:
         if held:
             yield from flush()
 
-    return docs.mapInArrow(run, schema)
-
-
-def _expand(keys: np.ndarray) -> list[np.ndarray]:
-    """Bytes of each string, the first one first."""
-    return [((keys >> U(8 * (ORDER - i))) & U(255)).astype(np.int64) for i in range(ORDER + 1)]
+    return docs.mapInArrow(run, "block long, kind int, bucket long, key long, n long, payload binary")
 
 
 def log_probabilities(keys: np.ndarray, n: np.ndarray, low: np.ndarray) -> np.ndarray:
@@ -254,63 +302,80 @@ def _mask_id(mask: np.ndarray) -> int:
 
 def lm_scores(docs: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text, held_out) to the columns of op5."""
-    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.col("held_out").cast("boolean").alias("held_out"))
-    listed = materialize(blocks(docs), "lm-blocks")
-    pairs = listed.where("kind < 2").select("block", "kind", "key", "n")
-    counts = materialize(pairs.groupBy("kind", "key").agg(F.sum("n").alias("n")), "lm-counts")
-    total = counts.where("kind = 0").agg(F.sum("n"), F.count(F.when(F.col("n") > 0, 1))).head()
-    n_train, vocabulary = int(total[0] or 0), int(total[1] or 0)
-
-    strings = counts.where("kind = 1").select("key", "n")
+    n_buckets = max(parallelism(docs.sparkSession), docs.rdd.getNumPartitions())
+    listed = materialize(blocks(docs, n_buckets), "lm-blocks")
     low = np.zeros((256, 256))
-    cells = strings.where("n > 0").groupBy(F.col("key").bitwiseAND(0xFFFF).alias("k")).agg(F.sum("n").alias("n")).collect()  # 65,536 at most
-    for r in cells:
-        low[r.k >> 8, r.k & 255] = r.n
+    for r in listed.where("kind = 3").groupBy("key").agg(F.sum("n").alias("n")).collect():  # 65,536 cells at most
+        low[r.key >> 8, r.key & 255] = r.n
+    n_train = int(listed.where("kind = 4").agg(F.sum("n")).head()[0] or 0)
 
     def code(_, t: pa.Table):
-        _MASKS.clear()
-        _NUMBERS.clear()
-        keys = t["key"].to_numpy()
-        return pa.table({"kind": np.ones(len(keys), np.int32), "key": keys, "v": log_probabilities(keys.view(U), t["n"].to_numpy(), low)})
-
-    # groups by the two bytes before the last hold all contexts of order 2 and more of their strings
-    grouped = strings.withColumn("ctx", F.shiftright("key", 8).bitwiseAND(0xFFFF))
-    values = by_group(grouped, "ctx", code, "kind int, key long, v double", ["key"], parallelism(spark))
-    values = values.unionByName(counts.where("kind = 0").select("kind", "key", F.col("n").cast("double").alias("v")))
-    values = materialize(values, "lm-values")
-
-    back = pairs.join(values, ["kind", "key"]).select("block", "kind", "key", "v", F.lit(None).cast("binary").alias("payload"))
-    texts = listed.where("kind = 2").select("block", "kind", F.lit(0).cast("long").alias("key"), F.lit(0.0).alias("v"), "payload")
+        kind, block, n = t["kind"].to_numpy(), t["block"].to_numpy(), t["n"].to_numpy()
+        out_block, out_kind, out_n, out = [], [], [], []
+        for k in (0, 1):
+            mine = np.flatnonzero(kind == k)
+            if not len(mine):
+                continue
+            payload = t["payload"].take(pa.array(mine)).to_pylist()
+            keys, counts = [], []
+            for x in payload:
+                m = int.from_bytes(x[:4], "little")
+                keys.append(_from_planes(x[4 : 4 + m]))
+                counts.append(_unpack(x[4 + m :], np.int64))
+            u, inv = np.unique(np.concatenate(keys), return_inverse=True)
+            total = np.bincount(inv, np.concatenate(counts), len(u))
+            if k:
+                _MASKS.clear()
+                _NUMBERS.clear()
+                value = log_probabilities(u, total, low).astype(np.float32)
+            else:
+                value = total.astype(np.int64)
+                out_block.append(-1)  # the bucket's part of the vocabulary
+                out_kind.append(5)
+                out_n.append(int((total > 0).sum()))
+                out.append(b"")
+            at = 0
+            for b, m in zip(block[mine].tolist(), n[mine].tolist(), strict=True):
+                out_block.append(b)
+                out_kind.append(k)
+                out_n.append(m)
+                out.append(_pack(value[inv[at : at + m]]))
+                at += m
+        return pa.table({"block": pa.array(out_block, pa.int64()), "kind": pa.array(out_kind, pa.int32()), "bucket": pa.array(np.full(len(out), t["bucket"][0].as_py())), "n": pa.array(out_n, pa.int64()), "payload": pa.array(out, pa.binary())})
+
+    packed = listed.where("kind < 2").select("block", "kind", "bucket", "n", "payload")
+    values = materialize(by_group(packed, "bucket", code, "block long, kind int, bucket long, n long, payload binary", ["kind", "block"], n_buckets), "lm-values")
+    vocabulary = int(values.where("kind = 5").agg(F.sum("n")).head()[0] or 0)
     denominator = n_train + vocabulary + 1
 
     def score(_, t: pa.Table):
-        kind, key, v = t["kind"].to_numpy(), t["key"].to_numpy(), t["v"].to_numpy()
-        packed = t["payload"].filter(pa.array(kind == 2))[0].as_py()
-        docs = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(packed)).read_all().combine_chunks()
-        tables = {}
-        for k in (0, 1):
-            x = key[kind == k] if k == 0 else key[kind == k]
-            o = np.argsort(x)
-            tables[k] = (x[o], v[kind == k][o])
-        wk, wv = tables[0]
-        end = float(wv[np.searchsorted(wk, END_WORD)])
-        cost = np.log10((wv + 1) / denominator)
+        kind, payload = t["kind"].to_numpy(), t["payload"].to_pylist()
+        mine = [np.flatnonzero(kind == k) for k in (0, 1, 2)]
+        docs = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(payload[mine[2][0]])).read_all().combine_chunks()
+        col = docs.column(1).combine_chunks()
+        keys, value = {}, {}
+        for k, (x, _) in listing(col).items():
+            o = np.argsort(_buckets(k, x, n_buckets), kind="stable")  # the order of the list: by bucket, then by key
+            keys[k], value[k] = x, np.empty(len(x))
+            value[k][o] = np.concatenate([_unpack(payload[i], np.int64 if k == 0 else np.float32) for i in mine[k]])
+        end = value[0][np.searchsorted(keys[0], U(END_WORD))]
+        cost = np.log10((value[0] + 1) / denominator)
         end_cost = math.log10((end + 1) / denominator)
-        gk, gv = tables[1]
         n_tokens, n_known, base, lm = [], [], [], []
-        for _, _, raw, offs in W.chunks(docs.column(1).combine_chunks(), 4 << 20):
+        for _, _, raw, offs in W.chunks(col, CHUNK):
             wh, first = _words(raw, offs)
-            at = np.searchsorted(wk, wh)
+            at = np.searchsorted(keys[0], wh)
             n_tokens.append(np.diff(first) + 1)
-            n_known.append(_sums((wv[at] > 0).astype(float), first).astype(np.int64) + (end > 0))
+            n_known.append(_sums((value[0][at] > 0).astype(float), first).astype(np.int64) + int(end > 0))
             base.append(_sums(cost[at], first) + end_cost)
-            keys, ids, sfirst = _strings(raw, offs)
-            own = gv[np.minimum(np.searchsorted(gk, keys.view(np.int64)), len(gk) - 1)]  # strings across two texts have no value and aren't used
-            lm.append(_sums(own[ids], sfirst))
+            x, ids, sfirst = _strings(raw, offs)
+            lm.append(_sums(value[1][np.searchsorted(keys[1], x)][ids], sfirst))
         return pa.table({"doc_id": docs.column(0), "held_out": docs.column(2), "n_tokens": np.concatenate(n_tokens), "n_known": np.concatenate(n_known), "base_score": np.concatenate(base), "score": np.concatenate(lm)})
 
-    out = by_group(texts.unionByName(back), "block", score, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double", ["kind", "key"], 2 * parallelism(spark))
+    texts = listed.where("kind = 2").select("block", "kind", "bucket", "n", "payload")
+    parts = texts.unionByName(values.where("kind < 2"))
+    out = by_group(parts, "block", score, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double", ["kind", "bucket"], n_buckets)
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"), "base_score", "score")
 
 
