@@ -85,6 +85,8 @@ def fold(games: DataFrame, make: Callable[[dict], object], trials: DataFrame | N
         for x in order:
             if ratings:
                 m.update(x)
+                if hasattr(m, "last_day") and not (x.r1 and x.r2):
+                    continue  # such a game changes nothing, not even when its players last played
                 for p in sorted({*x.r1, *x.r2}):
                     mu, sigma = m._get(p) if hasattr(m, "_get") else (m.expose(p), None)
                     out.append((trial, x.game_id, p, m.expose(p), mu, sigma))

@@ -67,6 +67,38 @@ def resume(games: DataFrame, snapshot: DataFrame) -> DataFrame:
     return games if last is None else games.where(F.col("ts") > F.lit(last))
 
 
+def snapshot(history: DataFrame) -> DataFrame:
+    """(player, ts, mu, sigma): the last state of each player, in full precision. Elo's rating stands in mu."""
+    last = history.groupBy("player").agg(F.max_by(F.struct("ts", "rating", "mu", "sigma"), F.struct("ts", "game_id")).alias("s"))
+    return last.select("player", "s.ts", F.coalesce("s.mu", "s.rating").alias("mu"), "s.sigma")
+
+
+def resume_history(games: DataFrame, state: DataFrame, model: str, params: dict | None = None) -> DataFrame:
+    """(ts, game_id, player, rating, mu, sigma) of the games after the snapshot ``state``, going on from it."""
+    ship(games.sparkSession)
+    new = resume(games, state)
+    g = new.join(player_leagues(new), "game_id")
+    who = g.select("league", F.explode(F.concat("r1", "r2")).alias("player")).distinct()
+    known = who.join(state, "player").select(F.col("league").alias("own_league"), "player", "mu", "sigma", (F.unix_timestamp("ts") / 86400.0).alias("day"))
+
+    def run(pdf: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
+        m = make(model, params)
+        for r in old.itertuples():
+            m.ratings[r.player] = r.mu if model == "elo" else (r.mu, r.sigma)
+            if hasattr(m, "last_day"):
+                m.last_day[r.player] = r.day
+        out = []
+        for x in as_games(pdf) if len(pdf) else []:
+            m.update(x)
+            for p in sorted({*x.r1, *x.r2}):
+                mu, sigma = m._get(p) if hasattr(m, "_get") else (m.expose(p), None)
+                out.append((x.game_id, p, m.expose(p), mu, sigma))
+        return pd.DataFrame(out, columns=["game_id", "player", "rating", "mu", "sigma"])
+
+    h = g.groupBy("league").cogroup(known.groupBy("own_league")).applyInPandas(run, "game_id long, player long, rating double, mu double, sigma double")
+    return h.join(new.select("game_id", "ts"), "game_id")
+
+
 def run_model(games: DataFrame, model: str, params: dict | None = None) -> DataFrame:
     """The history of any model, long: sequential models by fold, batch models by one fit of all games at the last time."""
     if model in SEQUENTIAL:
