@@ -226,6 +226,32 @@ def asof_lookup(spark, sf_dir):
     return joins.asof(g.select(F.col("team2").alias("team"), "ts", "game_id"), marks, "team", "ts", "last_score").select("game_id", "last_score")
 
 
+@query("""SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN ' ' ELSE '' END || CASE WHEN c_custkey % 2 = 0 THEN 'player ' || c_custkey ELSE c_name END || '  ' AS player FROM customer""")
+def cell_replacements(spark, sf_dir):
+    """Names replaced, the white space around them kept."""
+    (c,) = _tables(spark, sf_dir, "customer")
+    cells = c.select(F.col("c_custkey").alias("id"), F.concat(F.when(F.col("c_custkey") % 3 == 0, " ").otherwise(""), "c_name", F.lit("  ")).alias("player"))
+    al = c.where("c_custkey % 2 = 0").select(F.col("c_name").alias("alias"), F.concat(F.lit("player "), F.col("c_custkey").cast("string")).alias("preferred"), F.lit(0).alias("ordinal"))
+    return joins.replace_cells(cells, al).select("id", "player")
+
+
+@query(f"""WITH {CTE} SELECT game_id, round(epoch(ts) / 86400, 6) AS days, round(greatest(epoch((SELECT max(ts) FROM games)) - epoch(ts), 0) / 604800, 6) AS weeks FROM games""")
+def game_ages(spark, sf_dir):
+    """F15, F16, B2's reference time"""
+    g = _games(spark, sf_dir)
+    ref = g.agg(F.max("ts").alias("ref"))
+    return g.crossJoin(F.broadcast(ref)).select("game_id", F.round(times.days(F.col("ts")), 6).alias("days"), F.round(times.weeks_ago(F.col("ts"), F.col("ref")), 6).alias("weeks"))
+
+
+@query(f"""WITH {CTE}, old AS (SELECT * FROM games WHERE game_id % 40 = 0), new AS (SELECT * FROM games WHERE game_id % 60 = 0)
+SELECT game_id, epoch(ts)::BIGINT AS ts FROM old UNION ALL SELECT game_id, epoch(ts)::BIGINT FROM new n WHERE NOT EXISTS (SELECT 1 FROM old o WHERE o.ts = n.ts AND (o.team1 = n.team1 AND o.team2 = n.team2 OR o.team1 = n.team2 AND o.team2 = n.team1))""")
+def merged_games(spark, sf_dir):
+    """Additions that aren't there yet, appended and put in order."""
+    g = _games(spark, sf_dir)
+    old = g.where("game_id % 40 = 0")
+    return sinks.merged_games(old, joins.new_games(g.where("game_id % 60 = 0"), old)).select("game_id", _epoch("ts"))
+
+
 @query(f"""WITH {CTE} SELECT game_id, team1, team2 FROM games QUALIFY row_number() OVER (PARTITION BY ts ORDER BY game_id DESC) = 1""")
 def last_per_time(spark, sf_dir):
     """W1"""
