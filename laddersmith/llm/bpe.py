@@ -167,6 +167,7 @@ def encode(docs: DataFrame, path: str, pattern: str, ids: bool = False) -> DataF
                     seqs.append([int(i) for i in x.split(",")] if x else [])
             cols = [b.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(h1), pa.array(h2)] + ([pa.array(seqs, pa.list_(pa.int64()))] if ids else [])
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * ids)
+        c.known.clear()  # workers live on; what they keep shouldn't stand beside the next stage
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return docs.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<long>" * ids)

@@ -152,6 +152,7 @@ def token_counts(docs: DataFrame, path: str) -> DataFrame:
                     held, n = [], 0
             count += c.counts(held)
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(size, pa.int64()), pa.array(count, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
+        c.known.clear()  # workers live on; what they keep shouldn't stand beside the next stage
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return docs.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long")
