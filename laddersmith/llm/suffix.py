@@ -19,13 +19,10 @@ BUCKETS = 2048
 def _types(t: np.ndarray) -> np.ndarray:
     """True where the suffix is S: smaller than its right neighbour. The last symbol is the least and unique."""
     n = len(t)
-    change = np.flatnonzero(t[:-1] != t[1:])  # i with t[i] != t[i + 1]
-    s = np.zeros(n, bool)
-    s[-1] = True
+    s = np.ones(n, bool)
     if n > 1:
-        up = t[change] < t[change + 1]
-        nxt = np.searchsorted(change, np.arange(n - 1))
-        s[:-1] = up[nxt]
+        change = np.flatnonzero(t[:-1] != t[1:])  # the ends of runs of one symbol
+        s[: n - 1] = np.repeat(t[change] < t[change + 1], np.diff(change, prepend=-1))
     return s
 
 
@@ -120,6 +117,7 @@ def suffix_array(t: np.ndarray, size: int) -> np.ndarray:
         return np.arange(n)[::-1].copy()
     if size > BUCKETS:
         return _doubling(t)
+    t = t.astype(np.uint16)  # short symbols are dealt by radix
     s = _types(t)
     is_lms = np.zeros(n, bool)
     is_lms[1:] = s[1:] & ~s[:-1]
@@ -150,10 +148,11 @@ def suffix_array(t: np.ndarray, size: int) -> np.ndarray:
     return _induce(t, s, lms[suffix_array(reduced, int(name[-1]) + 1)], size)
 
 
-def permuted_prefixes(data: np.ndarray, end: np.ndarray, sa: np.ndarray, cap: int) -> tuple[np.ndarray, np.ndarray]:
+def permuted_prefixes(data: np.ndarray, end: np.ndarray, sa: np.ndarray, cap: int, least: int = 1) -> tuple[np.ndarray, np.ndarray]:
     """(places, prefixes): for each place p in text order its predecessor in the array, and the length that both share.
 
-    ``data``: bytes; ``end``: for each place, where its string ends. Lengths stop at ``cap``.
+    ``data``: bytes; ``end``: for each place, where its string ends. Lengths stop at ``cap``; they are 0 where one of the two has
+    fewer than ``least`` bytes left.
     """
     n = len(data)
     phi = np.full(n, -1, np.int64)
@@ -164,6 +163,7 @@ def permuted_prefixes(data: np.ndarray, end: np.ndarray, sa: np.ndarray, cap: in
     p = np.flatnonzero(phi >= 0)
     q = phi[p]
     most = np.minimum(np.minimum(end[p] - p, end[q] - q), cap)
+    p, q, most = p[most >= least], q[most >= least], most[most >= least]
     at = np.zeros(len(p), np.int64)
     live = np.flatnonzero(most > 0)
     eight = np.ascontiguousarray(eight).view(np.uint64).ravel()
@@ -192,10 +192,11 @@ def repeated_starts(strings: list[bytes], least: int) -> list[np.ndarray]:
     t = data.astype(np.int64) + 2
     t[start[1:] - 1] = 1
     t = np.append(t, 0)
-    used, t = np.unique(t, return_inverse=True)
-    sa = suffix_array(t, len(used))[1:]  # without the end mark
+    used = np.bincount(t, minlength=258) > 0
+    t = (np.cumsum(used) - 1)[t]
+    sa = suffix_array(t, int(used.sum()))[1:]  # without the end mark
     end = np.repeat(start[1:] - 1, sizes + 1)
-    phi, common = permuted_prefixes(data, end, sa, least)
+    phi, common = permuted_prefixes(data, end, sa, least, least)
     hit = np.zeros(len(data), bool)
     p = np.flatnonzero(common >= least)
     hit[p] = True
