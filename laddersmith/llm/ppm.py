@@ -130,26 +130,30 @@ def listing(col: pa.Array, train: np.ndarray | None = None):
 
     Without ``train`` the keys alone.
     """
-    ks: dict[int, list] = {0: [np.array([END_WORD], U)], 1: []}
-    ns: dict[int, list] = {0: [np.array([0 if train is None else train.sum()])], 1: []}
+    held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {0: [(np.array([END_WORD], U), np.array([0 if train is None else train.sum()]))], 1: []}
+
+    def merged(parts):
+        if not parts:
+            return np.zeros(0, U), np.zeros(0, np.int64)
+        if train is None:
+            k = np.unique(np.concatenate([k for k, _ in parts]))
+            return k, np.zeros(0, np.int64)
+        k, inv = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+        return k, np.bincount(inv, np.concatenate([n for _, n in parts]), len(k)).astype(np.int64)
+
     for i, j, raw, offs in W.chunks(col, CHUNK):
         keys, ids, first = _strings(raw, offs)
         wh, wfirst = _words(raw, offs)
         u, inv = np.unique(wh, return_inverse=True)
-        ks[1].append(keys)
-        ks[0].append(u)
+        n1 = n0 = np.zeros(0, np.int64)
         if train is not None:
-            ns[1].append(np.bincount(ids[np.repeat(train[i:j], np.diff(first))], minlength=len(keys)))
-            ns[0].append(np.bincount(inv[np.repeat(train[i:j], np.diff(wfirst))], minlength=len(u)))
-    out = {}
-    for kind in (0, 1):
-        flat = np.concatenate(ks[kind] or [np.zeros(0, U)])
-        if train is None:
-            out[kind] = (np.unique(flat), None)
-        else:
-            k, inv = np.unique(flat, return_inverse=True)
-            out[kind] = (k, np.bincount(inv, np.concatenate(ns[kind] or [np.zeros(0)]), len(k)).astype(np.int64))
-    return out
+            n1 = np.bincount(ids[np.repeat(train[i:j], np.diff(first))], minlength=len(keys))
+            n0 = np.bincount(inv[np.repeat(train[i:j], np.diff(wfirst))], minlength=len(u))
+        for kind, part in ((0, (u, n0)), (1, (keys, n1))):
+            held[kind].append(part)
+            if len(held[kind]) == 5:
+                held[kind] = [merged(held[kind])]
+    return {kind: merged(parts) for kind, parts in held.items()}
 
 
 def blocks(docs: DataFrame, n_buckets: int) -> DataFrame:
@@ -375,7 +379,7 @@ def lm_scores(docs: DataFrame) -> DataFrame:
 
     texts = listed.where("kind = 2").select("block", "kind", "bucket", "n", "payload")
     parts = texts.unionByName(values.where("kind < 2"))
-    out = by_group(parts, "block", score, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double", ["kind", "bucket"], n_buckets)
+    out = by_group(parts, "block", score, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double", ["kind", "bucket"], 4 * n_buckets)  # few blocks meet in a task
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"), "base_score", "score")
 
 
