@@ -57,6 +57,11 @@ def _full(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.prepare(joins.with_rosters(_games(spark, sf_dir), fixtures.rosters(spark, sf_dir)))
 
 
+def _whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """_full() of all orders, for the queries without SQL."""
+    return folds.prepare(joins.with_rosters(fixtures.all_games(spark, sf_dir), fixtures.rosters(spark, sf_dir)))
+
+
 def _tables(spark: SparkSession, sf_dir: str, *names_: str) -> list[DataFrame]:
     return [spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in names_]
 
@@ -437,7 +442,7 @@ def elo_new_team_metrics(spark, sf_dir):
 
 def _ratings(model: str):
     def f(spark, sf_dir):
-        return history.run_model(_full(spark, sf_dir), model)
+        return history.run_model(_whole(spark, sf_dir), model)
 
     f.__name__, f.__doc__ = f"ratings_{model}", f"The rating history of {model}."
     return query()(f)
@@ -450,20 +455,20 @@ for _m in MODELS:
 @query()
 def ttt_curves(spark, sf_dir):
     """M4: learning curves after forward and backward sweeps."""
-    return history.curves(_full(spark, sf_dir))
+    return history.curves(_whole(spark, sf_dir))
 
 
 @query()
 def trueskill_chrono_metrics(spark, sf_dir):
     """E1 over M2"""
-    g = _full(spark, sf_dir)
+    g = _whole(spark, sf_dir)
     return evaluation.chrono_metrics(evaluation.chrono_predictions(g, "trueskill"), g)
 
 
 @query()
 def bt_mov_chrono_metrics(spark, sf_dir):
     """Batch fits over growing prefixes, one for each tenth of the games."""
-    g = _full(spark, sf_dir)
+    g = _whole(spark, sf_dir)
     return evaluation.chrono_metrics(evaluation.chrono_predictions(g, "bt_mov", refit_every=max(1, g.count() // 10)), g)
 
 
@@ -471,7 +476,7 @@ def bt_mov_chrono_metrics(spark, sf_dir):
 def elo_search(spark, sf_dir):
     """A seeded search, trials side by side."""
     spec = {"k": {"type": "float", "low": 50.0, "high": 500.0}, "tournament_factor": {"type": "float", "low": 1.0, "high": 2.0}}
-    return evaluation.best_trial(evaluation.search(_full(spark, sf_dir), "elo", spec, 8))
+    return evaluation.best_trial(evaluation.search(_whole(spark, sf_dir), "elo", spec, 8))
 
 
 @query()
@@ -492,20 +497,20 @@ def alias_canonical(spark, sf_dir):
 @query()
 def stint_coefficients(spark, sf_dir):
     """B6"""
-    return stint.fit(_full(spark, sf_dir))[0]
+    return stint.fit(_whole(spark, sf_dir))[0]
 
 
 @query()
 def export_document(spark, sf_dir):
     """K7, E12, S16-S18"""
-    g, r = _games(spark, sf_dir), fixtures.rosters(spark, sf_dir)
-    h = history.sequential_history(_full(spark, sf_dir), "elo")
+    g, r = fixtures.all_games(spark, sf_dir), fixtures.rosters(spark, sf_dir)
+    h = history.sequential_history(_whole(spark, sf_dir), "elo")
     return export.document(h, g, r, "elo")
 
 
 @query()
 def wide_rating_history(spark, sf_dir):
     """K1: the wide form for the named players with the lowest ids."""
-    h = history.sequential_history(_full(spark, sf_dir), "elo")
+    h = history.sequential_history(_whole(spark, sf_dir), "elo")
     who = [r.player for r in h.select("player").distinct().orderBy("player").limit(10).collect()]
     return sinks.wide_history(h.where(F.col("player").isin(who)), who)

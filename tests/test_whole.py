@@ -1,0 +1,16 @@
+"""Queries that do the whole job, on the small tables."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from laddersmith import catalog, fixtures
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_queries_without_sql_read_every_order(spark):
+    orders = spark.read.parquet(f"{SF}/orders.parquet")
+    assert fixtures.all_games(spark, SF).count() == orders.count() == 1500
+    li = spark.read.parquet(f"{SF}/lineitem.parquet").where("l_returnflag in ('A', 'R')").groupBy("l_orderkey").agg(F.sum(F.expr("CASE l_returnflag WHEN 'A' THEN 1 ELSE -1 END")).alias("d"))
+    decided = orders.join(li, F.col("o_orderkey") == F.col("l_orderkey")).where("d <> 0").count()
+    assert catalog.queries()["trueskill_chrono_metrics"](spark, SF).head().n == decided
