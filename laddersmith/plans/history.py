@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from laddersmith.operators.folds import as_games, fold
 from laddersmith.operators.graph import player_leagues
+from laddersmith.operators.order import numbered
 from laddersmith.plans.registry import SEQUENTIAL, make
 from laddersmith.session import ship
 
@@ -55,6 +56,39 @@ def batch_ratings(games: DataFrame, model: str, params: dict | None = None) -> D
     return g.groupBy("league").applyInPandas(run, "player long, theta double, rating double")
 
 
+def batch_history(games: DataFrame, model: str, params: dict | None = None, block: int = 32) -> DataFrame:
+    """(ts, game_id, player, theta, rating): every known player after a fit of each prefix of the games; of games at one time the last counts.
+
+    Leagues share no player, so each fits alone; models whose scale or reference time is common to all fit all together. Each ``block`` of
+    games is a task that holds the games before it, and its fits start from one another.
+    """
+    ship(games.sparkSession)
+    if model in ("bt_normal", "bt_mov_time_decay"):
+        g = games.withColumn("league", F.lit(0).cast("long"))
+    else:
+        g = games.join(player_leagues(games), "game_id")
+    g = numbered(g, F.col("league").asc(), F.col("ts").asc_nulls_last(), F.col("game_id").asc())
+    last = F.row_number().over(Window.partitionBy("league", "ts").orderBy(F.desc("game_id"))) == 1
+    g = g.withColumn("fit", last).withColumn("block", F.floor((F.col("pos") - 1) / block))
+    blocks = g.select(F.col("league").alias("_l"), F.col("block").alias("to")).distinct()
+    rows = blocks.join(g, (F.col("league") == F.col("_l")) & (F.col("block") <= F.col("to"))).drop("_l")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        m = make(model, params)
+        facts = {r.game_id: r for r in pdf[["game_id", "team1", "team2", "fit", "block", "to"]].itertuples()}
+        out = []
+        for x in as_games(pdf):
+            r = facts[x.game_id]
+            m.update(x, (r.team1, r.team2)) if model == "bt_uncert" else m.update(x)
+            if r.fit and r.block == r.to:
+                m.converge()
+                out += [(x.game_id, p, t, m.expose(p)) for p, t in m.theta.items()]
+        return pd.DataFrame(out, columns=["game_id", "player", "theta", "rating"])
+
+    h = rows.groupBy("league", "to").applyInPandas(run, "game_id long, player long, theta double, rating double")
+    return h.join(games.select("game_id", "ts"), "game_id")
+
+
 def seed_rows(history: DataFrame, players: DataFrame, default: float) -> DataFrame:
     """A first row for every player, 20 minutes before the first game."""
     t = history.agg((F.min("ts") - F.expr("INTERVAL 20 MINUTES")).alias("ts"))
@@ -100,8 +134,6 @@ def resume_history(games: DataFrame, state: DataFrame, model: str, params: dict
 
 
 def run_model(games: DataFrame, model: str, params: dict | None = None) -> DataFrame:
-    """The history of any model, long: sequential models by fold, batch models by one fit of all games at the last time."""
-    if model in SEQUENTIAL:
-        return sequential_history(games, model, params).select("ts", "player", "rating")
-    last = games.agg(F.max("ts").alias("ts"))
-    return batch_ratings(games, model, params).crossJoin(F.broadcast(last)).select("ts", "player", "rating")
+    """The history of any model, long: sequential models by fold, batch models by a fit after each game."""
+    h = sequential_history if model in SEQUENTIAL else batch_history
+    return h(games, model, params).select("ts", "player", "rating")

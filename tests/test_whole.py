@@ -4,6 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from laddersmith import catalog, fixtures
+from laddersmith.operators import folds
+from laddersmith.plans import history
+from laddersmith.plans.registry import make
 
 SF = "/root/testdata/sf0.001"
 
@@ -14,3 +17,24 @@ def test_queries_without_sql_read_every_order(spark):
     li = spark.read.parquet(f"{SF}/lineitem.parquet").where("l_returnflag in ('A', 'R')").groupBy("l_orderkey").agg(F.sum(F.expr("CASE l_returnflag WHEN 'A' THEN 1 ELSE -1 END")).alias("d"))
     decided = orders.join(li, F.col("o_orderkey") == F.col("l_orderkey")).where("d <> 0").count()
     assert catalog.queries()["trueskill_chrono_metrics"](spark, SF).head().n == decided
+
+
+@pytest.mark.parametrize("model", ["bt_mov", "bt_mov_time_decay", "bt_vet", "bt_uncert", "bt_normal"])
+def test_batch_histories_fit_every_prefix(spark, model):
+    g = catalog._full(spark, SF).cache()
+    got = {(r.ts, r.player): r.rating for r in history.run_model(g, model).collect()}
+    m, want = None, {}
+    for n, x in enumerate(games := folds.as_games(g.toPandas()), 1):
+        if n not in (10, 33, 50, len(games)):  # fits from nothing, on both sides of blocks' edges
+            continue
+        m = make(model)
+        names = {r.game_id: (r.team1, r.team2) for r in g.select("game_id", "team1", "team2").collect()}
+        for y in games[:n]:
+            m.update(y, names[y.game_id]) if model == "bt_uncert" else m.update(y)
+        m.converge()
+        ts = {r.game_id: r.ts for r in g.select("game_id", "ts").collect()}[x.game_id]
+        own = {p for p in (*x.r1, *x.r2)}
+        want |= {(ts, p): m.expose(p) for p in own}
+    assert want and len({ts for ts, _ in got}) > 1
+    for k, v in want.items():
+        assert got[k] == pytest.approx(v, abs=1e-3), k
