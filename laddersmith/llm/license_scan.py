@@ -1,9 +1,9 @@
 """Licence scans with a positional rare-token index (operator 8).
 
 Base: places where the words of a fixed phrase stand consecutively. Method: the templates' words
-are counted over all documents; a file's rarest licence words (highest IDF) are looked up in the
-templates' postings, each hit votes for a template and the relative position of file and template,
-and the best alignments are verified: the template's mandatory phrases must stand in the file at that position (a few words of
+are counted over all documents; each template is looked up by the rarest word (highest IDF) of its mandatory phrases,
+without which it can't stand. Each place where that phrase stands votes for the relative positions of file and template that
+the slack allows, and all of them are verified: the template's mandatory phrases must stand in the file at that position (a few words of
 slack), and enough of the template's words must line up.
 
 The index holds the templates' few hundred words, so what is broadcast has a fixed bound.
@@ -57,8 +57,8 @@ TEMPLATES = [
     ("cc-by-nd", "licensed under cc by nd 4 0", ["under cc by nd"]),
 ]
 
-#: Rarest words of a file that are looked up, hits of each, share of a template that must line up, slack of its phrases.
-RAREST, LEAST_SHARE, SLACK = 12, 0.6, 3
+#: Share of a template that must line up, slack of its phrases.
+LEAST_SHARE, SLACK = 0.6, 3
 
 
 def _hash(words: list[str]) -> np.ndarray:
@@ -82,12 +82,14 @@ class Index:
         self.maybe[(self.hash & U(0xFFFF)).astype(np.int64)] = True
         self.base = [([number[w] for w in p.split()], label) for p, label in BASE]
         self.templates = [(label, [number[w] for w in t.split()], [[number[w] for w in m.split()] for m in ms]) for label, t, ms in TEMPLATES]
-        self.where: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for n, (_, t, _) in enumerate(self.templates):
-            for p, w in enumerate(t):
-                self.where[w].append((n, p))
         self.at = [[next(i for i in range(len(t) - len(m) + 1) if t[i : i + len(m)] == m) for m in ms] for _, t, ms in self.templates]
         self.idf = np.array([(idf or {}).get(w, 0.0) for w in self.words])
+        # the rarest word of each template's mandatory phrases: (template, phrase, the word's place in it, the phrase's in the template)
+        self.where: dict[int, list[tuple[int, list[int], int, int]]] = defaultdict(list)
+        for n, (_, _, ms) in enumerate(self.templates):
+            w, i = max(((w, i) for i, m in enumerate(ms) for w in m), key=lambda y: self.idf[y[0]])
+            self.where[w].append((n, ms[i], ms[i].index(w), self.at[n][i]))
+        self.rarest = sorted(self.where)
 
     def numbers(self, wh: np.ndarray) -> np.ndarray:
         """The licence word that each word is, or -1."""
@@ -100,15 +102,14 @@ class Index:
 
     def scan(self, x: np.ndarray) -> tuple[set[str], float]:
         """Labels that the templates give a file (its licence words by place), and the best share that lines up."""
-        place = np.flatnonzero(x >= 0)
-        have = np.unique(x[place])
-        rare = have[np.lexsort((have, -self.idf[have]))][:RAREST]
-        votes: dict[tuple[int, int], float] = defaultdict(float)
-        for p in place[np.isin(x[place], rare)].tolist():
-            for n, q in self.where.get(int(x[p]), ()):
-                votes[n, p - q] += self.idf[x[p]] + 1e-9
+        votes: set[tuple[int, int]] = set()
+        for p in np.flatnonzero(np.isin(x, self.rarest)).tolist():
+            for n, m, k, q in self.where[int(x[p])]:
+                s = p - k
+                if s >= 0 and x[s : s + len(m)].tolist() == m:
+                    votes |= {(n, s - q + d) for d in range(-SLACK, SLACK + 1)}
         labels, best = set(), 0.0
-        for n, off in votes:
+        for n, off in sorted(votes):
             label, t, ms = self.templates[n]
             ok = True
             for m, q in zip(ms, self.at[n], strict=True):
@@ -150,9 +151,8 @@ def license_scan(docs: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text) to the columns of op8."""
     df, n_docs = document_frequencies(docs)
     index = Index({w: math.log((n_docs + 1) / (c + 1)) for w, c in df.items()})
-    keys = [i for _, t, ms in index.templates for i in [max((w for m in ms for w in m), key=lambda w: index.idf[w])]]
     needed = np.zeros(len(index.words), bool)
-    needed[keys] = True  # a template's mandatory phrases can't stand without their rarest word
+    needed[index.rarest] = True  # a template's mandatory phrases can't stand without their rarest word
 
     def run(batches):
         for b in batches:
