@@ -2,8 +2,8 @@
 
 Every DOM node gets its characters per tag, adjusted for links (Sun, Song and Liao, 2011):
 C / T * log_b(C / LC * T / LT) with b = ln(C / (C - LC) * LC + LC_body / C_body * C + e). The node whose children's densities sum
-highest is the seed; the least density on its path to the body is the threshold, and of the nodes
-on the path that reach the threshold the one with the greatest sum is the content. Elements that hold no article text by
+highest is the seed; the least density on its path to the body is the threshold, and the content is, of each node
+of the page that reaches the threshold, the subtree with the greatest sum. Elements that hold no article text by
 their tag, role or class (menus, adverts, notices, comments and so on) are no part of the tree.
 
 Defined results: null and empty pages, and pages without text, give an empty string and 0; repeated rows are
@@ -42,7 +42,7 @@ _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "kids", "parent", "drop", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "kids", "parent", "drop", "chars", "tags", "link_chars", "link_tags", "density", "total", "most")
 
     def __init__(self, tag: str, parent: Node | None, drop: bool):
         self.tag, self.parent, self.drop = tag, parent, drop
@@ -165,45 +165,61 @@ def _measure(root: Node) -> None:
         else:
             base = math.log(c / max(c - lc, 1) * lc + share * c + math.e)
             x.density = c / t * max(0.0, math.log(max(c / max(lc, 1) * t / max(lt, 1), 1.0)) / math.log(base) if base > 1 else 1.0)
-        x.total = sum(k.density for k in x.kids if not isinstance(k, str) and not k.drop)
+        kids = [k for k in x.kids if not isinstance(k, str) and not k.drop]
+        x.total = sum(k.density for k in kids) if kids else x.density
+        x.most = max(kids, key=lambda k: k.most.total).most if kids else x
+        if x.total >= x.most.total:
+            x.most = x
 
 
-def content(root: Node) -> Node:
-    """The subtree with the article."""
+def content(root: Node) -> list[Node]:
+    """The subtrees with the article, in page order."""
     _measure(root)
-    best, todo = root, [root]
-    while todo:
-        x = todo.pop()
-        if x.total > best.total:
-            best = x
-        todo += [k for k in x.kids if not isinstance(k, str) and not k.drop]
-    # an element that says so outweighs a wrapper around it or a part of it
-    path, x = [], best
-    while x is not None:
-        path.append(x)
-        x = x.parent
+    best = root.most
     if best.chars == 0:
-        return root
-    for x in path:
-        if x.tag == "article" or x.tag == "main":
-            return x
-    marked = [x for x in _walk(best) if x.tag in ("article", "main")]
-    if marked:
-        top = max(marked, key=lambda x: x.chars)
+        return [root]
+    path = list(_up(best))
+    threshold = min((x.density for x in path if x.tag != "html"), default=0.0)
+    # a link or another inline part is never content without its block
+    most = [next(y for y in _up(x.most) if y.tag not in _INLINE) for x in _walk(root) if x.chars and x.tag not in _INLINE and x.density >= threshold]
+    most = {id(x): x for x in most}
+    # an element that says so outweighs a wrapper around it or a part of it
+    marked = {id(x): next((y for y in _up(x) if y.tag in ("article", "main")), None) for x in (best, *most.values())}
+    found = [x for x in marked.values() if x is not None]
+    if marked[id(best)] is not None:
+        return _outer(root, found)
+    inner = [x for x in _walk(best) if x.tag in ("article", "main")]
+    if inner:
+        top = max(inner, key=lambda x: x.chars)
         if 2 * top.chars >= best.chars:
-            return top
-    inner = [x for x in path if x.tag != "html"]
-    threshold = min((x.density for x in inner), default=0.0)
+            return _outer(root, [top, *found, *(x for x in inner if x.density >= threshold)])
     # a seed that is one block or a part of one grows to the container with its neighbours
     grown = best
     for x in path[1:]:
-        if x.tag in ("html",) or x.density < threshold:
-            break
-        if grown.tag in _INLINE or grown.tag in ("p", "li", "ul", "ol", "blockquote", "table", "tbody", "tr", "td", "pre", "dl") or x.tag == "body" and 2 * grown.chars < x.chars:
+        if x.tag != "html" and (grown.tag in _INLINE or grown.tag in ("p", "li", "ul", "ol", "blockquote", "table", "tbody", "tr", "td", "pre", "dl") or x.tag == "body" and 2 * grown.chars < x.chars):
             grown = x
         else:
             break
-    return grown
+    return _outer(root, [grown, *most.values()])
+
+
+def _up(node: Node | None):
+    while node is not None:
+        yield node
+        node = node.parent
+
+
+def _outer(root: Node, nodes: list[Node]) -> list[Node]:
+    """Those that lie in no other one, in page order."""
+    ids = {id(x) for x in nodes}
+    out, todo = [], [root]
+    while todo:
+        x = todo.pop()
+        if id(x) in ids:
+            out.append(x)
+        else:
+            todo += [k for k in reversed(x.kids) if not isinstance(k, str) and not k.drop]
+    return out
 
 
 def _walk(node: Node):
@@ -214,7 +230,7 @@ def _walk(node: Node):
         todo += [k for k in reversed(x.kids) if not isinstance(k, str) and not k.drop]
 
 
-def text_of(node: Node) -> str:
+def text_of(nodes: list[Node]) -> str:
     """Blocks in page order, joined by one space."""
     blocks: list[str] = []
     line: list[str] = []
@@ -226,7 +242,7 @@ def text_of(node: Node) -> str:
                 blocks.append(s)
             line.clear()
 
-    todo: list = [node]
+    todo: list = [y for x in reversed(nodes) for y in (None, x)]
     while todo:
         x = todo.pop()
         if isinstance(x, str):

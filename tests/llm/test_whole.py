@@ -1,6 +1,9 @@
 """Operators that do the whole job where they once stopped short."""
 
-from laddersmith.llm import license_scan
+import numpy as np
+import pytest
+
+from laddersmith.llm import html_text, license_scan
 
 
 def test_every_notice_of_a_long_list_is_found(spark):
@@ -18,8 +21,23 @@ def test_a_notice_with_an_insertion_keeps_its_best_alignment():
     t = license_scan.TEMPLATES[0][1].split()
     at = t.index("without")
     number = {w: i for i, w in enumerate(x.words)}
-    import numpy as np
-
     file = np.array([number.get(w, -1) for w in [*t[:at], "any", "such", *t[at:]]])
     labels, share = x.scan(file)
     assert labels == {"mit"} and share >= at / len(t)
+
+
+TEXT = [f"{n} paragraph of the text, " + "with many words and some commas, " * 12 for n in "one two three four five six".split()]
+SECTIONS = "".join("<section>" + "".join(f"<p>{n} {x}</p>" for x in TEXT[:5]) + "</section>" for n in ("first", "second", "third"))
+
+
+@pytest.mark.parametrize("page", ["<body><div class=content>%s</div></body>", "<body><div id=top><a href=1>one</a><a href=2>two</a></div><div class=content><h2>T</h2>%s</div></body>"])
+def test_pages_without_article_keep_all_sections(page):
+    got = html_text.extract(page % SECTIONS)
+    assert all(f"{n} {x.strip()}" in got for n in ("first", "second", "third") for x in TEXT[:5])
+    assert "onetwo" not in got
+
+
+def test_every_article_of_a_page_is_kept():
+    page = "<body><div id=list>" + "".join(f"<article><h2>T{n}</h2><p>{n} {TEXT[0]}</p><p>{n} {TEXT[1]}</p></article>" for n in (1, 2, 3)) + "</div><ul><li><a href=1>x</a></ul></body>"
+    got = html_text.extract(page)
+    assert all(f"{n} {x.strip()}" in got for n in (1, 2, 3) for x in TEXT[:2])
