@@ -1,5 +1,7 @@
 """Queries that do the whole job, on the small tables."""
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -38,3 +40,16 @@ def test_batch_histories_fit_every_prefix(spark, model):
     assert want and len({ts for ts, _ in got}) > 1
     for k, v in want.items():
         assert got[k] == pytest.approx(v, abs=1e-3), k
+
+
+def test_batch_back_test_fits_before_every_game(spark, monkeypatch):
+    monkeypatch.setattr(catalog, "_whole", catalog._full)
+    terms = []
+    m = make("bt_mov")
+    for x in folds.as_games(catalog._full(spark, SF).toPandas()):
+        p = min(max(m.predict(x), 1e-12), 1 - 1e-12)
+        if x.s1 != x.s2:
+            terms.append(-math.log(p if x.s1 > x.s2 else 1 - p))
+        m.update(x)
+    got = catalog.queries()["bt_mov_chrono_metrics"](spark, SF).head()
+    assert got.n == len(terms) and got.nll == pytest.approx(sum(terms) / len(terms), abs=1e-6)
