@@ -53,3 +53,13 @@ def test_batch_back_test_fits_before_every_game(spark, monkeypatch):
         m.update(x)
     got = catalog.queries()["bt_mov_chrono_metrics"](spark, SF).head()
     assert got.n == len(terms) and got.nll == pytest.approx(sum(terms) / len(terms), abs=1e-6)
+
+
+def test_wide_history_has_every_player_and_time(spark, monkeypatch):
+    monkeypatch.setattr(catalog, "_whole", catalog._full)
+    h = history.sequential_history(catalog._full(spark, SF), "elo").cache()
+    got = catalog.queries()["wide_rating_history"](spark, SF)
+    assert got.columns == ["Time", *[str(r.player) for r in h.select("player").distinct().orderBy("player").collect()]]
+    rows = got.collect()
+    assert len(rows) == h.select("ts").distinct().count()
+    assert sum(v is not None for r in rows for v in r[1:]) == h.count()
