@@ -13,21 +13,22 @@ def candidates(counts: DataFrame, threshold: float = 0.72, blocked: bool = True)
     """Pairs of names that may be one player: (a < b, score), with their counts.
 
     Equal keys score 1; equal last names 0.7 + 0.3 * similarity of the rest; else a similarity above 0.85, or 0.8 if one contains the other.
-    ``blocked`` compares names that share a last name, a word or a three-letter beginning of one; without it all pairs are compared, which
-    is for short lists only.
+    ``blocked`` measures only pairs that can score: with equal keys or last names, one in the other, or few enough letters apart. A similarity
+    above 0.85 leaves less than 0.15 of both lengths together unmatched, and that many insertions and deletions bound the Levenshtein distance.
     """
     n = counts.select("name", "n", alias_key("name").alias("key")).where("key <> ''").withColumn("last", last_name(F.col("name")))
     tokens = F.split("key", " ")
     n = n.withColumn("first", F.array_join(F.slice(tokens, 1, F.greatest(F.size(tokens) - 1, F.lit(1))), " "))
     side = lambda s: n.select(*[F.col(c).alias(f"{c}_{s}") for c in n.columns])
+    inside = F.col("key_a").contains(F.col("key_b")) | F.col("key_b").contains(F.col("key_a"))
+    on = F.col("name_a") < F.col("name_b")
     if blocked:
-        block = lambda s: side(s).withColumn("_b", F.explode(F.array_distinct(F.concat(F.split(f"key_{s}", " "), F.transform(F.split(f"key_{s}", " "), lambda w: F.substring(w, 1, 3)), F.array(f"key_{s}")))))
-        pairs = block("a").join(block("b"), "_b").where("name_a < name_b").drop("_b").dropDuplicates(["name_a", "name_b"])
-    else:
-        pairs = side("a").join(side("b"), F.col("name_a") < F.col("name_b"))
+        both, apart = F.length("key_a") + F.length("key_b"), F.abs(F.length("key_a") - F.length("key_b"))
+        near = (100 * apart < 15 * both) & (100 * F.levenshtein("key_a", "key_b") < 15 * both)
+        on = on & ((F.col("last_a") == F.col("last_b")) | inside | near)
+    pairs = side("a").join(side("b"), on)
     whole, part = similarity("key_a", "key_b"), similarity("first_a", "first_b")
     pairs = pairs.withColumn("_w", whole).withColumn("_p", part)
-    inside = F.col("key_a").contains(F.col("key_b")) | F.col("key_b").contains(F.col("key_a"))
     score = F.when(F.col("key_a") == F.col("key_b"), 1.0).when(F.col("last_a") == F.col("last_b"), 0.7 + 0.3 * F.col("_p")).when(F.col("_w") > 0.85, F.col("_w")).when(inside, 0.8).otherwise(0.0)
     out = pairs.withColumn("score", score).where(F.col("score") > threshold)
     return out.select(F.col("name_a").alias("a"), F.col("name_b").alias("b"), "score", F.col("n_a").alias("n_a"), F.col("n_b").alias("n_b"))

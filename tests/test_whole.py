@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from laddersmith import catalog, fixtures
-from laddersmith.operators import folds
+from laddersmith.operators import aliases, folds
 from laddersmith.plans import history
 from laddersmith.plans.registry import make
 
@@ -63,3 +63,17 @@ def test_wide_history_has_every_player_and_time(spark, monkeypatch):
     rows = got.collect()
     assert len(rows) == h.select("ts").distinct().count()
     assert sum(v is not None for r in rows for v in r[1:]) == h.count()
+
+
+def test_alias_blocking_loses_no_pair(spark):
+    names = ["katherine", "catherine", "ann", "joanna", "bo", "jim bo lee", "maria lopez", "mario lopes", "x", "alexander smith", "aleksander smith", "zoe"]
+    n = spark.createDataFrame([(x, 1) for x in names], "name string, n long")
+    got = {(r.a, r.b) for r in aliases.candidates(n).collect()}
+    assert {("catherine", "katherine"), ("ann", "joanna")} <= got
+    assert got == {(r.a, r.b) for r in aliases.candidates(n, blocked=False).collect()}
+
+
+def test_canonical_names_take_the_reference_threshold(spark, tmp_path):
+    spark.createDataFrame([(1, "jo"), (2, "joanna hill"), (3, "zz")], "s_suppkey long, s_name string").write.parquet(str(tmp_path / "supplier.parquet"))
+    got = {r.name: r.canonical for r in catalog.queries()["alias_canonical"](spark, str(tmp_path)).collect()}
+    assert got["team jo"] == got["team joanna hill"]
