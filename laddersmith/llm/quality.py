@@ -10,7 +10,7 @@ Documents without language share one more set of bands. All documents count towa
 Each distinct word of a run of texts is encoded once; words don't join across white space in this vocabulary.
 
 Defined results: null or empty texts have zero counts and fail the base rules; their measures are null; a language with fewer than MIN_DOCS
-sound documents is judged by the bands of all languages; repeated rows are judged alike; extra columns are ignored; an empty table gives an empty result.
+sound documents has no bands and its documents are judged by the base rules alone; repeated rows are judged alike; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -170,11 +170,9 @@ def quality(docs: DataFrame, path: str) -> DataFrame:
         aggs += [q[0].alias(f"{s}1"), q[1].alias(f"{s}3")]
     sound = m.where("not base_failed")
     own = sound.groupBy("lang").agg(*aggs).where(f"b_docs >= {MIN_DOCS}").withColumnRenamed("lang", "_lang")
-    every = sound.agg(*[a.alias(n) for a, n in zip(aggs, ["a_docs", *(f"a_{s}{i}" for s in names.values() for i in (1, 3))], strict=True)]).head()
 
     def outside(c: str, s: str):
-        lo = F.coalesce(F.col(f"{s}1"), F.lit(every[f"a_{s}1"]).cast("double"))
-        hi = F.coalesce(F.col(f"{s}3"), F.lit(every[f"a_{s}3"]).cast("double"))
+        lo, hi = F.col(f"{s}1"), F.col(f"{s}3")
         # quartiles that fall together (no fallback at all) leave a hundredth as slack
         wide = FENCE * F.greatest(hi - lo, F.lit(0.01) * F.greatest(F.abs(hi), F.lit(1.0))) * F.sqrt(1 + SHORT / F.greatest(F.col("n_words"), F.lit(1)))
         return (F.col(c) < lo - wide) | (F.col(c) > hi + wide)
