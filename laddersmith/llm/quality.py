@@ -54,7 +54,7 @@ def base_counts(buf: np.ndarray, offs: np.ndarray) -> tuple[dict[str, np.ndarray
     cut[10] = True
     ls, le, lfirst = W.word_spans(buf, offs, cut)
     has = np.searchsorted(s, le) > np.searchsorted(s, ls)
-    lh = W.span_hash(W.prefix_hash(buf), ls, le)[has] if len(ls) else np.zeros(0, U)
+    lh = W.span_hashes(buf, ls[has], le[has]) if len(ls) else np.zeros(0, U)
     row = np.repeat(np.arange(n), np.diff(lfirst))[has]
     seen = np.unique(W.mix(lh + row.astype(U) * U(0x9E3779B97F4A7C15)), return_index=True)[1]
     out["n_dup_lines"] = np.bincount(row, minlength=n) - np.bincount(row[seen], minlength=n)

@@ -6,10 +6,10 @@ the same document or another.
 1. Every start p has one anchor: the leftmost k-byte string of least hash inside
    [p, p + least). Equal windows have equal anchors, so windows are dealt by anchor. A run is
    the starts that share an anchor; its region is the bytes that their windows cover.
-2. Equal regions of one anchor repeat as wholes. This is counted with map-side combining and settles the bulk of copies.
+2. Equal regions of one anchor repeat as wholes. They are counted by 128-bit BLAKE2b digests of their bytes, with map-side combining; this settles the bulk of copies.
 3. Regions that occur once, under an anchor that has several, go to shards by anchor. Each
    shard builds one suffix array by induced sorting and reads repeats off the permuted common
-   prefixes. Anchors with more than ``HOT`` different regions are dealt by the hash of each window
+   prefixes. Anchors with more than ``HOT`` different regions are dealt by each window's 128-bit hash
    instead, so that no shard grows with a hot passage.
 4. The spans found are merged per document and cut out.
 
@@ -35,8 +35,8 @@ from laddersmith.llm.common import by_group, materialize, parallelism, read
 U = np.uint64
 #: Regions of one anchor above which its windows are dealt singly.
 HOT = 2000
-#: Bytes of regions that a shard holds, about.
-SHARD = 2 << 20
+#: Bytes of regions that a shard holds, about; starts of a long row that are scanned together.
+SHARD, PART = 2 << 20, 4 << 20
 _LOW = U((1 << 24) - 1)
 
 
@@ -53,13 +53,12 @@ def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
 
 
 def runs(buf: np.ndarray, offs: np.ndarray, least: int, k: int) -> tuple[np.ndarray, ...]:
-    """(row, start in the row, starts, anchor hash, region hash) of each run of starts with one anchor."""
+    """(row, start in the row, starts, anchor hash, both halves of the region's digest) of each run of starts with one anchor."""
     none = np.zeros(0, np.int64)
     if len(buf) < least:
-        return none, none, none, none, none
-    h = W.prefix_hash(buf)
-    at = np.arange(len(buf) - k + 1)
-    kh = W.span_hash(h, at, at + k)
+        return (none,) * 6
+    kh = W.window_hashes(buf, k)
+    at = np.arange(len(kh))
     if len(buf) <= 1 << 24:
         key = (kh & ~_LOW) | at.astype(U)
         low = _LOW
@@ -74,14 +73,16 @@ def runs(buf: np.ndarray, offs: np.ndarray, least: int, k: int) -> tuple[np.ndar
     np.cumsum(count, out=first[1:])
     p = offs[:-1][row] + np.arange(len(row)) - first[:-1][row]
     if not len(p):
-        return none, none, none, none, none
+        return (none,) * 6
     a = anchor[p]
     new = np.concatenate([[True], (a[1:] != a[:-1]) | (row[1:] != row[:-1])])
     i = np.flatnonzero(new)
     n = np.diff(np.append(i, len(p)))
     s = p[i]
-    region = W.mix(W.span_hash(h, s, s + n + least - 1) + (s - a[i] + (1 << 40)).astype(U))
-    return row[i], s - offs[:-1][row[i]], n, kh[a[i]].view(np.int64), region.view(np.int64)
+    raw = memoryview(np.ascontiguousarray(buf))
+    digest = b"".join(hashlib.blake2b(raw[x:y], digest_size=16).digest() for x, y in zip(s.tolist(), (s + n + least - 1).tolist(), strict=True))
+    region = np.frombuffer(digest, np.int64).reshape(-1, 2)
+    return row[i], s - offs[:-1][row[i]], n, kh[a[i]].view(np.int64), region[:, 0], region[:, 1]
 
 
 def _merge(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -104,19 +105,23 @@ def repeated_spans(docs: DataFrame, least: int, k: int) -> DataFrame:
         for b in batches:
             keys = b.column(0).to_numpy(zero_copy_only=False)
             for i, _, buf, offs in W.chunks(b.column(1)):
-                row, p, n, ah, rh = runs(buf, offs, least, k)
-                yield pa.RecordBatch.from_arrays([pa.array(ah), pa.array(rh), pa.array(keys[i + row]), pa.array(p), pa.array(n)], names=["anchor", "region", "key", "p", "n"])
-
-    found = materialize(docs.mapInArrow(scan, "anchor long, region long, key long, p long, n long"), "repeat-runs")
-    variants = found.groupBy("anchor", "region").agg(F.count(F.lit(1)).alias("c"), F.min("key").alias("key"))
+                # a long row is scanned in parts; a run that is cut there makes two regions of one anchor, which step 3 compares like any others
+                for a in range(0, max(len(buf) - least + 1, 1), PART) if len(offs) == 2 else (0,):
+                    part = buf[a : a + PART + least - 1] if len(offs) == 2 else buf
+                    row, p, n, ah, r1, r2 = runs(part, offs if len(offs) > 2 else np.array([0, len(part)]), least, k)
+                    yield pa.RecordBatch.from_arrays([pa.array(ah), pa.array(r1), pa.array(r2), pa.array(keys[i + row]), pa.array(p + a), pa.array(n)], names=["anchor", "region", "region2", "key", "p", "n"])
+
+    found = materialize(docs.mapInArrow(scan, "anchor long, region long, region2 long, key long, p long, n long"), "repeat-runs")
+    same = ["anchor", "region", "region2"]
+    variants = found.groupBy(*same).agg(F.count(F.lit(1)).alias("c"), F.min("key").alias("key"))
     variants = materialize(variants, "repeat-variants")
-    whole = variants.where("c > 1").select("anchor", "region")
-    settled = found.join(whole, ["anchor", "region"]).select("key", F.col("p").alias("s"), (F.col("p") + F.col("n") + (least - 1)).alias("e"))
+    whole = variants.where("c > 1").select(*same)
+    settled = found.join(whole, same).select("key", F.col("p").alias("s"), (F.col("p") + F.col("n") + (least - 1)).alias("e"))
 
     several = variants.groupBy("anchor").agg(F.count(F.lit(1)).alias("v"), F.min("c").alias("least_c")).where("v > 1 and least_c = 1").select("anchor", "v")
-    open_ = variants.join(several, "anchor").select("anchor", "region", "c", "v", F.col("key").alias("key"))
-    want = found.join(open_, ["anchor", "region", "key"]).groupBy("anchor", "region", "key", "c", "v").agg(F.min("p").alias("p"), F.max("n").alias("n"))
-    want = materialize(want.groupBy("key").agg(F.collect_list(F.struct("anchor", "region", "c", "v", "p", "n")).alias("w")), "repeat-open")
+    open_ = variants.join(several, "anchor").select(*same, "c", "v", "key")
+    want = found.join(open_, [*same, "key"]).groupBy(*same, "key", "c", "v").agg(F.min("p").alias("p"), F.max("n").alias("n"))
+    want = materialize(want.groupBy("key").agg(F.collect_list(F.struct("anchor", "c", "v", "p", "n")).alias("w")), "repeat-open")
 
     def cut(batches):
         for b in batches:
@@ -160,8 +165,7 @@ def repeated_spans(docs: DataFrame, least: int, k: int) -> DataFrame:
                 row = np.repeat(np.arange(len(offs) - 1), n[i : i + len(offs) - 1])
                 o = np.arange(len(row)) - np.repeat(np.cumsum(n[i : i + len(offs) - 1]) - n[i : i + len(offs) - 1], n[i : i + len(offs) - 1])
                 at = offs[row] + o
-                h = W.span_hash(W.prefix_hash(buf), at, at + least)
-                h2 = W.span_hash(W.prefix_hash(buf ^ np.uint8(0x5A)), at, at + least)
+                h, h2 = (W.window_hashes(buf, least, seed)[at] if len(at) else np.zeros(0, U) for seed in (1, 2))
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(key[i + row]), pa.array(p[i + row] + o)], names=["h", "h2", "key", "s"])
 
     hot = materialize(regions.where(f"v > {HOT}").mapInArrow(windows, "h long, h2 long, key long, s long"), "repeat-windows")
@@ -170,18 +174,16 @@ def repeated_spans(docs: DataFrame, least: int, k: int) -> DataFrame:
     return settled.unionByName(edges).unionByName(hot).groupBy("key").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
 
 
-def remove_repeats(docs: DataFrame, least: int = 400, k: int = 64, texts: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, least: int = 400, k: int = 64) -> DataFrame:
     """Rows of ``docs`` with text_kept, n_bytes, n_removed, n_spans and kept_sha256; other columns stay.
 
     Columns of ``docs`` that have these names are replaced; ``text`` stays as it is. text_kept
-    leaves out the bytes of a character that a removal broke; kept_sha256 is over all that remain.
-    Without ``texts``, neither text nor text_kept is returned.
-    """
+    leaves out the bytes of a character that a removal broke; kept_sha256 is over all that remain.    """
     base = docs.withColumn("_key", F.xxhash64(F.col("doc_id").cast("string"), F.col("text")))
     spans = repeated_spans(base.select(F.col("_key").alias("key"), "text"), least, k)
     names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "text_kept"]
     joined = base.drop(*names).join(spans.select(F.col("key").alias("_k2"), F.col("spans").alias("_spans")), F.col("_key") == F.col("_k2"), "left").drop("_k2", "_key")
-    keep = [c for c in joined.columns if c != "_spans" and (texts or c != "text")]
+    keep = [c for c in joined.columns if c != "_spans"]
     text_at, spans_at = joined.columns.index("text"), joined.columns.index("_spans")
 
     def run(batches):
@@ -206,24 +208,21 @@ def remove_repeats(docs: DataFrame, least: int = 400, k: int = 64, texts: bool =
                     gone.append(int((e - s).sum()))
                     count.append(len(s))
                 sha.append(hashlib.sha256(left).hexdigest())
-                if texts:
-                    kept.append(left.decode("utf-8", "ignore"))
-            cols = [c for i, c in enumerate(b.columns) if i != spans_at and (texts or i != text_at)]
-            yield pa.RecordBatch.from_arrays([*cols, *([pa.array(kept, pa.string())] if texts else []), pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(count, pa.int64()), pa.array(sha, pa.string())], names=[*keep, *names[4 if texts else 5 :], *names[:4]])
+                kept.append(left.decode("utf-8", "ignore"))
+            cols = [c for i, c in enumerate(b.columns) if i != spans_at]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(kept, pa.string()), pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(count, pa.int64()), pa.array(sha, pa.string())], names=[*keep, *names[4:], *names[:4]])
 
     from pyspark.sql.types import StructType
 
-    schema = StructType([joined.schema[c] for c in keep])
-    if texts:
-        schema = schema.add("text_kept", "string")
+    schema = StructType([joined.schema[c] for c in keep]).add("text_kept", "string")
     schema = schema.add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("kept_sha256", "string")
     return joined.mapInArrow(run, schema)
 
 
 def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Repeats of 400 bytes over whole ``documents``."""
+    """Repeats of 400 bytes over whole ``documents``; ``text`` is what is left of each."""
     docs = read(spark, sf_dir, "documents", "doc_id", "text")
-    return remove_repeats(docs, texts=False).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", F.col("text_kept").alias("text"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -63,8 +63,7 @@ def _features(col: pa.Array):
         col = col.combine_chunks()
     for i, _, buf, offs in W.chunks(pc.utf8_lower(col)):
         s, e, first = W.word_spans(buf, offs, W.NOT_ALNUM)
-        h = W.prefix_hash(buf)
-        yield i, first, [W.span_hash(h, s, np.minimum(e, s + n)) for n in PREFIXES] + [W.span_hash(h, s, e)]
+        yield i, first, [W.span_hashes(buf, s, np.minimum(e, s + n)) for n in PREFIXES] + [W.span_hashes(buf, s, e)]
 
 
 def token_scores(m: Model, levels: list[np.ndarray]) -> np.ndarray:

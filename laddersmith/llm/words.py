@@ -1,23 +1,23 @@
 """Vectorised words, hashes and shingles over the bytes of an Arrow string column.
 
 Texts stay in Arrow's buffers as UTF-8; nothing here makes a Python string per word.
-Hashes are 64-bit: a polynomial over the word's bytes modulo 2**64, finished with its
-length by an avalanche step.
+Hashes are 64-bit: eight bytes a step go through an avalanche function that starts from the
+length, so that words of up to eight bytes never collide with others of their length; long spans go
+through BLAKE2b. (A polynomial modulo 2**64 would not do: Thue-Morse strings collide under every base.)
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 U = np.uint64
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INV = pow(_BASE, -1, 1 << 64)
-_SIZE = 0
-_POW = np.ones(1, U)
-_POW_INV = np.ones(1, U)
+#: Bytes from which on a span is hashed by BLAKE2b.
+LONG = 256
+_ODD = U(0x9E3779B97F4A7C15)
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -31,20 +31,9 @@ NOT_ALNUM[48:58] = False
 NOT_ALNUM[97:123] = False
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _SIZE, _POW, _POW_INV
-    if n > _SIZE:
-        _SIZE = max(n, 1 << 16, 2 * _SIZE)
-        a = np.full(_SIZE + 1, _BASE, U)
-        b = np.full(_SIZE + 1, _INV, U)
-        a[0] = b[0] = 1
-        _POW, _POW_INV = np.multiply.accumulate(a), np.multiply.accumulate(b)
-    return _POW, _POW_INV
-
-
-def mix(x: np.ndarray) -> np.ndarray:
-    """Avalanche step (the finaliser of splitmix64)."""
-    x = x.astype(U, copy=True)
+def mix(x: np.ndarray, own: bool = False) -> np.ndarray:
+    """Avalanche step (the finaliser of splitmix64); in place if the array is the caller's ``own``."""
+    x = x if own else x.astype(U, copy=True)
     x ^= x >> U(30)
     x *= U(0xBF58476D1CE4E5B9)
     x ^= x >> U(27)
@@ -53,18 +42,50 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def prefix_hash(buf: np.ndarray) -> np.ndarray:
-    """H with H[i] = sum of (byte + 1) * base**j over j < i."""
-    p, _ = _powers(len(buf) + 1)
-    out = np.zeros(len(buf) + 1, U)
-    np.cumsum((buf.astype(U) + U(1)) * p[: len(buf)], out=out[1:])
-    return out
+def eights(buf: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on (zeros behind the end), as little-endian integers: a view, one more than bytes."""
+    wide = np.zeros(len(buf) + 8, np.uint8)
+    wide[: len(buf)] = buf
+    return np.ndarray(len(buf) + 1, np.dtype("<u8"), wide, strides=(1,))
 
 
-def span_hash(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def span_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Hashes of buf[start:end], the same wherever the bytes stand."""
-    _, inv = _powers(len(h))
-    return mix((h[end] - h[start]) * inv[start] + (end - start).astype(U) * U(0xD6E8FEB86659FD93))
+    n = end - start
+    h = n.astype(U) * _ODD
+    long = n > LONG
+    todo = np.flatnonzero(~long & (n > 0))
+    if len(todo):
+        wide = eights(buf)
+        at, left = start[todo], n[todo]
+        while len(todo):
+            w = wide[at].astype(U)
+            part = left < 8
+            w[part] &= (U(1) << (left[part].astype(U) * U(8))) - U(1)
+            h[todo] = mix(h[todo] ^ w)
+            more = left > 8
+            todo, at, left = todo[more], at[more] + 8, left[more] - 8
+    if long.any():
+        raw = memoryview(np.ascontiguousarray(buf))
+        for i in np.flatnonzero(long).tolist():
+            h[i] = int.from_bytes(hashlib.blake2b(raw[start[i] : end[i]], digest_size=8).digest(), "little")
+    return h
+
+
+def window_hashes(buf: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
+    """Hashes of the ``k`` bytes (8 or more) from each place on that has so many: halves are joined by an avalanche step, from eight bytes up."""
+    n = len(buf) - k + 1
+    if n <= 0:
+        return np.zeros(0, U)
+    x = mix(np.array(eights(buf)[: len(buf) - 7]) + U(seed) * _ODD)
+    size = 8
+    while size < k:
+        shift = min(size, k - size)  # the last step's halves may overlap
+        a = x[: len(x) - shift] * U(0xD6E8FEB86659FD93)
+        a += x[shift:] * U(0xC2B2AE3D27D4EB4F)
+        x = mix(a, own=True)
+        size += shift
+    return x
 
 
 def buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -110,7 +131,7 @@ def word_spans(buf: np.ndarray, offs: np.ndarray, sep: np.ndarray) -> tuple[np.n
 def word_hashes(buf: np.ndarray, offs: np.ndarray, sep: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hash of each word, starts, ends, first word of each row. ``buf`` is hashed as it stands."""
     s, e, first = word_spans(buf, offs, sep)
-    return span_hash(prefix_hash(buf), s, e), s, e, first
+    return span_hashes(buf, s, e), s, e, first
 
 
 def shingle_hashes(words: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

@@ -69,7 +69,8 @@ def _repeats(rows, least):
             if seen[hashlib.blake2b(x[p : p + least], digest_size=12).digest()] > 1:
                 gone[p : p + least] = b"\1" * least
         spans = sum(1 for i in range(len(x)) if gone[i] and (i == 0 or not gone[i - 1]))
-        out.append((d, len(x), sum(gone), spans, hashlib.sha256(bytes(b for b, g in zip(x, gone, strict=True) if not g)).hexdigest()))
+        kept = bytes(b for b, g in zip(x, gone, strict=True) if not g)
+        out.append((d, len(x), sum(gone), spans, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore")))
     return out
 
 
