@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from laddersmith.operators.graph import components
@@ -27,11 +27,12 @@ def fold(col: str, n: int):
     return F.crc32(F.col(col).cast("string").cast("binary")) % F.lit(n)
 
 
-def by_group(df: DataFrame, key: str, fn: Callable[[int, pa.Table], pa.Table | None], schema: str, order: list[str] | None = None, parts: int | None = None) -> DataFrame:
+def by_group(df: DataFrame, key: str, fn: Callable[[int, pa.Table], pa.Table | None], schema: str, order: list[str] | None = None, parts: int | None = None, task: Column | None = None) -> DataFrame:
     """Rows of each value of the long column ``key`` through ``fn``, one whole group at a time.
 
     Groups must be bounded by construction: callers split hot ones first. Unlike
-    applyInArrow this has no cost per group on the JVM side.
+    applyInArrow this has no cost per group on the JVM side. ``task`` (an int below ``parts`` that the key determines) deals
+    groups to tasks; without it their hash does.
     """
     out_schema = _arrow_schema(df.sparkSession, schema)
 
@@ -59,7 +60,8 @@ def by_group(df: DataFrame, key: str, fn: Callable[[int, pa.Table], pa.Table | N
         yield from flush()
 
     n = parts or parallelism(df.sparkSession)
-    return df.repartition(n, key).sortWithinPartitions(key, *(order or [])).mapInArrow(run, schema)
+    dealt = df.repartition(n, key) if task is None else df.repartitionById(n, task)
+    return dealt.sortWithinPartitions(key, *(order or [])).mapInArrow(run, schema)
 
 
 def _arrow_schema(spark: SparkSession, ddl: str) -> pa.Schema:

@@ -7,12 +7,13 @@ successors that the longer context has seen are excluded from the shorter one's
 symbols left are alike. Code lengths are pretrained: a text's log10 probability is the sum over its strings.
 
 Plan. One pass over the documents packs them into blocks and lists, for each block, its distinct
-byte strings and words with their counts in training texts (numpy tries, no row per position). The lists are cut by
-bucket, so that a bucket has all suffix contexts of its strings (they share the two bytes before the last), and packed. A
-bucket's task sums the blocks' counts, which are the corpus's and grow with it, turns them into code lengths, and sends each block its values
+byte strings and words with their counts in training texts (sorted strings are the trie's paths; no row per position). The lists are cut by
+bucket, so that a bucket has all suffix contexts of its strings (they share the two bytes before the last), and packed. They are merged
+bucket by bucket in rounds of FAN partitions' lists a task, so that a frequent bucket's task holds FAN lists however many there are; the last round has the corpus's
+counts, which grow with it, and turns them into code lengths: the model, one row a bucket. Each bucket's row then meets the lists, again FAN partitions' at a time, and sends each block its values
 in the order of its list; the tables of orders 0 and 1 have at most 65,792 cells and are broadcast. Each block lists its strings
-again, takes the values and is scored by walking its own trie. There are as many buckets as partitions of the input, so that a
-bucket is about as large as a block; no task holds more than one block or one bucket.
+again, takes the values and is scored by walking its own strings. Long texts are cut into runs of CHUNK bytes that overlap by ORDER; what a task
+holds at a time is a block (a whole text at least), a bucket's model, or FAN partitions' lists of one bucket.
 
 Words are keyed by 64-bit hashes.
 
@@ -45,55 +46,49 @@ BLOCK = 32 << 20
 U = np.uint64
 #: The end's key among words.
 END_WORD = (1 << 64) - 1
-#: Bytes of text that one trie holds.
+#: Bytes of text whose strings are sorted together.
 CHUNK = 2 << 20
+#: Partitions whose lists of a bucket are merged in one task.
+FAN = 64
+#: Listed strings that are held before they are merged.
+HELD = 8 << 20
 
 
-class Trie:
-    """Distinct (ORDER + 1)-byte strings of a run of bytes, found level by level."""
-
-    def __init__(self, buf: np.ndarray):
-        used = np.flatnonzero(np.bincount(buf, minlength=256))
-        size = len(used)
-        table = np.zeros(256, np.int32)
-        table[used] = np.arange(size)
-        code = table[buf]
-        ids, keys = code, used.astype(U)
-        for level in range(1, ORDER + 1):
-            kind = np.int32 if len(keys) * size < 1 << 31 else np.int64
-            at = ids[: len(code) - level].astype(kind) * kind(size)
-            at += code[level:]
-            seen = np.zeros(len(keys) * size, bool)
-            seen[at] = True
-            cell = np.flatnonzero(seen)
-            number = np.empty(len(keys) * size, np.int32)
-            number[cell] = np.arange(len(cell), dtype=np.int32)
-            ids = number[at]
-            keys = (keys[cell // size] << U(8)) | used[cell % size].astype(U)
-        #: For each place, the number of the string that starts there; for each number, its bytes as an integer.
-        self.ids, self.keys = ids, keys
+def strings(col: pa.Array):
+    """By runs of about CHUNK bytes: (first row, first symbol of each of its rows, the string of each symbol).
+
+    A text is framed as FIRST * ORDER + bytes + END; a string is ORDER bytes and the symbol behind them, as an integer.
+    A text longer than CHUNK comes in several runs.
+    """
+    for i, j, raw, offs in W.chunks(col, CHUNK):
+        if j - i > 1 or len(raw) <= CHUNK:
+            yield i, *framed(raw, offs)
+            continue
+        for a in range(0, len(raw), CHUNK):
+            head = raw[a - ORDER : a] if a else np.full(ORDER, FIRST, np.uint8)
+            tail = np.full(int(a + CHUNK >= len(raw)), END, np.uint8)
+            x = np.concatenate([head, raw[a : a + CHUNK], tail])
+            yield i, np.array([0, len(x) - ORDER]), _six(x, np.arange(len(x) - ORDER))
+
+
+def _six(x: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """The ORDER + 1 bytes from each place on."""
+    return W.eights(x).view(np.dtype(">u8"))[place].astype(U) >> U(64 - 8 * (ORDER + 1))
 
 
 def framed(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each text as FIRST * ORDER + bytes + END, and the places of the strings whose last byte is of the text or its end."""
+    """First symbol of each row, and the string of each symbol (a row's bytes and its end)."""
     n = len(offs) - 1
     first = offs + np.arange(n + 1)
     out = np.full(len(buf) + n * (ORDER + 1), FIRST, np.uint8)
-    place = np.empty(len(buf) + n, np.int32)
+    place = np.empty(len(buf) + n, np.int64)
     at = 0
     for r, (i, j) in enumerate(zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)):
         out[at + ORDER : at + ORDER + j - i] = buf[i:j]
         out[at + ORDER + j - i] = END
-        place[i + r : j + r + 1] = np.arange(at, at + j - i + 1, dtype=np.int32)
+        place[i + r : j + r + 1] = np.arange(at, at + j - i + 1)
         at += j - i + ORDER + 1
-    return place, first, out
-
-
-def _strings(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(distinct strings, the string of each symbol, first symbol of each row)."""
-    place, first, x = framed(buf, offs)
-    t = Trie(x)
-    return t.keys, t.ids[place], first
+    return first, _six(out, place)
 
 
 def _words(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -125,35 +120,56 @@ def _from_planes(b: bytes) -> np.ndarray:
     return np.cumsum(d, dtype=U)
 
 
-def listing(col: pa.Array, train: np.ndarray | None = None):
-    """What a block lists: for words (0) and strings (1), sorted distinct keys and their counts in training rows.
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys of several lists, and their summed counts."""
+    if not parts:
+        return np.zeros(0, U), np.zeros(0, np.int64)
+    if len(parts) == 1:
+        return parts[0]
+    k, n = np.concatenate([k for k, _ in parts]), np.concatenate([n for _, n in parts])
+    o = np.argsort(k)
+    return _summed(k[o], n[o])
 
-    Without ``train`` the keys alone.
-    """
-    held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {0: [(np.array([END_WORD], U), np.array([0 if train is None else train.sum()]))], 1: []}
 
-    def merged(parts):
-        if not parts:
-            return np.zeros(0, U), np.zeros(0, np.int64)
-        if train is None:
-            k = np.unique(np.concatenate([k for k, _ in parts]))
-            return k, np.zeros(0, np.int64)
-        k, inv = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-        return k, np.bincount(inv, np.concatenate([n for _, n in parts]), len(k)).astype(np.int64)
+def _summed(k: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys of a sorted array, and the sums of what belongs to each."""
+    if not len(k):
+        return k, n.astype(np.int64)
+    at = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+    return k[at], np.add.reduceat(n, at, dtype=np.int64)
+
 
+class _Lists:
+    """Lists that are merged whenever too many keys are held."""
+
+    def __init__(self):
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+        self.size = 0
+
+    def add(self, keys: np.ndarray, n: np.ndarray) -> None:
+        self.parts.append((keys, n))
+        self.size += len(keys)
+        if self.size > HELD and len(self.parts) > 1:
+            self.parts = [_merged(self.parts)]
+            self.size = 0  # so many new ones before the next time
+
+    def all(self) -> tuple[np.ndarray, np.ndarray]:
+        return _merged(self.parts)
+
+
+def listing(col: pa.Array, train: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """What a block lists: for words (0) and strings (1), sorted distinct keys and their counts in training rows."""
+    words, trie = _Lists(), _Lists()
+    words.add(np.array([END_WORD], U), np.array([train.sum()]))
     for i, j, raw, offs in W.chunks(col, CHUNK):
-        keys, ids, first = _strings(raw, offs)
-        wh, wfirst = _words(raw, offs)
+        wh, first = _words(raw, offs)
         u, inv = np.unique(wh, return_inverse=True)
-        n1 = n0 = np.zeros(0, np.int64)
-        if train is not None:
-            n1 = np.bincount(ids[np.repeat(train[i:j], np.diff(first))], minlength=len(keys))
-            n0 = np.bincount(inv[np.repeat(train[i:j], np.diff(wfirst))], minlength=len(u))
-        for kind, part in ((0, (u, n0)), (1, (keys, n1))):
-            held[kind].append(part)
-            if len(held[kind]) == 5:
-                held[kind] = [merged(held[kind])]
-    return {kind: merged(parts) for kind, parts in held.items()}
+        words.add(u, np.bincount(inv[np.repeat(train[i:j], np.diff(first))], minlength=len(u)))
+    for i, first, k in strings(col):
+        own = np.repeat(train[i : i + len(first) - 1], np.diff(first))
+        k = np.sort((k << U(1)) | own.astype(U))  # whether a string is of a training row is its lowest bit
+        trie.add(*_summed(k >> U(1), (k & U(1)).astype(np.int64)))
+    return {0: words.all(), 1: trie.all()}
 
 
 def blocks(docs: DataFrame, n_buckets: int) -> DataFrame:
@@ -195,8 +211,7 @@ def blocks(docs: DataFrame, n_buckets: int) -> DataFrame:
                 packed = []
                 for i in full.tolist():
                     mine = o[cut[i] : cut[i + 1]]
-                    a, c = _pack(_planes(keys[mine])), _pack(n[mine].astype(np.int64))
-                    packed.append(len(a).to_bytes(4, "little") + a + c)
+                    packed.append(_packed(keys[mine], n[mine].astype(np.int64)))
                 yield rows(block, kind, full, np.zeros(len(full), np.int64), cut[full + 1] - cut[full], packed)
 
         for b in batches:
@@ -304,82 +319,139 @@ def _mask_id(mask: np.ndarray) -> int:
     return k
 
 
+def _packed(keys: np.ndarray, n: np.ndarray) -> bytes:
+    a = _pack(_planes(keys))
+    return len(a).to_bytes(4, "little") + a + _pack(n)
+
+
+def _unpacked(x: bytes, kind=np.int64) -> tuple[np.ndarray, np.ndarray]:
+    m = int.from_bytes(x[:4], "little")
+    return _from_planes(x[4 : 4 + m]), _unpack(x[4 + m :], kind)
+
+
+_LISTS = "kind int, bucket long, part long, payload binary"
+
+
+def _rows(kind, bucket, part, payload) -> pa.Table:
+    return pa.table({"kind": pa.array(kind, pa.int32()), "bucket": pa.array(bucket, pa.int64()), "part": pa.array(part, pa.int64()), "payload": pa.array(payload, pa.binary())})
+
+
+def model(lists: DataFrame, parts: int, n_buckets: int, low: np.ndarray) -> DataFrame:
+    """(kind, bucket, part, payload): for each bucket the packed keys and code lengths of its strings (kind 1), counts of its words (kind 0),
+    and how many words training has (kind 5, in ``part``). ``lists`` has the same columns, by block; ``parts``: its partitions' number."""
+
+    def merge(last: bool):
+        def run(_, t: pa.Table):
+            kind, bucket, part = t["kind"].to_numpy(), int(t["bucket"][0].as_py()), int(t["part"][0].as_py())
+            out: list[tuple[int, int, bytes]] = []
+            for k in (0, 1):
+                held = _Lists()
+                for i in np.flatnonzero(kind == k).tolist():
+                    held.add(*_unpacked(t["payload"][i].as_py()))
+                keys, n = held.all()
+                if not len(keys):
+                    continue
+                if last and k:
+                    _MASKS.clear()
+                    _NUMBERS.clear()
+                    n = log_probabilities(keys, n, low).astype(np.float32)
+                elif last:
+                    out.append((5, int((n > 0).sum()), b""))
+                out.append((k, 0 if last else part // FAN, _packed(keys, n)))
+            return _rows([x[0] for x in out], [bucket] * len(out), [x[1] for x in out], [x[2] for x in out])
+
+        return run
+
+    while True:
+        parts = -(-parts // FAN)
+        keyed = lists.withColumn("_g", F.col("bucket") * parts + F.floor(F.col("part") / FAN))
+        lists = materialize(by_group(keyed, "_g", merge(parts == 1), _LISTS, ["kind", "part"], n_buckets * min(parts, FAN)), "lm-merged")
+        if parts == 1:
+            return lists
+
+
 def lm_scores(docs: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text, held_out) to the columns of op5."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.col("held_out").cast("boolean").alias("held_out"))
-    n_buckets = max(parallelism(docs.sparkSession), docs.rdd.getNumPartitions())
+    n_parts = docs.rdd.getNumPartitions()
+    n_buckets = max(parallelism(docs.sparkSession), n_parts)
     listed = materialize(blocks(docs, n_buckets), "lm-blocks")
     low = np.zeros((256, 256))
     for r in listed.where("kind = 3").groupBy("key").agg(F.sum("n").alias("n")).collect():  # 65,536 cells at most
         low[r.key >> 8, r.key & 255] = r.n
     n_train = int(listed.where("kind = 4").agg(F.sum("n")).head()[0] or 0)
 
-    def code(_, t: pa.Table):
-        kind, block, n = t["kind"].to_numpy(), t["block"].to_numpy(), t["n"].to_numpy()
-        out_block, out_kind, out_n, out = [], [], [], []
+    part = F.shiftright("block", 24)
+    lists = listed.where("kind < 2").select("kind", "bucket", part.alias("part"), "payload")
+    lengths = model(lists, n_parts, n_buckets, low)
+    vocabulary = int(lengths.where("kind = 5").agg(F.sum("part")).head()[0] or 0)
+    denominator = n_train + vocabulary + 1
+
+    # a bucket's model meets the lists of FAN partitions at a time
+    groups = -(-n_parts // FAN)
+    asks = listed.where("kind < 2").select("kind", "bucket", F.floor(part / FAN).alias("g"), "block", "payload")
+    told = lengths.where("kind < 2").select("kind", "bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("g"), F.lit(-1).cast("long").alias("block"), "payload")
+    keyed = asks.unionByName(told).select((F.col("bucket") * groups + F.col("g")).alias("_g"), "kind", "bucket", "block", "payload")
+
+    def answer(_, t: pa.Table):
+        kind, block = t["kind"].to_numpy(), t["block"].to_numpy()
+        out: list[tuple[int, int, bytes]] = []
         for k in (0, 1):
-            mine = np.flatnonzero(kind == k)
-            if not len(mine):
+            mine = np.flatnonzero(kind == k).tolist()
+            if not mine:
                 continue
-            payload = t["payload"].take(pa.array(mine)).to_pylist()
-            keys, counts = [], []
-            for x in payload:
-                m = int.from_bytes(x[:4], "little")
-                keys.append(_from_planes(x[4 : 4 + m]))
-                counts.append(_unpack(x[4 + m :], np.int64))
-            u, inv = np.unique(np.concatenate(keys), return_inverse=True)
-            total = np.bincount(inv, np.concatenate(counts), len(u))
-            if k:
-                _MASKS.clear()
-                _NUMBERS.clear()
-                value = log_probabilities(u, total, low).astype(np.float32)
-            else:
-                value = total.astype(np.int64)
-                out_block.append(-1)  # the bucket's part of the vocabulary
-                out_kind.append(5)
-                out_n.append(int((total > 0).sum()))
-                out.append(b"")
-            at = 0
-            for b, m in zip(block[mine].tolist(), n[mine].tolist(), strict=True):
-                out_block.append(b)
-                out_kind.append(k)
-                out_n.append(m)
-                out.append(_pack(value[inv[at : at + m]]))
-                at += m
-        return pa.table({"block": pa.array(out_block, pa.int64()), "kind": pa.array(out_kind, pa.int32()), "bucket": pa.array(np.full(len(out), t["bucket"][0].as_py())), "n": pa.array(out_n, pa.int64()), "payload": pa.array(out, pa.binary())})
-
-    packed = listed.where("kind < 2").select("block", "kind", "bucket", "n", "payload")
-    values = materialize(by_group(packed, "bucket", code, "block long, kind int, bucket long, n long, payload binary", ["kind", "block"], n_buckets), "lm-values")
-    vocabulary = int(values.where("kind = 5").agg(F.sum("n")).head()[0] or 0)
-    denominator = n_train + vocabulary + 1
+            keys, value = _unpacked(t["payload"][mine[0]].as_py(), np.float32 if k else np.int64)  # the model's row comes first
+            for i in mine[1:]:
+                out.append((int(block[i]), k, _pack(value[np.searchsorted(keys, _unpacked(t["payload"][i].as_py())[0])])))
+        return pa.table({"block": pa.array([x[0] for x in out], pa.int64()), "kind": pa.array([x[1] for x in out], pa.int32()), "bucket": pa.array([t["bucket"][0].as_py()] * len(out), pa.int64()), "payload": pa.array([x[2] for x in out], pa.binary())})
+
+    values = materialize(by_group(keyed, "_g", answer, "block long, kind int, bucket long, payload binary", ["kind", "block"], n_buckets * min(groups, FAN)), "lm-values")
 
     def score(_, t: pa.Table):
-        kind, payload = t["kind"].to_numpy(), t["payload"].to_pylist()
-        mine = [np.flatnonzero(kind == k) for k in (0, 1, 2)]
-        docs = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(payload[mine[2][0]])).read_all().combine_chunks()
+        kind = t["kind"].to_numpy()
+        mine = [np.flatnonzero(kind == k).tolist() for k in (0, 1, 2)]
+        value = [np.concatenate([_unpack(t["payload"][i].as_py(), np.float32 if k else np.int64) for i in mine[k]] or [np.zeros(0)]) for k in (0, 1)]
+        packed = t["payload"][mine[2][0]].as_py()
+        del t
+        docs = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(packed)).read_all().combine_chunks()
         col = docs.column(1).combine_chunks()
-        keys, value = {}, {}
-        for k, (x, _) in listing(col).items():
-            o = np.argsort(_buckets(k, x, n_buckets), kind="stable")  # the order of the list: by bucket, then by key
-            keys[k], value[k] = x, np.empty(len(x))
-            value[k][o] = np.concatenate([_unpack(payload[i], np.int64 if k == 0 else np.float32) for i in mine[k]])
-        end = value[0][np.searchsorted(keys[0], U(END_WORD))]
-        cost = np.log10((value[0] + 1) / denominator)
-        end_cost = math.log10((end + 1) / denominator)
-        n_tokens, n_known, base, lm = [], [], [], []
-        for _, _, raw, offs in W.chunks(col, CHUNK):
-            wh, first = _words(raw, offs)
-            at = np.searchsorted(keys[0], wh)
-            n_tokens.append(np.diff(first) + 1)
-            n_known.append(_sums((value[0][at] > 0).astype(float), first).astype(np.int64) + int(end > 0))
-            base.append(_sums(cost[at], first) + end_cost)
-            x, ids, sfirst = _strings(raw, offs)
-            lm.append(_sums(value[1][np.searchsorted(keys[1], x)][ids], sfirst))
-        return pa.table({"doc_id": docs.column(0), "held_out": docs.column(2), "n_tokens": np.concatenate(n_tokens), "n_known": np.concatenate(n_known), "base_score": np.concatenate(base), "score": np.concatenate(lm)})
-
-    texts = listed.where("kind = 2").select("block", "kind", "bucket", "n", "payload")
-    parts = texts.unionByName(values.where("kind < 2"))
-    out = by_group(parts, "block", score, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double", ["kind", "bucket"], 4 * n_buckets)  # few blocks meet in a task
+        n = len(col)
+
+        def in_order(keys: np.ndarray, k: int) -> np.ndarray:
+            out = np.empty(len(keys), value[k].dtype)
+            out[np.argsort(_buckets(k, keys, n_buckets), kind="stable")] = value[k]  # the order of the list: by bucket, then by key
+            return out
+
+        runs, own = [], _Lists()
+        for i, first, s in strings(col):
+            u, inv = np.unique(s, return_inverse=True)
+            runs.append((i, first, u, inv.astype(np.int32)))
+            own.add(u, np.zeros(len(u), np.int8))
+        keys = own.all()[0]
+        length = in_order(keys, 1)
+        lm = np.zeros(n)
+        for i, first, u, inv in runs:
+            lm[i : i + len(first) - 1] += _sums(length[np.searchsorted(keys, u)].astype(float)[inv], first)
+        del runs, own, length
+        found = [(i, *_words(raw, offs)) for i, _, raw, offs in W.chunks(col, CHUNK)]
+        keys = np.unique(np.concatenate([np.array([END_WORD], U), *[h for _, h, _ in found]]))
+        count = in_order(keys, 0)
+        cost = np.log10((count + 1) / denominator)
+        end = np.searchsorted(keys, U(END_WORD))
+        n_tokens, n_known, base = np.ones(n, np.int64), np.full(n, int(count[end] > 0)), np.full(n, cost[end])
+        for i, h, first in found:
+            at, r = np.searchsorted(keys, h), slice(i, i + len(first) - 1)
+            n_tokens[r] += np.diff(first)
+            n_known[r] += _sums((count[at] > 0).astype(float), first).astype(np.int64)
+            base[r] += _sums(cost[at], first)
+        return pa.table({"doc_id": docs.column(0), "held_out": docs.column(2), "n_tokens": n_tokens, "n_known": n_known, "base_score": base, "score": lm})
+
+    texts = listed.where("kind = 2").select("block", "kind", "bucket", "payload")
+    rows = texts.unionByName(values)
+    # a partition has few blocks: each has a task to itself, or nearly
+    spread = 4 * n_parts
+    task = F.pmod(4 * part + F.col("block").bitwiseAND(3), F.lit(spread)).cast("int")
+    out = by_group(rows, "block", score, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double", ["kind", "bucket"], spread, task)
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"), "base_score", "score")
 
 
