@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from laddersmith.llm import words as W
-from laddersmith.llm.common import read
+from laddersmith.llm.common import materialize, read
 
 #: Bytes of item text in a block.
 BLOCK = 16 << 20
@@ -43,7 +43,7 @@ class Index:
             wh, _, _, first = W.word_hashes(W.LOWER[raw], offs, W.SPACE)
             sh, at = W.shingle_hashes(wh, first, k)
             self.sets += [np.unique(sh[at[r] : at[r + 1]]) for r in range(j - i)]
-        self.ids, self.percent = np.array(ids, np.int64), percent
+        self.ids, self.k, self.percent = np.array(ids, np.int64), k, percent
         keys, items = [], []
         for i, s in enumerate(self.sets):
             if not len(s):
@@ -82,39 +82,58 @@ class Index:
                 out.append((r, item, common))
         return out
 
+    def search(self, col: pa.Array) -> list[tuple[int, int, int]]:
+        """matches() of the rows of a column of texts."""
+        out = []
+        for i, _, raw, offs in W.chunks(col) if len(self.keys) else ():
+            wh, _, _, first = W.word_hashes(W.LOWER[raw], offs, W.SPACE)
+            out += [(i + r, item, common) for r, item, common in self.matches(*W.shingle_hashes(wh, first, self.k))]
+        return out
+
 
 def contamination(docs: DataFrame, items: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` (doc_id, text), ``items`` (item_id, text) to (doc_id, matches array<struct<item_id, n_item, n_common>>), a row for each row of ``docs``."""
-    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null").distinct()
-    total = items.agg(F.sum(F.octet_length("text"))).head()[0] or 0
-    blocks = max(1, math.ceil(total / BLOCK))
+    indexes = _indexes(items, k, percent)
     kind = "array<struct<item_id: bigint, n_item: bigint, n_common: bigint>>"
     arrow = pa.list_(pa.struct([("item_id", pa.int64()), ("n_item", pa.int64()), ("n_common", pa.int64())]))
-    parts = []
-    for block in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block).collect()
-        index = spark.sparkContext.broadcast(Index([r.item_id for r in rows], [r.text for r in rows], k, percent))
 
-        def run(batches, index=index):
+    def find(rows: DataFrame, index, every: bool) -> DataFrame:
+        """(key, matches) of rows (key, text): of ``every`` row, or of those with matches."""
+
+        def run(batches):
             ix = index.value
             for b in batches:
                 found: list[list[dict]] = [[] for _ in range(b.num_rows)]
-                if len(ix.keys):
-                    for i, _, raw, offs in W.chunks(b.column(1)):
-                        wh, _, _, first = W.word_hashes(W.LOWER[raw], offs, W.SPACE)
-                        for r, item, common in ix.matches(*W.shingle_hashes(wh, first, k)):
-                            found[i + r].append({"item_id": int(ix.ids[item]), "n_item": len(ix.sets[item]), "n_common": common})
-                yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(found, arrow)], names=["doc_id", "matches"])
-
-        parts.append(docs.mapInArrow(run, f"doc_id long, matches {kind}"))
-    if blocks == 1:
-        return parts[0]
-    out = parts[0]
-    for p in parts[1:]:  # later blocks bring only what they found; their rows join the first's by id
-        more = p.where(F.size("matches") > 0).groupBy("doc_id").agg(F.first("matches").alias("_more"))
-        out = out.join(more.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left").select("doc_id", F.concat("matches", F.coalesce("_more", F.array().cast(kind))).alias("matches"))
+                for r, item, common in ix.search(b.column(1)):
+                    found[r].append({"item_id": int(ix.ids[item]), "n_item": len(ix.sets[item]), "n_common": common})
+                out = pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(found, arrow)], names=["key", "matches"])
+                yield out if every else out.filter(pa.array([bool(f) for f in found], pa.bool_()))
+
+        return rows.mapInArrow(run, f"key long, matches {kind}")
+
+    if len(indexes) == 1:
+        return find(docs, indexes[0], True).withColumnRenamed("key", "doc_id")
+    # several blocks: rows get a number, for ids may repeat, and each block brings what it found
+    rows = materialize(docs.withColumn("key", F.monotonically_increasing_id()), "contamination-rows")
+    parts = [materialize(find(rows.select("key", "text"), ix, False), "contamination-found") for ix in indexes]
+    found = parts[0]
+    for p in parts[1:]:
+        found = found.unionByName(p)
+    found = found.groupBy("key").agg(F.flatten(F.collect_list("matches")).alias("matches"))  # at most all items a row
+    return rows.select("key", "doc_id").join(found, "key", "left").select("doc_id", F.coalesce("matches", F.array().cast(kind)).alias("matches"))
+
+
+def _indexes(items: DataFrame, k: int, percent: int) -> list:
+    """Broadcast indexes of the items, each of about BLOCK bytes of text at most (or of one item)."""
+    spark = items.sparkSession
+    items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null").distinct()
+    total = items.agg(F.sum(F.octet_length("text"))).head()[0] or 0
+    blocks = max(1, math.ceil(total / BLOCK))
+    out = []
+    for block in range(blocks):
+        rows = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block).collect()
+        out.append(spark.sparkContext.broadcast(Index([r.item_id for r in rows], [r.text for r in rows], k, percent)))
     return out
 
 
@@ -143,7 +162,22 @@ FROM d LEFT JOIN g USING (doc_id)
 """
 
 
-def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold an item of ``benchmark`` go."""
-    bad = contamination(docs, read(spark, sf_dir, "benchmark", "item_id", "text")).where(F.size("matches") > 0).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]), "left_anti")
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, k: int = 5, percent: int = 80) -> DataFrame:
+    """Documents that hold an item of ``benchmark`` go; each row is judged by its own text, so of rows with one id the clean ones stay.
+
+    Null and empty texts stay; all columns stay, whatever their names. Each block of items is a pass over the rows that are left.
+    """
+    at, schema = docs.columns.index("text"), docs.schema
+    indexes = _indexes(read(spark, sf_dir, "benchmark", "item_id", "text"), k, percent)
+    for n, index in enumerate(indexes):
+
+        def run(batches, index=index):
+            for b in batches:
+                stays = np.ones(b.num_rows, bool)
+                stays[[r for r, _, _ in index.value.search(b.column(at))]] = False
+                yield b.filter(pa.array(stays))
+
+        docs = docs.mapInArrow(run, schema)
+        if n < len(indexes) - 1:  # one index at a time in the executors
+            docs = materialize(docs, "decontaminated")
+    return docs

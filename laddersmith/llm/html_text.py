@@ -29,7 +29,11 @@ _RAW = {"script", "style", "textarea", "title", "xmp", "noframes"}
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 _DROP = set("head script style noscript template nav footer aside form button select option input textarea iframe object embed svg canvas dialog menu audio video map title xmp noframes".split())
 _INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-_BAD = re.compile(r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|menubar|sidebar|side-bar|footer|header|masthead|breadcrumbs?|ads?|advert|adverts|advertisement|advertising|sponsor(?:ed)?|promo|promotion|banner|cookies?|consent|gdpr|notice|notification|alert|popup|modal|overlay|comments?|commentlist|respond|disqus|replies|share|sharing|social|related|recommended|newsletter|subscribe|signup|widget|toolbar|pagination|pager|skip)(?=$|[\s_-]|\d)", re.I)
+#: Parts of a class or id name that tell what is no article, and parts that say nothing. A name counts as the former if all its parts are of the two
+#: kinds and one is of the first: "site-footer" does, "social-history" doesn't.
+_BAD = set("nav navbar navigation menu menubar sidebar footer header masthead breadcrumb breadcrumbs ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notification alert popup modal overlay comment comments commentlist respond disqus replies share sharing social related recommended newsletter subscribe signup widget toolbar pagination pager skip".split())
+_PLAIN = set("site page main global top bottom left right side primary secondary bar box list block wrap wrapper container area section inner outer panel slot unit text link links item items post posts article articles form button buttons icon icons content group row col column js id".split())
+_PARTS = re.compile(r"[\s_-]+")
 _BAD_ROLE = {"navigation", "banner", "contentinfo", "complementary", "search", "menu", "menubar", "dialog", "alert"}
 #: Open elements that a start tag closes, and those that it doesn't look beyond.
 _CLOSES = {
@@ -62,7 +66,7 @@ def _dropped(tag: str, attrs: str, parent: Node) -> bool:
         return False
     for name, a, b, c in _ATTR.findall(attrs):
         name, value = name.lower(), a or b or c
-        if name in ("class", "id") and _BAD.search(value):
+        if name in ("class", "id") and any(_says_no(x) for x in value.lower().split()):
             return True
         if name == "role" and value.lower() in _BAD_ROLE or name == "hidden" or name == "aria-hidden" and value.lower() == "true":
             return True
@@ -71,6 +75,11 @@ def _dropped(tag: str, attrs: str, parent: Node) -> bool:
     return False
 
 
+def _says_no(name: str) -> bool:
+    parts = [x.strip("0123456789") for x in _PARTS.split(name)]
+    return any(x in _BAD for x in parts) and all(x in _BAD or x in _PLAIN or not x for x in parts)
+
+
 def parse(page: str) -> Node:
     """The tree of a page; dropped elements stay as empty marks between blocks."""
     root = now = Node("html", None, False)
@@ -182,17 +191,6 @@ def content(root: Node) -> list[Node]:
     threshold = min((x.density for x in path if x.tag != "html"), default=0.0)
     # a link or another inline part is never content without its block
     most = [next(y for y in _up(x.most) if y.tag not in _INLINE) for x in _walk(root) if x.chars and x.tag not in _INLINE and x.density >= threshold]
-    most = {id(x): x for x in most}
-    # an element that says so outweighs a wrapper around it or a part of it
-    marked = {id(x): next((y for y in _up(x) if y.tag in ("article", "main")), None) for x in (best, *most.values())}
-    found = [x for x in marked.values() if x is not None]
-    if marked[id(best)] is not None:
-        return _outer(root, found)
-    inner = [x for x in _walk(best) if x.tag in ("article", "main")]
-    if inner:
-        top = max(inner, key=lambda x: x.chars)
-        if 2 * top.chars >= best.chars:
-            return _outer(root, [top, *found, *(x for x in inner if x.density >= threshold)])
     # a seed that is one block or a part of one grows to the container with its neighbours
     grown = best
     for x in path[1:]:
@@ -200,7 +198,7 @@ def content(root: Node) -> list[Node]:
             grown = x
         else:
             break
-    return _outer(root, [grown, *most.values()])
+    return _outer(root, [grown, *most])
 
 
 def _up(node: Node | None):

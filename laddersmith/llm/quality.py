@@ -3,30 +3,33 @@
 Base: counts of words, symbols, repeated lines and words in repeated 8-word windows. Method: a public
 vocabulary (pieces with byte fallback) gives each document its characters per token, its share of
 fallback bytes and the entropy of its tokens. A language's bands are the quartiles of its documents
-that pass the base rules, widened by FENCE times their distance, and more for short documents, whose
-measures vary more; a document outside of its language's bands is not kept.
-Documents without language share one more set of bands. All documents count towards the bands.
+that pass the base rules, widened by FENCE times their distance, more for short documents, whose
+measures vary more, and more for languages of few documents; a document outside of its language's bands is not kept.
+Documents without language share one more set of bands. All documents count towards the bands. Quartiles are exact to a STEP: the measures
+are counted in steps, language by language, so they don't depend on the partitioning and no task holds a language's documents.
 
 Each distinct word of a run of texts is encoded once; words don't join across white space in this vocabulary.
 
-Defined results: null or empty texts have zero counts and fail the base rules; their measures are null; a language with fewer than MIN_DOCS
-sound documents has no bands and its documents are judged by the base rules alone; repeated rows are judged alike; extra columns are ignored; an empty table gives an empty result.
+Defined results: null or empty texts have zero counts and fail the base rules; their measures are null; a language without
+sound documents has no bands, and none of its documents is kept (all fail the base rules); repeated rows are judged alike; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from laddersmith.llm import words as W
 from laddersmith.llm.common import materialize, read
 
 U = np.uint64
-#: Widths of the bands in distances of the quartiles; words at which a document's bands are wider by the root of two.
-FENCE, SHORT = 2.0, 200
-MIN_DOCS = 50
+#: Widths of the bands in distances of the quartiles; words at which a document's bands are wider by the root of two;
+#: sound documents at which a language's bands are twice as wide; what the quartiles are exact to.
+FENCE, SHORT, FEW, STEP = 2.0, 200, 50, 0.001
+#: Languages up to which their bands are broadcast.
+LANGUAGES = 10_000
 CACHE = 300_000
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
@@ -154,6 +157,22 @@ def measures(docs: DataFrame, path: str) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, lang string, " + ", ".join(f"{c} long" for c in COUNTS) + ", token_entropy double")
 
 
+def bands(sound: DataFrame, names: dict[str, str]) -> DataFrame:
+    """(_lang, b_docs, <short>1, <short>3): documents and quartiles of each measure of ``names`` (measure: short) by language."""
+    steps = F.explode(F.array(*[F.struct(F.lit(s).alias("s"), F.round(F.col(c) / STEP).cast("long").alias("v")) for c, s in names.items()]))
+    count = sound.select("lang", steps.alias("x")).groupBy("lang", "x.s", "x.v").agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy("lang", "s")
+    below = F.sum("n").over(w.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rank = count.withColumn("below", below).withColumn("all", F.sum("n").over(w))
+    # the least value with a quarter (three quarters) of the documents at or below it
+    at = lambda q: F.min(F.when(F.col("below") >= q * F.col("all"), F.col("v"))) * STEP
+    q = rank.groupBy("lang", "s").agg(F.max("all").alias("b_docs"), at(0.25).alias("q1"), at(0.75).alias("q3"))
+    one = lambda s, c: F.max(F.when(F.col("s") == s, F.col(c)))
+    out = q.groupBy("lang").agg(F.max("b_docs").alias("b_docs"), *[one(s, f"q{i}").alias(f"{s}{i}") for s in names.values() for i in (1, 3)])
+    out = materialize(out.withColumnRenamed("lang", "_lang"), "quality-bands")
+    return F.broadcast(out) if out.count() <= LANGUAGES else out
+
+
 def quality(docs: DataFrame, path: str) -> DataFrame:
     """Base counts, measures, base_failed and kept of each row."""
     m = measures(docs, path)
@@ -164,17 +183,12 @@ def quality(docs: DataFrame, path: str) -> DataFrame:
     m = m.withColumn("_even", F.col("token_entropy") / F.log2(F.greatest(F.col("n_tokens"), F.lit(2)).cast("double")))
     m = materialize(m, "quality-measures")
     names = {"chars_per_token": "cpt", "fallback_share": "fb", "_even": "ev"}
-    aggs = [F.count(F.lit(1)).alias("b_docs")]
-    for c, s in names.items():
-        q = F.percentile_approx(c, [0.25, 0.75], 1000)
-        aggs += [q[0].alias(f"{s}1"), q[1].alias(f"{s}3")]
-    sound = m.where("not base_failed")
-    own = sound.groupBy("lang").agg(*aggs).where(f"b_docs >= {MIN_DOCS}").withColumnRenamed("lang", "_lang")
+    own = bands(m.where("not base_failed"), names)
 
     def outside(c: str, s: str):
         lo, hi = F.col(f"{s}1"), F.col(f"{s}3")
         # quartiles that fall together (no fallback at all) leave a hundredth as slack
-        wide = FENCE * F.greatest(hi - lo, F.lit(0.01) * F.greatest(F.abs(hi), F.lit(1.0))) * F.sqrt(1 + SHORT / F.greatest(F.col("n_words"), F.lit(1)))
+        wide = FENCE * F.greatest(hi - lo, F.lit(0.01) * F.greatest(F.abs(hi), F.lit(1.0))) * F.sqrt(1 + SHORT / F.greatest(F.col("n_words"), F.lit(1))) * (1 + FEW / F.col("b_docs"))
         return (F.col(c) < lo - wide) | (F.col(c) > hi + wide)
 
     j = m.join(own, F.col("lang") == F.col("_lang"), "left")

@@ -7,8 +7,8 @@ are judged by extreme-value statistics (Karlin and Altschul, 1990): a segment of
 tokens has E = K * m * exp(-lambda * S). A document's evidence is the sum of -ln E over
 its significant segments, and a logistic curve turns it into a probability.
 
-The model is fitted on at most SAMPLE labelled documents (drawn by a hash of the id) and keeps
-at most FEATURES features, so what is broadcast has a fixed bound. Every document is scored whole.
+The model is fitted on at most SAMPLE labelled documents (drawn by a hash of the id). A feature counts if it makes up SHARE of
+the sample's tokens, so there are at most 1 / SHARE features a level and what is broadcast has a fixed bound. Every document is scored whole.
 
 Defined results: null or empty texts have no segment and get the curve's value at no evidence;
 without training rows of both classes every score is the share of toxic ones (0 if none);
@@ -30,9 +30,9 @@ from pyspark.sql import functions as F
 from laddersmith.llm import words as W
 from laddersmith.llm.common import fold, read
 
-#: Bounds of the fit: labelled documents, features kept.
+#: Labelled documents that the fit reads at most; the least share of their tokens (and the least number) that makes a feature.
 SAMPLE = 60_000
-FEATURES = 200_000
+SHARE, LEAST = 1e-6, 4
 PREFIXES = (4, 6)
 PRIOR = 10.0
 #: What each token costs; a token must beat it to start a segment.
@@ -111,7 +111,8 @@ def _training(docs: DataFrame, labels: DataFrame) -> DataFrame:
     share = min(1.0, SAMPLE / max(1, lab.count()))
     if share < 1:
         lab = lab.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    return docs.join(F.broadcast(lab), F.col("doc_id") == F.col("_id")).select("text", "toxic")
+    docs = docs.select(F.col("doc_id").alias("_doc"), F.col("text").cast("string").alias("text"))  # other columns' names can't clash
+    return docs.join(F.broadcast(lab), F.col("_doc") == F.col("_id")).select("text", "toxic")
 
 
 def _logit(p: float) -> float:
@@ -135,7 +136,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
                     yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(parent[own][at].view(np.int64)), pa.array(np.full(len(k), n)), pa.array(y1), pa.array(y0)], names=["f", "parent", "level", "y1", "y0"])
 
     counts = train.mapInArrow(count, "f long, parent long, level long, y1 long, y0 long")
-    counts = counts.groupBy("f", "parent", "level").agg(F.sum("y1").alias("y1"), F.sum("y0").alias("y0")).where("y1 + y0 >= 4").persist()
+    counts = counts.groupBy("f", "parent", "level").agg(F.sum("y1").alias("y1"), F.sum("y0").alias("y0")).persist()
     tot = counts.where("level = 0").agg(F.sum("y1"), F.sum("y0")).head()
     n1, n0 = tot[0] or 0, tot[1] or 0
     if not n1 or not n0:
@@ -147,16 +148,23 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     p0 = n1 / (n1 + n0)
     a, b = F.col("y1") + PRIOR * p0, F.col("y0") + PRIOR * (1 - p0)
     z = F.abs((F.log(a / b) - _logit(p0)) / F.sqrt(1 / a + 1 / b))
-    top = counts.withColumn("z", z).where("z >= 2").orderBy(F.desc("z"), "f").limit(FEATURES).drop("z").toPandas()
+    least = max(LEAST, math.ceil(SHARE * (n1 + n0)))
+    top = counts.where(F.col("y1") + F.col("y0") >= least).withColumn("z", z).where("z >= 2").select("level", "f", "parent", "y1", "y0").toArrow()
     counts.unpersist()
-    odds: dict[int, float] = {}
-    for level in range(len(PREFIXES) + 1):
-        for f, parent, y1, y0 in top.loc[top["level"] == level, ["f", "parent", "y1", "y0"]].itertuples(index=False):
-            prior = 1 / (1 + math.exp(-(odds.get(parent, 0.0) + _logit(p0))))
-            odds[f] = _logit((y1 + PRIOR * prior) / (y1 + y0 + PRIOR)) - _logit(p0)
-    keys = np.array(list(odds), np.int64).view(U)
+    level, f, parent, y1, y0 = (top.column(i).to_numpy() for i in range(5))
+    keys, odds = np.zeros(0, np.int64), np.zeros(0)
+    for n in range(len(PREFIXES) + 1):  # a parent is of a level before
+        own = level == n
+        at = np.minimum(np.searchsorted(keys, parent[own]), max(len(keys) - 1, 0))
+        up = np.where(keys[at] == parent[own], odds[at], 0.0) if len(keys) else np.zeros(own.sum())
+        prior = 1 / (1 + np.exp(-(up + _logit(p0))))
+        share = (y1[own] + PRIOR * prior) / (y1[own] + y0[own] + PRIOR)
+        keys, odds = np.concatenate([keys, f[own]]), np.concatenate([odds, np.log(share / (1 - share)) - _logit(p0)])
+        o = np.argsort(keys, kind="stable")
+        keys, odds = keys[o], odds[o]
+    keys = keys.view(U)
     o = np.argsort(keys)
-    m = Model(keys[o], np.array(list(odds.values()))[o])
+    m = Model(keys[o], odds[o])
 
     def judge(batches):
         for b in batches:

@@ -49,7 +49,7 @@ def test_a_small_language_is_not_judged_by_the_others(spark):
     word = "people water house small garden morning letter winter summer street river window table paper".split()
     rows = [(i, " ".join(word[(i * 3 + k * (1 + i % 5)) % len(word)] + ("s" if (i + k) % 3 else "") + " x" * (k % 2) for k in range(120)), "en") for i in range(60)]
     small = "ᚠᚢᚦᚨᚱᚲᚷᚹᚺᚾᛁᛃᛇᛈᛉᛊᛏᛒᛖᛗᛚᛜᛞᛟ"
-    rows += [(100 + i, " ".join(small[k % 20 : k % 20 + 3] + small[(k * 7 + i) % 24] + small[(k * 5) % 23] for k in range(120)), "rn") for i in range(quality.MIN_DOCS - 1)]
+    rows += [(100 + i, " ".join(small[k % 20 : k % 20 + 3] + small[(k * 7 + i) % 24] + small[(k * 5) % 23] for k in range(120)), "rn") for i in range(quality.FEW - 1)]
     got = quality.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string"), str(public_tokenizers.path("piece_bpe_32k.model"))).collect()
     own = [r for r in got if r.doc_id >= 100 and not r.base_failed]
     assert own and all(r.kept for r in own)
