@@ -181,7 +181,10 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str, vocabulary: str = "byte_bpe_m
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The last stage: documents as token ids, with the digests of the round trip."""
+    """The last stage: each row's doc_id, token ids, their number, and the digests of the round trip; other columns end here.
+
+    Null and empty texts have no ids; repeated rows are encoded alike; an empty table gives an empty result.
+    """
     import public_tokenizers
 
     return encode(docs, str(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), public_tokenizers.PATTERN, ids=True)

@@ -227,6 +227,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     limit = max_distance(n_bands(percent) * ROWS, percent / 100 - 0.25)
     links = by_group(small, "key", _bucket_links(limit, percent), "a long, b long", ["node"]).unionByName(stars).distinct()
     family = materialize(components(links, "near-families"), "near-family")
+    discard(keys)
+    discard(buckets)
 
     # the sets of the members alone, once
     sizes = family.groupBy("label").agg(F.count(F.lit(1)).alias("members"))
@@ -266,7 +268,11 @@ def op3_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays (five words, similarity 0.8). Rows without words stay."""
+    """One document of each group stays (five words, similarity 0.8): that of the least doc_id.
+
+    Documents are told apart by doc_id, so rows that share one stay or go together. Null and empty texts, texts without words, and rows
+    without id stay; all columns stay, whatever their names; an empty table gives an empty result.
+    """
     found = near_duplicates(docs, k=5, percent=80).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(found, docs["doc_id"] == found["_gone"], "left_anti")
 

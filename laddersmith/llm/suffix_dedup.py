@@ -228,7 +228,8 @@ def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes repeats of 200 bytes (a passage of 50 words is longer) from the texts; every row stays.
 
-    n_chars is counted anew where a text changed.
+    n_chars is counted anew where a text changed. Null texts stay null, empty ones empty; of repeated rows both lose what they share; all
+    columns stay, whatever their names; an empty table gives an empty result.
     """
     cols = docs.columns
     inner = [c if c in ("doc_id", "text") else f"_c{i}" for i, c in enumerate(cols)]  # names of the documents' own can't clash with ours

@@ -273,7 +273,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a score of THRESHOLD or more go."""
+    """Documents with a score of THRESHOLD or more go.
+
+    Each row is judged by its own text. Null and empty texts stay (unless most training texts are toxic); all columns stay, whatever their names.
+    """
     m = fit(docs, read(spark, sf_dir, "labels", "doc_id", "toxic"))
 
     text_at = docs.columns.index("text")
