@@ -42,7 +42,7 @@ FIRST, END = 0xFF, 0xFE
 #: Symbols that may follow a context: all bytes and the end.
 SYMBOLS = 257
 #: Bytes of text in a block.
-BLOCK = 32 << 20
+BLOCK = 16 << 20
 U = np.uint64
 #: The end's key among words.
 END_WORD = (1 << 64) - 1
@@ -413,8 +413,10 @@ def lm_scores(docs: DataFrame) -> DataFrame:
         value = [np.concatenate([_unpack(t["payload"][i].as_py(), np.float32 if k else np.int64) for i in mine[k]] or [np.zeros(0)]) for k in (0, 1)]
         packed = t["payload"][mine[2][0]].as_py()
         del t
-        docs = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(packed)).read_all().combine_chunks()
+        docs = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(packed)).read_all()
+        del packed
         col = docs.column(1).combine_chunks()
+        docs = docs.select([0, 2])
         n = len(col)
 
         def in_order(keys: np.ndarray, k: int) -> np.ndarray:
@@ -428,11 +430,12 @@ def lm_scores(docs: DataFrame) -> DataFrame:
             runs.append((i, first, u, inv.astype(np.int32)))
             own.add(u, np.zeros(len(u), np.int8))
         keys = own.all()[0]
+        del own
         length = in_order(keys, 1)
         lm = np.zeros(n)
         for i, first, u, inv in runs:
             lm[i : i + len(first) - 1] += _sums(length[np.searchsorted(keys, u)].astype(float)[inv], first)
-        del runs, own, length
+        del runs, length
         found = [(i, *_words(raw, offs)) for i, _, raw, offs in W.chunks(col, CHUNK)]
         keys = np.unique(np.concatenate([np.array([END_WORD], U), *[h for _, h, _ in found]]))
         count = in_order(keys, 0)
@@ -444,7 +447,7 @@ def lm_scores(docs: DataFrame) -> DataFrame:
             n_tokens[r] += np.diff(first)
             n_known[r] += _sums((count[at] > 0).astype(float), first).astype(np.int64)
             base[r] += _sums(cost[at], first)
-        return pa.table({"doc_id": docs.column(0), "held_out": docs.column(2), "n_tokens": n_tokens, "n_known": n_known, "base_score": base, "score": lm})
+        return pa.table({"doc_id": docs.column(0), "held_out": docs.column(1), "n_tokens": n_tokens, "n_known": n_known, "base_score": base, "score": lm})
 
     texts = listed.where("kind = 2").select("block", "kind", "bucket", "payload")
     rows = texts.unionByName(values)
