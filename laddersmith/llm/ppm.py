@@ -47,7 +47,7 @@ U = np.uint64
 #: The end's key among words.
 END_WORD = (1 << 64) - 1
 #: Bytes of text whose strings are sorted together.
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 #: Partitions whose lists of a bucket are merged in one task.
 FAN = 64
 #: Listed strings that are held before they are merged.
@@ -131,6 +131,11 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return _summed(k[o], n[o])
 
 
+def _distinct(k: np.ndarray) -> np.ndarray:
+    """Distinct values of a sorted array."""
+    return k[np.concatenate([[True], k[1:] != k[:-1]])] if len(k) else k
+
+
 def _summed(k: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys of a sorted array, and the sums of what belongs to each."""
     if not len(k):
@@ -424,18 +429,6 @@ def lm_scores(docs: DataFrame) -> DataFrame:
             out[np.argsort(_buckets(k, keys, n_buckets), kind="stable")] = value[k]  # the order of the list: by bucket, then by key
             return out
 
-        runs, own = [], _Lists()
-        for i, first, s in strings(col):
-            u, inv = np.unique(s, return_inverse=True)
-            runs.append((i, first, u, inv.astype(np.int32)))
-            own.add(u, np.zeros(len(u), np.int8))
-        keys = own.all()[0]
-        del own
-        length = in_order(keys, 1)
-        lm = np.zeros(n)
-        for i, first, u, inv in runs:
-            lm[i : i + len(first) - 1] += _sums(length[np.searchsorted(keys, u)].astype(float)[inv], first)
-        del runs, length
         found = [(i, *_words(raw, offs)) for i, _, raw, offs in W.chunks(col, CHUNK)]
         keys = np.unique(np.concatenate([np.array([END_WORD], U), *[h for _, h, _ in found]]))
         count = in_order(keys, 0)
@@ -447,6 +440,16 @@ def lm_scores(docs: DataFrame) -> DataFrame:
             n_tokens[r] += np.diff(first)
             n_known[r] += _sums((count[at] > 0).astype(float), first).astype(np.int64)
             base[r] += _sums(cost[at], first)
+        del found, keys, count, cost
+        # the strings are sorted a second time rather than held, with their places, all at once
+        keys = np.zeros(0, U)
+        for _, _, s in strings(col):
+            keys = np.unique(np.concatenate([keys, _distinct(np.sort(s))]))
+        length = in_order(keys, 1)
+        lm = np.zeros(n)
+        for i, first, s in strings(col):
+            u, inv = np.unique(s, return_inverse=True)
+            lm[i : i + len(first) - 1] += _sums(length[np.searchsorted(keys, u)].astype(float)[inv], first)
         return pa.table({"doc_id": docs.column(0), "held_out": docs.column(1), "n_tokens": n_tokens, "n_known": n_known, "base_score": base, "score": lm})
 
     texts = listed.where("kind = 2").select("block", "kind", "bucket", "payload")
