@@ -42,7 +42,7 @@ class Index:
         for i, j, raw, offs in W.chunks(col):
             wh, _, _, first = W.word_hashes(W.LOWER[raw], offs, W.SPACE)
             sh, at = W.shingle_hashes(wh, first, k)
-            self.sets += [np.unique(sh[at[r] : at[r + 1]]) for r in range(j - i)]
+            self.sets += [W.distinct(sh[at[r] : at[r + 1]]) for r in range(j - i)]
         self.ids, self.k, self.percent = np.array(ids, np.int64), k, percent
         keys, items = [], []
         for i, s in enumerate(self.sets):
@@ -74,7 +74,7 @@ class Index:
         for p in pairs.tolist():
             r, item = divmod(p, len(self.ids))
             if r != last:
-                last, own = r, np.unique(shingles[at[r] : at[r + 1]])
+                last, own = r, W.distinct(shingles[at[r] : at[r + 1]])
             s = self.sets[item]
             pos = np.minimum(np.searchsorted(own, s), len(own) - 1)
             common = int((own[pos] == s).sum())

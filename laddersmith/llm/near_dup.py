@@ -42,7 +42,7 @@ def shingle_sets(col: pa.Array, k: int) -> Iterator[tuple[int, list[np.ndarray]]
     for i, j, raw, offs in W.chunks(col):
         wh, _, _, first = W.word_hashes(W.LOWER[raw], offs, W.SPACE)
         sh, at = W.shingle_hashes(wh, first, k)
-        yield i, [np.unique(sh[at[r] : at[r + 1]]) for r in range(j - i)]
+        yield i, [W.distinct(sh[at[r] : at[r + 1]]) for r in range(j - i)]
 
 
 def set_digests(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

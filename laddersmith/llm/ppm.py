@@ -51,7 +51,7 @@ CHUNK = 1 << 20
 #: Partitions whose lists of a bucket are merged in one task.
 FAN = 64
 #: Listed strings that are held before they are merged.
-HELD = 8 << 20
+HELD = 1 << 20
 
 
 def strings(col: pa.Array):
@@ -131,11 +131,6 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return _summed(k[o], n[o])
 
 
-def _distinct(k: np.ndarray) -> np.ndarray:
-    """Distinct values of a sorted array."""
-    return k[np.concatenate([[True], k[1:] != k[:-1]])] if len(k) else k
-
-
 def _summed(k: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys of a sorted array, and the sums of what belongs to each."""
     if not len(k):
@@ -247,7 +242,7 @@ def log_probabilities(keys: np.ndarray, n: np.ndarray, low: np.ndarray) -> np.nd
             return out
         if order > 1:
             c = ctx & U((1 << (8 * order)) - 1)
-            known = np.unique(c[seen])
+            known = W.distinct(c[seen])
             if len(known):
                 pair, inv = np.unique((c[seen] << U(8)) | sym[seen].astype(U), return_inverse=True)
                 count = np.bincount(inv, n[seen])
@@ -430,7 +425,7 @@ def lm_scores(docs: DataFrame) -> DataFrame:
             return out
 
         found = [(i, *_words(raw, offs)) for i, _, raw, offs in W.chunks(col, CHUNK)]
-        keys = np.unique(np.concatenate([np.array([END_WORD], U), *[h for _, h, _ in found]]))
+        keys = W.distinct(np.concatenate([np.array([END_WORD], U), *[h for _, h, _ in found]]))
         count = in_order(keys, 0)
         cost = np.log10((count + 1) / denominator)
         end = np.searchsorted(keys, U(END_WORD))
@@ -444,7 +439,7 @@ def lm_scores(docs: DataFrame) -> DataFrame:
         # the strings are sorted a second time rather than held, with their places, all at once
         keys = np.zeros(0, U)
         for _, _, s in strings(col):
-            keys = np.unique(np.concatenate([keys, _distinct(np.sort(s))]))
+            keys = W.distinct(np.concatenate([keys, W.distinct(s)]))
         length = in_order(keys, 1)
         lm = np.zeros(n)
         for i, first, s in strings(col):
