@@ -57,46 +57,51 @@ def _full(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.prepare(joins.with_rosters(_games(spark, sf_dir), fixtures.rosters(spark, sf_dir)))
 
 
-def _whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """_full() of all orders, for the queries without SQL."""
-    return folds.prepare(joins.with_rosters(fixtures.all_games(spark, sf_dir), fixtures.rosters(spark, sf_dir)))
-
-
 def _tables(spark: SparkSession, sf_dir: str, *names_: str) -> list[DataFrame]:
     return [spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in names_]
 
 
 # ---- the flagship: Elo before each game -------------------------------------------------
 
+#: Ratings stand as differences from the start. A team's shares are a vector over all players, so a step is two inner products and one sum of vectors.
 _ELO = f"""
 WITH RECURSIVE {CTE},
 ids AS (SELECT player, row_number() OVER (ORDER BY player) AS i FROM (SELECT DISTINCT r.player FROM rosters r JOIN games g ON r.team = g.team1 OR r.team = g.team2)),
-arr AS (SELECT team, list(i ORDER BY i) AS xs FROM (SELECT DISTINCT team, player FROM rosters) JOIN ids USING (player) GROUP BY team),
-seqd AS (SELECT row_number() OVER (ORDER BY ts NULLS LAST, game_id) AS k, game_id, score1 AS s1, score2 AS s2, CASE WHEN tournament <> '' THEN 1.514 ELSE 1.0 END AS mult,
-  coalesce(a.xs, []) AS r1, coalesce(b.xs, []) AS r2 FROM games LEFT JOIN arr a ON a.team = team1 LEFT JOIN arr b ON b.team = team2),
+member AS (SELECT team, player, 1.0::DOUBLE / count(*) OVER (PARTITION BY team) AS w FROM (SELECT DISTINCT team, player FROM rosters)),
+named AS (SELECT team1 AS team FROM games UNION SELECT team2 FROM games),
+teams AS (SELECT n.team, bool_or(m.player IS NOT NULL) AS known, list(coalesce(m.w, 0.0) ORDER BY i) AS w FROM named n CROSS JOIN ids LEFT JOIN member m ON m.team = n.team AND m.player = ids.player GROUP BY n.team),
+seqd AS (SELECT row_number() OVER (ORDER BY ts NULLS LAST, game_id) AS k, game_id, score1 AS s1, score2 AS s2, CASE WHEN tournament <> '' THEN 1.514 ELSE 1.0 END AS mult, team1, team2 FROM games),
 fold AS (
-  SELECT 0::BIGINT AS k, NULL::BIGINT AS game_id, NULL::DOUBLE AS p, (SELECT list(1000.0::DOUBLE ORDER BY i) FROM ids) AS st
+  SELECT 0::BIGINT AS k, NULL::BIGINT AS game_id, NULL::DOUBLE AS p, (SELECT list(0.0::DOUBLE ORDER BY i) FROM ids) AS st
   UNION ALL
-  SELECT k, game_id, p, list_transform(st, lambda x, j: x + CASE WHEN list_contains(r1, j) THEN c / len(r1) ELSE 0 END - CASE WHEN list_contains(r2, j) THEN c / len(r2) ELSE 0 END)
+  SELECT k, game_id, p, list_transform(list_zip(st, w1, w2), lambda x: x[1] + c * (x[2] - x[3]))
   FROM (SELECT *, 346.446 * CASE WHEN abs(s1 - s2) <= 1 THEN 1.0 WHEN abs(s1 - s2) = 2 THEN 1.5 ELSE (11 + abs(s1 - s2)) / 8.0 END * mult
-      * (CASE WHEN s1 > s2 THEN 1.0 WHEN s1 < s2 THEN 0.0 ELSE 0.5 END - CASE WHEN len(r1) = 0 OR len(r2) = 0 THEN 0.5 ELSE p END) AS c
-    FROM (SELECT q.k, q.game_id, q.s1, q.s2, q.mult, q.r1, q.r2, f.st,
-        1.0 / (1.0 + pow(10.0, (coalesce(list_avg(list_transform(q.r2, lambda i: f.st[i])), 1000.0) - coalesce(list_avg(list_transform(q.r1, lambda i: f.st[i])), 1000.0)) / 400.0)) AS p
-      FROM fold f JOIN seqd q ON q.k = f.k + 1)))
+      * (CASE WHEN s1 > s2 THEN 1.0 WHEN s1 < s2 THEN 0.0 ELSE 0.5 END - CASE WHEN k1 AND k2 THEN p ELSE 0.5 END) AS c
+    FROM (SELECT q.k, q.game_id, q.s1, q.s2, q.mult, a.w AS w1, b.w AS w2, a.known AS k1, b.known AS k2, f.st,
+        1.0 / (1.0 + pow(10.0, (list_inner_product(b.w, f.st) - list_inner_product(a.w, f.st)) / 400.0)) AS p
+      FROM fold f JOIN seqd q ON q.k = f.k + 1 JOIN teams a ON a.team = q.team1 JOIN teams b ON b.team = q.team2)))
 """
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return folds.catalyst_elo(_full(spark, sf_dir)).select("game_id", _r6("p"))
+    return elo_pregame(spark, sf_dir)
 
 
 @query(_ELO + "SELECT game_id, round(p, 6) AS p FROM fold WHERE k > 0")
 def elo_pregame(spark, sf_dir):
-    """One task for each league."""
+    """A stream for each league."""
     return folds.fold(_full(spark, sf_dir), lambda p: MODELS["elo"](**p)).select("game_id", _r6("p"))
 
 
-_METRICS = """SELECT round(avg(-ln(CASE WHEN y THEN q ELSE 1 - q END)), 6) AS nll, round(avg((q - y::INT) * (q - y::INT)), 6) AS brier, round(avg(((p >= 0.5) = y)::INT), 6) AS accuracy, count(*) AS n
+@query(_ELO + "SELECT game_id, round(p, 6) AS p FROM fold WHERE k > 0")
+def elo_pregame_named(spark, sf_dir):
+    """M1 over games as files have them: text scores and flags, players by name."""
+    r = fixtures.rosters(spark, sf_dir).select("team", F.concat(F.lit("Player "), F.col("player").cast("string")).alias("player"))
+    g = _games(spark, sf_dir).withColumn("score1", F.col("score1").cast("string")).withColumn("score2", F.concat(F.lit(" "), F.col("score2").cast("string")))
+    return folds.fold(folds.prepare(joins.with_rosters(g, r)), lambda p: MODELS["elo"](**p)).select("game_id", _r6("p"))
+
+
+_METRICS = """SELECT round(avg(-ln(CASE WHEN y THEN q ELSE 1 - q END)), 6) AS nll, round(avg((q - y::INT) * (q - y::INT)), 6) AS brier, round(avg(((p >= 0.499999999) = y)::INT), 6) AS accuracy, count(*) AS n
 FROM (SELECT p, least(greatest(p, 1e-12), 1 - 1e-12) AS q, score1 > score2 AS y FROM fold JOIN games USING (game_id) WHERE score1 <> score2)"""
 
 
@@ -131,32 +136,35 @@ def time_formats(spark, sf_dir):
 
 
 @query(r"""SELECT p_partkey AS id, trim(regexp_replace(lower(t), '[^\p{L}\p{N}]+', ' ', 'g')) AS lookup, string_split_regex(trim(lower(t)), '\s+')[-1] AS last,
-trim(regexp_replace(regexp_replace(string_split(t, ' |')[1], '\d+\s*[-–—]\s*\d+', ' ', 'g'), '\s+', ' ', 'g')) AS team, trim(string_split(t, '(')[1]) AS header
-FROM (SELECT p_partkey, p_name || ' ' || p_size || '-' || (p_partkey % 7) || ' (' || p_brand || ') | ' || p_type AS t FROM part)""")
+trim(regexp_replace(trim(regexp_replace(trim(regexp_replace(regexp_replace(t, '\s+\|.*$', ''), '\s+', ' ', 'g')), '\d+[-–—]\d+', '', 'g')), '(?i)\b(vs?|@)\b\.?', '', 'g')) AS team,
+trim(string_split_regex(string_split_regex(regexp_replace(t, '^(\.*[^.].*)\.[^.]*$', '\1'), '\s(?:[|\x{FF5C}\-–—])\s')[1], '\s*\(')[1]) AS header
+FROM (SELECT p_partkey, p_name || '  ' || p_size || '-' || (p_partkey % 7) || CASE p_partkey % 5 WHEN 0 THEN ' vs. ' || p_name WHEN 1 THEN ' 3 - 2' WHEN 2 THEN ' ｜ x.html' WHEN 3 THEN ' V others' ELSE '' END || ' (' || p_brand || ') | ' || p_type AS t FROM part)""")
 def name_normalisation(spark, sf_dir):
     """F4, F5, F6, F8"""
     (p,) = _tables(spark, sf_dir, "part")
-    t = F.concat("p_name", F.lit(" "), F.col("p_size").cast("string"), F.lit("-"), (F.col("p_partkey") % 7).cast("string"), F.lit(" ("), "p_brand", F.lit(") | "), "p_type")
+    k = F.col("p_partkey") % 5
+    more = F.when(k == 0, F.concat(F.lit(" vs. "), "p_name")).when(k == 1, " 3 - 2").when(k == 2, " ｜ x.html").when(k == 3, " V others").otherwise("")
+    t = F.concat("p_name", F.lit("  "), F.col("p_size").cast("string"), F.lit("-"), (F.col("p_partkey") % 7).cast("string"), more, F.lit(" ("), "p_brand", F.lit(") | "), "p_type")
     return p.select(F.col("p_partkey").alias("id"), names.lookup_key(t).alias("lookup"), names.last_name(t).alias("last"), names.clean_team_name(t).alias("team"), names.clean_header(t).alias("header"))
 
 
-@query(r"""SELECT page_id, CASE WHEN h <> '' THEN h WHEN t <> '' THEN trim(string_split(string_split_regex(t, '\s[|\-–—]\s')[1], '(')[1]) END AS header FROM (SELECT page_id,
-trim(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<h1\b[^>]*>(.*?)</h1>', 1), '<[^>]*>', '', 'g'), '\s+', ' ', 'g')) AS h,
-trim(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<title\b[^>]*>(.*?)</title>', 1), '<[^>]*>', '', 'g'), '\s+', ' ', 'g')) AS t FROM pages)""")
+@query(r"""SELECT page_id, CASE WHEN h <> '' THEN h WHEN t <> '' THEN t END AS header FROM (SELECT page_id,
+trim(regexp_replace(regexp_extract(html, '(?is)<h1\b[^>]*>(.*?)</h1>', 1), '(?:\s*<[^>]*>\s*)+', ' ', 'g')) AS h,
+trim(string_split_regex(trim(regexp_replace(regexp_extract(html, '(?is)<title\b[^>]*>(.*?)</title>', 1), '(?:\s*<[^>]*>\s*)+', ' ', 'g')), '\s\|\sLeague and Tournament Scheduler')[1]) AS t FROM pages)""")
 def page_headers(spark, sf_dir):
     """S14"""
     (p,) = _tables(spark, sf_dir, "pages")
     return p.select("page_id", html_files.header(F.col("html")).alias("header"))
 
 
-@query("""SELECT l_orderkey, l_linenumber, round(p_elo, 6) AS p_elo, round(f, 6) AS f, round(w, 6) AS w, round(l, 6) AS l, round(wt, 6) AS wt, round(ll, 6) AS ll, round(ph, 6) AS ph FROM (
+@query("""SELECT l_orderkey, l_linenumber, round(p_elo, 6) AS p_elo, round(f, 6) AS f, round(w, 6) AS w, round(l, 6) AS l, round(wt, 6) AS wt, round(ll, 6) AS ll, round(ph, 6) AS ph, round(lg, 6) AS lg FROM (
 SELECT l_orderkey, l_linenumber, """ + f"""{rating_math.elo_expected('1000 + l_quantity', '1000 + 10 * l_linenumber')} AS p_elo, {rating_math.goal_factor('l_linenumber')} AS f, {rating_math.davidson('(l_quantity - 25) / 10', 0.3)[0]} AS w,
-{rating_math.davidson('(l_quantity - 25) / 10', 0.3)[1]} AS l, {rating_math.game_weight('l_linenumber', 'l_discount * 100', 0.98)} AS wt, {rating_math.margin_likelihood('l_discount', 'l_linenumber', 5.9)} AS ll, {rating_math.normal_cdf('((l_quantity - 25) / 4.2)')} AS ph FROM lineitem)""")
+{rating_math.davidson('(l_quantity - 25) / 10', 0.3)[1]} AS l, {rating_math.game_weight('l_linenumber', 'l_discount * 100', 0.98)} AS wt, {rating_math.margin_likelihood('l_discount', 'l_linenumber', 5.9)} AS ll, {rating_math.normal_cdf('((l_quantity - 25) / 4.2)')} AS ph, {rating_math.logistic('(l_quantity - 25) / 10')} AS lg FROM lineitem)""")
 def rating_formulas(spark, sf_dir):
     """One expression text for both engines."""
     (li,) = _tables(spark, sf_dir, "lineitem")
     d = "(l_quantity - 25) / 10"
-    e = {"p_elo": rating_math.elo_expected("1000 + l_quantity", "1000 + 10 * l_linenumber"), "f": rating_math.goal_factor("l_linenumber"), "w": rating_math.davidson(d, 0.3)[0], "l": rating_math.davidson(d, 0.3)[1], "wt": rating_math.game_weight("l_linenumber", "l_discount * 100", 0.98), "ll": rating_math.margin_likelihood("l_discount", "l_linenumber", 5.9), "ph": rating_math.normal_cdf("((l_quantity - 25) / 4.2)")}
+    e = {"p_elo": rating_math.elo_expected("1000 + l_quantity", "1000 + 10 * l_linenumber"), "f": rating_math.goal_factor("l_linenumber"), "w": rating_math.davidson(d, 0.3)[0], "l": rating_math.davidson(d, 0.3)[1], "wt": rating_math.game_weight("l_linenumber", "l_discount * 100", 0.98), "ll": rating_math.margin_likelihood("l_discount", "l_linenumber", 5.9), "ph": rating_math.normal_cdf("((l_quantity - 25) / 4.2)"), "lg": rating_math.logistic(d)}
     return li.select("l_orderkey", "l_linenumber", *[F.round(F.expr(x), 6).alias(n) for n, x in e.items()])
 
 
@@ -248,13 +256,13 @@ def game_ages(spark, sf_dir):
     return g.crossJoin(F.broadcast(ref)).select("game_id", F.round(times.days(F.col("ts")), 6).alias("days"), F.round(times.weeks_ago(F.col("ts"), F.col("ref")), 6).alias("weeks"))
 
 
-@query(f"""WITH {CTE}, old AS (SELECT * FROM games WHERE game_id % 40 = 0), new AS (SELECT * FROM games WHERE game_id % 60 = 0)
+@query(f"""WITH {CTE}, old AS (SELECT * FROM games WHERE game_id % 3 <> 0), new AS (SELECT * FROM games)
 SELECT game_id, epoch(ts)::BIGINT AS ts FROM old UNION ALL SELECT game_id, epoch(ts)::BIGINT FROM new n WHERE NOT EXISTS (SELECT 1 FROM old o WHERE o.ts = n.ts AND (o.team1 = n.team1 AND o.team2 = n.team2 OR o.team1 = n.team2 AND o.team2 = n.team1))""")
 def merged_games(spark, sf_dir):
-    """Additions that aren't there yet, appended and put in order."""
+    """All games as additions to two thirds of them: those that aren't there yet, appended and put in order."""
     g = _games(spark, sf_dir)
-    old = g.where("game_id % 40 = 0")
-    return sinks.merged_games(old, joins.new_games(g.where("game_id % 60 = 0"), old)).select("game_id", _epoch("ts"))
+    old = g.where("game_id % 3 <> 0")
+    return sinks.merged_games(old, joins.new_games(g, old)).select("game_id", _epoch("ts"))
 
 
 @query(f"""WITH {CTE} SELECT game_id, team1, team2 FROM games QUALIFY row_number() OVER (PARTITION BY ts ORDER BY game_id DESC) = 1""")
@@ -293,6 +301,12 @@ def player_team_lists(spark, sf_dir):
     return stats.player_teams(fixtures.rosters(spark, sf_dir))
 
 
+@query(f"WITH {CTE} SELECT DISTINCT player FROM rosters")
+def distinct_players(spark, sf_dir):
+    """A18"""
+    return stats.distinct_players(fixtures.rosters(spark, sf_dir))
+
+
 @query("SELECT trim(p_brand) AS name, count(*) AS n FROM part WHERE trim(p_brand) <> '' GROUP BY 1")
 def cell_counts(spark, sf_dir):
     """A1"""
@@ -343,18 +357,28 @@ def head_to_head(spark, sf_dir):
     return stats.head_to_head(_h2h(spark, sf_dir)).select("player", _r6("rating"))
 
 
-@query("""WITH s AS (SELECT user_id, list(value ORDER BY ts, event_id) AS x FROM events GROUP BY user_id), d AS (SELECT user_id, len(x) AS n, list_transform(x, lambda v: v - list_avg(x)) AS d FROM s),
+_ESS = """WITH s AS (SELECT user_id, list(value ORDER BY ts, event_id) AS x FROM events GROUP BY user_id), d AS (SELECT user_id, len(x) AS n, list_transform(x, lambda v: v - list_avg(x)) AS d FROM s),
 c AS (SELECT user_id, n, d, list_sum(list_transform(d, lambda v: v * v)) / n AS c0 FROM d),
 k AS (SELECT user_id, n, c0, k, list_sum(list_transform(range(1, n - k + 1), lambda i: d[i] * d[i + k])) / (n - k) / c0 AS r FROM c, unnest(range(1, least(50, n - 1) + 1)) t(k) WHERE n > 1 AND c0 > 0),
 stop AS (SELECT user_id, coalesce(min(k) FILTER (r <= 0), 1000) AS stop FROM k GROUP BY user_id),
 tot AS (SELECT user_id, sum(CASE WHEN k < stop THEN r ELSE 0 END) AS t FROM k JOIN stop USING (user_id) GROUP BY user_id)
-SELECT user_id, n::BIGINT AS n, round(CASE WHEN n <= 1 THEN n ELSE n / (1 + 2 * t) END, 6) AS ess FROM c LEFT JOIN tot USING (user_id) WHERE n <= 1 OR c0 > 0""")
+"""
+
+
+@query(_ESS + """SELECT user_id, n::BIGINT AS n, round(CASE WHEN n <= 1 THEN n ELSE n / (1 + 2 * t) END, 6) AS ess FROM c LEFT JOIN tot USING (user_id) WHERE n <= 1 OR c0 > 0""")
 def sample_sizes(spark, sf_dir):
     """A13, E10, W5"""
     (e,) = _tables(spark, sf_dir, "events")
     return stats.effective_sample_size(e, "user_id", ["ts", "event_id"], "value").where("not isnan(ess)").select("user_id", "n", _r6("ess"))
 
 
+@query(_ESS + """SELECT user_id, n::BIGINT AS n, round(CASE WHEN n <= 1 THEN n WHEN c0 > 0 THEN n / (1 + 2 * t) ELSE 'nan'::DOUBLE END, 3) AS ess FROM c LEFT JOIN tot USING (user_id)""")
+def sample_size_report(spark, sf_dir):
+    """Most values first; series without variance have none."""
+    (e,) = _tables(spark, sf_dir, "events")
+    return stats.ess_report(stats.effective_sample_size(e, "user_id", ["ts", "event_id"], "value"), "user_id")
+
+
 @query(f"""WITH {CTE}, {_SIDES}, x AS (SELECT player, count(*)::BIGINT AS n FROM sides JOIN rosters USING (team) GROUP BY player)
 SELECT count(*) AS players, median(n)::DOUBLE AS median_n, count(*) FILTER (n >= 20) AS many_games FROM x""")
 def sample_size_summary(spark, sf_dir):
@@ -429,10 +453,10 @@ def first_games_of_teams(spark, sf_dir):
 
 @query(_ELO + """, sd AS (SELECT game_id, ts, team1 AS team, false AS flipped, score1, score2 FROM games UNION ALL SELECT game_id, ts, team2, true, score1, score2 FROM games),
 f AS (SELECT team, min(ts) AS first_ts FROM sd GROUP BY team), base AS (SELECT f.team, count(g.game_id) AS k FROM f LEFT JOIN games g ON g.ts < f.first_ts GROUP BY f.team),
-pr AS (SELECT sd.team, sd.flipped, sd.score1, sd.score2, 1.0 / (1.0 + pow(10.0, (coalesce(list_avg(list_transform(q.r2, lambda i: fo.st[i])), 1000.0) - coalesce(list_avg(list_transform(q.r1, lambda i: fo.st[i])), 1000.0)) / 400.0)) AS p0
-  FROM sd JOIN base USING (team) JOIN fold fo ON fo.k = base.k JOIN seqd q ON q.game_id = sd.game_id),
+pr AS (SELECT sd.team, sd.flipped, sd.score1, sd.score2, 1.0 / (1.0 + pow(10.0, (list_inner_product(b.w, fo.st) - list_inner_product(a.w, fo.st)) / 400.0)) AS p0
+  FROM sd JOIN base USING (team) JOIN fold fo ON fo.k = base.k JOIN seqd q ON q.game_id = sd.game_id JOIN teams a ON a.team = q.team1 JOIN teams b ON b.team = q.team2),
 pq AS (SELECT team, CASE WHEN flipped THEN 1 - p0 ELSE p0 END AS p, (score1 > score2) = (NOT flipped) AS y FROM pr WHERE score1 <> score2),
-tm AS (SELECT team, avg(-ln(CASE WHEN y THEN least(greatest(p, 1e-12), 1 - 1e-12) ELSE 1 - least(greatest(p, 1e-12), 1 - 1e-12) END)) AS nll, avg((p - y::INT) * (p - y::INT)) AS brier, avg(((p >= 0.5) = y)::INT) AS hit FROM pq GROUP BY team)
+tm AS (SELECT team, avg(-ln(CASE WHEN y THEN least(greatest(p, 1e-12), 1 - 1e-12) ELSE 1 - least(greatest(p, 1e-12), 1 - 1e-12) END)) AS nll, avg((p - y::INT) * (p - y::INT)) AS brier, avg(((p >= 0.499999999) = y)::INT) AS hit FROM pq GROUP BY team)
 SELECT round(avg(nll), 6) AS mean_nll, round(avg(brier), 6) AS mean_brier, round(avg(hit), 6) AS mean_accuracy, count(*) AS teams FROM tm""")
 def elo_new_team_metrics(spark, sf_dir):
     """E3, A11"""
@@ -442,9 +466,9 @@ def elo_new_team_metrics(spark, sf_dir):
 
 def _ratings(model: str):
     def f(spark, sf_dir):
-        return history.run_model(_whole(spark, sf_dir), model)
+        return history.run_model(_full(spark, sf_dir), model, rosters=fixtures.rosters(spark, sf_dir))
 
-    f.__name__, f.__doc__ = f"ratings_{model}", f"The rating history of {model}."
+    f.__name__, f.__doc__ = f"ratings_{model}", f"E11: the rating history of {model}, with a first row for every player."
     return query()(f)
 
 
@@ -455,20 +479,26 @@ for _m in MODELS:
 @query()
 def ttt_curves(spark, sf_dir):
     """M4: learning curves after forward and backward sweeps."""
-    return history.curves(_whole(spark, sf_dir))
+    return history.curves(_full(spark, sf_dir))
+
+
+@query()
+def ttt_forward_vs_converged(spark, sf_dir):
+    """Filtered against converged skills."""
+    return history.forward_against_converged(_full(spark, sf_dir))[1]
 
 
 @query()
 def trueskill_chrono_metrics(spark, sf_dir):
     """E1 over M2"""
-    g = _whole(spark, sf_dir)
+    g = _full(spark, sf_dir)
     return evaluation.chrono_metrics(evaluation.chrono_predictions(g, "trueskill"), g)
 
 
 @query()
 def bt_mov_chrono_metrics(spark, sf_dir):
     """A batch fit of all earlier games before each game."""
-    g = _whole(spark, sf_dir)
+    g = _full(spark, sf_dir)
     return evaluation.chrono_metrics(evaluation.chrono_predictions(g, "bt_mov"), g)
 
 
@@ -476,7 +506,7 @@ def bt_mov_chrono_metrics(spark, sf_dir):
 def elo_search(spark, sf_dir):
     """A seeded search, trials side by side."""
     spec = {"k": {"type": "float", "low": 50.0, "high": 500.0}, "tournament_factor": {"type": "float", "low": 1.0, "high": 2.0}}
-    return evaluation.best_trial(evaluation.search(_whole(spark, sf_dir), "elo", spec, 8))
+    return evaluation.best_trial(evaluation.search(_full(spark, sf_dir), "elo", spec, 8))
 
 
 @query()
@@ -497,20 +527,20 @@ def alias_canonical(spark, sf_dir):
 @query()
 def stint_coefficients(spark, sf_dir):
     """B6"""
-    return stint.fit(_whole(spark, sf_dir))[0]
+    return stint.fit(_full(spark, sf_dir))[0]
 
 
 @query()
 def export_document(spark, sf_dir):
-    """K7, E12, S16-S18"""
-    g, r = fixtures.all_games(spark, sf_dir), fixtures.rosters(spark, sf_dir)
-    h = history.sequential_history(_whole(spark, sf_dir), "elo")
-    return export.document(h, g, r, "elo")
+    """The document's parts, a JSON line each."""
+    g, r = fixtures.games(spark, sf_dir), fixtures.rosters(spark, sf_dir)
+    h = history.sequential_history(_full(spark, sf_dir), "elo")
+    return export.parts(h, g, r, "elo")
 
 
 @query()
 def wide_rating_history(spark, sf_dir):
     """K1: the wide form, a column for each player."""
-    h = history.sequential_history(_whole(spark, sf_dir), "elo")
+    h = history.sequential_history(_full(spark, sf_dir), "elo")
     who = [r.player for r in h.select("player").distinct().orderBy("player").collect()]
     return sinks.wide_history(h, who)

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import math
 
+# Coefficients of the approximation of the normal distribution function.
+CDF_NUM = [3.52624965998911e-02, 0.700383064443688, 6.37396220353165, 33.912866078383, 112.079291497871, 221.213596169931, 220.206867912376]
+CDF_DEN = [8.83883476483184e-02, 1.75566716318264, 16.064177579207, 86.7807322029461, 296.564248779674, 637.333633378831, 793.826512519948, 440.413735824752]
+
 
 def normal_cdf(x: str) -> str:
     """Standard normal distribution function (Hart's rational approximation), about 1e-15."""
     a = f"abs({x})"
-    # Coefficients of the approximation.
-    num = [3.52624965998911e-02, 0.700383064443688, 6.37396220353165, 33.912866078383, 112.079291497871, 221.213596169931, 220.206867912376]
-    den = [8.83883476483184e-02, 1.75566716318264, 16.064177579207, 86.7807322029461, 296.564248779674, 637.333633378831, 793.826512519948, 440.413735824752]
+    num, den = CDF_NUM, CDF_DEN
 
     def horner(cs: list[float]) -> str:
         out = f"{cs[0]:.17e}"

@@ -1,38 +1,62 @@
 """Ordered folds of games through rating models.
 
-catalyst_elo() is an aggregate over a sorted array and needs no Python; fold() runs any model, one
-grouped task for each league (games that share no player, directly or through others) and trial.
+catalyst_elo() is an aggregate over a sorted array and needs no Python; fold() streams the games of each league (games that share no
+player, directly or through others), trial and segment in order through a model, a batch at a time: no task holds a league's rows.
 Order is (ts nulls last, game_id).
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from laddersmith.functions.scores import flag, strict_int
 from laddersmith.operators.graph import player_leagues
 from laddersmith.operators.sequential import Game
-from laddersmith.session import ship
+from laddersmith.session import parallelism, ship
+
+#: What a model reads of a game.
+COLUMNS = ["game_id", "ts", "day", "team1", "team2", "r1", "r2", "s1", "s2", "outcome_only", "tournament", "on_court"]
+#: Rows that are gathered before they leave a task.
+OUT = 20_000
+
+
+def _game(r: dict) -> Game:
+    day, s1, s2, court = r["day"], r["s1"], r["s2"], r.get("on_court")
+    known = [x is not None and x == x for x in (s1, s2)]
+    return Game(
+        r["game_id"], None if day is None or day != day else float(day), list(r["r1"]), list(r["r2"]), int(s1) if known[0] else 0, int(s2) if known[1] else 0, readable=all(known),
+        outcome_only=bool(r.get("outcome_only")), tournament=bool(r.get("tournament")), on_court=8 if court is None or court != court else int(court), teams=(r["team1"], r["team2"]) if "team1" in r else None,
+    )
 
 
 def as_games(pdf: pd.DataFrame) -> list[Game]:
     """Rows (game_id, day, r1, r2, s1, s2, ...) as games in order."""
-    pdf = pdf.sort_values(["day", "game_id"], na_position="last")
-    extra = [c for c in ("readable", "outcome_only", "tournament", "on_court") if c in pdf.columns]
-    out = []
-    for r in pdf.to_dict("records"):
-        day = r["day"]
-        out.append(Game(r["game_id"], None if pd.isna(day) else float(day), list(r["r1"]), list(r["r2"]), int(r["s1"]), int(r["s2"]), **{c: r[c] for c in extra}))
-    return out
+    return [_game(r) for r in pdf.sort_values(["day", "game_id"], na_position="last").to_dict("records")]
+
+
+def prepare(games: DataFrame, on_court: int = 8) -> DataFrame:
+    """Games with rosters (with_rosters()) to what the models read; both the readers' typed games and raw text columns will do.
+
+    Scores that are no integers are null; each model has its own rule for them. ``on_court``: players on court where the game doesn't say.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in games.schema}
+    score = lambda n: F.col(f"s{n}").cast("int") if f"s{n}" in kinds else strict_int(F.col(f"score{n}").cast("string"))
+    mark = lambda c: F.coalesce(F.col(c), F.lit(False)) if kinds[c] == "boolean" else flag(F.col(c))
+    court = F.coalesce(F.col("players_on_court"), F.lit(on_court)) if "players_on_court" in kinds else F.lit(on_court)
+    return games.select(
+        "game_id", "ts", (F.unix_timestamp("ts") / 86400.0).alias("day"), "team1", "team2", "r1", "r2", score(1).alias("score1"), score(2).alias("score2"),
+        score(1).alias("s1"), score(2).alias("s2"), mark("outcome_only").alias("outcome_only"), mark("tournament").alias("tournament"), court.cast("int").alias("on_court"),
+    )
 
 
-def prepare(games: DataFrame) -> DataFrame:
-    """Fixture-shaped games with rosters to what the models read."""
-    blank = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) != ""
-    return games.select("game_id", "ts", (F.unix_timestamp("ts") / 86400.0).alias("day"), "team1", "team2", "r1", "r2", "score1", "score2", F.col("score1").cast("int").alias("s1"), F.col("score2").cast("int").alias("s2"), blank("outcome_only").alias("outcome_only"), blank("tournament").alias("tournament"))
+def player_type(games: DataFrame) -> str:
+    return games.schema["r1"].dataType.elementType.simpleString()
 
 
 def catalyst_elo(games: DataFrame, initial: float = 1000.0, k: float = 346.446, tournament_factor: float = 1.514) -> DataFrame:
@@ -62,37 +86,138 @@ def catalyst_elo(games: DataFrame, initial: float = 1000.0, k: float = 346.446,
     return one.select(F.explode(F.expr(step)).alias("x")).select("x.game_id", "x.p")
 
 
-def fold(games: DataFrame, make: Callable[[dict], object], trials: DataFrame | None = None, ratings: bool = False, batch_every: int = 1) -> DataFrame:
-    """Predictions before each game (trial_id, game_id, p), or with ``ratings`` the state after it (trial_id, game_id, player, rating, mu, sigma).
+def one_trial(games: DataFrame) -> DataFrame:
+    return games.sparkSession.range(1).select(F.lit(0).cast("long").alias("trial_id"), F.create_map().cast("map<string,string>").alias("params"))
 
-    ``trials``: (trial_id, params map<string,double>); crossed with the leagues, which is the parallel axis. The table of trials is small by
-    nature: a search has hundreds.
+
+def events(games: DataFrame, asks: DataFrame | None, shared: bool) -> DataFrame:
+    """One row for each thing that a model does, with its league: learn from a game (and predict it first, if there are no ``asks``), or
+    predict a game as of a time ``cp`` (``asks``: cp in microseconds and a game's columns)."""
+    base = ["game_id", F.unix_micros("ts").alias("us"), *[c for c in COLUMNS if c not in ("game_id", "ts")]]
+    none = F.lit(None).cast("long")
+    rows = games.select(*base, F.lit(1).alias("phase"), F.lit(asks is None).alias("ask"), none.alias("cp"))
+    if asks is not None:
+        rows = rows.unionByName(asks.select("game_id", F.col("cp").alias("us"), *[c for c in base[2:]], F.lit(0).alias("phase"), F.lit(True).alias("ask"), "cp"))
+    if shared:
+        return rows.withColumn("league", F.lit(""))
+    own = F.concat(F.lit("g"), F.col("game_id").cast("string"))
+    return rows.join(player_leagues(games), "game_id", "left").withColumn("league", F.coalesce(F.col("league").cast("string"), own))
+
+
+def fold(games: DataFrame, make: Callable[[dict], object], trials: DataFrame | None = None, ratings: bool = False, asks: DataFrame | None = None, shared: bool = False, segments: int = 1, after: int | None = None) -> DataFrame:
+    """Predictions (trial_id, cp, game_id, p): of each game before it is learned, or of the ``asks``.
+
+    With ``ratings`` the states instead (trial_id, ts, game_id, player, rating, mu, sigma): of games at one time the last counts; a sequential
+    model tells the players that played (changes only), a batch model all that it knows, after ``after`` (microseconds) if that is given.
+    ``trials``: (trial_id, params map<string,string> of JSON values), hundreds at most as a search makes them; crossed with the leagues, which is the parallel axis.
+    ``shared``: the model has parameters common to all leagues. ``segments``: stretches of time that are worked on at once by a model whose state after a
+    game doesn't depend on what it was asked before (batch fits): each learns from all games before its end, and answers for its own.
     """
-    spark = games.sparkSession
-    ship(spark)
-    g = games.join(player_leagues(games), "game_id", "left").withColumn("league", F.coalesce(F.col("league").cast("string"), F.concat(F.lit("g"), F.col("game_id").cast("string"))))
-    if trials is None:
-        trials = spark.range(1).select(F.lit(0).cast("long").alias("trial_id"), F.create_map().cast("map<string,double>").alias("params"))
-    g = g.crossJoin(F.broadcast(trials))
-    schema = "trial_id long, game_id long, player long, rating double, mu double, sigma double" if ratings else "trial_id long, game_id long, p double"
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        first = pdf["params"].iloc[0]
-        trial = int(pdf["trial_id"].iloc[0])
-        m = make(dict(first) if first is not None else {})
-        out = []
-        order = as_games(pdf)
-        for x in order:
-            if ratings:
-                m.update(x)
-                if hasattr(m, "last_day") and not (x.r1 and x.r2):
-                    continue  # such a game changes nothing, not even when its players last played
-                for p in sorted({*x.r1, *x.r2}):
-                    mu, sigma = m._get(p) if hasattr(m, "_get") else (m.expose(p), None)
-                    out.append((trial, x.game_id, p, m.expose(p), mu, sigma))
+    ship(games.sparkSession)
+    g = events(games, asks, shared)
+    late = F.col("us").isNull()
+    if segments > 1:
+        bounds = games.select(F.unix_micros("ts").alias("us")).approxQuantile("us", [i / segments for i in range(1, segments)], 0.001)
+        own = F.lit(0)
+        for b in bounds:
+            own = own + F.when(late | (F.col("us") >= int(b)), 1).otherwise(0)
+        g = g.withColumn("_own", own).withColumn("segment", F.explode(F.sequence("_own", F.lit(len(bounds)))))
+        g = g.withColumn("mine", F.col("segment") == F.col("_own")).drop("_own").where("phase = 1 or mine")
+    else:
+        g = g.withColumn("segment", F.lit(0)).withColumn("mine", F.lit(True))
+    trials = one_trial(games) if trials is None else trials
+    g = g.crossJoin(trials.select("trial_id", F.to_json("params").alias("params")))
+    n = max(parallelism(games.sparkSession), segments)
+    # trials and segments of one league go to different tasks
+    task = F.pmod(F.xxhash64("league") + F.col("trial_id") + F.col("segment"), F.lit(n)).cast("int")
+    order = ["league", "trial_id", "segment", late, "us", "phase", "game_id"]
+    g = g.repartitionById(n, task).sortWithinPartitions(*order)
+    player = player_type(games)
+    schema = f"trial_id long, us long, game_id long, player {player}, rating double, mu double, sigma double" if ratings else "trial_id long, cp long, game_id long, p double"
+    kinds = {"long": pa.int64(), "double": pa.float64(), "bigint": pa.int64(), "string": pa.string(), "int": pa.int32()}
+    fields = [(c.split()[0], kinds[c.split()[1]]) for c in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, m, us, told, touched = None, None, None, True, {}
+        out: list[list] = [[] for _ in fields]
+
+        def batch() -> pa.RecordBatch:
+            b = pa.RecordBatch.from_arrays([pa.array(x, t) for x, (_, t) in zip(out, fields, strict=True)], names=[f for f, _ in fields])
+            for x in out:
+                x.clear()
+            return b
+
+        def tell() -> None:
+            """The state after the games of one time."""
+            nonlocal told
+            if told or after is not None and us is not None and us <= after:
+                return
+            told = True
+            if hasattr(m, "converge_all"):
+                m.converge_all()
+                names, mu, shown = m.table()
+                rows = (names, [key[1]] * len(names), shown, mu, [None] * len(names), [last] * len(names))
             else:
-                out.append((trial, x.game_id, m.predict(x)))
+                got = [m._get(p) if hasattr(m, "_get") else (m.expose(p), None) for p in touched]
+                rows = (list(touched), [key[1]] * len(touched), [m.expose(p) for p in touched], [x[0] for x in got], [x[1] for x in got], list(touched.values()))
+            names, trial, shown, mu, sigma, ids = rows
+            for x, y in zip(out, (trial, [us] * len(names), ids, names, shown, mu, sigma), strict=True):
+                x.extend(y)
+            touched.clear()
+
+        last = None
+        for r in rows_of(batches):
+            k = (r["league"], r["trial_id"], r["segment"])
+            if k != key:
+                if ratings and m is not None:
+                    tell()
+                touched.clear()
+                key, m, us, told = k, make({x: json.loads(y) for x, y in json.loads(r["params"] or "{}").items()}), None, True
+            if ratings and r["us"] != us:
+                tell()
+                touched.clear()
+                told = True
+            us = r["us"]
+            x = _game(r)
+            if r["ask"] and r["mine"] and not ratings:
+                for c, v in zip(out, (key[1], r["cp"], x.game_id, m.predict(x)), strict=True):
+                    c.append(v)
+            if r["phase"]:
                 m.update(x)
-        return pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
-
-    return g.groupBy("league", "trial_id").applyInPandas(run, schema)
+                last = x.game_id
+                if ratings and r["mine"] and (x.r1 and x.r2 or not hasattr(m, "last_day")):  # such a game changes nothing, not even when its players last played
+                    told = False
+                    touched.update(dict.fromkeys(sorted({*x.r1, *x.r2}), x.game_id))
+            if len(out[0]) >= OUT:
+                yield batch()
+        if ratings and m is not None:
+            tell()
+        if out[0]:
+            yield batch()
+
+    done = g.mapInArrow(run, schema)
+    return done.select("trial_id", F.timestamp_micros("us").alias("ts"), "game_id", "player", "rating", "mu", "sigma") if ratings else done
+
+
+def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """The rows of Arrow batches; equal rosters are one list."""
+    known: dict = {}
+
+    def sides(col: pa.ListArray) -> list[list]:
+        values, offs = col.values, col.offsets.to_numpy()
+        if not pa.types.is_integer(values.type) or col.null_count:
+            return [known.setdefault(tuple(x), x) for x in (y or [] for y in col.to_pylist())]
+        v = values.to_numpy()
+        out = []
+        for a, b in zip(offs[:-1], offs[1:], strict=True):
+            k = v[a:b].tobytes()
+            if k not in known:
+                known[k] = v[a:b].tolist()
+            out.append(known[k])
+        return out
+
+    for b in batches:
+        cols = {f.name: sides(c) if f.name in ("r1", "r2") else c.to_pylist() for f, c in zip(b.schema, b.columns, strict=True)}
+        names = list(cols)
+        for values in zip(*cols.values(), strict=True):
+            yield dict(zip(names, values, strict=True))

@@ -43,11 +43,13 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
 def player_leagues(games: DataFrame) -> DataFrame:
     """(game_id, league): games of different leagues share no player, not even through others.
 
-    ``games`` has r1 and r2. Games without players are leagues of their own.
+    ``games`` has r1 and r2. Games without players are leagues of their own. The graph has the distinct rosters' players and the
+    distinct pairs of rosters that met, not every game's.
     """
-    players = F.array_distinct(F.concat("r1", "r2"))
-    g = games.select("game_id", players.alias("ps")).where(F.size("ps") > 0)
-    edges = g.select(F.col("ps")[0].alias("a"), F.explode("ps").alias("b"))
-    lab = components(edges, "leagues")
-    first = g.select("game_id", F.col("ps")[0].alias("node"))
-    return first.join(lab, "node", "left").select("game_id", F.coalesce("label", "node").alias("league"))
+    first = F.coalesce(F.get("r1", F.lit(0)), F.get("r2", F.lit(0)))
+    rosters = games.select(F.explode(F.array("r1", "r2")).alias("r")).where(F.size("r") > 0).distinct()
+    edges = rosters.select(F.col("r")[0].alias("a"), F.explode("r").alias("b"))
+    met = games.where((F.size("r1") > 0) & (F.size("r2") > 0)).select(F.col("r1")[0].alias("a"), F.col("r2")[0].alias("b")).distinct()
+    lab = components(edges.unionByName(met), "leagues")
+    g = games.select("game_id", first.alias("node")).where("node is not null")
+    return g.join(lab, "node", "left").select("game_id", F.coalesce("label", "node").alias("league"))

@@ -92,9 +92,20 @@ def with_season_suffix(rows: DataFrame, seasons: DataFrame, name: str) -> DataFr
     return rows.join(last, "filename", "left").withColumn(name, F.concat_ws(" ", F.col(name), F.col("_suffix"))).drop("_suffix")
 
 
-def upsert_teams(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Rosters where the teams of ``new`` replace those of ``old``."""
-    return old.join(new.select("team").distinct(), "team", "left_anti").unionByName(new)
+#: Fixed value: a season at the end of a team's name.
+SEASON = r"\s\([A-Za-z]{1,2}\d{2}\)$"
+
+
+def upsert_teams(old: DataFrame, new: DataFrame, managed: DataFrame | None = None) -> DataFrame:
+    """Rosters where the teams of ``new`` replace those of ``old``.
+
+    A new team with a season in its name that isn't there yet replaces the one of the same name without season, if ``managed`` (team) has that.
+    """
+    names = new.select("team").distinct()
+    if managed is not None:
+        plain = names.join(old.select("team").distinct(), "team", "left_anti").where(F.col("team").rlike(SEASON)).select(F.regexp_replace("team", SEASON, "").alias("team"))
+        names = names.unionByName(plain.join(managed.select("team").distinct(), "team", "left_semi")).distinct()
+    return old.join(names, "team", "left_anti").unionByName(new)
 
 
 def replace_cells(rosters: DataFrame, aliases: DataFrame) -> DataFrame:

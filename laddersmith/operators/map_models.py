@@ -11,14 +11,29 @@ from dataclasses import dataclass, field
 
 import numpy as np
 
-from laddersmith.functions.rating_math import phi
+from laddersmith.functions.rating_math import CDF_DEN, CDF_NUM, phi
 from laddersmith.operators.sequential import Game
 
-_erfc = np.frompyfunc(math.erfc, 1, 1)
 
 
 def cdf(x: np.ndarray) -> np.ndarray:
-    return 0.5 * _erfc(-np.asarray(x, float) / math.sqrt(2)).astype(float)
+    """Standard normal distribution function, by the approximation of rating_math."""
+    a = np.abs(np.asarray(x, float))
+    near = np.minimum(a, 7.07106781186547)
+    num, den = np.full(a.shape, CDF_NUM[0]), np.full(a.shape, CDF_DEN[0])
+    for c in CDF_NUM[1:]:
+        num = num * near + c
+    for c in CDF_DEN[1:]:
+        den = den * near + c
+    e = np.exp(-a * a / 2)
+    low = e * num / den
+    far = a > 7.07106781186547
+    if far.any():
+        t = a[far] + 0.65
+        for k in (4, 3, 2, 1):
+            t = a[far] + k / t
+        low[far] = e[far] / t / 2.506628274631
+    return np.where(x > 0, 1 - low, low)
 
 
 def log_cdf(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -32,41 +47,113 @@ def log_cdf(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return lp, np.exp(-0.5 * z * z - 0.5 * math.log(2 * math.pi) - lp)
 
 
-@dataclass
-class Design:
-    """Sparse game-by-player matrix in coordinate form."""
+class Grow:
+    """An array that grows at its end."""
 
-    players: list
-    row: np.ndarray
-    col: np.ndarray
-    val: np.ndarray
-    games: list
+    def __init__(self, kind):
+        self.data, self.n = np.zeros(64, kind), 0
 
-    def dot(self, theta: np.ndarray) -> np.ndarray:
-        return np.bincount(self.row, self.val * theta[self.col], len(self.games))
+    def push(self, x) -> None:
+        if self.n == len(self.data):
+            self.data = np.concatenate([self.data, np.zeros(self.n, self.data.dtype)])
+        self.data[self.n] = x
+        self.n += 1
 
-    def back(self, g: np.ndarray) -> np.ndarray:
-        return np.bincount(self.col, self.val * g[self.row], len(self.players))
+    def view(self) -> np.ndarray:
+        return self.data[: self.n]
+
+
+class Ledger:
+    """Games as arrays that grow game by game, and the sparse game-by-player matrix as a product: games refer to rosters, rosters to players.
+
+    A side has 1 / n for each of its players, side 2 with minus. With ``replace``, a player on both sides has the second side's coefficient
+    alone (a third reference takes the first one's back); else both add up.
+    """
 
+    def __init__(self, replace: bool = False):
+        self.replace = replace
+        self.players: list = []
+        self.at: dict = {}
+        self.sides: dict[tuple, int] = {}
+        self.i1, self.i2, self.i3 = Grow(np.int64), Grow(np.int64), Grow(np.int64)
+        self.s1, self.s2, self.day = Grow(float), Grow(float), Grow(float)
+        self.only, self.tournament = Grow(bool), Grow(bool)
+        self.srow, self.scol, self.sval = Grow(np.int64), Grow(np.int64), Grow(float)
+        self.own: dict[int, set] = {}
+        self._side((), 1.0)
 
-def design(games: list[Game], replace: bool = False) -> Design:
-    """``replace``: a player on both sides gets the second side's coefficient alone; else both add up."""
-    players = sorted({p for g in games for p in (*g.r1, *g.r2)})
-    at = {p: i for i, p in enumerate(players)}
-    row, col, val = [], [], []
-    for i, g in enumerate(games):
-        own: dict[int, float] = {}
-        for side, sign in ((g.r1, 1.0), (g.r2, -1.0)):
+    def _side(self, side: tuple, value: float, name: tuple | None = None) -> int:
+        k = self.sides.get(name or side)
+        if k is None:
+            k = self.sides[name or side] = len(self.sides)
             for p in side:
-                k = at[p]
-                own[k] = sign / len(side) if replace else own.get(k, 0.0) + sign / len(side)
-        row += [i] * len(own)
-        col += own.keys()
-        val += own.values()
-    return Design(players, np.array(row, int), np.array(col, int), np.array(val, float), games)
+                if p not in self.at:
+                    self.at[p] = len(self.players)
+                    self.players.append(p)
+                self.srow.push(k)
+                self.scol.push(self.at[p])
+                self.sval.push(value)
+            self.own[k] = set(side)
+        return k
+
+    def add(self, g: Game) -> None:
+        a, b = (self._side(tuple(s), 1 / max(len(s), 1)) for s in (g.r1, g.r2))
+        both = self.own[a] & self.own[b] if self.replace else None
+        self.i1.push(a)
+        self.i2.push(b)
+        self.i3.push(self._side(tuple(both), 1 / len(g.r1), ("both", a, b)) if both else 0)
+        self.s1.push(max(0, g.s1))
+        self.s2.push(max(0, g.s2))
+        self.day.push(math.nan if g.day is None else g.day)
+        self.only.push(bool(g.outcome_only))
+        self.tournament.push(bool(g.tournament))
+
+    def __len__(self) -> int:
+        return self.i1.n
 
+    def dot(self, theta: np.ndarray) -> np.ndarray:
+        u = np.bincount(self.srow.view(), self.sval.view() * theta[self.scol.view()], len(self.sides))
+        d = u[self.i1.view()] - u[self.i2.view()]
+        return d - u[self.i3.view()] if self.replace else d
 
-def minimise(d: Design, data, ridge: np.ndarray, theta: np.ndarray, tol: float = 1e-8) -> np.ndarray:
+    def back(self, g: np.ndarray) -> np.ndarray:
+        n = len(self.sides)
+        s = np.bincount(self.i1.view(), g, n) - np.bincount(self.i2.view(), g, n)
+        if self.replace:
+            s -= np.bincount(self.i3.view(), g, n)
+        return np.bincount(self.scol.view(), self.sval.view() * s[self.srow.view()], len(self.players))
+
+    def facts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Outcome, signed margin, and whether the margin counts."""
+        m = self.s1.view() - self.s2.view()
+        y = np.sign(m)
+        return y, m, (y != 0) & ~self.only.view()
+
+    def appearances(self) -> np.ndarray:
+        """Games of each player; one on both sides counts twice."""
+        n = len(self.sides)
+        c = np.bincount(self.i1.view(), minlength=n) + np.bincount(self.i2.view(), minlength=n)
+        return np.bincount(self.scol.view(), c[self.srow.view()], len(self.players))
+
+    row = property(lambda self: self.coo()[0])
+    col = property(lambda self: self.coo()[1])
+    val = property(lambda self: self.coo()[2])
+
+    def coo(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, col, val) of the whole matrix, for small tables."""
+        x = np.array([self.dot(e) for e in np.eye(len(self.players))]).T.reshape(len(self), -1)
+        row, col = np.nonzero(x)
+        return row, col, x[row, col]
+
+
+def design(games: list[Game], replace: bool = False) -> Ledger:
+    out = Ledger(replace)
+    for g in games:
+        out.add(g)
+    return out
+
+
+def minimise(d: Ledger, data, ridge: np.ndarray, theta: np.ndarray, tol: float = 1e-8) -> np.ndarray:
     """Newton steps with backtracking. ``data(d)`` gives loss, slope and curvature of each game; ``ridge``: weights of theta squared."""
     for _ in range(100):
         x = d.dot(theta)
@@ -103,45 +190,61 @@ def minimise(d: Design, data, ridge: np.ndarray, theta: np.ndarray, tol: float =
 
 @dataclass
 class BatchModel:
-    """Collects games; fit() solves; predict() uses the last fit."""
+    """Collects games; converge() solves, from the last solution on; predict() uses the last fit."""
 
-    games: list = field(default_factory=list)
-    theta: dict = field(default_factory=dict)
+    REPLACE = False
+    ledger: Ledger | None = None
+    values: np.ndarray = field(default_factory=lambda: np.zeros(0))
     dirty: bool = False
 
+    def __post_init__(self):
+        self.ledger = Ledger(self.REPLACE)
+
+    @property
+    def theta(self) -> dict:
+        return dict(zip(self.ledger.players, self.values.tolist(), strict=False))
+
     def update(self, g: Game) -> None:
-        self.games.append(g)
+        self.ledger.add(g)
         self.dirty = True
 
     def converge(self) -> None:
-        if self.dirty and self.games:
+        if self.dirty:
+            self.values = np.concatenate([self.values, np.zeros(len(self.ledger.players) - len(self.values))])
             self.fit()
         self.dirty = False
 
+    def converge_all(self) -> None:
+        self.converge()
+
     def skill(self, side: list) -> float:
-        return sum(self.theta.get(p, 0.0) for p in side) / len(side) if side else 0.0
+        at, n = self.ledger.at, len(self.values)
+        return sum(self.values[k] for k in (at.get(p, n) for p in side) if k < n) / len(side) if side else 0.0
 
     def gap(self, g: Game) -> float:
         self.converge()
-        return self.skill(g.r1) - self.skill(g.r2)
+        return float(self.skill(g.r1) - self.skill(g.r2))
 
-    def _solve(self, data, ridge, replace: bool = False) -> None:
-        d = design(self.games, replace)
-        start = np.array([self.theta.get(p, 0.0) for p in d.players])
-        w = ridge(d) if callable(ridge) else np.full(len(d.players), ridge)
-        self.theta = dict(zip(d.players, minimise(d, data(d), w, start).tolist(), strict=True))
+    def _solve(self, data, ridge) -> None:
+        w = ridge if isinstance(ridge, np.ndarray) else np.full(len(self.values), ridge)
+        self.values = minimise(self.ledger, data, w, self.values)
+
+    def shown(self) -> np.ndarray:
+        """Ratings of all known players."""
+        return 1000.0 + getattr(self, "spread", 200.0) * self.values
+
+    def table(self) -> tuple[list, list, list]:
+        """Players, skills and ratings."""
+        return list(self.ledger.players), self.values.tolist(), self.shown().tolist()
 
     def expose(self, p) -> float:
         self.converge()
-        return 1000.0 + getattr(self, "spread", 200.0) * self.theta.get(p, 0.0)
+        k = self.ledger.at.get(p)
+        return 1000.0 if k is None else float(self.shown()[k])
 
 
 def _facts(games: list[Game]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Outcome, signed margin, and whether the margin counts."""
-    s1, s2 = np.array([max(0, g.s1) for g in games], float), np.array([max(0, g.s2) for g in games], float)
-    y = np.sign(s1 - s2)
-    only = np.array([g.outcome_only for g in games], bool)
-    return y, s1 - s2, (y != 0) & ~only
+    return design(games).facts()
 
 
 @dataclass
@@ -152,18 +255,15 @@ class MarginBT(BatchModel):
     sigma: float = 5.9032
 
     def fit(self) -> None:
-        def data(d: Design):
-            y, m, on = _facts(d.games)
-            s2 = max(self.sigma, 1e-4) ** 2
-
-            def at(x):
-                p = 1 / (1 + np.exp(-y * x))
-                loss = np.where(y != 0, np.logaddexp(0, -y * x), math.log(2)) + on * (0.5 * math.log(s2) + (x - m) ** 2 / (2 * s2))
-                return loss, np.where(y != 0, -y * (1 - p), 0) + on * (x - m) / s2, np.where(y != 0, p * (1 - p), 0) + on / s2
+        y, m, on = self.ledger.facts()
+        s2 = max(self.sigma, 1e-4) ** 2
 
-            return at
+        def at(x):
+            p = 1 / (1 + np.exp(-y * x))
+            loss = np.where(y != 0, np.logaddexp(0, -y * x), math.log(2)) + on * (0.5 * math.log(s2) + (x - m) ** 2 / (2 * s2))
+            return loss, np.where(y != 0, -y * (1 - p), 0) + on * (x - m) / s2, np.where(y != 0, p * (1 - p), 0) + on / s2
 
-        self._solve(data, self.lam)
+        self._solve(at, self.lam)
 
     def predict(self, g: Game) -> float:
         return 1 / (1 + math.exp(-max(-700.0, min(700.0, self.gap(g)))))
@@ -178,24 +278,22 @@ class DecayBT(BatchModel):
     decay: float = 0.98
 
     def fit(self) -> None:
-        def data(d: Design):
-            y, m, _ = _facts(d.games)
-            known = [g.day for g in d.games if g.day is not None]
-            ref = max(known, default=0.0)
-            weeks = np.array([max(0.0, ref - g.day) / 7 if g.day is not None else 0.0 for g in d.games])
-            w = (1 + np.log1p(np.abs(m))) * self.decay**weeks
-            if self.nu <= 0:
-                w = np.where(y == 0, 0.0, w)
-
-            def at(x):
-                log_z = np.logaddexp(np.logaddexp(0, x), math.log(self.nu) if self.nu > 0 else -np.inf)
-                p = np.exp(x - log_z)
-                ll = np.where(y > 0, x, np.where(y < 0, 0.0, math.log(self.nu) if self.nu > 0 else 0.0)) - log_z
-                return -w * ll, w * (p - (y > 0)), w * p * (1 - p)
-
-            return at
-
-        self._solve(data, self.lam)
+        y, m, _ = self.ledger.facts()
+        day = self.ledger.day.view()
+        ref = np.nanmax(day) if np.isfinite(day).any() else 0.0
+        weeks = np.where(np.isnan(day), 0.0, np.maximum(0.0, ref - day) / 7)
+        w = (1 + np.log1p(np.abs(m))) * self.decay**weeks
+        if self.nu <= 0:
+            w = np.where(y == 0, 0.0, w)
+        log_nu = math.log(self.nu) if self.nu > 0 else -np.inf
+
+        def at(x):
+            log_z = np.logaddexp(np.logaddexp(0, x), log_nu)
+            p = np.exp(x - log_z)
+            ll = np.where(y > 0, x, np.where(y < 0, 0.0, log_nu if self.nu > 0 else 0.0)) - log_z
+            return -w * ll, w * (p - (y > 0)), w * p * (1 - p)
+
+        self._solve(at, self.lam)
 
     def predict(self, g: Game) -> float:
         x = max(-700.0, min(700.0, self.gap(g)))
@@ -226,17 +324,8 @@ class VetBT(BatchModel):
     spread: float = 100.0
 
     def fit(self) -> None:
-        def data(d: Design):
-            return _probit(*_facts(d.games), np.full(len(d.games), max(self.sigma, 1e-4)), np.ones(len(d.games)))
-
-        def ridge(d: Design):
-            n = {}
-            for g in d.games:
-                for p in (*g.r1, *g.r2):
-                    n[p] = n.get(p, 0) + 1
-            return np.array([self.sigma0 / (1 + self.beta * n[p]) for p in d.players])
-
-        self._solve(data, ridge)
+        n = len(self.ledger)
+        self._solve(_probit(*self.ledger.facts(), np.full(n, max(self.sigma, 1e-4)), np.ones(n)), self.sigma0 / (1 + self.beta * self.ledger.appearances()))
 
     def predict(self, g: Game) -> float:
         return phi(self.gap(g) / max(self.sigma, 1e-8))
@@ -248,19 +337,25 @@ class UncertainBT(BatchModel):
 
     sigma: float = 4.2458
     lam: float = 3.15e-05
+    best: float = 2000.0
+    REPLACE = True
     sigmas: dict = field(default_factory=dict)
     rosters: dict = field(default_factory=dict)  # team -> players, in order of first appearance
     teams: dict = field(default_factory=dict)  # player -> teams, in order
-    names: list = field(default_factory=list)
+    changed: bool = True
 
     def update(self, g: Game, teams: tuple | None = None) -> None:
         super().update(g)
-        for t, side in zip(teams or (("1", *g.r1), ("2", *g.r2)), (g.r1, g.r2), strict=True):
-            self.rosters.setdefault(t, set()).update(side)
+        for t, side in zip(teams or g.teams or (("1", *g.r1), ("2", *g.r2)), (g.r1, g.r2), strict=True):
+            own = self.rosters.setdefault(t, set())
+            if not own.issuperset(side):
+                own.update(side)
+                self.changed = True
             for p in side:
-                own = self.teams.setdefault(p, [])
-                if t not in own:
-                    own.append(t)
+                mine = self.teams.setdefault(p, [])
+                if t not in mine:
+                    mine.append(t)
+                    self.changed = True
 
     def complexity(self, p) -> float:
         total, done = 0.0, []
@@ -276,13 +371,29 @@ class UncertainBT(BatchModel):
     def noise(self, g: Game) -> float:
         return math.sqrt(max(self.sigma**2 + self._side(g.r1) + self._side(g.r2), 1e-8))
 
-    def fit(self) -> None:
-        self.sigmas = {p: max(1 / math.sqrt(1 + self.complexity(p)), 1e-8) for p in self.teams}
-
-        def data(d: Design):
-            return _probit(*_facts(d.games), np.array([self.noise(g) for g in d.games]), np.array([2.0 if g.tournament else 1.0 for g in d.games]))
+    def _variances(self) -> np.ndarray:
+        """Squared sigmas of the ledger's players."""
+        return np.array([self.sigmas.get(p, 1.0) for p in self.ledger.players]) ** 2
 
-        self._solve(data, self.lam, replace=True)
+    def fit(self) -> None:
+        if self.changed:
+            self.sigmas = {p: max(1 / math.sqrt(1 + self.complexity(p)), 1e-8) for p in self.teams}
+            self.changed = False
+        x = self.ledger
+        side = np.bincount(x.srow.view(), x.sval.view() ** 2 * self._variances()[x.scol.view()], len(x.sides))
+        noise = np.sqrt(np.maximum(self.sigma**2 + side[x.i1.view()] + side[x.i2.view()], 1e-8))
+        self._solve(_probit(*x.facts(), noise, np.where(x.tournament.view(), 2.0, 1.0)), self.lam)
+
+    def shown(self) -> np.ndarray:
+        """The mean probability to beat each other active player (each has a game here), times ``best``."""
+        n = len(self.values)
+        if n < 2:
+            return np.full(n, self.best)
+        v, out = self._variances(), np.empty(n)
+        for i in range(0, n, 256):
+            gap = self.values[i : i + 256, None] - self.values[None, :]
+            out[i : i + 256] = cdf(gap / np.sqrt(np.maximum(self.sigma**2 + v[i : i + 256, None] + v[None, :], 1e-8))).sum(axis=1)
+        return (out - 0.5) / (n - 1) * self.best
 
     def predict(self, g: Game) -> float:
         return phi(self.gap(g) / self.noise(g))
@@ -298,21 +409,23 @@ class NormalBT(BatchModel):
     tau: float = 1.0
 
     def fit(self) -> None:
-        d = design(self.games)
-        theta = np.array([self.theta.get(p, 0.0) for p in d.players])
-        data = _probit(*_facts(d.games), np.full(len(d.games), max(self.sigma, 1e-8)), np.array([2.0 if g.tournament else 1.0 for g in d.games]))
+        x, theta = self.ledger, self.values
+        data = _probit(*x.facts(), np.full(len(x), max(self.sigma, 1e-8)), np.where(x.tournament.view(), 2.0, 1.0))
         tau2 = self.tau**2
         for _ in range(200):
-            theta = minimise(d, data, np.full(len(theta), 1 / (2 * tau2)), theta)
+            theta = minimise(x, data, np.full(len(theta), 1 / (2 * tau2)), theta)
             new = ((theta**2).sum() + 2 * self.b) / (len(theta) + self.a)
             if abs(new - tau2) < 1e-10 * tau2:
                 break
             tau2 = new
-        self.theta, self.tau = dict(zip(d.players, theta.tolist(), strict=True)), math.sqrt(tau2)
+        self.values, self.tau = theta, math.sqrt(tau2)
+
+    def shown(self) -> np.ndarray:
+        return 1000.0 + 200.0 * self.values / self.tau
 
     def predict(self, g: Game) -> float:
         return phi(self.gap(g) / max(self.sigma, 1e-8))
 
     def expose(self, p) -> float:
         self.converge()
-        return self.tau if p == "Tau" else 1000.0 + 200.0 * self.theta.get(p, 0.0) / self.tau
+        return self.tau if p == "Tau" else super().expose(p)

@@ -8,15 +8,16 @@ from pyspark.sql import functions as F
 from laddersmith.session import materialize, parallelism
 
 
-def numbered(df: DataFrame, *order: Column, name: str = "pos") -> DataFrame:
-    """``df`` with 1, 2, ... in ``order``: rows are dealt by ranges, numbered within each, and moved on by the counts before.
+def numbered(df: DataFrame, *order: Column, name: str = "pos", weight: Column | None = None) -> DataFrame:
+    """``df`` with 1, 2, ... in ``order`` (or with running sums of ``weight``): rows are dealt by ranges, summed within each, and moved on by the sums before.
 
     The only window over everything has a row for each range.
     """
+    weight = F.lit(1) if weight is None else weight
     parts = df.repartitionByRange(parallelism(df.sparkSession), *order).withColumn("_range", F.spark_partition_id())
     parts = materialize(parts, "numbered")
-    counts = parts.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    counts = parts.groupBy("_range").agg(F.sum(weight).alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = counts.select("_range", before.alias("_before"))
-    own = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    own = F.sum(weight).over(Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return parts.withColumn(name, own).join(F.broadcast(offsets), "_range").withColumn(name, F.col(name) + F.col("_before")).drop("_range", "_before")

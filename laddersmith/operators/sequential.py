@@ -26,6 +26,7 @@ class Game:
     outcome_only: bool = False
     tournament: bool = False
     on_court: int = 8
+    teams: tuple | None = None
 
 
 def _pdf(x: float) -> float:
@@ -229,7 +230,9 @@ class ThroughTime:
 
     def likelihoods(self, g: Game, day: float, prior: dict) -> dict:
         """For each player the message (precision, precision * mean) of one game, given the priors."""
-        s1, s2 = (g.s1, g.s2) if not self.compat_inverted_result else (g.s2, g.s1)
+        s1, s2 = max(0, g.s1), max(0, g.s2)
+        if self.compat_inverted_result:
+            s1, s2 = s2, s1
         draw = s1 == s2
         win, lose = (g.r1, g.r2) if s1 >= s2 else (g.r2, g.r1)
         ws = {1: self._weight(win, g.on_court), -1: self._weight(lose, g.on_court)}

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from laddersmith.functions.rating_math import normal_cdf, player_sigma, sigma_eff
 from laddersmith.operators.joins import perspectives
+from laddersmith.operators.order import numbered
+from laddersmith.session import ship
 
 
 def _record():
@@ -16,8 +21,8 @@ def _record():
 
 
 def team_records(games: DataFrame) -> DataFrame:
-    """Games, wins, losses, draws, first and last time of each team; a game against itself counts twice."""
-    return perspectives(games).groupBy("team").agg(*_record(), F.min("ts").alias("first_played"), F.max("ts").alias("last_played"))
+    """Games, wins, losses, draws, first and last time of each team over the games with two scores; a game against itself counts twice."""
+    return perspectives(games.where("score1 is not null and score2 is not null")).groupBy("team").agg(*_record(), F.min("ts").alias("first_played"), F.max("ts").alias("last_played"))
 
 
 def player_records(games: DataFrame, rosters: DataFrame) -> DataFrame:
@@ -36,6 +41,11 @@ def player_teams(rosters: DataFrame) -> DataFrame:
     return rosters.groupBy("player").agg(F.array_sort(F.collect_set("team")).alias("teams"))
 
 
+def distinct_players(rosters: DataFrame) -> DataFrame:
+    """All players of the rosters, in order."""
+    return rosters.select("player").where("player is not null").distinct().orderBy("player")
+
+
 def name_counts(cells: DataFrame) -> DataFrame:
     return cells.withColumn("name", F.trim("player")).where("name <> ''").groupBy("name").agg(F.count(F.lit(1)).alias("n"))
 
@@ -115,16 +125,89 @@ def head_to_head(ratings: DataFrame, sigma: float = 4.2458, best: float = 2000.0
 
 
 def effective_sample_size(series: DataFrame, key: str, order: list[str], value: str, lags: int = 50) -> DataFrame:
-    """(key, n, ess): n / (1 + 2 * sum of autocorrelations up to the first that isn't positive)."""
-    one = series.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(value).cast("double").alias("_x")))).alias("_s"))
-    one = one.select(key, F.transform("_s", lambda s: s["_x"]).alias("x")).withColumn("n", F.size("x")).withColumn("m", F.expr("aggregate(x, 0D, (a, v) -> a + v) / n"))
-    one = one.withColumn("d", F.expr("transform(x, v -> v - m)")).withColumn("c0", F.expr("aggregate(d, 0D, (a, v) -> a + v * v) / n"))
-    # autocovariance of lag k over n - k products; the sum stops at the first ratio that isn't positive
-    rho = "(aggregate(zip_with(slice(d, 1, n - k), slice(d, k + 1, n - k), (a, b) -> a * b), 0D, (a, v) -> a + v) / (n - k) / c0)"
-    one = one.withColumn("r", F.expr(f"CASE WHEN n > 1 AND c0 > 0 THEN transform(sequence(1, least({lags}, n - 1)), k -> {rho}) END"))
-    total = F.expr("aggregate(r, named_struct('t', 0D, 'go', true), (a, v) -> named_struct('t', a.t + CASE WHEN a.go AND v > 0 THEN v ELSE 0D END, 'go', a.go AND v > 0), a -> a.t)")
-    ess = F.when(F.col("n") <= 1, F.col("n").cast("double")).when(F.col("c0") <= 0, F.lit(float("nan"))).otherwise(F.col("n") / (1 + 2 * total))
-    return one.select(key, F.col("n").cast("long").alias("n"), ess.alias("ess"))
+    """(key, n, ess): n / (1 + 2 * sum of autocorrelations up to the first that isn't positive).
+
+    Each key's values stream in order through running sums of the lagged products, which need the last ``lags`` values alone, so no task holds a series.
+    """
+    ship(series.sparkSession)
+    rows = series.select(key, *[c for c in order if c != key], F.col(value).cast("double").alias("_x")).where("_x is not null")
+    kind = series.schema[key].dataType
+    rows = rows.repartition(key).sortWithinPartitions(key, *order, "_x").select(F.col(key).alias("k"), "_x")
+
+    def run(batches):
+        now, sums = None, None
+        keys, ns, out = [], [], []
+        for b in batches:
+            k, x = b.column(0).to_pylist(), b.column(1).to_numpy(zero_copy_only=False)
+            i = 0
+            while i < len(k):
+                j = i + 1
+                while j < len(k) and k[j] == k[i]:
+                    j += 1
+                if sums is None or k[i] != now:
+                    if sums is not None:
+                        keys.append(now)
+                        ns.append(sums.n)
+                        out.append(sums.ess())
+                    now, sums = k[i], Lagged(lags)
+                sums.add(x[i:j])
+                i = j
+        if sums is not None:
+            keys.append(now)
+            ns.append(sums.n)
+            out.append(sums.ess())
+        yield pa.RecordBatch.from_arrays([pa.array(keys, to_arrow_type(kind)), pa.array(ns, pa.int64()), pa.array(out, pa.float64())], names=["k", "n", "ess"])
+
+    return rows.mapInArrow(run, f"k {kind.simpleString()}, n long, ess double").withColumnRenamed("k", key)
+
+
+class Lagged:
+    """Running sums of a series and of its products at each lag, around its first value."""
+
+    def __init__(self, lags: int):
+        self.n, self.first, self.total, self.square = 0, 0.0, 0.0, 0.0
+        self.products = np.zeros(lags + 1)
+        self.head = np.zeros(0)  # the first and the last values, as many as there are lags
+        self.tail = np.zeros(0)
+
+    def add(self, x: np.ndarray) -> None:
+        if not self.n:
+            self.first = float(x[0])
+        x = x - self.first
+        lags = len(self.products) - 1
+        both = np.concatenate([self.tail, x])
+        old = len(self.tail)
+        for k in range(1, min(lags, len(both) - 1) + 1):
+            lo = max(old, k)
+            self.products[k] += both[lo:] @ both[lo - k : len(both) - k]
+        self.n += len(x)
+        self.total += x.sum()
+        self.square += x @ x
+        self.head = np.concatenate([self.head, x])[:lags]
+        self.tail = both[-lags:]
+
+    def ess(self) -> float:
+        n = self.n
+        mean = self.total / n
+        c0 = (self.square - n * mean * mean) / n
+        if n <= 1:
+            return float(n)
+        if c0 <= 1e-12 * self.square / n:
+            return float("nan")
+        out, head, tail = 0.0, np.cumsum(self.head), np.cumsum(self.tail[::-1])
+        for k in range(1, min(len(self.products) - 1, n - 1) + 1):
+            # sum over i of (x[i] - mean) * (x[i + k] - mean): the first factors leave out the last k values, the second ones the first k
+            s = self.products[k] - mean * (2 * self.total - tail[k - 1] - head[k - 1]) + (n - k) * mean * mean
+            r = s / (n - k) / c0
+            if r <= 0:
+                break
+            out += r
+        return n / (1 + 2 * out)
+
+
+def ess_report(ess: DataFrame, key: str = "player") -> DataFrame:
+    """The table for people: most games first, three decimals."""
+    return ess.select(key, "n", F.round("ess", 3).alias("ess")).orderBy(F.desc("n"), key)
 
 
 def ess_summary(ess: DataFrame) -> DataFrame:
@@ -147,8 +230,7 @@ def compare_ratings(a: DataFrame, b: DataFrame, top: int = 15) -> tuple[DataFram
 
 
 def _mean_rank(j: DataFrame, c: str) -> DataFrame:
-    """Mean ranks: counts of distinct values are few against rows, and only they are put in order."""
+    """Mean ranks from running counts of the distinct values, range by range."""
     v = j.groupBy(c).agg(F.count(F.lit(1)).alias("k"))
-    w = Window.orderBy(c)
-    v = v.withColumn("rank_" + c, F.sum("k").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - (F.col("k") - 1) / 2)
+    v = numbered(v, F.col(c).asc(), name="_below", weight=F.col("k")).withColumn("rank_" + c, F.col("_below") - (F.col("k") - 1) / 2)
     return j.join(v.select(c, "rank_" + c), c).select("player", "rank_" + c)

@@ -1,31 +1,75 @@
-"""The statistics document."""
+"""The statistics document: one JSON line for each of its parts, and the whole for a league of people's size."""
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from laddersmith.functions.scores import export_flag, strict_int
 from laddersmith.operators import stats
 
 
+def export_games(games: DataFrame) -> DataFrame:
+    """Games with a readable time: stripped team names, integer scores or null, flags that are exactly 1."""
+    kinds = {f.name: f.dataType.simpleString() for f in games.schema}
+    mark = lambda c: F.col(c) if kinds[c] == "boolean" else export_flag(F.col(c))
+    score = lambda n: F.col(f"s{n}") if f"s{n}" in kinds else strict_int(F.col(f"score{n}").cast("string"))
+    out = games.where("ts is not null")
+    return out.select("game_id", "ts", F.trim("team1").alias("team1"), score(1).alias("score1"), F.trim("team2").alias("team2"), score(2).alias("score2"), mark("outcome_only").alias("outcome_only"), mark("tournament").alias("tournament"))
+
+
+def with_scores(games: DataFrame) -> DataFrame:
+    return games.where("score1 is not null and score2 is not null")
+
+
 def player_rows(history: DataFrame, games: DataFrame, rosters: DataFrame) -> DataFrame:
-    r = stats.rating_summary(history)
-    return stats.player_teams(rosters).join(stats.player_records(games, rosters), "player", "left").join(r, "player", "left")
+    """Every player of a roster or of the history: teams, record over the games with scores, current, peak and lowest rating."""
+    everyone = rosters.select("player").unionByName(history.select("player")).distinct()
+    out = everyone.join(stats.player_teams(rosters), "player", "left").join(stats.player_records(games, rosters), "player", "left").join(stats.rating_summary(history), "player", "left")
+    return out.withColumn("teams", F.coalesce("teams", F.array().cast("array<string>"))).na.fill(0, ["games", "wins", "losses", "draws"])
 
 
-def team_rows(games: DataFrame, rosters: DataFrame) -> DataFrame:
-    size = rosters.groupBy("team").agg(F.countDistinct("player").alias("size"))
-    return size.join(stats.team_records(games), "team", "full_outer")
+def team_rows(games: DataFrame, rosters: DataFrame, history: DataFrame, default: float = 1000.0) -> DataFrame:
+    """Every team of the rosters: members, record over the games with scores, current rating (its members' mean)."""
+    members = rosters.groupBy("team").agg(F.array_sort(F.collect_set("player")).alias("members"))
+    now = history.groupBy("player").agg(F.max_by("rating", F.struct("ts", "game_id")).alias("r"))
+    mean = rosters.select("team", "player").distinct().join(now, "player").groupBy("team").agg(F.avg("r").alias("current"))
+    out = members.join(stats.team_records(games), "team", "left").join(mean, "team", "left")
+    return out.withColumn("current", F.coalesce("current", F.lit(default))).na.fill(0, ["games", "wins", "losses", "draws"])
 
 
-def with_scores(games: DataFrame) -> DataFrame:
-    return games.where("score1 is not null and score2 is not null")
+def parts(history: DataFrame, games: DataFrame, rosters: DataFrame, model: str, default: float = 1000.0) -> DataFrame:
+    """(kind, key, json): a line for the metadata, each player (with the rating history), each team (with its history) and each game.
+
+    ``history``: (ts, game_id, player, rating), changes only. No part grows with the league but by what the document says of one entity.
+    """
+    g = export_games(games)
+    scored = with_scores(g)
+    row = lambda df, kind, key: df.select(F.lit(kind).alias("kind"), F.col(key).cast("string").alias("key"), F.to_json(F.struct(*df.columns)).alias("json"))
+    points = lambda df, key: df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("ts", F.round("rating", 2).alias("rating")))).alias("history"))
+    players = player_rows(history, scored, rosters).join(points(history, "player"), "player", "left")
+    teams = team_rows(scored, rosters, history, default).join(points(stats.team_history(history, rosters, default).where("ts is not null"), "team"), "team", "left")
+    n = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
+    meta = n(players, "num_players").crossJoin(n(teams, "num_teams")).crossJoin(n(scored, "num_games")).crossJoin(g.agg(F.max("ts").alias("last_update")))
+    meta = meta.withColumn("model", F.lit(model)).withColumn("initial_rating", F.lit(default))
+    return row(meta, "metadata", "model").unionByName(row(players, "player", "player")).unionByName(row(teams, "team", "team")).unionByName(row(g, "game", "game_id"))
 
 
-def document(history: DataFrame, games: DataFrame, rosters: DataFrame, model: str) -> DataFrame:
-    """One row (json): metadata, players, teams, games. The document is one file of a league by its format; tables stay in Parquet."""
-    ps, ts = player_rows(history, games, rosters), team_rows(games, rosters)
-    arr = lambda df, name: df.agg(F.collect_list(F.struct(*sorted(df.columns))).alias(name))
-    meta = games.agg(F.count(F.lit(1)).alias("total_games"), F.max("ts").alias("last_update")).withColumn("model", F.lit(model))
-    parts = arr(ps, "players").crossJoin(arr(ts, "teams")).crossJoin(arr(games, "games")).crossJoin(arr(with_scores(games), "games_with_scores")).crossJoin(meta.select(F.struct(*meta.columns).alias("metadata")))
-    return parts.select(F.to_json(F.struct("metadata", "players", "teams", "games", "games_with_scores")).alias("json"))
+def document(lines: DataFrame) -> dict:
+    """The whole document on the driver, of parts() of a league that fits there: metadata, players, teams, games, games_with_scores."""
+    out: dict = {"metadata": {}, "players": {}, "teams": {}, "games": [], "games_with_scores": []}
+    for r in lines.toLocalIterator():
+        x = json.loads(r.json)
+        if r.kind == "metadata":
+            out["metadata"] = x
+        elif r.kind == "game":
+            out["games"].append(x)
+            if "score1" in x and "score2" in x:
+                out["games_with_scores"].append(x)
+        else:
+            out[r.kind + "s"][r.key] = x
+    for k in ("games", "games_with_scores"):
+        out[k].sort(key=lambda x: (x["ts"], x["game_id"]))
+    return out

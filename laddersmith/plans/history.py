@@ -2,103 +2,93 @@
 
 from __future__ import annotations
 
-import datetime as dt
+import time
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from laddersmith.operators.folds import as_games, fold
+from laddersmith.operators.folds import as_games, fold, player_type
 from laddersmith.operators.graph import player_leagues
+from laddersmith.operators.joins import asof
 from laddersmith.operators.order import numbered
-from laddersmith.plans.registry import SEQUENTIAL, make
-from laddersmith.session import ship
+from laddersmith.operators.stats import compare_ratings
+from laddersmith.plans.registry import SEQUENTIAL, SHARED, make
+from laddersmith.session import parallelism, ship
 
 
 def sequential_history(games: DataFrame, model: str, params: dict | None = None) -> DataFrame:
     """(ts, game_id, player, rating, mu, sigma): changes only; of games at one time the last counts."""
-    h = fold(games, lambda p: make(model, dict(params or {}) | p), ratings=True).drop("trial_id")
-    h = h.join(games.select("game_id", "ts"), "game_id")
-    w = Window.partitionBy("player", "ts").orderBy(F.desc("game_id"))
-    return h.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    return fold(games, lambda p: make(model, dict(params or {}) | p), ratings=True).drop("trial_id")
 
 
 def curves(games: DataFrame, params: dict | None = None) -> DataFrame:
-    """(player, day, mu, sigma): learning curves of skill through time after convergence, league by league."""
+    """(player, day, mu, sigma, dated): learning curves of skill through time after convergence, league by league.
+
+    Games without a time stand on days of their own, which aren't ``dated``."""
     ship(games.sparkSession)
     g = games.join(player_leagues(games), "game_id")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         m = make("ttt", params)
+        dated = set()
         for x in as_games(pdf):
             m.update(x)
+            dated.add(x.day)
         m.converge(force=True)
-        return pd.DataFrame([(p, d, mu, s) for p, c in m.curves.items() for d, mu, s in c], columns=["player", "day", "mu", "sigma"])
+        return pd.DataFrame([(p, d, mu, s, d in dated) for p, c in m.curves.items() for d, mu, s in c], columns=["player", "day", "mu", "sigma", "dated"])
+
+    return g.groupBy("league").applyInPandas(run, f"player {player_type(games)}, day double, mu double, sigma double, dated boolean")
+
+
+def curve_ratings(games: DataFrame, params: dict | None = None) -> DataFrame:
+    """(ts, player, rating, mu, sigma) of the converged curves, at the times when a player played."""
+    m = make("ttt", params)
+    c = curves(games, params).withColumn("ts", F.when(F.col("dated"), F.timestamp_seconds(F.round(F.col("day") * 86400))))
+    return c.select("ts", "player", ((F.col("mu") - 3 * F.col("sigma")) * (1000.0 / m.mu)).alias("rating"), "mu", "sigma")
 
-    return g.groupBy("league").applyInPandas(run, "player long, day double, mu double, sigma double")
+
+def dense(history: DataFrame, players: DataFrame, default: float) -> DataFrame:
+    """(ts, player, rating) of every player at every time of a history of changes: the last rating at or before it, else ``default``.
+
+    The result has players times times rows by its nature; it is made by a union and a window by player, without a range join.
+    """
+    times = history.select("ts").distinct()
+    asks = times.crossJoin(players.select("player").distinct()).withColumn("_n", F.lit(0))
+    return asof(asks, history.select("player", "ts", "rating"), "player", "ts", "rating", default).select("ts", "player", "rating")
 
 
 def batch_ratings(games: DataFrame, model: str, params: dict | None = None) -> DataFrame:
     """(player, theta, rating): one fit of all games. Leagues share no player, so each is a task; models that learn a scale fit all together."""
     ship(games.sparkSession)
     g = games.join(player_leagues(games), "game_id")
-    if model == "bt_normal":
+    if model in SHARED:
         g = g.withColumn("league", F.lit(0))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         m = make(model, params)
-        names = {r.game_id: (r.team1, r.team2) for r in pdf[["game_id", "team1", "team2"]].itertuples()}
         for x in as_games(pdf):
-            m.update(x, names[x.game_id]) if model == "bt_uncert" else m.update(x)
+            m.update(x)
         m.converge()
-        return pd.DataFrame([(p, t, m.expose(p)) for p, t in m.theta.items()], columns=["player", "theta", "rating"])
+        return pd.DataFrame(list(zip(*m.table(), strict=True)), columns=["player", "theta", "rating"])
 
-    return g.groupBy("league").applyInPandas(run, "player long, theta double, rating double")
+    return g.groupBy("league").applyInPandas(run, f"player {player_type(games)}, theta double, rating double")
 
 
-def batch_history(games: DataFrame, model: str, params: dict | None = None, block: int = 32) -> DataFrame:
-    """(ts, game_id, player, theta, rating): every known player after a fit of each prefix of the games; of games at one time the last counts.
+def batch_history(games: DataFrame, model: str, params: dict | None = None, after: int | None = None) -> DataFrame:
+    """(ts, game_id, player, theta, rating): every known player after a fit of all games up to each time; of games at one time the last counts.
 
-    Leagues share no player, so each fits alone; models whose scale or reference time is common to all fit all together. Each ``block`` of
-    games is a task that holds the games before it, and its fits start from one another.
+    Leagues share no player, so each fits alone; models whose scale or reference time is common to all fit all together. Each fit starts from the
+    one before, and stretches of time are parallel tasks. With ``after`` (microseconds) the times behind it alone.
     """
-    ship(games.sparkSession)
-    if model in ("bt_normal", "bt_mov_time_decay"):
-        g = games.withColumn("league", F.lit(0).cast("long"))
-    else:
-        g = games.join(player_leagues(games), "game_id")
-    g = numbered(g, F.col("league").asc(), F.col("ts").asc_nulls_last(), F.col("game_id").asc())
-    last = F.row_number().over(Window.partitionBy("league", "ts").orderBy(F.desc("game_id"))) == 1
-    g = g.withColumn("fit", last).withColumn("block", F.floor((F.col("pos") - 1) / block))
-    blocks = g.select(F.col("league").alias("_l"), F.col("block").alias("to")).distinct()
-    rows = blocks.join(g, (F.col("league") == F.col("_l")) & (F.col("block") <= F.col("to"))).drop("_l")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        m = make(model, params)
-        facts = {r.game_id: r for r in pdf[["game_id", "team1", "team2", "fit", "block", "to"]].itertuples()}
-        out = []
-        for x in as_games(pdf):
-            r = facts[x.game_id]
-            m.update(x, (r.team1, r.team2)) if model == "bt_uncert" else m.update(x)
-            if r.fit and r.block == r.to:
-                m.converge()
-                out += [(x.game_id, p, t, m.expose(p)) for p, t in m.theta.items()]
-        return pd.DataFrame(out, columns=["game_id", "player", "theta", "rating"])
-
-    h = rows.groupBy("league", "to").applyInPandas(run, "game_id long, player long, theta double, rating double")
-    return h.join(games.select("game_id", "ts"), "game_id")
-
-
-def seed_rows(history: DataFrame, players: DataFrame, default: float) -> DataFrame:
-    """A first row for every player, 20 minutes before the first game."""
-    t = history.agg((F.min("ts") - F.expr("INTERVAL 20 MINUTES")).alias("ts"))
-    return players.crossJoin(F.broadcast(t)).select("ts", "player", F.lit(default).alias("rating"))
+    h = fold(games, lambda p: make(model, dict(params or {}) | p), ratings=True, shared=model in SHARED, segments=parallelism(games.sparkSession), after=after)
+    return h.select("ts", "game_id", "player", F.col("mu").alias("theta"), "rating")
 
 
 def resume(games: DataFrame, snapshot: DataFrame) -> DataFrame:
     """Games after the last one that the snapshot has."""
-    last: dt.datetime | None = snapshot.agg(F.max("ts")).head()[0]
-    return games if last is None else games.where(F.col("ts") > F.lit(last))
+    last = snapshot.agg(F.max(F.unix_micros("ts"))).head()[0]
+    return games if last is None else games.where(F.unix_micros("ts") > last)
 
 
 def snapshot(history: DataFrame) -> DataFrame:
@@ -108,8 +98,15 @@ def snapshot(history: DataFrame) -> DataFrame:
 
 
 def resume_history(games: DataFrame, state: DataFrame, model: str, params: dict | None = None) -> DataFrame:
-    """(ts, game_id, player, rating, mu, sigma) of the games after the snapshot ``state``, going on from it."""
+    """(ts, game_id, player, rating, mu, sigma) of the games after the snapshot ``state``, going on from it.
+
+    Batch models learn from all games again (a fit has no state that stands for them), but fit only after the snapshot.
+    """
     ship(games.sparkSession)
+    if model not in SEQUENTIAL:
+        last = state.agg(F.max(F.unix_micros("ts"))).head()[0]
+        h = batch_history(games, model, params, last)
+        return h.select("ts", "game_id", "player", "rating", F.col("theta").alias("mu"), F.lit(None).cast("double").alias("sigma"))
     new = resume(games, state)
     g = new.join(player_leagues(new), "game_id")
     who = g.select("league", F.explode(F.concat("r1", "r2")).alias("player")).distinct()
@@ -129,11 +126,40 @@ def resume_history(games: DataFrame, state: DataFrame, model: str, params: dict
                 out.append((x.game_id, p, m.expose(p), mu, sigma))
         return pd.DataFrame(out, columns=["game_id", "player", "rating", "mu", "sigma"])
 
-    h = g.groupBy("league").cogroup(known.groupBy("own_league")).applyInPandas(run, "game_id long, player long, rating double, mu double, sigma double")
+    h = g.groupBy("league").cogroup(known.groupBy("own_league")).applyInPandas(run, f"game_id long, player {player_type(games)}, rating double, mu double, sigma double")
     return h.join(new.select("game_id", "ts"), "game_id")
 
 
-def run_model(games: DataFrame, model: str, params: dict | None = None) -> DataFrame:
-    """The history of any model, long: sequential models by fold, batch models by a fit after each game."""
-    h = sequential_history if model in SEQUENTIAL else batch_history
-    return h(games, model, params).select("ts", "player", "rating")
+def run_model(games: DataFrame, model: str, params: dict | None = None, rosters: DataFrame | None = None) -> DataFrame:
+    """The history of any model, long (ts, player, rating): sequential models by fold, skill through time by its converged curves, batch models
+    by a fit after each time. With ``rosters``, a first row for every player before the first game."""
+    h = curve_ratings if model == "ttt" else lambda g, p: (sequential_history if model in SEQUENTIAL else batch_history)(g, model, p)
+    out = h(games, params).select("ts", "player", "rating")
+    if rosters is None:
+        return out
+    start = 0.0 if model in ("trueskill", "trueskill_mov", "ttt") else make(model, params).initial if model == "elo" else 1000.0
+    first = games.agg((F.min("ts") - F.expr("INTERVAL 20 MINUTES")).alias("ts")).where("ts is not null")
+    return out.unionByName(rosters.select("player").distinct().crossJoin(F.broadcast(first)).select("ts", "player", F.lit(start).alias("rating")))
+
+
+def forward_against_converged(games: DataFrame, params: dict | None = None) -> tuple[DataFrame, DataFrame]:
+    """Skill through time: the players whose mean after the filtering pass differs most from the converged one, and the summary of all."""
+    forward = snapshot(sequential_history(games, "ttt", params)).select("player", F.col("mu").alias("rating"))
+    last = curves(games, params).groupBy("player").agg(F.max_by("mu", "day").alias("rating"))
+    return compare_ratings(forward, last)
+
+
+def convergence_profile(games: DataFrame, sizes: list[int], params: dict | None = None) -> DataFrame:
+    """(games, seconds): how long skill through time takes to converge on the first games of the order, for each size."""
+    ship(games.sparkSession)
+    n = numbered(games, F.col("ts").asc_nulls_last(), F.col("game_id").asc()).withColumn("size", F.explode(F.array(*[F.lit(int(x)) for x in sizes]))).where("pos <= size")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        m = make("ttt", params)
+        for x in as_games(pdf):
+            m.update(x)
+        began = time.perf_counter()
+        m.converge(force=True)
+        return pd.DataFrame([(int(pdf["size"].iloc[0]), len(pdf), time.perf_counter() - began)], columns=["size", "games", "seconds"])
+
+    return n.groupBy("size").applyInPandas(run, "size int, games long, seconds double")

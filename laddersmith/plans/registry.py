@@ -8,6 +8,8 @@ from laddersmith.operators import sequential as S
 SEQUENTIAL = {"elo": S.Elo, "trueskill": S.TrueSkill, "trueskill_mov": S.TrueSkillMargin, "ttt": S.ThroughTime}
 BATCH = {"bt_mov": B.MarginBT, "bt_mov_time_decay": B.DecayBT, "bt_vet": B.VetBT, "bt_uncert": B.UncertainBT, "bt_normal": B.NormalBT}
 MODELS = SEQUENTIAL | BATCH
+#: Models with a scale or a reference time that all leagues share.
+SHARED = {"bt_normal", "bt_mov_time_decay"}
 
 #: Names that configurations use for parameters, where ours differ.
 ALIASES = {

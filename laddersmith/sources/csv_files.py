@@ -39,14 +39,19 @@ def typed_games(raw: DataFrame) -> DataFrame:
     return raw.select(
         "game_id", parse_time(F.col("time")).alias("ts"), F.col("time").alias("time_raw"), "team1", F.col("score1").alias("score1_raw"), "team2", F.col("score2").alias("score2_raw"),
         scores.strict_int(F.col("score1")).alias("s1"), scores.strict_int(F.col("score2")).alias("s2"), scores.flag(F.col("outcome_flag")).alias("outcome_only"), scores.flag(F.col("tourney_flag")).alias("tournament"),
-        scores.strict_int(F.col("players_field")).alias("players_on_court"),
+        scores.strict_int(F.col("players_field")).alias("players_on_court"), F.col("outcome_flag").alias("outcome_raw"), F.col("tourney_flag").alias("tournament_raw"),
     )
 
 
+def float_of(c: str):
+    """A score that may be any number, for diagnostics."""
+    return scores.float_score(F.col(c))
+
+
 def read_wide_rosters(spark: SparkSession, path: str, strip: bool = False) -> DataFrame:
     """(team, slot, player) of a file with one column for each team; blank cells are no players."""
     wide = spark.read.option("header", True).option("multiLine", True).option("inferSchema", False).csv(path)
-    wide = wide.withColumn("_slot", F.monotonically_increasing_id().cast("int"))
+    wide = wide.withColumn("_slot", F.monotonically_increasing_id())
     long = wide.unpivot("_slot", [c for c in wide.columns if c != "_slot"], "team", "player")
     out = long.where("player is not null and trim(player) <> ''").select("team", F.col("_slot").alias("slot"), "player")
     return out.withColumn("player", F.trim("player")) if strip else out

@@ -10,10 +10,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from laddersmith.functions.names import clean_header
+from laddersmith.functions.names import SITE_ON, header_of_file, placeholder, team_name
 from laddersmith.session import ship
 
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+#: Fixed value: a score as schedule pages print it.
 _SCORE = re.compile(r"(\d+)\s*[:\-–—]\s*(\d+)")
 
 
@@ -42,6 +43,22 @@ class Element:
                 todo += reversed(x.kids)
         return " ".join("".join(out).split())
 
+    def words(self) -> str:
+        """The texts inside, stripped and joined by a space."""
+        todo, out = [self], []
+        while todo:
+            x = todo.pop()
+            if isinstance(x, str):
+                if x.strip():
+                    out.append(x.strip())
+            else:
+                todo += reversed(x.kids)
+        return " ".join(out)
+
+    def first(self, outer: str, inner: str) -> Element | None:
+        """The first element of class ``inner`` inside one of class ``outer``."""
+        return next((y for x in self.find(outer) for y in x.find(inner)), None)
+
     def find(self, *classes: str, tag: str | None = None) -> list[Element]:
         return [x for x in self.walk() if x is not self and (tag is None or x.tag == tag) and set(classes) <= x.classes]
 
@@ -83,24 +100,30 @@ def html_files(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", F.element_at(F.split("path", "/"), -1).alias("filename"), F.decode("content", "UTF-8").alias("html"))
 
 
+def _time(s: str | None) -> str | None:
+    """An ISO time, also for seconds since 1970."""
+    s = (s or "").strip()
+    if s.isdigit() and len(s) > 8:
+        return pd.Timestamp(int(s), unit="s").isoformat()
+    try:
+        return s if s and not pd.isna(pd.Timestamp(s)) else None
+    except ValueError:
+        return None
+
+
 def schedule_rows(page: str) -> list[tuple]:
     """(time, home, home score, away, away score) of each match block with time, score and both teams."""
     out = []
     for m in dom(page).walk():
         if m.tag != "div" or "schedule-match" not in (m.attrs.get("class") or ""):
             continue
-        time = m.attrs.get("data-iso-datetime") or next((x.attrs["data-iso-datetime"] for x in m.walk() if x.attrs.get("data-iso-datetime")), None)
-        if time is None:
-            epoch = next((x.attrs[k] for x in m.walk() for k in ("data-timestamp", "data-epoch") if (x.attrs.get(k) or "").isdigit()), None)
-            time = pd.Timestamp(int(epoch), unit="s").isoformat() if epoch else None
-        score = next((s for c in ("static-scores", "visible-print-inline") for x in m.find(c) if (s := _SCORE.search(x.text()))), None)
-        names = []
-        for a, b in (("home-team", "left"), ("away-team", "right")):
-            box = m.find(a) or m.find(b)
-            disp = (box[0].find("team-display") or box) if box else []
-            names.append(disp[0].text() if disp else "")
+        time = _time(m.attrs.get("data-iso-datetime") or m.attrs.get("data-datetime"))
+        shown = (m.find("static-scores") or m.find("visible-print-inline") or [None])[0]
+        score = _SCORE.search(shown.words()) if shown is not None else None
+        sides = [m.first(f"{a}-team", "team-display") or m.first(f"{b}-team", "team-display") for a, b in (("home", "left"), ("away", "right"))]
+        names = [team_name(x.words()) if x is not None else "" for x in sides]
         if time and score and all(names):
-            out.append((time, names[0], score[1], names[1], score[2]))
+            out.append((time, names[0], str(int(score[1])), names[1], str(int(score[2]))))
     return out
 
 
@@ -120,8 +143,19 @@ def _unique(names: list[str]) -> list[str]:
     return list(dict.fromkeys(n for n in names if n))
 
 
-def avatar_titles(root: Element) -> list[str]:
-    return _unique([(x.attrs.get("title") or "").strip() for x in root.walk() if x.tag == "img" and "avatar" in (x.attrs.get("class") or "")])
+def guest_titles(root: Element) -> list[str]:
+    """Titles of the circles of a guest list, with repetitions."""
+    return [x.attrs["title"] for x in root.find("guest-list-circle", tag="div") if x.attrs.get("title")]
+
+
+def member_names(team: Element) -> list[str]:
+    """The name cells of a team's member list."""
+    cells = [c for box in team.find("team-members-container") for li in box.find("list-group-item", tag="li") for c in li.find("col-md-4")[:1]]
+    return [x for x in (c.words() for c in cells) if x]
+
+
+def listed_teams(root: Element) -> list[Element]:
+    return [t for ul in root.find("team-list", tag="ul") for t in ul.find("team", tag="li")]
 
 
 def row_names(root: Element) -> list[str]:
@@ -133,55 +167,62 @@ def row_names(root: Element) -> list[str]:
 
 
 def roster_of(page: str) -> list[str]:
-    """Players of a page by the first layout that has any: guest list, roster rows, first team of a team list, titled images."""
+    """Players of a page by the layout that it has: guest list, roster rows, first team of a team list; else the titles of its images."""
     root = dom(page)
-    guests = [avatar_titles(g) for g in root.walk() if "guest-list" in (g.attrs.get("class") or "") or g.attrs.get("id") == "guest-list"]
-    first = next((x for x in root.walk() if x.tag == "li" and "team" in x.classes and x.parent is not None and "team-list" in x.parent.classes), None)
-    listed = _unique([x.text() for x in first.walk() if x.tag in ("li", "span", "a") and x is not first and not any(isinstance(k, Element) for k in x.kids)]) if first else []
-    every = _unique([(x.attrs.get("title") or "").strip() for x in root.walk() if x.tag == "img"])
-    return next((g for g in (*guests, row_names(root), listed, every) if g), [])
+    if root.find("guest-list-circle"):
+        return guest_titles(root)
+    if root.find("roster-row"):
+        return row_names(root)
+    if teams := listed_teams(root):
+        return _unique(member_names(teams[0]))
+    return _unique([(x.attrs.get("title") or "").strip() for x in root.walk() if x.tag == "img"])
+
+
+#: A division whose teams are left out, and lines of a team's list that are no players.
+OPEN_DRAFT, NO_PLAYERS = "open draft spring25", {"open draft spring25", "wtnb", "draft", "social", "add"}
 
 
 def registration_teams(page: str, filename: str) -> list[tuple[str, list[str]]]:
-    """(team, players) of each team of a registrations page; drafts that are open are skipped."""
+    """(team, players) of each team of a registrations page; those of the open draft are skipped."""
     out = []
-    for t in dom(page).find("team", tag="li"):
-        if "open draft" in t.text().lower():
+    for t in listed_teams(dom(page)):
+        if any(x.words().lower() == OPEN_DRAFT for x in t.walk() if x is not t):
             continue
         head = (t.find("reg-team-name") or t.find("list-group-item-heading") or [None])[0]
-        name = head.text() if head is not None else re.sub(r"(?i)\.html?$", "", filename)
-        players = _unique([x.text() for x in t.walk() if x.tag in ("span", "a", "li") and x is not t and x is not head and not any(isinstance(k, Element) for k in x.kids)])
-        out.append((name, [p for p in players if p.lower() not in (name.lower(), "add")]))
+        name = head.words() if head is not None else header_of_file(filename)
+        players = [p for p in member_names(t) if not placeholder(p) and p.lower() not in NO_PLAYERS and p != name]
+        out.append((name, _unique(players)))
     return out
 
 
 def read_rosters(files: DataFrame, registrations: bool = False) -> DataFrame:
-    """(team, slot, player) of roster pages; the team is the page's header, or the file's name."""
+    """(team, slot, player, filename) of roster pages; the team is the page's header, or the file's name. A page that lists several teams gives each, with ``registrations``."""
     ship(files.sparkSession)
 
     def run(frames):
         for f in frames:
             rows = []
             for n, h in zip(f["filename"], f["html"], strict=True):
-                teams = registration_teams(h, n) if registrations else [(header_text(h) or re.sub(r"(?i)\.html?$", "", n), roster_of(h))]
-                rows += [(t, i, p) for t, ps in teams for i, p in enumerate(ps)]
-            yield pd.DataFrame(rows, columns=["team", "slot", "player"])
+                teams = registration_teams(h, n) if registrations else [(header_text(h) or header_of_file(n), roster_of(h))]
+                rows += [(t, i, p, n) for t, ps in teams for i, p in enumerate(ps)]
+            yield pd.DataFrame(rows, columns=["team", "slot", "player", "filename"])
 
-    return files.select("filename", "html").mapInPandas(run, "team string, slot int, player string")
+    return files.select("filename", "html").mapInPandas(run, "team string, slot long, player string, filename string")
 
 
 def header_text(page: str) -> str | None:
+    """The first h1's text, else the title without the site's suffix."""
     root = dom(page)
-    h1 = next((x.text() for x in root.walk() if x.tag == "h1" and x.text()), None)
-    title = next((x.text() for x in root.walk() if x.tag == "title" and x.text()), None)
-    return h1 or (re.split(r"\s[|\-–—]\s", title)[0] if title else None)
+    h1 = next((x.words() for x in root.walk() if x.tag == "h1"), "")
+    title = next((x.words() for x in root.walk() if x.tag == "title"), "")
+    return h1 or re.split(SITE_ON, title, maxsplit=1)[0].strip() or None
 
 
 def header(c: Column) -> Column:
-    """The same for well-formed pages, with built-in functions: first h1 with text, else the title's first part."""
-    inner = lambda tag: F.trim(F.regexp_replace(F.regexp_replace(F.regexp_extract(c, rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}>", 1), r"(?s)<[^>]*>", ""), r"\s+", " "))
-    h1, title = inner("h1"), inner("title")
-    return F.when(h1 != "", h1).when(title != "", clean_header(title))
+    """The same for well-formed pages, with built-in functions."""
+    inner = lambda tag: F.trim(F.regexp_replace(F.regexp_extract(c, rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}>", 1), r"(?:\s*<[^>]*>\s*)+", " "))
+    h1, title = inner("h1"), F.trim(F.split(inner("title"), SITE_ON, 2)[0])
+    return F.when(h1 != "", h1).when(title != "", title)
 
 
 def titles(c: Column) -> Column:

@@ -36,8 +36,12 @@ def test_scores(spark):
 
 
 def test_names(spark):
-    assert one(spark, names.clean_team_name(F.lit("Blue  Team 3-2 vs Red | Fall"))) == "Blue Team Red"
-    assert one(spark, names.clean_header(F.lit("Blue Team (F23) - Fall.html"))) == "Blue Team"
+    # only the white space before the scores and the "vs" go collapses first; what they leave stays
+    for text, want in (("Blue  Team 3-2 vs Red | Fall", "Blue Team   Red"), ("A 3 - 2 B", "A 3 - 2 B"), ("Vs. Ann v. Bo", "Ann  Bo"), ("Team  |x", "Team"), ("Lavs", "Lavs")):
+        assert one(spark, names.clean_team_name(F.lit(text))) == names.team_name(text) == want
+    for text, want in (("Blue Team (F23) - Fall.html", "Blue Team"), ("Red ｜ League.htm", "Red"), ("v1.2 Team", "v1"), (".hidden", ".hidden"), ("A-B (x)", "A-B")):
+        assert one(spark, names.clean_header(F.lit(text))) == names.header_of_file(text) == want
+    assert all(names.placeholder(x) == one(spark, names.is_placeholder(F.lit(x))) for x in ("", "Add", "Search player...", "Ann", "add-", "Create new user x"))
     assert one(spark, names.lookup_key(F.lit(" José--Peña_3 "))) == "josé peña 3"
     assert one(spark, names.alias_key(F.lit("José (Joe) O'Peña-Cruz"))) == "jose joe openacruz"
     assert one(spark, names.last_name(F.lit("Ann B. Cole"))) == "cole"

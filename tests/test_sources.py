@@ -50,18 +50,24 @@ def test_schedules(spark, tmp_path):
     (d / "b.txt").write_text(block)
     rows = html_files.read_schedules(html_files.html_files(spark, str(tmp_path))).collect()
     assert [tuple(r) for r in rows] == [("a.HTML", "2024-01-02T10:00:00", "Home", "3", "Away & Co", "2")]
+    epoch = block.replace('data-iso-datetime="2024-01-02T10:00:00"', 'data-datetime="1704189600"').replace("home-team", "left-team").replace("away-team", "right-team").replace(">Home<", ">Home 3-2 | x<")
+    assert html_files.schedule_rows(epoch) == [("2024-01-02T10:00:00", "Home", "3", "Away & Co", "2")]
+    assert html_files.schedule_rows(block.replace("3 : 2", "V") + block.replace("2024-01-02T10:00:00", "soon")) == []
 
 
 def test_rosters_in_pages(spark):
     pages = [
         '<h1>Team A</h1><div class="roster-row"><span> Ann </span></div><div class="roster-row"><img title="Bo"></div><div class="roster-row"><span>Ann</span></div>',
-        '<title>Team B - League</title><img title="Cy"><img title="Di">',
-        '<ul class="team-list"><li class="team"><span>Ed</span></li></ul>',
+        '<title>Team B - x | League and Tournament Scheduler by y</title><img title="Cy"><img title="Di">',
+        '<ul class="team-list"><li class="team"><div class="team-members-container"><li class="list-group-item"><div class="col-md-4 x">Ed <b>Lee</b></div><div class="col-md-4">no</div></li></div></li></ul>',
+        '<h1>Team D</h1><div class="guest-list-circle ttooltip img-circle" title="Flo"><img title="logo"></div><div class="guest-list-circle"></div>',
     ]
     df = spark.createDataFrame([(f"p{i}.html", p) for i, p in enumerate(pages)], "filename string, html string")
     got = sorted((r.team, r.slot, r.player) for r in html_files.read_rosters(df).collect())
-    assert got == [("Team A", 0, "Ann"), ("Team A", 1, "Bo"), ("Team B", 0, "Cy"), ("Team B", 1, "Di"), ("p2", 0, "Ed")]
-    assert html_files.registration_teams('<ul><li class="team"><div class="reg-team-name">X</div><span>Al</span></li><li class="team">open draft spring25</li></ul>', "f.html") == [("X", ["Al"])]
+    assert got == [("Team A", 0, "Ann"), ("Team A", 1, "Bo"), ("Team B - x", 0, "Cy"), ("Team B - x", 1, "Di"), ("Team D", 0, "Flo"), ("p2", 0, "Ed Lee")]
+    cell = lambda *ps: '<div class="team-members-container">' + "".join(f'<li class="list-group-item"><div class="col-md-4">{p}</div></li>' for p in ps) + "</div>"
+    page = f'<ul class="team-list"><li class="team"><div class="reg-team-name">X</div>{cell("Al", "WTNB", "Search player or create", "X", "Al", "Bo")}</li><li class="team"><h4>Open Draft Spring25</h4>{cell("No")}</li><li class="team"><h4 class="list-group-item-heading">Y</h4>{cell("Cy")}</li><li class="team">{cell("Di")}</li></ul>'
+    assert html_files.registration_teams(page, "File (F23).html") == [("X", ["Al", "Bo"]), ("Y", ["Cy"]), ("File", ["Di"])]
 
 
 def test_config(tmp_path):

@@ -13,9 +13,9 @@ from laddersmith.plans.registry import make
 SF = "/root/testdata/sf0.001"
 
 
-def test_queries_without_sql_read_every_order(spark):
+def test_queries_read_every_order(spark):
     orders = spark.read.parquet(f"{SF}/orders.parquet")
-    assert fixtures.all_games(spark, SF).count() == orders.count() == 1500
+    assert fixtures.games(spark, SF).count() == orders.count() == 1500
     li = spark.read.parquet(f"{SF}/lineitem.parquet").where("l_returnflag in ('A', 'R')").groupBy("l_orderkey").agg(F.sum(F.expr("CASE l_returnflag WHEN 'A' THEN 1 ELSE -1 END")).alias("d"))
     decided = orders.join(li, F.col("o_orderkey") == F.col("l_orderkey")).where("d <> 0").count()
     assert catalog.queries()["trueskill_chrono_metrics"](spark, SF).head().n == decided
@@ -27,8 +27,10 @@ def test_batch_histories_fit_every_prefix(spark, model):
     got = {(r.ts, r.player): r.rating for r in history.run_model(g, model).collect()}
     m, want = None, {}
     for n, x in enumerate(games := folds.as_games(g.toPandas()), 1):
-        if n not in (10, 33, 50, len(games)):  # fits from nothing, on both sides of blocks' edges
+        if n not in (10, 333, 760, len(games)) and not (n < 1200 and n % 397 == 0):  # fits from nothing, in several stretches
             continue
+        if n < len(games) and games[n].day == x.day:
+            continue  # of games at one time the last counts
         m = make(model)
         names = {r.game_id: (r.team1, r.team2) for r in g.select("game_id", "team1", "team2").collect()}
         for y in games[:n]:
@@ -42,8 +44,7 @@ def test_batch_histories_fit_every_prefix(spark, model):
         assert got[k] == pytest.approx(v, abs=1e-3), k
 
 
-def test_batch_back_test_fits_before_every_game(spark, monkeypatch):
-    monkeypatch.setattr(catalog, "_whole", catalog._full)
+def test_batch_back_test_fits_before_every_game(spark):
     terms = []
     m = make("bt_mov")
     for x in folds.as_games(catalog._full(spark, SF).toPandas()):
@@ -55,8 +56,7 @@ def test_batch_back_test_fits_before_every_game(spark, monkeypatch):
     assert got.n == len(terms) and got.nll == pytest.approx(sum(terms) / len(terms), abs=1e-6)
 
 
-def test_wide_history_has_every_player_and_time(spark, monkeypatch):
-    monkeypatch.setattr(catalog, "_whole", catalog._full)
+def test_wide_history_has_every_player_and_time(spark):
     h = history.sequential_history(catalog._full(spark, SF), "elo").cache()
     got = catalog.queries()["wide_rating_history"](spark, SF)
     assert got.columns == ["Time", *[str(r.player) for r in h.select("player").distinct().orderBy("player").collect()]]
