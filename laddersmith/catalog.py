@@ -101,6 +101,15 @@ def elo_pregame_named(spark, sf_dir):
     return folds.fold(folds.prepare(joins.with_rosters(g, r)), lambda p: MODELS["elo"](**p)).select("game_id", _r6("p"))
 
 
+@query(_ELO + """, points AS (SELECT m.player, g.ts, s.k, 1000 + list_extract(f.st, ids.i) AS rating FROM fold f JOIN seqd s ON s.k = f.k JOIN games g ON g.game_id = s.game_id
+  JOIN (SELECT DISTINCT team, player FROM rosters) m ON m.team = g.team1 OR m.team = g.team2 JOIN ids ON ids.player = m.player)
+SELECT player, epoch(ts)::BIGINT AS ts, round(arg_max(rating, k), 3) AS rating FROM points GROUP BY player, ts
+UNION ALL SELECT player, epoch((SELECT min(ts) FROM games))::BIGINT - 1200, 1000.0 FROM (SELECT DISTINCT player FROM rosters)""")
+def elo_history(spark, sf_dir):
+    """Each player's rating after each time of play, with a first row for every player."""
+    return ratings_elo(spark, sf_dir).select("player", _epoch("ts"), F.round("rating", 3).alias("rating"))
+
+
 _METRICS = """SELECT round(avg(-ln(CASE WHEN y THEN q ELSE 1 - q END)), 6) AS nll, round(avg((q - y::INT) * (q - y::INT)), 6) AS brier, round(avg(((p >= 0.499999999) = y)::INT), 6) AS accuracy, count(*) AS n
 FROM (SELECT p, least(greatest(p, 1e-12), 1 - 1e-12) AS q, score1 > score2 AS y FROM fold JOIN games USING (game_id) WHERE score1 <> score2)"""
 
@@ -472,8 +481,7 @@ def _ratings(model: str):
     return query()(f)
 
 
-for _m in MODELS:
-    _ratings(_m)
+ratings_elo, *_ = [_ratings(_m) for _m in MODELS]
 
 
 @query()

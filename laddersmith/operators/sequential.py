@@ -9,6 +9,8 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 
+import numpy as np
+
 from laddersmith.functions.rating_math import phi
 
 SQRT2PI = math.sqrt(2 * math.pi)
@@ -100,6 +102,7 @@ class TrueSkill:
     tau: float | None = None
     draw: float = 0.123
     ratings: dict = field(default_factory=dict)
+    edge: float | None = None
 
     def __post_init__(self):
         self.sigma = self.mu / 3 if self.sigma is None else self.sigma
@@ -121,7 +124,9 @@ class TrueSkill:
         c2 = sum(w * w * (s * s + self.tau**2 + self.beta**2) for _, _, s, w, _ in both)
         c = math.sqrt(c2)
         diff = sum(sign * w * m for _, m, _, w, sign in both)
-        eps = _quantile((self.draw + 1) / 2) * math.sqrt(len(both)) * self.beta if self.draw > 0 else 0.0
+        if self.edge is None:
+            self.edge = _quantile((self.draw + 1) / 2) if self.draw > 0 else 0.0
+        eps = self.edge * math.sqrt(len(both)) * self.beta
         v, w_ = _truncated(diff / c, eps / c, draw)
         new = {}
         for p, m, s, w, sign in both:
@@ -202,6 +207,7 @@ class ThroughTime:
     fitted: int = 0
     count: int = 0
     clock: float | None = None
+    _quantile: float | None = None
 
     def _prior(self, p):
         m, s = self.priors.get(p, (self.mu, self.sigma))
@@ -228,26 +234,36 @@ class ThroughTime:
         n = max(1, on_court)
         return n / len(side) if len(side) > n else 1.0
 
-    def likelihoods(self, g: Game, day: float, prior: dict) -> dict:
-        """For each player the message (precision, precision * mean) of one game, given the priors."""
+    def _sides(self, g: Game) -> tuple[list, list, bool, dict]:
+        """Winners, losers (side 1 and 2 of a draw), whether it is one, and the weights of both."""
         s1, s2 = max(0, g.s1), max(0, g.s2)
         if self.compat_inverted_result:
             s1, s2 = s2, s1
-        draw = s1 == s2
         win, lose = (g.r1, g.r2) if s1 >= s2 else (g.r2, g.r1)
-        ws = {1: self._weight(win, g.on_court), -1: self._weight(lose, g.on_court)}
-        both = [(p, *prior[p], ws[sign], sign) for side, sign in ((win, 1), (lose, -1)) for p in side]
-        c2 = sum(w * w * (s * s + self.beta**2) for _, _, s, w, _ in both)
+        return win, lose, s1 == s2, {1: self._weight(win, g.on_court), -1: self._weight(lose, g.on_court)}
+
+    def _margin(self, n: int) -> float:
+        """The draw margin of a game of ``n`` players."""
+        if self.p_draw <= 0:
+            return 0.0
+        if self._quantile is None:
+            self._quantile = _quantile((self.p_draw + 1) / 2)
+        return self._quantile * math.sqrt(n) * self.beta
+
+    def _messages(self, m: np.ndarray, var: np.ndarray, entry: np.ndarray, sign: np.ndarray, w: np.ndarray, eps: float, draw: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Messages (precision, precision * mean) of one game to its players, given their means and variances without it.
+
+        ``entry``: for each place of both sides, its player. Of a player on both sides the losing one counts.
+        """
+        own, v_own = m[entry], var[entry]
+        c2 = float((w * w * (v_own + self.beta**2)).sum())
         c = math.sqrt(c2)
-        diff = sum(sign * w * m for _, m, _, w, sign in both)
-        eps = _quantile((self.p_draw + 1) / 2) * math.sqrt(len(both)) * self.beta if self.p_draw > 0 else 0.0
-        v, k = _truncated(diff / c, eps / c, draw)
-        out = {}
-        for p, m, s, w, sign in both:
-            m2 = m + sign * w * s * s / c * v
-            s2_ = max(s * s * (1 - w * w * s * s / c2 * k), 1e-12)
-            out[p] = (1 / s2_ - 1 / (s * s), m2 / s2_ - m / (s * s))
-        return out
+        v, k = _truncated(float((sign * w * own).sum()) / c, eps / c, draw)
+        left = np.maximum(v_own * (1 - w * w * v_own / c2 * k), 1e-12)
+        pi, tau = np.zeros(len(m)), np.zeros(len(m))
+        pi[entry] = 1 / left - 1 / v_own
+        tau[entry] = (own + sign * w * v_own / c * v) / left - own / v_own
+        return pi, tau
 
     def update(self, g: Game) -> None:
         day = g.day if g.day is not None else float(self.count)
@@ -255,15 +271,18 @@ class ThroughTime:
         self.games.append((day, g))
         if not g.r1 or not g.r2:
             return
-        prior = {}
-        for p in {*g.r1, *g.r2}:
-            m, s = self.ratings.get(p, self._prior(p))
-            gone = max(0.0, day - self.last_day.get(p, day))
-            prior[p] = (m, max(math.sqrt(s * s + gone * self.gamma**2), 1e-8))
-        for p, (pi, tau) in self.likelihoods(g, day, prior).items():
-            m, s = prior[p]
-            prec = 1 / (s * s) + pi
-            self.ratings[p] = ((m / (s * s) + tau) / prec, math.sqrt(1 / prec))
+        win, lose, draw, ws = self._sides(g)
+        own = list(dict.fromkeys([*win, *lose]))
+        at = {p: k for k, p in enumerate(own)}
+        m, s = (np.array(x) for x in zip(*(self.ratings.get(p, self._prior(p)) for p in own), strict=True))
+        gone = np.array([max(0.0, day - self.last_day.get(p, day)) for p in own])
+        var = np.maximum(s * s + gone * self.gamma**2, 1e-16)
+        sign = np.array([1.0] * len(win) + [-1.0] * len(lose))
+        entry = np.array([at[p] for p in (*win, *lose)])
+        pi, tau = self._messages(m, var, entry, sign, np.where(sign > 0, ws[1], ws[-1]), self._margin(len(entry)), draw)
+        prec = 1 / var + pi
+        for p, mean, dev in zip(own, ((m / var + tau) / prec).tolist(), np.sqrt(1 / prec).tolist(), strict=True):
+            self.ratings[p] = (mean, dev)
             self.last_day[p] = day
 
     def converge(self, force: bool = False) -> None:
@@ -271,59 +290,61 @@ class ThroughTime:
         valid = sorted(((d, i, g) for i, (d, g) in enumerate(self.games) if g.r1 and g.r2), key=lambda x: x[:2])
         if not valid or not force and self.fitted and len(valid) - self.fitted < self.min_new_games:
             return
-        msg = [dict.fromkeys({*g.r1, *g.r2}, (0.0, 0.0)) for _, _, g in valid]
-        seen: dict = {}
-        for i, (d, _, g) in enumerate(valid):
-            for p in {*g.r1, *g.r2}:
-                seen.setdefault(p, []).append((d, i))
-        drift = lambda pi, tau, gap: (1 / (1 / pi + gap * self.gamma**2), tau / pi / (1 / pi + gap * self.gamma**2)) if pi > 0 else (0.0, 0.0)
-        for _ in range(self.iterations):
-            for order in (range(len(valid)), range(len(valid) - 1, -1, -1)):
-                ahead = order.step > 0
-                run: dict = {}  # messages from the side that the sweep comes from
-                other = self._side(seen, msg, drift, not ahead)
-                for i in order:
-                    d, _, g = valid[i]
-                    prior = {}
-                    for p in {*g.r1, *g.r2}:
-                        if p in run:
-                            pd, pi, tau = run[p]
-                            pi, tau = drift(pi, tau, abs(d - pd))
-                        elif ahead:
-                            m, s = self._prior(p)
-                            pi, tau = 1 / s**2, m / s**2
-                        else:
-                            pi, tau = 0.0, 0.0
-                        bp, bt = other[p, i]
-                        prior[p] = (pi, tau, pi + bp, tau + bt)
-                    new = self.likelihoods(g, d, {p: (t / q, math.sqrt(1 / q)) for p, (_, _, q, t) in prior.items()})
-                    msg[i] = new
-                    for p, (pi, tau, _, _) in prior.items():
-                        run[p] = (d, pi + new[p][0], tau + new[p][1])
-        fwd, bwd = self._side(seen, msg, drift, True), self._side(seen, msg, drift, False)
-        curves: dict = {}
-        for p, at in seen.items():
-            for d, i in at:
-                pi = fwd[p, i][0] + bwd[p, i][0] + msg[i][p][0]
-                tau = fwd[p, i][1] + bwd[p, i][1] + msg[i][p][1]
-                if not (pi > 0 and math.isfinite(tau)):
-                    return  # keeps the ratings from before
-                curves.setdefault(p, []).append((d, tau / pi, math.sqrt(1 / pi)))
+        # a slot is a player in a game; messages are precisions and precisions times means
+        players: dict = {}
+        slots, sides, offs = [], [], [0]
+        for _, _, g in valid:
+            win, lose, draw, ws = self._sides(g)
+            own = list(dict.fromkeys([*win, *lose]))
+            at = {p: k for k, p in enumerate(own)}
+            slots += [players.setdefault(p, len(players)) for p in own]
+            entry = np.array([at[p] for p in (*win, *lose)])
+            sign = np.concatenate([np.ones(len(win)), -np.ones(len(lose))])
+            sides.append((entry, sign, np.where(sign > 0, ws[1], ws[-1]), self._margin(len(entry)), draw))
+            offs.append(len(slots))
+        slots, day = np.array(slots), np.array([d for d, _, _ in valid])
+        prior = np.array([self._prior(p) for p in players])
+        start = (1 / prior[:, 1] ** 2, prior[:, 0] / prior[:, 1] ** 2)
+        none = np.zeros(len(players))
+        msg = [np.zeros(len(slots)), np.zeros(len(slots))]
+        # what reaches each slot from the games before it and after it
+        come = {True: [np.zeros(len(slots)), np.zeros(len(slots))], False: [np.zeros(len(slots)), np.zeros(len(slots))]}
+        g2 = self.gamma**2
+
+        def sweep(ahead: bool, learn: bool) -> None:
+            run_pi, run_tau = (x.copy() for x in (start if ahead else (none, none)))
+            seen = np.full(len(players), np.nan)
+            mine, other = come[ahead], come[not ahead]
+            for i in range(len(valid)) if ahead else range(len(valid) - 1, -1, -1):
+                at = slice(offs[i], offs[i + 1])
+                who = slots[at]
+                pi, tau, gap = run_pi[who], run_tau[who], np.abs(day[i] - seen[who])
+                moved = (gap > 0) & (pi > 0)
+                if moved.any():
+                    wide = 1 / pi[moved] + gap[moved] * g2
+                    tau[moved] *= 1 / (pi[moved] * wide)
+                    pi[moved] = 1 / wide
+                mine[0][at], mine[1][at] = pi, tau
+                if learn:
+                    q = pi + other[0][at]
+                    msg[0][at], msg[1][at] = self._messages((tau + other[1][at]) / q, 1 / q, *sides[i])
+                run_pi[who], run_tau[who] = pi + msg[0][at], tau + msg[1][at]
+                seen[who] = day[i]
+
+        with np.errstate(all="ignore"):
+            for _ in range(self.iterations):
+                sweep(True, True)
+                sweep(False, True)
+            sweep(True, False)
+            pi, tau = (come[True][k] + come[False][k] + msg[k] for k in (0, 1))
+        if not ((pi > 0) & np.isfinite(tau)).all():
+            return  # keeps the ratings from before
+        mean, dev, when = (tau / pi).tolist(), np.sqrt(1 / pi).tolist(), np.repeat(day, np.diff(offs)).tolist()
+        names, curves = list(players), {}
+        for k, p in enumerate(slots.tolist()):
+            curves.setdefault(names[p], []).append((when[k], mean[k], dev[k]))
         self.curves, self.fitted = curves, len(valid)
 
-    def _side(self, seen: dict, msg: list, drift, ahead: bool) -> dict:
-        """What reaches each (player, game) from the games before it (ahead) or after it."""
-        out = {}
-        for p, at in seen.items():
-            m, s = self._prior(p)
-            pi, tau, last = (1 / s**2, m / s**2, None) if ahead else (0.0, 0.0, None)
-            for d, i in at if ahead else reversed(at):
-                if last is not None:
-                    pi, tau = drift(pi, tau, abs(d - last))
-                out[p, i] = (pi, tau)
-                pi, tau, last = pi + msg[i][p][0], tau + msg[i][p][1], d
-        return out
-
     def predict(self, g: Game) -> float:
         if not g.r1 or not g.r2:
             return 0.5

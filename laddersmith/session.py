@@ -11,6 +11,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
+#: What each application has written to the shared folder.
+_MADE: dict[str, list[str]] = {}
 #: Rows and bytes of an Arrow batch, at most (a single row may be longer).
 BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
@@ -53,9 +55,11 @@ def ship(spark: SparkSession) -> None:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; where it is unset (tests), one of our own."""
+    """The shared folder that the cluster names; where it is unset on one machine (tests), one of our own."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = f"file://{tempfile.gettempdir()}/laddersmith-{os.getuid()}"
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
@@ -66,9 +70,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _MADE.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Delete all that materialize() has written in this application: to be called when its results aren't read any more."""
+    for p in _MADE.pop(spark.sparkContext.applicationId, []):
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a materialized frame that nothing reads any more."""
     spark = df.sparkSession

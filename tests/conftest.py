@@ -8,9 +8,10 @@ sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
 @pytest.fixture(scope="session")
 def spark():
-    from laddersmith.session import build_session
+    from laddersmith.session import build_session, sweep
 
     s = build_session("tests", "local[4]", 4)
     s.sparkContext.setLogLevel("ERROR")
     yield s
+    sweep(s)
     s.stop()
