@@ -4,9 +4,9 @@ Each document becomes the set of its k-word shingles. Equal sets form one class;
 representatives are banded by MinHash, odd sketches (the samples folded into a parity
 bitmap; Mitzenmacher, Pagh and Pham, 2014) discard dissimilar pairs within a bucket, and what is left is confirmed on the full sets.
 
-Scale: buckets above ``BUCKET`` rows become stars without a look at sketches; families of
-candidates above ``CHUNK`` rows are cut into pairs of chunks, so no task holds more than
-2 * CHUNK sets, and a task emits at most one link per document.
+Scale: buckets above ``BUCKET`` rows become stars without a look at sketches. In families of
+candidates above ``CHUNK`` rows every member meets the family's least node first; only members that aren't linked
+to it meet all the others, in pairs of chunks. No task holds more than 2 * CHUNK sets, and a task emits at most one link per document.
 
 Defined results: null or empty texts, and texts without words, have an empty set and link
 with nothing; repeated rows fall into one class; extra columns are ignored; an empty table
@@ -233,23 +233,40 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     # the sets of the members alone, once
     sizes = family.groupBy("label").agg(F.count(F.lit(1)).alias("members"))
     member = family.join(sizes, "label").join(classes.select("node", "rep"), "node")
-    pick = member.select(F.col("rep").alias("m_rep")).distinct()
-    text = docs.join(pick, F.col("doc_id").eqNullSafe(F.col("m_rep"))).select("doc_id", "text")
 
     def sets_of(batches):
         for b in batches:
-            for _, sets in shingle_sets(b.column(1), k):
+            want = b.column(1).to_numpy()
+            for i, sets in shingle_sets(b.column(0), k):
                 _, d1, _ = set_digests(sets)
-                yield pa.RecordBatch.from_arrays([pa.array(d1.view(np.int64)), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "shingles"])
+                mine = np.flatnonzero(d1.view(np.int64) == want[i : i + len(sets)])  # not another text of the same id
+                rows = pa.array(i + mine)
+                yield pa.RecordBatch.from_arrays([*(b.column(c).take(rows) for c in (1, 2, 3)), pa.array([sets[r].tobytes() for r in mine.tolist()], pa.binary())], names=["node", "label", "members", "shingles"])
 
-    sets = text.mapInArrow(sets_of, "node long, shingles binary").dropDuplicates(["node"])
+    text = docs.join(member.select(F.col("rep").alias("m_rep"), "node", "label", "members"), F.col("doc_id").eqNullSafe(F.col("m_rep"))).select("text", "node", "label", "members")
+    sets = materialize(text.mapInArrow(sets_of, "node long, label long, members long, shingles binary").dropDuplicates(["node"]), "near-sets")
+
+    confirm = lambda tiles, name: materialize(by_group(tiles, "tile", _confirm(percent), "a long, b long", ["side", "node"], 2 * parallelism(spark)), name)
+    chunk = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    upto = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     g = F.ceil(F.col("members") / CHUNK).cast("int")
-    c = F.pmod(F.xxhash64("node"), g).cast("int")
-    tiles = member.select("node", "label", g.alias("g"), c.alias("c")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
-    # with several chunks, the tile (i, i) holds one chunk and (i, j) the links between two
-    tiles = tiles.select("node", F.xxhash64("label", F.least("c", "j"), F.greatest("c", "j")).alias("tile"), F.when((F.col("c") == F.col("j")), 0).when(F.col("c") < F.col("j"), 1).otherwise(2).alias("side"))
-    confirmed = by_group(tiles.join(sets, "node"), "tile", _confirm(percent), "a long, b long", ["node"], 2 * parallelism(spark))
+    links_small = confirm(sets.where(f"members <= {CHUNK}").select("node", F.xxhash64("label").alias("tile"), F.lit(0).alias("side"), "shingles"), "near-confirmed")
+    # a large family: every member against the family's least node, chunk by chunk
+    large = sets.where(f"members > {CHUNK}").select("node", "label", g.alias("g"), chunk(g).alias("c"), "shingles")
+    heads = large.where("node = label").select("node", "label", upto(F.col("g")).alias("c"), F.lit(0).alias("side"), "shingles")
+    star = large.where("node <> label").select("node", "label", "c", F.lit(1).alias("side"), "shingles").unionByName(heads)
+    links_star = confirm(star.select("node", F.xxhash64("label", "c").alias("tile"), "side", "shingles"), "near-confirmed")
+    # those that aren't linked to it, against all members: the only tiles that are pairs of chunks
+    linked = links_star.select(F.col("b").alias("node")).unionByName(links_star.select(F.col("a").alias("node"))).distinct()
+    left = materialize(large.where("node <> label").join(linked, "node", "left_anti"), "near-left")
+    count = left.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("h"))
+    rest = left.join(count, "label").select("node", "label", chunk(F.col("h")).alias("i"), upto(F.col("g")).alias("c"), F.lit(0).alias("side"), "shingles")
+    rest = rest.unionByName(large.join(count, "label").select("node", "label", upto(F.col("h")).alias("i"), "c", F.lit(1).alias("side"), "shingles"))
+    links_rest = confirm(rest.select("node", F.xxhash64("label", "i", "c").alias("tile"), "side", "shingles"), "near-confirmed")
+    confirmed = links_small.unionByName(links_star).unionByName(links_rest)
     comp = components(confirmed.distinct(), "near-components")
+    for done in (sets, left, links_small, links_star, links_rest):
+        discard(done)
 
     rep_of = classes.select("node", "rep").join(comp, "node", "left").select("node", "rep", F.coalesce("label", "node").alias("label"))
     rep_of = materialize(rep_of, "near-labels")
