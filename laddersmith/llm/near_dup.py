@@ -246,26 +246,31 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     text = docs.join(member.select(F.col("rep").alias("m_rep"), "node", "label", "members"), F.col("doc_id").eqNullSafe(F.col("m_rep"))).select("text", "node", "label", "members")
     sets = materialize(text.mapInArrow(sets_of, "node long, label long, members long, shingles binary").dropDuplicates(["node"]), "near-sets")
 
-    confirm = lambda tiles, name: materialize(by_group(tiles, "tile", _confirm(percent), "a long, b long", ["side", "node"], 2 * parallelism(spark)), name)
+    def confirm(tiles: DataFrame) -> DataFrame:
+        return materialize(by_group(tiles, "tile", _confirm(percent), "a long, b long", ["side", "node"]), "near-confirmed")
+
     chunk = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
     upto = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     g = F.ceil(F.col("members") / CHUNK).cast("int")
-    links_small = confirm(sets.where(f"members <= {CHUNK}").select("node", F.xxhash64("label").alias("tile"), F.lit(0).alias("side"), "shingles"), "near-confirmed")
-    # a large family: every member against the family's least node, chunk by chunk
+    # a small family is one tile; in a large one every member meets the family's least node, chunk by chunk
+    small = sets.where(f"members <= {CHUNK}").select("node", F.xxhash64("label").alias("tile"), F.lit(0).alias("side"), "shingles")
     large = sets.where(f"members > {CHUNK}").select("node", "label", g.alias("g"), chunk(g).alias("c"), "shingles")
     heads = large.where("node = label").select("node", "label", upto(F.col("g")).alias("c"), F.lit(0).alias("side"), "shingles")
     star = large.where("node <> label").select("node", "label", "c", F.lit(1).alias("side"), "shingles").unionByName(heads)
-    links_star = confirm(star.select("node", F.xxhash64("label", "c").alias("tile"), "side", "shingles"), "near-confirmed")
-    # those that aren't linked to it, against all members: the only tiles that are pairs of chunks
-    linked = links_star.select(F.col("b").alias("node")).unionByName(links_star.select(F.col("a").alias("node"))).distinct()
-    left = materialize(large.where("node <> label").join(linked, "node", "left_anti"), "near-left")
-    count = left.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("h"))
-    rest = left.join(count, "label").select("node", "label", chunk(F.col("h")).alias("i"), upto(F.col("g")).alias("c"), F.lit(0).alias("side"), "shingles")
-    rest = rest.unionByName(large.join(count, "label").select("node", "label", upto(F.col("h")).alias("i"), "c", F.lit(1).alias("side"), "shingles"))
-    links_rest = confirm(rest.select("node", F.xxhash64("label", "i", "c").alias("tile"), "side", "shingles"), "near-confirmed")
-    confirmed = links_small.unionByName(links_star).unionByName(links_rest)
+    confirmed = confirm(small.unionByName(star.select("node", F.xxhash64("label", "c").alias("tile"), "side", "shingles")))
+    spent = [sets, confirmed]
+    # those of large families that aren't linked to it meet all members: the only tiles that are pairs of chunks
+    linked = confirmed.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    left = large.where("node <> label").drop("shingles").join(linked, "node", "left_anti")
+    if sizes.where(f"members > {CHUNK}").head(1) and left.head(1):
+        left = materialize(left, "near-left")
+        count = left.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("h"))
+        rest = large.join(left.select("node"), "node", "left_semi").join(count, "label").select("node", "label", chunk(F.col("h")).alias("i"), upto(F.col("g")).alias("c"), F.lit(0).alias("side"), "shingles")
+        rest = rest.unionByName(large.join(count, "label").select("node", "label", upto(F.col("h")).alias("i"), "c", F.lit(1).alias("side"), "shingles"))
+        more = confirm(rest.select("node", F.xxhash64("label", "i", "c").alias("tile"), "side", "shingles"))
+        confirmed, spent = confirmed.unionByName(more), [*spent, left, more]
     comp = components(confirmed.distinct(), "near-components")
-    for done in (sets, left, links_small, links_star, links_rest):
+    for done in spent:
         discard(done)
 
     rep_of = classes.select("node", "rep").join(comp, "node", "left").select("node", "rep", F.coalesce("label", "node").alias("label"))
