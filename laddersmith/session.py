@@ -14,7 +14,7 @@ _SHIPPED: set[str] = set()
 #: What each application has written to the shared folder.
 _MADE: dict[str, list[str]] = {}
 #: Rows and bytes of an Arrow batch, at most (a single row may be longer).
-BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 1000, 2 << 20
 
 
 def build_session(app: str = "laddersmith", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
