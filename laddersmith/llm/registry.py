@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from laddersmith.llm import decontaminate, near_dup
+from laddersmith.llm import decontaminate, merkle, near_dup
 from laddersmith.llm.bpe import op7_byte_bpe
 from laddersmith.llm.decontaminate import op9_decontaminate
 from laddersmith.llm.html_text import op2_html_text
 from laddersmith.llm.license_scan import op8_license_scan
+from laddersmith.llm.merkle import op11_merkle_manifest
 from laddersmith.llm.near_dup import op3_minhash_near_dup
 from laddersmith.llm.ppm import op5_ppm_lm
 from laddersmith.llm.quality import op10_quality
@@ -33,9 +34,10 @@ _QUERIES = [
     op8_license_scan,
     op9_decontaminate,
     op10_quality,
+    op11_merkle_manifest,
     pipeline,
 ]
-_SQL = {"op3_minhash_near_dup": near_dup.SQL, "op9_decontaminate": decontaminate.SQL}
+_SQL = {"op3_minhash_near_dup": near_dup.SQL, "op9_decontaminate": decontaminate.SQL, "op11_merkle_manifest": merkle.SQL}
 
 
 def queries() -> dict:
