@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from laddersmith.llm import decontaminate, merkle, near_dup
+from laddersmith.llm import decontaminate, merkle, near_dup, negatives
 from laddersmith.llm.bpe import op7_byte_bpe
 from laddersmith.llm.decontaminate import op9_decontaminate
 from laddersmith.llm.html_text import op2_html_text
 from laddersmith.llm.license_scan import op8_license_scan
 from laddersmith.llm.merkle import op11_merkle_manifest
 from laddersmith.llm.near_dup import op3_minhash_near_dup
+from laddersmith.llm.negatives import op12_hard_negatives
 from laddersmith.llm.ppm import op5_ppm_lm
 from laddersmith.llm.quality import op10_quality
 from laddersmith.llm.suffix_dedup import op6_suffix_array_dedup
@@ -35,9 +36,10 @@ _QUERIES = [
     op9_decontaminate,
     op10_quality,
     op11_merkle_manifest,
+    op12_hard_negatives,
     pipeline,
 ]
-_SQL = {"op3_minhash_near_dup": near_dup.SQL, "op9_decontaminate": decontaminate.SQL, "op11_merkle_manifest": merkle.SQL}
+_SQL = {"op3_minhash_near_dup": near_dup.SQL, "op9_decontaminate": decontaminate.SQL, "op11_merkle_manifest": merkle.SQL, "op12_hard_negatives": negatives.SQL}
 
 
 def queries() -> dict:
