@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from laddersmith.llm import decontaminate, merkle, near_dup, negatives
+from laddersmith.llm import chat, decontaminate, merkle, near_dup, negatives
 from laddersmith.llm.bpe import op7_byte_bpe
+from laddersmith.llm.chat import op13_chat_format
 from laddersmith.llm.decontaminate import op9_decontaminate
 from laddersmith.llm.html_text import op2_html_text
 from laddersmith.llm.license_scan import op8_license_scan
@@ -37,9 +38,10 @@ _QUERIES = [
     op10_quality,
     op11_merkle_manifest,
     op12_hard_negatives,
+    op13_chat_format,
     pipeline,
 ]
-_SQL = {"op3_minhash_near_dup": near_dup.SQL, "op9_decontaminate": decontaminate.SQL, "op11_merkle_manifest": merkle.SQL, "op12_hard_negatives": negatives.SQL}
+_SQL = {"op3_minhash_near_dup": near_dup.SQL, "op9_decontaminate": decontaminate.SQL, "op11_merkle_manifest": merkle.SQL, "op12_hard_negatives": negatives.SQL, "op13_chat_format": chat.SQL}
 
 
 def queries() -> dict:
