@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from laddersmith import fixtures
 from laddersmith.fixtures import CTE
 from laddersmith.functions import names, rating_math, scores, times
-from laddersmith.operators import aliases, folds, joins, stats, stint
+from laddersmith.operators import aliases, folds, intervals, joins, stats, stint
 from laddersmith.plans import evaluation, export, history
 from laddersmith.plans.registry import MODELS
 from laddersmith.sources import html_files, sinks
@@ -49,6 +49,10 @@ def _epoch(c: str):
     return F.unix_timestamp(c).alias(c)
 
 
+def _epoch_of_us(c: str):
+    return F.expr(f"{c} div 1000000")
+
+
 def _games(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixtures.games(spark, sf_dir)
 
@@ -546,9 +550,32 @@ def export_document(spark, sf_dir):
     return export.parts(h, g, r, "elo")
 
 
-@query()
+#: Elo's changes with the first row of every player, and each player's rating at each time.
+_DENSE = """, points AS (SELECT m.player, g.ts, s.k, 1000 + list_extract(f.st, ids.i) AS rating FROM fold f JOIN seqd s ON s.k = f.k JOIN games g ON g.game_id = s.game_id
+  JOIN (SELECT DISTINCT team, player FROM rosters) m ON m.team = g.team1 OR m.team = g.team2 JOIN ids ON ids.player = m.player),
+changed AS (SELECT player, epoch(ts)::BIGINT AS ts, arg_max(rating, k) AS rating FROM points GROUP BY player, ts
+  UNION ALL SELECT player, epoch((SELECT min(ts) FROM games))::BIGINT - 1200, 1000.0 FROM (SELECT DISTINCT player FROM rosters)),
+grid AS (SELECT player, ts FROM (SELECT DISTINCT player FROM rosters) CROSS JOIN (SELECT DISTINCT ts FROM changed)),
+dense AS (SELECT grid.player, grid.ts, changed.rating FROM grid ASOF JOIN changed ON grid.player = changed.player AND grid.ts >= changed.ts)
+"""
+
+
+def _elo_with_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g, r = _full(spark, sf_dir), fixtures.rosters(spark, sf_dir)
+    return history.run_model(g, "elo", rosters=r)
+
+
+@query(_ELO + _DENSE + f""", pos AS (SELECT player, (row_number() OVER (ORDER BY player) - 1) // {intervals.WIDTH} AS block FROM (SELECT DISTINCT player FROM rosters))
+SELECT block, ts, string_agg(CAST(round(rating, 2) AS VARCHAR), ',' ORDER BY player) AS ratings FROM dense JOIN pos USING (player) GROUP BY block, ts""")
 def wide_rating_history(spark, sf_dir):
-    """K1: the wide form, a column for each player."""
-    h = history.sequential_history(_full(spark, sf_dir), "elo")
-    who = [r.player for r in h.select("player").distinct().orderBy("player").collect()]
-    return sinks.wide_history(h, who)
+    """The wide form, every cell filled: a line for each time and block of columns, a column for each player."""
+    blocks, _ = intervals.filled(intervals.changes(_elo_with_seeds(spark, sf_dir), "player"), "player")
+    line = F.array_join(F.transform("ratings", lambda x: F.round(x, 2).cast("string")), ",")
+    return blocks.select("block", _epoch_of_us("us").alias("ts"), line.alias("ratings"))
+
+
+@query(_ELO + _DENSE + "SELECT team, ts, round(avg(rating), 3) AS rating FROM dense JOIN (SELECT DISTINCT team, player FROM rosters) USING (player) GROUP BY team, ts")
+def team_histories(spark, sf_dir):
+    """A5: the mean rating of all members of each team at every time, from running differences."""
+    h = intervals.long(*history.team_histories(_elo_with_seeds(spark, sf_dir), fixtures.rosters(spark, sf_dir)), "team")
+    return h.select("team", _epoch("ts"), F.round("rating", 3).alias("rating"))

@@ -55,8 +55,8 @@ def first_seen(games: DataFrame) -> DataFrame:
 
 
 def rating_summary(history: DataFrame) -> DataFrame:
-    """Current, peak and lowest rating of each player."""
-    return history.groupBy("player").agg(F.max_by("rating", F.struct("ts", "game_id")).alias("current"), F.max("rating").alias("peak"), F.min("rating").alias("lowest"))
+    """Current, peak and lowest rating of each player; rows without a time are the last ones."""
+    return history.groupBy("player").agg(F.max_by("rating", F.struct(F.col("ts").isNull(), "ts", "game_id")).alias("current"), F.max("rating").alias("peak"), F.min("rating").alias("lowest"))
 
 
 def team_history(history: DataFrame, rosters: DataFrame, default: float = 1000.0) -> DataFrame:

@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from laddersmith.functions.scores import export_flag, strict_int
-from laddersmith.operators import stats
+from laddersmith.operators import intervals, stats
+from laddersmith.plans.history import seeds, team_histories
+from laddersmith.session import materialize
 
 
 def export_games(games: DataFrame) -> DataFrame:
@@ -34,7 +36,7 @@ def player_rows(history: DataFrame, games: DataFrame, rosters: DataFrame) -> Dat
 def team_rows(games: DataFrame, rosters: DataFrame, history: DataFrame, default: float = 1000.0) -> DataFrame:
     """Every team of the rosters: members, record over the games with scores, current rating (its members' mean)."""
     members = rosters.groupBy("team").agg(F.array_sort(F.collect_set("player")).alias("members"))
-    now = history.groupBy("player").agg(F.max_by("rating", F.struct("ts", "game_id")).alias("r"))
+    now = history.groupBy("player").agg(F.max_by("rating", F.struct(F.col("ts").isNull(), "ts", "game_id")).alias("r"))
     mean = rosters.select("team", "player").distinct().join(now, "player").groupBy("team").agg(F.avg("r").alias("current"))
     out = members.join(stats.team_records(games), "team", "left").join(mean, "team", "left")
     return out.withColumn("current", F.coalesce("current", F.lit(default))).na.fill(0, ["games", "wins", "losses", "draws"])
@@ -43,16 +45,23 @@ def team_rows(games: DataFrame, rosters: DataFrame, history: DataFrame, default:
 def parts(history: DataFrame, games: DataFrame, rosters: DataFrame, model: str, default: float = 1000.0) -> DataFrame:
     """(kind, key, json): a line for the metadata, each player (with the rating history), each team (with its history) and each game.
 
-    ``history``: (ts, game_id, player, rating), changes only. No part grows with the league but by what the document says of one entity.
+    ``history``: (ts, game_id, player, rating), changes only; every player of the rosters starts with ``default`` before the first game. The histories have a value
+    for each of the document's timestamps. No part grows with the league but by what the document says of one entity.
     """
     g = export_games(games)
     scored = with_scores(g)
     row = lambda df, kind, key: df.select(F.lit(kind).alias("kind"), F.col(key).cast("string").alias("key"), F.to_json(F.struct(*df.columns)).alias("json"))
-    points = lambda df, key: df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("ts", F.round("rating", 2).alias("rating")))).alias("history"))
-    players = player_rows(history, scored, rosters).join(points(history, "player"), "player", "left")
-    teams = team_rows(scored, rosters, history, default).join(points(stats.team_history(history, rosters, default).where("ts is not null"), "team"), "team", "left")
+    start = seeds(games, rosters, default).select("ts", F.lit(None).cast("long").alias("game_id"), "player", "rating")
+    history = materialize(history.select("ts", F.col("game_id").cast("long").alias("game_id"), "player", "rating").unionByName(start), "export-history")
+    marks = intervals.changes(history, "player")
+    blocks, slots = intervals.filled(marks, "player")
+    blocks = materialize(blocks, "export-blocks")
+    stamps = blocks.where("block = 0").agg(F.array_sort(F.collect_list(F.struct("at", intervals.time_of().alias("ts")))).alias("t")).select(F.transform("t", lambda x: x["ts"]).alias("timestamps"))
+    points = lambda pair, key: intervals.lists(*pair, key).withColumnRenamed("ratings", "history")
+    players = player_rows(history, scored, rosters).join(points((blocks, slots), "player"), "player", "left")
+    teams = team_rows(scored, rosters, history, default).join(points(team_histories(history, rosters, default), "team"), "team", "left")
     n = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
-    meta = n(players, "num_players").crossJoin(n(teams, "num_teams")).crossJoin(n(scored, "num_games")).crossJoin(g.agg(F.max("ts").alias("last_update")))
+    meta = n(players, "num_players").crossJoin(n(teams, "num_teams")).crossJoin(n(scored, "num_games")).crossJoin(g.agg(F.max("ts").alias("last_update"))).crossJoin(stamps)
     meta = meta.withColumn("model", F.lit(model)).withColumn("initial_rating", F.lit(default))
     return row(meta, "metadata", "model").unionByName(row(players, "player", "player")).unionByName(row(teams, "team", "team")).unionByName(row(g, "game", "game_id"))
 

@@ -8,13 +8,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from laddersmith.operators import intervals
 from laddersmith.operators.folds import as_games, fold, player_type
 from laddersmith.operators.graph import player_leagues
-from laddersmith.operators.joins import asof
 from laddersmith.operators.order import numbered
 from laddersmith.operators.stats import compare_ratings
 from laddersmith.plans.registry import SEQUENTIAL, SHARED, make
-from laddersmith.session import parallelism, ship
+from laddersmith.session import materialize, parallelism, ship
 
 
 def sequential_history(games: DataFrame, model: str, params: dict | None = None) -> DataFrame:
@@ -49,13 +49,25 @@ def curve_ratings(games: DataFrame, params: dict | None = None) -> DataFrame:
 
 
 def dense(history: DataFrame, players: DataFrame, default: float) -> DataFrame:
-    """(ts, player, rating) of every player at every time of a history of changes: the last rating at or before it, else ``default``.
+    """(ts, player, rating) of every player at every time of a history of changes: the last rating at or before it, else ``default``."""
+    return intervals.long(*intervals.filled(intervals.changes(history, "player"), "player", players, default), "player")
+
+
+def seeds(games: DataFrame, rosters: DataFrame, start: float) -> DataFrame:
+    """(ts, player, rating): a row for every player of the rosters 20 minutes before the first game."""
+    first = games.agg((F.min("ts") - F.expr("INTERVAL 20 MINUTES")).alias("ts")).where("ts is not null")
+    return rosters.select("player").where("player is not null").distinct().crossJoin(F.broadcast(first)).select("ts", "player", F.lit(start).alias("rating"))
 
-    The result has players times times rows by its nature; it is made by a union and a window by player, without a range join.
-    """
-    times = history.select("ts").distinct()
-    asks = times.crossJoin(players.select("player").distinct()).withColumn("_n", F.lit(0))
-    return asof(asks, history.select("player", "ts", "rating"), "player", "ts", "rating", default).select("ts", "player", "rating")
+
+def team_histories(history: DataFrame, rosters: DataFrame, default: float = 1000.0) -> tuple[DataFrame, DataFrame]:
+    """The mean rating of each team's members at every time of the history, as intervals.filled() has it; a team none of whose members has any rating has the default throughout."""
+    marks = materialize(intervals.changes(history, "player"), "team-histories")
+    return intervals.filled(_at_all_times(intervals.group_changes(marks, rosters, "player", "team"), marks), "team", rosters, default)
+
+
+def _at_all_times(own: DataFrame, marks: DataFrame) -> DataFrame:
+    """``own`` with rows of no entity at the times that it lacks."""
+    return own.unionByName(marks.select(F.lit(None).cast(own.schema["team"].dataType).alias("team"), "us", F.lit(None).cast("double").alias("value")).distinct())
 
 
 def batch_ratings(games: DataFrame, model: str, params: dict | None = None) -> DataFrame:
@@ -93,7 +105,7 @@ def resume(games: DataFrame, snapshot: DataFrame) -> DataFrame:
 
 def snapshot(history: DataFrame) -> DataFrame:
     """(player, ts, mu, sigma): the last state of each player, in full precision. Elo's rating stands in mu."""
-    last = history.groupBy("player").agg(F.max_by(F.struct("ts", "rating", "mu", "sigma"), F.struct("ts", "game_id")).alias("s"))
+    last = history.groupBy("player").agg(F.max_by(F.struct("ts", "rating", "mu", "sigma"), F.struct(F.col("ts").isNull(), "ts", "game_id")).alias("s"))
     return last.select("player", "s.ts", F.coalesce("s.mu", "s.rating").alias("mu"), "s.sigma")
 
 
@@ -138,8 +150,7 @@ def run_model(games: DataFrame, model: str, params: dict | None = None, rosters:
     if rosters is None:
         return out
     start = 0.0 if model in ("trueskill", "trueskill_mov", "ttt") else make(model, params).initial if model == "elo" else 1000.0
-    first = games.agg((F.min("ts") - F.expr("INTERVAL 20 MINUTES")).alias("ts")).where("ts is not null")
-    return out.unionByName(rosters.select("player").distinct().crossJoin(F.broadcast(first)).select("ts", "player", F.lit(start).alias("rating")))
+    return out.unionByName(seeds(games, rosters, start))
 
 
 def forward_against_converged(games: DataFrame, params: dict | None = None) -> tuple[DataFrame, DataFrame]:

@@ -11,12 +11,21 @@ from pyspark.sql import functions as F
 
 from laddersmith.functions.names import is_placeholder
 from laddersmith.functions.times import format_time
+from laddersmith.operators import intervals
 
 
-def wide_history(history: DataFrame, players: list[str]) -> DataFrame:
-    """One row for each time and one column for each player. The players are named, so the pivot runs no extra job."""
-    wide = history.groupBy("ts").pivot("player", players).agg(F.first("rating"))
-    return wide.orderBy(F.col("ts").asc_nulls_last()).select(format_time(F.col("ts")).alias("Time"), *[F.col(f"`{p}`") for p in players])
+def wide_history(history: DataFrame, players: DataFrame | None = None, default: float | None = None) -> DataFrame:
+    """(block, at, line): the wide history, filled: a line for each time and a column for each player, in blocks of columns.
+
+    ``history``: (ts, player, rating), changes only; every cell has the last rating at or before its time, or ``default``."""
+    marks = intervals.changes(history, "player")
+    return intervals.wide_lines(*intervals.filled(marks, "player", players, default), "player", format_time)
+
+
+def write_wide(lines: DataFrame, path: str) -> None:
+    """wide_history() as text: a folder for each block of columns, with one CSV file in it."""
+    ordered = lines.repartition("block").sortWithinPartitions("block", "at")
+    ordered.select("block", "line").write.mode("overwrite").partitionBy("block").text(path)
 
 
 def write_csv(df: DataFrame, path: str) -> None:

@@ -8,9 +8,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from laddersmith.operators import folds, joins, stats
+from laddersmith.operators import folds, intervals, joins, stats
 from laddersmith.plans import evaluation, export, files, history
-from laddersmith.plans.registry import BATCH, MODELS
+from laddersmith.plans.registry import BATCH, MODELS, make
 
 PLAYERS = [f"Player {c}" for c in "ABCDEFGHIJKLMNOP"]
 TEAMS = {f"T{i}": PLAYERS[4 * i : 4 * i + 4] + ([PLAYERS[0]] if i == 2 else []) for i in range(4)}
@@ -135,6 +135,63 @@ def test_statistics_document(spark, paths):
     assert sum(g["tournament"] for g in doc["games"]) == 0  # "yes" is no 1
 
 
+def test_statistics_document_against_brute_force(spark, paths):
+    """Every player's and team's values at every timestamp, with the first row of 1000, and peaks, lows and records from them."""
+    doc = export.document(files.statistics(spark, str(paths / "games.csv"), str(paths / "teams.csv"), "elo"))
+    games, _ = files.games_of(spark, str(paths / "games.csv"), str(paths / "teams.csv"))
+    m = make("elo", {})
+    rows, last = [dict.fromkeys(PLAYERS, 1000.0)], object()
+    for x in folds.as_games(games.toPandas()):
+        m.update(x)
+        now = {p: m.expose(p) for p in PLAYERS}
+        rows = rows[:-1] if x.day == last else rows
+        rows.append(now)
+        last = x.day
+    stamps = doc["metadata"]["timestamps"]
+    assert len(stamps) == len(rows) and stamps[-1] is None and stamps[:-1] == sorted(stamps[:-1])
+    for p in PLAYERS:
+        own, got = [r[p] for r in rows], doc["players"][p]
+        assert got["history"] == pytest.approx(own, abs=0.0051)
+        assert (got["current"], got["peak"], got["lowest"]) == pytest.approx((own[-1], max(own), min(own)), abs=0.0051)
+    for t, members in TEAMS.items():
+        want = [sum(r[p] for p in members) / len(members) for r in rows]
+        assert doc["teams"][t]["history"] == pytest.approx(want, abs=0.0051) and doc["teams"][t]["current"] == pytest.approx(want[-1], abs=0.0051)
+
+
+@pytest.mark.parametrize(("width", "stretch"), [(1, 1), (2, 3), (256, 4096)])
+def test_filled_histories_against_brute_force(spark, width, stretch):
+    """Blocks and stretches of all sizes, rows at one time, NaN, rows without a time, entities without any."""
+    rng = random.Random(width)
+    rows = [(rng.randrange(12) if rng.random() < 0.95 else None, g, f"p{rng.randrange(5)}", rng.choice([1.5, 2.5, float("nan"), float(g)])) for g in range(60)]
+    h = spark.createDataFrame(rows, "s long, game_id long, player string, rating double").select(F.timestamp_seconds("s").alias("ts"), "game_id", "player", "rating")
+    members = spark.createDataFrame([(f"p{i}",) for i in range(7)] + [(None,)], "player string")
+    got = {(r.s, r.player): r.rating for r in intervals.long(*intervals.filled(intervals.changes(h, "player"), "player", members, 9.0, width, stretch), "player").select(F.unix_timestamp("ts").alias("s"), "player", "rating").collect()}
+    key = lambda s: (s is None, s or 0)
+    want = {}
+    for s in {r[0] for r in rows}:
+        for p in (f"p{i}" for i in range(7)):
+            past = sorted((key(r[0]), r[1], r[3]) for r in rows if r[2] == p and key(r[0]) <= key(s))
+            v = past[-1][2] if past else 9.0
+            want[s, p] = None if v != v else v
+    assert got == want
+
+
+def test_team_means_against_brute_force(spark):
+    rng = random.Random(3)
+    rows = [(rng.randrange(20), g, f"p{rng.randrange(6)}", rng.choice([float("nan"), rng.gauss(0, 9)])) for g in range(50)]
+    h = spark.createDataFrame(rows, "s long, game_id long, player string, rating double").select(F.timestamp_seconds("s").alias("ts"), "game_id", "player", "rating")
+    teams = {"a": ["p0", "p1", "p2"], "b": ["p2", "p3"], "c": ["none"], "d": ["p4", "p5", "p0"]}
+    r = spark.createDataFrame([(t, p) for t, ps in teams.items() for p in ps], "team string, player string")
+    got = {(x.s, x.team): x.rating for x in intervals.long(*history.team_histories(h, r, 7.0), "team").select(F.unix_timestamp("ts").alias("s"), "team", "rating").collect()}
+    for s in {x[0] for x in rows}:
+        for t, ps in teams.items():
+            touched = any(x[2] in ps and x[0] <= s for x in rows)
+            now = [sorted((x[0], x[1], x[3]) for x in rows if x[2] == p and x[0] <= s)[-1:] for p in ps]
+            now = [x[0][2] for x in now if x and x[0][2] == x[0][2]]
+            want = sum(now) / len(now) if now else None if touched else 7.0
+            assert got[s, t] == (pytest.approx(want, abs=1e-9) if want is not None else None), (s, t)
+
+
 def test_sample_size_table(spark, paths):
     rows = files.sample_size_table(spark, str(paths / "games.csv"), str(paths / "teams.csv")).collect()
     assert [r.n for r in rows] == sorted((r.n for r in rows), reverse=True) and len(rows) == 16
