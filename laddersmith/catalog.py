@@ -452,8 +452,8 @@ def new_team_checkpoints(spark, sf_dir):
     g = _games(spark, sf_dir)
     first, cps = evaluation.new_team_metadata(g)
     n = first.groupBy(F.col("first_ts").alias("cp_ts")).agg(F.count(F.lit(1)).alias("teams"))
-    train = joins.training_prefix(cps, g).groupBy("cp").agg(F.count(F.lit(1)).alias("train_games"))
-    return cps.join(n, "cp_ts").join(train, "cp", "left").select(F.unix_timestamp("cp_ts").alias("cp"), "teams", F.coalesce("train_games", F.lit(0)).cast("long").alias("train_games"))
+    train = joins.training_prefix(cps, g)
+    return cps.join(n, "cp_ts").join(train, "cp").select(F.unix_timestamp("cp_ts").alias("cp"), "teams", "train_games")
 
 
 @query(f"""WITH {CTE}, x AS (SELECT team1 AS team, game_id, ts, false AS flipped FROM games UNION ALL SELECT team2, game_id, ts, true FROM games)
@@ -525,7 +525,7 @@ def elo_search(spark, sf_dir):
 def alias_candidates(spark, sf_dir):
     """J6, F7, F10, O2"""
     (p,) = _tables(spark, sf_dir, "part")
-    return aliases.candidates(stats.name_counts(p.select(F.col("p_name").alias("player"))))
+    return aliases.ranked(aliases.candidates(stats.name_counts(p.select(F.col("p_name").alias("player")))))
 
 
 @query()

@@ -7,33 +7,80 @@ from pyspark.sql import functions as F
 
 from laddersmith.functions.names import alias_key, last_name, similarity
 from laddersmith.operators.graph import components
+from laddersmith.session import materialize
+
+
+#: Names are similar above this ratio of matched letters; then fewer than 15 % of both lengths together are unmatched.
+SIMILAR, APART = 0.85, 15
+#: Letters of a piece by which longer names are found inside others.
+PIECE = 4
 
 
 def candidates(counts: DataFrame, threshold: float = 0.72, blocked: bool = True) -> DataFrame:
     """Pairs of names that may be one player: (a < b, score), with their counts.
 
     Equal keys score 1; equal last names 0.7 + 0.3 * similarity of the rest; else a similarity above 0.85, or 0.8 if one contains the other.
-    ``blocked`` measures only pairs that can score: with equal keys or last names, one in the other, or few enough letters apart. A similarity
-    above 0.85 leaves less than 0.15 of both lengths together unmatched, and that many insertions and deletions bound the Levenshtein distance.
+    ``blocked`` measures only pairs that can score, found by equal values: keys, last names, segments of near names, pieces of contained ones. None is lost
+    by that. Without it every pair is measured.
     """
     n = counts.select("name", "n", alias_key("name").alias("key")).where("key <> ''").withColumn("last", last_name(F.col("name")))
     tokens = F.split("key", " ")
     n = n.withColumn("first", F.array_join(F.slice(tokens, 1, F.greatest(F.size(tokens) - 1, F.lit(1))), " "))
     side = lambda s: n.select(*[F.col(c).alias(f"{c}_{s}") for c in n.columns])
     inside = F.col("key_a").contains(F.col("key_b")) | F.col("key_b").contains(F.col("key_a"))
-    on = F.col("name_a") < F.col("name_b")
     if blocked:
-        both, apart = F.length("key_a") + F.length("key_b"), F.abs(F.length("key_a") - F.length("key_b"))
-        near = (100 * apart < 15 * both) & (100 * F.levenshtein("key_a", "key_b") < 15 * both)
-        on = on & ((F.col("last_a") == F.col("last_b")) | inside | near)
-    pairs = side("a").join(side("b"), on)
+        n = materialize(n, "aliases")
+        pairs = _found(n).join(side("a"), "name_a").join(side("b"), "name_b")
+    else:
+        pairs = side("a").join(side("b"), F.col("name_a") < F.col("name_b"))
     whole, part = similarity("key_a", "key_b"), similarity("first_a", "first_b")
     pairs = pairs.withColumn("_w", whole).withColumn("_p", part)
-    score = F.when(F.col("key_a") == F.col("key_b"), 1.0).when(F.col("last_a") == F.col("last_b"), 0.7 + 0.3 * F.col("_p")).when(F.col("_w") > 0.85, F.col("_w")).when(inside, 0.8).otherwise(0.0)
+    score = F.when(F.col("key_a") == F.col("key_b"), 1.0).when(F.col("last_a") == F.col("last_b"), 0.7 + 0.3 * F.col("_p")).when(F.col("_w") > SIMILAR, F.col("_w")).when(inside, 0.8).otherwise(0.0)
     out = pairs.withColumn("score", score).where(F.col("score") > threshold)
     return out.select(F.col("name_a").alias("a"), F.col("name_b").alias("b"), "score", F.col("n_a").alias("n_a"), F.col("n_b").alias("n_b"))
 
 
+def _found(n: DataFrame) -> DataFrame:
+    """(name_a < name_b): the pairs that can score, each once."""
+    same = lambda c: _pairs(n.select(c, F.col("name").alias("x")), n.select(c, F.col("name").alias("y")), [c])
+    return same("key").unionByName(same("last")).unionByName(_near(n)).unionByName(_contained(n)).distinct()
+
+
+def _pairs(x: DataFrame, y: DataFrame, on: list[str], check=None) -> DataFrame:
+    both = x.join(y, on).where("x <> y")
+    both = both if check is None else both.where(check)
+    return both.select(F.least("x", "y").alias("name_a"), F.greatest("x", "y").alias("name_b"))
+
+
+def _near(n: DataFrame) -> DataFrame:
+    """Pairs that similarity can find near: the shorter one is cut into one segment more than letters may be unmatched, so one segment stands whole in the longer one.
+
+    Segments are found by both lengths, their number and their text, at the places that the unmatched letters before them allow."""
+    own = n.select("name", "key", F.length("key").alias("own"))
+    most = F.expr(f"({APART} * (l + m) - 1) div 100").alias("d")  # letters that may be unmatched in both together
+    cut = "i * l div (d + 1)"
+    short = own.select("name", "key", F.col("own").alias("l"), F.explode(F.expr(f"sequence(own, ({100 + APART} * own - 1) div {100 - APART})")).alias("m")).select("*", most).where("d > 0")
+    short = short.select("*", F.explode(F.expr("sequence(0, d)")).alias("i"))
+    short = short.select(F.col("name").alias("x"), F.col("key").alias("key_x"), "l", "m", "i", F.expr(f"substring(key, cast({cut} + 1 as int), cast((i + 1) * l div (d + 1) - {cut} as int))").alias("text"))
+    wide = own.select("name", "key", F.col("own").alias("m"), F.explode(F.expr(f"sequence(({100 - APART} * own) div {100 + APART} + 1, own)")).alias("l")).select("*", most).where("d > 0")
+    wide = wide.select("*", F.explode(F.expr("sequence(0, d)")).alias("i")).select("*", F.expr(cut).alias("at"), F.expr(f"(i + 1) * l div (d + 1) - {cut}").alias("size"))
+    # letters left out before a segment move it back, letters put in move it on
+    wide = wide.select("*", F.expr("greatest(0, at - (d - (m - l)) div 2)").alias("from"), F.expr("least(m - size, at + (d + (m - l)) div 2)").alias("to")).where("`from` <= `to`")
+    wide = wide.select(F.col("name").alias("y"), F.col("key").alias("key_y"), "l", "m", "i", F.explode(F.expr("array_distinct(transform(sequence(`from`, `to`), p -> substring(key, cast(p + 1 as int), cast(size as int))))")).alias("text"))
+    return _pairs(short, wide, ["l", "m", "i", "text"], F.expr(f"100 * levenshtein(key_x, key_y) < {APART} * (l + m)"))
+
+
+def _contained(n: DataFrame) -> DataFrame:
+    """Pairs of which one contains the other: names below PIECE letters are found whole, longer ones by their rarest piece."""
+    pieces = lambda size: f"transform(sequence(1, length(key) - {size - 1}), p -> substring(key, p, {size}))"
+    every = F.expr("array_distinct(flatten(array(" + ", ".join(f"CASE WHEN length(key) >= {k} THEN {pieces(k)} ELSE array() END" for k in range(1, PIECE + 1)) + ")))")
+    held = materialize(n.select(F.col("name").alias("x"), F.col("key").alias("key_x"), F.explode(every).alias("piece")), "aliases-pieces")
+    often = held.where(F.length("piece") == PIECE).groupBy("piece").agg(F.count(F.lit(1)).alias("often"))
+    long = held.where((F.length("key_x") >= PIECE) & (F.length("piece") == PIECE)).join(often, "piece").groupBy("x").agg(F.min_by("piece", F.struct("often", "piece")).alias("piece"), F.first("key_x").alias("key_y"))
+    asks = long.select(F.col("x").alias("y"), "key_y", "piece").unionByName(n.where(F.length("key") < PIECE).select(F.col("name").alias("y"), F.col("key").alias("key_y"), F.col("key").alias("piece")))
+    return _pairs(held, asks, ["piece"], F.col("key_x").contains(F.col("key_y")))
+
+
 def ranked(pairs: DataFrame) -> DataFrame:
     return pairs.orderBy(F.desc("score"), F.desc(F.col("n_a") + F.col("n_b")), "a", "b")
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from laddersmith.operators.order import numbered
+
 
 def roster_arrays(rosters: DataFrame) -> DataFrame:
     """(team, players): sorted distinct players of each team."""
@@ -116,7 +118,14 @@ def replace_cells(rosters: DataFrame, aliases: DataFrame) -> DataFrame:
     return out.withColumn("player", F.when(F.col("_to").isNull(), F.col("player")).otherwise(F.concat(pad(r"^(\s*)"), "_to", pad(r"(\s*)$")))).drop("_k", "_to")
 
 
-def training_prefix(checkpoints: DataFrame, games: DataFrame) -> DataFrame:
-    """For each checkpoint (cp, cp_ts), the games strictly before it."""
-    g = games.where("ts is not null")
-    return checkpoints.join(g, g["ts"] < checkpoints["cp_ts"])
+def training_prefix(checkpoints: DataFrame, games: DataFrame, *sums: Column) -> DataFrame:
+    """(cp, train_games, ...): for each checkpoint (cp, cp_ts) how many games are strictly before it, and the ``sums`` over them, by their names.
+
+    Games and checkpoints are merged in one order, dealt by ranges of time; the running sums at a checkpoint are those of its prefix. No join of ranges."""
+    marks = checkpoints.select(F.unix_micros("cp_ts").alias("_us"), F.lit(0).alias("_kind"), "cp")
+    rows = games.where("ts is not null").select(F.unix_micros("ts").alias("_us"), F.lit(1).alias("_kind"), F.lit(None).cast(checkpoints.schema["cp"].dataType).alias("cp"), F.lit(1).alias("train_games"), *sums)
+    names = [c for c in rows.columns if c not in ("_us", "_kind", "cp")]
+    both = rows.unionByName(marks, allowMissingColumns=True).na.fill(0, names)
+    # games at one time as one row, so that no time is too large for a range
+    both = both.groupBy("_us", "_kind", "cp").agg(*[F.sum(c).alias(c) for c in names])
+    return numbered(both, F.col("_us"), F.col("_kind"), weights={c: F.col(c) for c in names}).where("_kind = 0").select("cp", *names)

@@ -1,12 +1,13 @@
 """Queries that do the whole job, on the small tables."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from laddersmith import catalog, fixtures
-from laddersmith.operators import aliases, folds
+from laddersmith.operators import aliases, folds, joins
 from laddersmith.plans import history
 from laddersmith.plans.registry import make
 
@@ -80,6 +81,42 @@ def test_alias_blocking_loses_no_pair(spark):
     assert got == {(r.a, r.b) for r in aliases.candidates(n, blocked=False).collect()}
 
 
+def test_alias_index_equals_all_pairs_on_generated_names(spark, capsys):
+    """Typed names with letters dropped, doubled, swapped and added, initials, short names and names inside others."""
+    rng = random.Random(11)
+    first = "al bo ann anna joan joanna maria mario katherine catherine alexander aleksander jim".split()
+    last = "li lee lopez lopes smith smyth o'neill hill van der berg kowalski kowalsky garcia".split()
+    names = {"x", "xy", "a b", "É", "jo-ann"}
+    while len(names) < 650:
+        w = list(rng.choice(first) + rng.choice(["", " ", " j "]) + rng.choice(last) + rng.choice(["", "", str(rng.randrange(30))]))
+        for _ in range(rng.randrange(4)):
+            i = rng.randrange(len(w))
+            w[i : i + 1] = rng.choice([[], [w[i], w[i]], [rng.choice("aeiourst ")], [w[i], rng.choice("aeiourst")]])
+            w = w or ["q"]
+        names.add("".join(w))
+    n = spark.createDataFrame([(x, 1 + i % 3) for i, x in enumerate(sorted(names))], "name string, n long")
+    found = aliases.candidates(n)
+    got = {tuple(r) for r in found.collect()}
+    want = {tuple(r) for r in aliases.candidates(n, blocked=False).collect()}
+    assert len(want) > 1500 and got == want
+    found.explain()
+    plan = capsys.readouterr().out
+    assert "NestedLoop" not in plan and "CartesianProduct" not in plan
+
+
+def test_prefixes_against_brute_force(spark, capsys):
+    rng = random.Random(12)
+    games = [(g, rng.randrange(40) if g % 9 else None, rng.randrange(5)) for g in range(300)]
+    cps = [(i, t) for i, t in enumerate([0, 1, 7, 7, 22, 39, 40, 99])]
+    g = spark.createDataFrame(games, "game_id long, s long, v long").withColumn("ts", F.timestamp_seconds("s"))
+    c = spark.createDataFrame(cps, "cp long, s long").select("cp", F.timestamp_seconds("s").alias("cp_ts"))
+    out = joins.training_prefix(c, g, F.col("v").alias("points"))
+    got = {r.cp: (r.train_games, r.points) for r in out.collect()}
+    assert got == {i: (sum(s is not None and s < t for _, s, _ in games), sum(v for _, s, v in games if s is not None and s < t)) for i, t in cps}
+    out.explain()
+    assert "NestedLoop" not in capsys.readouterr().out
+
+
 def test_canonical_names_take_the_reference_threshold(spark, tmp_path):
     spark.createDataFrame([(1, "jo"), (2, "joanna hill"), (3, "zz")], "s_suppkey long, s_name string").write.parquet(str(tmp_path / "supplier.parquet"))
     got = {r.name: r.canonical for r in catalog.queries()["alias_canonical"](spark, str(tmp_path)).collect()}
