@@ -11,31 +11,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 
-from laddersmith.functions.rating_math import CDF_DEN, CDF_NUM, phi
+from laddersmith.functions.normal import cdf
+from laddersmith.functions.pair_sums import Standing
+from laddersmith.functions.rating_math import phi
 from laddersmith.operators.sequential import Game
 
 
-
-def cdf(x: np.ndarray) -> np.ndarray:
-    """Standard normal distribution function, by the approximation of rating_math."""
-    a = np.abs(np.asarray(x, float))
-    near = np.minimum(a, 7.07106781186547)
-    num, den = np.full(a.shape, CDF_NUM[0]), np.full(a.shape, CDF_DEN[0])
-    for c in CDF_NUM[1:]:
-        num = num * near + c
-    for c in CDF_DEN[1:]:
-        den = den * near + c
-    e = np.exp(-a * a / 2)
-    low = e * num / den
-    far = a > 7.07106781186547
-    if far.any():
-        t = a[far] + 0.65
-        for k in (4, 3, 2, 1):
-            t = a[far] + k / t
-        low[far] = e[far] / t / 2.506628274631
-    return np.where(x > 0, 1 - low, low)
-
-
 def log_cdf(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """log Phi and phi / Phi, with the asymptotic tail below -8."""
     z = np.asarray(z, float)
@@ -343,6 +324,7 @@ class UncertainBT(BatchModel):
     rosters: dict = field(default_factory=dict)  # team -> players, in order of first appearance
     teams: dict = field(default_factory=dict)  # player -> teams, in order
     changed: bool = True
+    standing: Standing | None = None
 
     def update(self, g: Game, teams: tuple | None = None) -> None:
         super().update(g)
@@ -389,10 +371,9 @@ class UncertainBT(BatchModel):
         n = len(self.values)
         if n < 2:
             return np.full(n, self.best)
-        v, out = self._variances(), np.empty(n)
-        for i in range(0, n, 256):
-            gap = self.values[i : i + 256, None] - self.values[None, :]
-            out[i : i + 256] = cdf(gap / np.sqrt(np.maximum(self.sigma**2 + v[i : i + 256, None] + v[None, :], 1e-8))).sum(axis=1)
+        if self.standing is None or self.standing.sigma != self.sigma:
+            self.standing = Standing(self.sigma)
+        out = self.standing.sums(self.values, self._variances())
         return (out - 0.5) / (n - 1) * self.best
 
     def predict(self, g: Game) -> float:

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from laddersmith.functions.rating_math import normal_cdf, player_sigma, sigma_eff
+from laddersmith.functions.pair_sums import PairSums
+from laddersmith.functions.rating_math import player_sigma
 from laddersmith.operators.joins import perspectives
 from laddersmith.operators.order import numbered
 from laddersmith.session import ship
@@ -107,21 +108,39 @@ def team_variance(rosters: DataFrame, sigmas: DataFrame) -> DataFrame:
     return j.groupBy("team").agg((F.sum(F.pow(F.coalesce("sigma", F.lit(1.0)), 2)) / F.pow(F.count(F.lit(1)), 2)).alias("variance"))
 
 
-def head_to_head(ratings: DataFrame, sigma: float = 4.2458, best: float = 2000.0, block: int = 4096) -> DataFrame:
+def head_to_head(ratings: DataFrame, sigma: float = 4.2458, best: float = 2000.0) -> DataFrame:
     """(player, rating): the mean probability to beat each other active player, times ``best``.
 
-    ``ratings``: (player, theta, sigma, active). Every pair counts by definition. The active players are folded into blocks of about
-    ``block``, each an array in one row, and every player meets every block: no pairs are materialised and no row grows with the league.
+    ``ratings``: (player, theta, sigma, active). Every pair counts by definition; the sums over pairs go through points whose number follows from the skills' range (pair_sums):
+    each partition adds up its players' moments, and every player reads its sum off the points. Work grows with the players, not with their pairs.
     """
-    act = ratings.where("active").select("theta", "sigma", "player")
-    n = act.count()
-    blocks = max(1, -(-n // block))
-    arr = act.groupBy(F.pmod(F.xxhash64("player"), F.lit(blocks)).alias("_b")).agg(F.collect_list(F.struct("theta", "sigma")).alias("others"))
-    p = normal_cdf("((theta - o.theta) / " + sigma_eff(sigma, "sigma * sigma", "o.sigma * o.sigma") + ")")
-    part = ratings.where("active").crossJoin(arr).select("player", F.expr(f"aggregate(others, 0D, (acc, o) -> acc + {p})").alias("_s"))
-    total = part.groupBy("player").agg(F.sum("_s").alias("_s"))
-    mean = (F.col("_s") - 0.5) / F.lit(max(n - 1, 1))
-    return ratings.select("player", "active").join(total, "player", "left").select("player", F.when(~F.col("active"), best / 2).otherwise(F.lit(best) if n == 1 else mean * best).alias("rating"))
+    ship(ratings.sparkSession)
+    act = ratings.where("active").select("player", F.col("theta").cast("double").alias("theta"), (F.col("sigma") * F.col("sigma")).cast("double").alias("variance"))
+    n, *ends = act.agg(F.count(F.lit(1)), F.min("theta"), F.max("theta"), F.min("variance"), F.max("variance")).first()
+    if n < 2:
+        return ratings.select("player", F.when(F.col("active"), F.lit(best)).otherwise(best / 2).alias("rating"))
+    points = PairSums(*ends, sigma)
+
+    def weigh(batches):
+        total = np.zeros((points.x.n, points.v.n))
+        for b in batches:
+            total += points.moments(b.column(0).to_numpy(), b.column(1).to_numpy())
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.ravel())], names=["i", "w"])
+
+    moments = np.zeros(points.points)
+    for r in act.select("theta", "variance").mapInArrow(weigh, "i long, w double").groupBy("i").agg(F.sum("w").alias("w")).collect():  # a number for each point
+        moments[r.i] = r.w
+    curve = points.curve(moments.reshape(points.x.n, points.v.n))
+    points.kept.clear()
+    kind = ratings.schema["player"].dataType
+
+    def read(batches):
+        for b in batches:
+            s = points.sums(b.column(1).to_numpy(), b.column(2).to_numpy(), curve)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array((s - 0.5) / (n - 1) * best)], names=["player", "rating"])
+
+    own = act.mapInArrow(read, f"player {kind.simpleString()}, rating double")
+    return own.unionByName(ratings.where("active is null or not active").select("player", F.lit(best / 2).alias("rating")))
 
 
 def effective_sample_size(series: DataFrame, key: str, order: list[str], value: str, lags: int = 50) -> DataFrame:
