@@ -72,6 +72,8 @@ class Template:
         self.ids = {c: first + i for i, c in enumerate(names)}
         self.names = {i: c for c, i in self.ids.items()}
         self.first = first
+        #: How ids travel between tasks: packed, two bytes each where the vocabulary allows it.
+        self.packed = np.uint16 if first + len(names) <= 1 << 16 else np.int32
 
     def opening(self, role: str) -> list[str]:
         """What stands before a turn's text: marks and texts by turns."""
@@ -143,17 +145,18 @@ def format_chats(turns: DataFrame, vocabulary: str, role_marks: dict[str, str] |
                 at = end
             ids, begins, ends, chars = zip(*out, strict=True) if out else ((), (), (), ())
             learn = [r in t.learned for r in role]
-            cols = [b.column("conv_id"), b.column("turn"), b.column("role"), b.column("tie"), pa.array(ids, pa.list_(pa.int32())), pa.array(begins, pa.int32()), pa.array(ends, pa.int32()), pa.array(learn, pa.bool_()), pa.array(chars, pa.int64())]
+            cols = [b.column("conv_id"), b.column("turn"), b.column("role"), b.column("tie"), pa.array([np.array(x, t.packed).tobytes() for x in ids], pa.binary()), pa.array(begins, pa.int32()), pa.array(ends, pa.int32()), pa.array(learn, pa.bool_()), pa.array(chars, pa.int64())]
             yield pa.RecordBatch.from_arrays(cols, names=["conv_id", "turn", "role", "tie", "ids", "begins", "ends", "learn", "n_chars"])
 
     def assemble(batches):
-        begin, begin_chars = _template(spec.value).ids[BEGIN], len(BEGIN)
+        t = _template(spec.value)
+        begin, begin_chars = t.ids[BEGIN], len(BEGIN)
         conv, seq, start = object(), 0, 0
         for b in batches:
             cols = {c: b.column(c).to_pylist() for c in ("conv_id", "begins", "ends", "learn", "n_chars")}
             seqs, starts, ids, masks, chars = [], [], [], [], []
             for c, seg, s, e, learn, n in zip(cols["conv_id"], b.column("ids"), cols["begins"], cols["ends"], cols["learn"], cols["n_chars"], strict=True):
-                seg = seg.values.to_numpy()
+                seg = np.frombuffer(seg.as_buffer(), t.packed)
                 if c != conv:
                     conv, seq, start = c, 0, 0
                     seg, s, e, n = np.concatenate([[begin], seg]), s + 1, e + 1, n + begin_chars
@@ -167,12 +170,12 @@ def format_chats(turns: DataFrame, vocabulary: str, role_marks: dict[str, str] |
                 masks.append(np.cumsum(steps[:-1], dtype=np.int8))
                 chars.append(n)
                 seq, start = seq + 1, start + len(seg)
-            lists = [pa.array(x, pa.list_(t)) for x, t in ((ids, pa.int32()), (masks, pa.int8()))]
+            lists = [pa.array(x, pa.list_(kind)) for x, kind in ((ids, pa.int32()), (masks, pa.int8()))]
             yield pa.RecordBatch.from_arrays([b.column("conv_id"), pa.array(seqs, pa.int64()), pa.array(starts, pa.int64()), *lists, pa.array(chars, pa.int64())], names=["conv_id", "seq", "start", "ids", "mask", "n_chars"])
 
     text, role = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("text", "role"))
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), role.alias("role"), text.alias("text"))
-    rows = rows.withColumn("tie", F.sha2("text", 256)).mapInArrow(encode, "conv_id long, turn long, role string, tie string, ids array<int>, begins int, ends int, learn boolean, n_chars long")
+    rows = rows.withColumn("tie", F.unhex(F.sha2("text", 256))).mapInArrow(encode, "conv_id long, turn long, role string, tie binary, ids binary, begins int, ends int, learn boolean, n_chars long")
     dealt = rows.repartition(parallelism(spark), "conv_id").sortWithinPartitions("conv_id", "turn", "role", "tie")
     return dealt.mapInArrow(assemble, _SEGMENTS)
 
