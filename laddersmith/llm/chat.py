@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +28,9 @@ from pyspark.sql import functions as F
 
 from laddersmith.llm.common import parallelism, read, ship
 
+# Spark has a task on every core already
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+
 #: The control strings: the begin of a conversation, the marks of roles, and what closes a turn.
 BEGIN, WRITTEN_ROLE, TEXT, END_TURN, END_LEARNED = "<s>", "[ROLE]", "[TEXT]", "[/INST]", "</s>"
 ROLE_MARKS = {"system": "[SYS]", "user": "[INST]", "assistant": "[OUT]", "tool": "[TOOL]"}
