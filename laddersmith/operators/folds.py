@@ -8,6 +8,7 @@ Order is (ts nulls last, game_id).
 from __future__ import annotations
 
 import json
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -92,12 +93,12 @@ def one_trial(games: DataFrame) -> DataFrame:
 
 def events(games: DataFrame, asks: DataFrame | None, shared: bool) -> DataFrame:
     """One row for each thing that a model does, with its league: learn from a game (and predict it first, if there are no ``asks``), or
-    predict a game as of a time ``cp`` (``asks``: cp in microseconds and a game's columns)."""
+    predict a game as of a time ``cp`` (``asks``: cp in microseconds and a game's columns; ``settled``, if they have it, is the time up to which the model converges before)."""
     base = ["game_id", F.unix_micros("ts").alias("us"), *[c for c in COLUMNS if c not in ("game_id", "ts")]]
     none = F.lit(None).cast("long")
-    rows = games.select(*base, F.lit(1).alias("phase"), F.lit(asks is None).alias("ask"), none.alias("cp"))
+    rows = games.select(*base, F.lit(1).alias("phase"), F.lit(asks is None).alias("ask"), none.alias("cp"), none.alias("settled"))
     if asks is not None:
-        rows = rows.unionByName(asks.select("game_id", F.col("cp").alias("us"), *[c for c in base[2:]], F.lit(0).alias("phase"), F.lit(True).alias("ask"), "cp"))
+        rows = rows.unionByName(asks.select("game_id", F.col("cp").alias("us"), *[c for c in base[2:]], F.lit(0).alias("phase"), F.lit(True).alias("ask"), "cp", F.col("settled") if "settled" in asks.columns else none.alias("settled")))
     if shared:
         return rows.withColumn("league", F.lit(""))
     own = F.concat(F.lit("g"), F.col("game_id").cast("string"))
@@ -165,13 +166,14 @@ def fold(games: DataFrame, make: Callable[[dict], object], trials: DataFrame | N
                 x.extend(y)
             touched.clear()
 
-        last = None
+        last, past = None, []
         for r in rows_of(batches):
             k = (r["league"], r["trial_id"], r["segment"])
             if k != key:
                 if ratings and m is not None:
                     tell()
                 touched.clear()
+                past.clear()
                 key, m, us, told = k, make({x: json.loads(y) for x, y in json.loads(r["params"] or "{}").items()}), None, True
             if ratings and r["us"] != us:
                 tell()
@@ -180,11 +182,15 @@ def fold(games: DataFrame, make: Callable[[dict], object], trials: DataFrame | N
             us = r["us"]
             x = _game(r)
             if r["ask"] and r["mine"] and not ratings:
+                if r["settled"] is not None:
+                    m.settle(bisect_left(past, r["settled"]))
                 for c, v in zip(out, (key[1], r["cp"], x.game_id, m.predict(x)), strict=True):
                     c.append(v)
             if r["phase"]:
                 m.update(x)
                 last = x.game_id
+                if hasattr(m, "settle") and us is not None:
+                    past.append(us)
                 if ratings and r["mine"] and (x.r1 and x.r2 or not hasattr(m, "last_day")):  # such a game changes nothing, not even when its players last played
                     told = False
                     touched.update(dict.fromkeys(sorted({*x.r1, *x.r2}), x.game_id))

@@ -205,6 +205,8 @@ class ThroughTime:
     games: list = field(default_factory=list)
     curves: dict = field(default_factory=dict)
     fitted: int = 0
+    settled: int = 0
+    counted: int = 0
     count: int = 0
     clock: float | None = None
     _quantile: float | None = None
@@ -285,10 +287,17 @@ class ThroughTime:
             self.ratings[p] = (mean, dev)
             self.last_day[p] = day
 
-    def converge(self, force: bool = False) -> None:
-        """Forward and backward sweeps; skipped while fewer than ``min_new_games`` came since the last."""
-        valid = sorted(((d, i, g) for i, (d, g) in enumerate(self.games) if g.r1 and g.r2), key=lambda x: x[:2])
-        if not valid or not force and self.fitted and len(valid) - self.fitted < self.min_new_games:
+    def settle(self, n: int) -> None:
+        """Converge on the first ``n`` games, unless that was the last thing settled."""
+        if n != self.settled:
+            self.settled = n
+            self.converge(force=True, first=n)
+
+    def converge(self, force: bool = False, first: int | None = None) -> None:
+        """Forward and backward sweeps; skipped while fewer than ``min_new_games`` came since the last. ``first``: only so many games count."""
+        told = self.games[:first]
+        valid = sorted(((d, i, g) for i, (d, g) in enumerate(told) if g.r1 and g.r2), key=lambda x: x[:2])
+        if not valid or not force and len(told) - self.counted < self.min_new_games:
             return
         # a slot is a player in a game; messages are precisions and precisions times means
         players: dict = {}
@@ -343,7 +352,7 @@ class ThroughTime:
         names, curves = list(players), {}
         for k, p in enumerate(slots.tolist()):
             curves.setdefault(names[p], []).append((when[k], mean[k], dev[k]))
-        self.curves, self.fitted = curves, len(valid)
+        self.curves, self.fitted, self.counted = curves, len(valid), len(told)
 
     def predict(self, g: Game) -> float:
         if not g.r1 or not g.r2:

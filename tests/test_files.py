@@ -77,10 +77,13 @@ def test_new_team_predictions_see_only_earlier_games(spark, paths, model):
         for t in g.teams:
             first.setdefault(t, g.day)
     for (team, gid), p in list(got.items())[::7]:
-        m = MODELS[model]()
-        for g in order:
-            if g.day < first[team]:
-                m.update(g)
+        m, fed = MODELS[model](), 0
+        for at in sorted({d for d in first.values() if d <= first[team]}):
+            while fed < len(order) and order[fed].day < at:
+                m.update(order[fed])
+                fed += 1
+            if model == "ttt":
+                m.converge()
         g = next(x for x in order if x.game_id == gid)
         want = m.predict(g)
         assert p == pytest.approx(want if g.teams[0] == team else 1 - want, abs=1e-5)
