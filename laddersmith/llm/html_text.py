@@ -3,8 +3,11 @@
 Every DOM node gets its characters per tag, adjusted for links (Sun, Song and Liao, 2011):
 C / T * log_b(C / LC * T / LT) with b = ln(C / (C - LC) * LC + LC_body / C_body * C + e). The node whose children's densities sum
 highest is the seed; the least density on its path to the body is the threshold, and the content is, of each node
-of the page that reaches the threshold, the subtree with the greatest sum. Elements that hold no article text by
-their tag, role or class (menus, adverts, notices, comments and so on) are no part of the tree.
+of the page that reaches the threshold, the subtree with the greatest sum. Where the seed is the body, or one block right under it, all
+that the body holds is content but lists of links: what has more link text than other text and is less dense than the body. Elements
+that hold no article text by their tag, role or class (menus, adverts, notices, comments and so on) are no part of the tree.
+A name that only may mean readers' comments or teasers (reviews, thread, stories) counts where the element is built like them:
+two or more records of one kind, or mostly link text.
 
 Defined results: null and empty pages, and pages without text, give an empty string and 0; repeated rows are
 treated alike; extra columns are ignored; an empty table gives an empty result. Unclosed and stray tags are
@@ -16,6 +19,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -26,13 +30,23 @@ from laddersmith.llm.common import read
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|$)", re.S)
 _ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _RAW = {"script", "style", "textarea", "title", "xmp", "noframes"}
+#: Their end tags; A-Z alone are alike in either case, so that places are those of the page itself.
+_RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>]|$)[^>]*(?:>|$)", re.I | re.A) for tag in sorted(_RAW)}
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 _DROP = set("head script style noscript template nav footer aside form button select option input textarea iframe object embed svg canvas dialog menu audio video map title xmp noframes".split())
 _INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 #: Parts of a class or id name that tell what is no article, and parts that say nothing. A name counts as the former if all its parts are of the two
 #: kinds and one is of the first: "site-footer" does, "social-history" doesn't.
-_BAD = set("nav navbar navigation menu menubar sidebar footer header masthead breadcrumb breadcrumbs ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notification alert popup modal overlay comment comments commentlist respond disqus replies share sharing social related recommended newsletter subscribe signup widget toolbar pagination pager skip".split())
+_BAD = set("nav navbar navigation menu menubar sidebar footer header masthead breadcrumb breadcrumbs ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notification alert popup modal overlay comment comments commentlist respond disqus replies share sharing social related recommended newsletter subscribe signup widget toolbar pagination pager skip disclaimer disclaimers".split())
 _PLAIN = set("site page main global top bottom left right side primary secondary bar box list block wrap wrapper container area section inner outer panel slot unit text link links item items post posts article articles form button buttons icon icons content group row col column js id".split())
+#: What readers write, whoever is named before it ("reader-comments"); what may be that or an article's own word; teasers, where they are links.
+_SAID = set("comment comments commentlist replies disqus".split())
+_MAY_BE_SAID = set("review reviews thread threads discussion discussions response responses feedback conversation".split())
+_TEASERS = set("stories headlines teaser teasers trending popular news more".split())
+#: Blocks that are parts of a text, not containers of one.
+_BLOCK = set("p li ul ol blockquote table tbody tr td pre dl".split())
+#: Elements of which two or more with one class make up a list of records.
+_RECORD = set("li div article section dd blockquote details tr".split())
 _PARTS = re.compile(r"[\s_-]+")
 _BAD_ROLE = {"navigation", "banner", "contentinfo", "complementary", "search", "menu", "menubar", "dialog", "alert"}
 #: Open elements that a start tag closes, and those that it doesn't look beyond.
@@ -46,10 +60,10 @@ _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "kids", "parent", "drop", "chars", "tags", "link_chars", "link_tags", "density", "total", "most")
+    __slots__ = ("tag", "kids", "parent", "drop", "chars", "tags", "link_chars", "link_tags", "density", "total", "most", "name", "doubt")
 
-    def __init__(self, tag: str, parent: Node | None, drop: bool):
-        self.tag, self.parent, self.drop = tag, parent, drop
+    def __init__(self, tag: str, parent: Node | None, drop: bool, name: str = ""):
+        self.tag, self.parent, self.drop, self.name, self.doubt = tag, parent, drop, name, ""
         self.kids: list[Node | str] = []
 
 
@@ -77,14 +91,72 @@ def _dropped(tag: str, attrs: str, parent: Node) -> bool:
 
 def _says_no(name: str) -> bool:
     parts = [x.strip("0123456789") for x in _PARTS.split(name)]
-    return any(x in _BAD for x in parts) and all(x in _BAD or x in _PLAIN or not x for x in parts)
+    return any(x in _BAD for x in parts) and all(x in _BAD or x in _PLAIN or not x for x in parts) or _head(parts) in _SAID and len(parts) < 4
+
+
+def _head(parts: list[str]) -> str:
+    """The last part that says something: the head of a compound name."""
+    return next((x for x in reversed(parts) if x and x not in _PLAIN), "")
+
+
+def _doubt(attrs: str) -> tuple[str, str]:
+    """The class, and what its name or the id's may mean: "said", "teasers" or nothing."""
+    kind, found = "", ""
+    for name, a, b, c in _ATTR.findall(attrs):
+        if name.lower() in ("class", "id"):
+            value = (a or b or c).lower()
+            if name.lower() == "class":
+                kind = value
+            for x in value.split():
+                parts = [y.strip("0123456789") for y in _PARTS.split(x)]
+                head = _head(parts)
+                if head in _MAY_BE_SAID:
+                    found = "said"
+                elif not found and (head in _TEASERS or not head and parts[-1] in _TEASERS):
+                    found = "teasers"
+    return kind, found
+
+
+def _settle(doubtful: list[Node]) -> None:
+    """Drop those of the doubtful elements that are built as their names may mean, inner ones first."""
+    for x in reversed(doubtful):
+        if not x.drop and (x.doubt == "said" and _records(x) or x.doubt == "teasers" and _mostly_links(x)):
+            x.drop = True
+
+
+def _records(x: Node) -> bool:
+    """Whether two or more elements of one kind, with one class, make up the element or an only list in it."""
+    while True:
+        kids = [k for k in x.kids if not isinstance(k, str) and not k.drop]
+        seen = Counter((k.tag, k.name) for k in kids if k.tag in _RECORD)
+        if seen:
+            if seen.most_common(1)[0][1] > 1:
+                return True
+        lists = [k for k in kids if k.tag in ("ul", "ol", "dl", "table", "tbody", "div", "section")]
+        if len(lists) != 1:
+            return False
+        x = lists[0]
+
+
+def _mostly_links(x: Node) -> bool:
+    text, links, todo = 0, 0, [(x, x.tag == "a")]
+    while todo:
+        y, in_link = todo.pop()
+        for k in y.kids:
+            if isinstance(k, str):
+                n = len(_SPACE.sub(" ", k).strip())
+                text += n
+                links += n if in_link else 0
+            elif not k.drop:
+                todo.append((k, in_link or k.tag == "a"))
+    return 2 * links > text
 
 
 def parse(page: str) -> Node:
     """The tree of a page; dropped elements stay as empty marks between blocks."""
     root = now = Node("html", None, False)
     at, n = 0, len(page)
-    low = None
+    doubtful: list[Node] = []
     while at < n:
         m = _TOKEN.search(page, at)
         if m is None:
@@ -123,20 +195,20 @@ def parse(page: str) -> Node:
                 up = up.parent
             if last is not None:
                 now = last.parent
-        node = Node(tag, now, now.drop or _dropped(tag, m[3], now))
+        kind, doubt = _doubt(m[3]) if "=" in m[3] else ("", "")
+        node = Node(tag, now, now.drop or _dropped(tag, m[3], now), kind)
         now.kids.append(node)
+        if doubt and not node.drop and tag in _RECORD | {"ul", "ol", "dl"}:
+            node.doubt = doubt
+            doubtful.append(node)
         if tag in _VOID or m[3].endswith("/") and tag not in _INLINE and tag not in _BLOCK_CLOSES_P:
             continue
         if tag in _RAW:
-            low = low or page.lower()
-            end = low.find("</" + tag, at)
-            if end < 0:
-                at = n
-            else:
-                close = page.find(">", end)
-                at = n if close < 0 else close + 1
+            end = _RAW_END[tag].search(page, at)
+            at = end.end() if end else n
             continue
         now = node
+    _settle(doubtful)
     return root
 
 
@@ -189,18 +261,28 @@ def content(root: Node) -> list[Node]:
         return [root]
     path = list(_up(best))
     threshold = min((x.density for x in path if x.tag != "html"), default=0.0)
-    # a link or another inline part is never content without its block
-    most = [next(y for y in _up(x.most) if y.tag not in _INLINE) for x in _walk(root) if x.chars and x.tag not in _INLINE and x.density >= threshold]
+    most = [_whole(x.most) for x in _walk(root) if x.chars and x.tag not in _INLINE and x.density >= threshold]
     # a seed that is one block or a part of one grows to the container with its neighbours
     grown = best
     for x in path[1:]:
-        if x.tag != "html" and (grown.tag in _INLINE or grown.tag in ("p", "li", "ul", "ol", "blockquote", "table", "tbody", "tr", "td", "pre", "dl") or x.tag == "body" and 2 * grown.chars < x.chars):
+        if x.tag != "html" and (grown.tag in _INLINE or grown.tag in _BLOCK):
             grown = x
         else:
             break
+    if grown.tag in ("body", "html"):
+        for k in grown.kids:
+            if not isinstance(k, str) and k.tag not in _INLINE and not k.drop and 2 * k.link_chars > k.chars and k.density < grown.density:
+                k.drop = True
     return _outer(root, [grown, *most])
 
 
+def _whole(node: Node) -> Node:
+    """A link or another inline part is never content without its block, a block not without the container that it shares with its neighbours, unless that is the body."""
+    block = next(y for y in _up(node) if y.tag not in _INLINE)
+    box = next(y for y in _up(block) if y.tag not in _INLINE and y.tag not in _BLOCK)
+    return block if box.tag in ("body", "html") else box
+
+
 def _up(node: Node | None):
     while node is not None:
         yield node
