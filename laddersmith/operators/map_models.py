@@ -210,6 +210,14 @@ class BatchModel:
         w = ridge if isinstance(ridge, np.ndarray) else np.full(len(self.values), ridge)
         self.values = minimise(self.ledger, data, w, self.values)
 
+    def noise_of_all(self) -> float:
+        """The noise that every game has."""
+        return 1.0
+
+    def terms(self, y, m, on, s, w):
+        """Loss, slope and curvature of each game as functions of d: outcomes, margins, whether they count, noise and weights are given."""
+        return _probit(y, m, on, s, w)
+
     def shown(self) -> np.ndarray:
         """Ratings of all known players."""
         return 1000.0 + getattr(self, "spread", 200.0) * self.values
@@ -235,16 +243,21 @@ class MarginBT(BatchModel):
     lam: float = 0.0613
     sigma: float = 5.9032
 
-    def fit(self) -> None:
-        y, m, on = self.ledger.facts()
-        s2 = max(self.sigma, 1e-4) ** 2
+    def noise_of_all(self) -> float:
+        return max(self.sigma, 1e-4)
+
+    def terms(self, y, m, on, s, w):
+        s2 = s * s
 
         def at(x):
             p = 1 / (1 + np.exp(-y * x))
-            loss = np.where(y != 0, np.logaddexp(0, -y * x), math.log(2)) + on * (0.5 * math.log(s2) + (x - m) ** 2 / (2 * s2))
+            loss = np.where(y != 0, np.logaddexp(0, -y * x), math.log(2)) + on * (0.5 * np.log(s2) + (x - m) ** 2 / (2 * s2))
             return loss, np.where(y != 0, -y * (1 - p), 0) + on * (x - m) / s2, np.where(y != 0, p * (1 - p), 0) + on / s2
 
-        self._solve(at, self.lam)
+        return at
+
+    def fit(self) -> None:
+        self._solve(self.terms(*self.ledger.facts(), self.noise_of_all(), None), self.lam)
 
     def predict(self, g: Game) -> float:
         return 1 / (1 + math.exp(-max(-700.0, min(700.0, self.gap(g)))))
@@ -259,11 +272,13 @@ class DecayBT(BatchModel):
     decay: float = 0.98
 
     def fit(self) -> None:
-        y, m, _ = self.ledger.facts()
+        y, m, on = self.ledger.facts()
         day = self.ledger.day.view()
         ref = np.nanmax(day) if np.isfinite(day).any() else 0.0
         weeks = np.where(np.isnan(day), 0.0, np.maximum(0.0, ref - day) / 7)
-        w = (1 + np.log1p(np.abs(m))) * self.decay**weeks
+        self._solve(self.terms(y, m, on, None, (1 + np.log1p(np.abs(m))) * self.decay**weeks), self.lam)
+
+    def terms(self, y, m, on, s, w):
         if self.nu <= 0:
             w = np.where(y == 0, 0.0, w)
         log_nu = math.log(self.nu) if self.nu > 0 else -np.inf
@@ -274,7 +289,7 @@ class DecayBT(BatchModel):
             ll = np.where(y > 0, x, np.where(y < 0, 0.0, log_nu if self.nu > 0 else 0.0)) - log_z
             return -w * ll, w * (p - (y > 0)), w * p * (1 - p)
 
-        self._solve(at, self.lam)
+        return at
 
     def predict(self, g: Game) -> float:
         x = max(-700.0, min(700.0, self.gap(g)))
@@ -306,7 +321,13 @@ class VetBT(BatchModel):
 
     def fit(self) -> None:
         n = len(self.ledger)
-        self._solve(_probit(*self.ledger.facts(), np.full(n, max(self.sigma, 1e-4)), np.ones(n)), self.sigma0 / (1 + self.beta * self.ledger.appearances()))
+        self._solve(self.terms(*self.ledger.facts(), np.full(n, self.noise_of_all()), np.ones(n)), self.ridge(self.ledger.appearances()))
+
+    def noise_of_all(self) -> float:
+        return max(self.sigma, 1e-4)
+
+    def ridge(self, appearances: np.ndarray) -> np.ndarray:
+        return self.sigma0 / (1 + self.beta * appearances)
 
     def predict(self, g: Game) -> float:
         return phi(self.gap(g) / max(self.sigma, 1e-8))
@@ -389,9 +410,12 @@ class NormalBT(BatchModel):
     b: float = 20.0
     tau: float = 1.0
 
+    def noise_of_all(self) -> float:
+        return max(self.sigma, 1e-8)
+
     def fit(self) -> None:
         x, theta = self.ledger, self.values
-        data = _probit(*x.facts(), np.full(len(x), max(self.sigma, 1e-8)), np.where(x.tournament.view(), 2.0, 1.0))
+        data = self.terms(*x.facts(), np.full(len(x), self.noise_of_all()), np.where(x.tournament.view(), 2.0, 1.0))
         tau2 = self.tau**2
         for _ in range(200):
             theta = minimise(x, data, np.full(len(theta), 1 / (2 * tau2)), theta)

@@ -91,9 +91,12 @@ def team_order(games: DataFrame) -> DataFrame:
 
 def diversity(games: DataFrame, rosters: DataFrame) -> DataFrame:
     """(player, complexity, sigma): 1 for the first team, 1 less the highest overlap with an earlier one for each later team."""
-    pos = team_order(games)
-    mine = rosters.select("team", "player").distinct().join(pos, "team")
-    over = roster_overlap(rosters)
+    return diversity_of(rosters.select("team", "player").distinct().join(team_order(games), "team"))
+
+
+def diversity_of(mine: DataFrame) -> DataFrame:
+    """The same of (team, player, pos), distinct by team and player: a player's teams stand in the order of ``pos``."""
+    over = roster_overlap(mine)
     both = over.select(F.col("team1").alias("team"), F.col("team2").alias("other"), "jaccard").unionByName(over.select(F.col("team2").alias("team"), F.col("team1").alias("other"), "jaccard"))
     other = mine.select("player", F.col("team").alias("other"), F.col("pos").alias("other_pos"))
     later = mine.join(other, "player").where("other_pos < pos").join(both, ["team", "other"], "left")
