@@ -15,7 +15,7 @@ from laddersmith import fixtures
 from laddersmith.fixtures import CTE
 from laddersmith.functions import names, rating_math, scores, times
 from laddersmith.operators import aliases, folds, intervals, joins, stats, stint
-from laddersmith.plans import evaluation, export, history
+from laddersmith.plans import batch_fit, evaluation, export, history
 from laddersmith.plans.registry import MODELS
 from laddersmith.sources import html_files, sinks
 
@@ -488,6 +488,18 @@ def _ratings(model: str):
 ratings_elo, *_ = [_ratings(_m) for _m in MODELS]
 
 
+def _final(model: str):
+    def f(spark, sf_dir):
+        return batch_fit.batch_ratings(_full(spark, sf_dir), model)
+
+    f.__name__, f.__doc__ = f"fit_{model}", f"A15, X3: {model} fitted once to all games, over partitions."
+    return query()(f)
+
+
+for _m in ("bt_mov", "bt_mov_time_decay", "bt_vet"):  # the other two take hundreds of passes: a call of the library
+    _final(_m)
+
+
 @query()
 def ttt_curves(spark, sf_dir):
     """M4: learning curves after forward and backward sweeps."""
@@ -521,6 +533,13 @@ def elo_search(spark, sf_dir):
     return evaluation.best_trial(evaluation.search(_full(spark, sf_dir), "elo", spec, 8))
 
 
+@query()
+def elo_adaptive_search(spark, sf_dir):
+    """Parzen estimators in batches of trials; every trial with its metrics."""
+    spec = {"k": {"type": "float", "low": 20.0, "high": 800.0, "log": True}, "tournament_factor": {"type": "float", "low": 1.0, "high": 2.0}}
+    return evaluation.search(_full(spark, sf_dir), "elo", spec, 24, sampler="tpe").withColumn("params", F.to_json("params"))
+
+
 @query()
 def alias_candidates(spark, sf_dir):
     """J6, F7, F10, O2"""

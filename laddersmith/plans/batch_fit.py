@@ -217,12 +217,18 @@ def _fit(sums: Sums, name: str, m: BatchModel, index: DataFrame) -> np.ndarray:
         return newton(sums, m.ridge(seen), theta)
     if name != "bt_normal":
         return newton(sums, np.full(sums.n, m.lam), theta)
-    tau2 = m.tau**2
+    # the scale that agrees with its own fit, by secants: plain repetition needs some thirty fits
+    tau2, past = m.tau**2, None
     for _ in range(200):
         theta = newton(sums, np.full(sums.n, 1 / (2 * tau2)), theta)
         new = (float((theta**2).sum()) + 2 * m.b) / (sums.n + m.a)
         if abs(new - tau2) < 1e-10 * tau2:
             break
-        tau2 = new
+        guess = new
+        if past is not None and past[1] != new - tau2:
+            secant = tau2 - (new - tau2) * (tau2 - past[0]) / (new - tau2 - past[1])
+            if new / 4 < secant < 4 * new:
+                guess = secant
+        tau2, past = guess, (tau2, new - tau2)
     m.tau = math.sqrt(tau2)
     return theta

@@ -70,23 +70,6 @@ def _at_all_times(own: DataFrame, marks: DataFrame) -> DataFrame:
     return own.unionByName(marks.select(F.lit(None).cast(own.schema["team"].dataType).alias("team"), "us", F.lit(None).cast("double").alias("value")).distinct())
 
 
-def batch_ratings(games: DataFrame, model: str, params: dict | None = None) -> DataFrame:
-    """(player, theta, rating): one fit of all games. Leagues share no player, so each is a task; models that learn a scale fit all together."""
-    ship(games.sparkSession)
-    g = games.join(player_leagues(games), "game_id")
-    if model in SHARED:
-        g = g.withColumn("league", F.lit(0))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        m = make(model, params)
-        for x in as_games(pdf):
-            m.update(x)
-        m.converge()
-        return pd.DataFrame(list(zip(*m.table(), strict=True)), columns=["player", "theta", "rating"])
-
-    return g.groupBy("league").applyInPandas(run, f"player {player_type(games)}, theta double, rating double")
-
-
 def batch_history(games: DataFrame, model: str, params: dict | None = None, after: int | None = None) -> DataFrame:
     """(ts, game_id, player, theta, rating): every known player after a fit of all games up to each time; of games at one time the last counts.
 
