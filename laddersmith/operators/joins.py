@@ -26,6 +26,14 @@ def with_rosters(games: DataFrame, rosters: DataFrame) -> DataFrame:
     return out.withColumn("r1", F.coalesce("r1", empty)).withColumn("r2", F.coalesce("r2", empty))
 
 
+def with_roster_sums(games: DataFrame, rosters: DataFrame) -> DataFrame:
+    """Games with the number of both sides' players, n1 and n2, and the sum of their ids, sum1 and sum2: formed by team before the join, so that no game carries a roster."""
+    r = rosters.select("team", "player").where("player is not null").distinct().groupBy("team").agg(F.count(F.lit(1)).cast("int").alias("n"), F.sum("player").cast("long").alias("sum"))
+    for k in (1, 2):
+        games = games.join(r.select(F.col("team").alias(f"team{k}"), F.col("n").alias(f"n{k}"), F.col("sum").alias(f"sum{k}")), f"team{k}", "left")
+    return games.na.fill(0, ["n1", "n2", "sum1", "sum2"])
+
+
 def matched_only(games: DataFrame, rosters: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Games whose teams both have rosters under trimmed lower-case names; and the names that have none."""
     known = rosters.select(F.lower(F.trim("team")).alias("_k")).distinct()
