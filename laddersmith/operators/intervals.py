@@ -109,11 +109,12 @@ def lists(blocks: DataFrame, slots: DataFrame, key: str) -> DataFrame:
 def group_changes(marks: DataFrame, members: DataFrame, key: str, group: str) -> DataFrame:
     """(group, us, value): the mean of a group's members after each change of one of them; null where none has a value.
 
-    Each change is a difference to its groups' sums and numbers, and these run on over time: neither entities times times nor a join of ranges arises."""
+    ``members`` (group, key) may say as how many each counts, n. Each change is a difference to its groups' sums and numbers, and these run on over time: neither entities times times nor a join of ranges arises."""
     w = Window.partitionBy(key).orderBy("us")
     before = F.lag("value").over(w)
     steps = marks.select(key, "us", (F.coalesce("value", F.lit(0.0)) - F.coalesce(before, F.lit(0.0))).alias("step"), (F.col("value").isNotNull().cast("int") - before.isNotNull().cast("int")).alias("more"))
-    sums = steps.join(members.select(group, key).distinct(), key).groupBy(group, "us").agg(F.sum("step").alias("step"), F.sum("more").alias("more"))
+    members = members.select(group, key, (F.col("n") if "n" in members.columns else F.lit(1)).alias("n")).distinct()
+    sums = steps.join(members, key).groupBy(group, "us").agg(F.sum(F.col("step") * F.col("n")).alias("step"), F.sum(F.col("more") * F.col("n")).alias("more"))
     w = Window.partitionBy(group).orderBy("us").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     n = F.sum("more").over(w)
     return sums.select(group, "us", F.when(n > 0, F.sum("step").over(w) / n).alias("value"))

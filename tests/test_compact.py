@@ -65,3 +65,23 @@ def test_a_checkpoint_asks_once_for_games_that_no_model_tells_apart(games, monke
 def test_history_is_rounded_before_it_is_expanded(spark):
     plan = catalog.queries()["elo_history"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Join") < plan.index("round(")
+
+
+def test_a_document_by_stand_ins_is_that_of_all_players(spark):
+    import json
+
+    from laddersmith import fixtures
+    from laddersmith.plans import export, history
+
+    g, r = fixtures.games(spark, SF).where("game_id % 10 = 0"), fixtures.rosters(spark, SF)
+    games, members = catalog._mates(spark, SF)
+    games = games.where("game_id % 10 = 0")
+    short = export.parts(history.sequential_history(games, "elo"), g, r, "elo", members=members)
+    full = export.parts(history.sequential_history(catalog._full(spark, SF).where("game_id % 10 = 0"), "elo"), g, r, "elo")
+    a, b = ({(x.kind, x.key): json.loads(x.json) for x in df.collect()} for df in (short, full))
+    assert a.keys() == b.keys() and {k for k, _ in a} == {"metadata", "player", "team", "game"}
+    for k, x in a.items():
+        y = b[k]
+        assert list(x) == list(y)
+        for c, v in x.items():
+            assert v == (pytest.approx(y[c], abs=0.011) if c in ("history", "current", "peak", "lowest") else y[c]), (k, c)
