@@ -58,3 +58,16 @@ def test_search_in_batches_is_reproducible(spark):
     assert got[0][13].objective == pytest.approx(alone.nll, rel=1e-12)
     with pytest.raises(ValueError):
         evaluation.search(games, "elo", spec, 2, sampler="grid")
+
+
+def test_batches_share_one_stream_of_games(spark, monkeypatch):
+    from laddersmith.operators import folds
+
+    made, plain = [], folds._dealt
+    monkeypatch.setattr(folds, "_dealt", lambda *a: made.append(plain(*a)) or made[-1])
+    games = games_of(spark, 40).withColumn("on_court", F.lit(8))
+    spec = {"k": {"low": 20.0, "high": 800.0, "log": True}}
+    got = evaluation.search(games, "elo", spec, 12, sampler="tpe", batch=4).orderBy("trial_id").collect()
+    assert len(made) == 1 and len(got) == 12 and not made[0].storageLevel.useDisk  # freed when the last batch is done
+    alone = evaluation.chrono_scores(games, "elo", {"k": float(got[11].params["k"])}).head()
+    assert got[11].objective == pytest.approx(alone.nll, rel=1e-12)

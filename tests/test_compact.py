@@ -85,3 +85,42 @@ def test_a_document_by_stand_ins_is_that_of_all_players(spark):
         assert list(x) == list(y)
         for c, v in x.items():
             assert v == (pytest.approx(y[c], abs=0.011) if c in ("history", "current", "peak", "lowest") else y[c]), (k, c)
+
+
+def test_tables_are_joined_once(spark):
+    plan = catalog._mates(spark, SF)[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "lineitem" not in plan and "l_orderkey" not in plan
+
+
+def test_games_share_what_is_known_of_their_sides():
+    import pyarrow as pa
+
+    sides = {"phase": [-1, -1], "h1": [7, 9], "h2": pa.array([None, None], pa.int64()), "marks": pa.array([None, None], pa.int32()), "team": ["a", "b"], "r": [[1, 2], [3]], "n": [[4, 1], [2]], "game_id": [0, 0]}
+    played = {"phase": [1] * 3, "h1": [7, 9, 7], "h2": [9, 7, 9], "marks": pa.array([12] * 3, pa.int32()), "team": pa.array([None] * 3, pa.string()), "r": pa.array([None] * 3, pa.list_(pa.int64())), "n": pa.array([None] * 3, pa.list_(pa.int64())), "game_id": [1, 2, 3]}
+    batches = [pa.RecordBatch.from_pydict(x | {"league": ["l"] * len(x["h1"]), "lane": [0] * len(x["h1"]), "segment": [0] * len(x["h1"])}) for x in (sides, played)]
+    rows = [x[-1] for x in folds._read(iter(batches)) if x[1] > 0]
+    assert [x.side(1) for x in rows] == [([1, 2], [4, 1], 5), ([3], [2], 2), ([1, 2], [4, 1], 5)]
+    assert rows[0].side(1) is rows[1].side(2) is rows[2].side(1) and rows[0].side(2) is rows[1].side(1)
+
+
+def test_elo_asks_once_for_a_game_that_it_learns_next():
+    from laddersmith.operators.sequential import Elo, Game
+
+    a, b = Elo(), Elo()
+    for i in range(20):
+        g = Game(i, 0.0, [1, 2 + i % 3], [7, 2 + (i + 1) % 3], i % 4, i % 3, n1=[3, 1], n2=[2, 2])
+        p = a.predict(g)
+        assert a.asked == (g, p) and p == b.predict(Game(-1, 0.0, g.r1, g.r2, 0, 0, n1=g.n1, n2=g.n2))
+        a.update(g)
+        b.update(g)  # asked of another game before
+        assert a.asked is None and a.ratings == b.ratings
+
+
+def test_edges_are_stars_of_their_partitions_first(spark, monkeypatch):
+    from laddersmith.operators import graph
+
+    path = spark.createDataFrame([(i, i + 1) for i in range(60) if i % 20 != 19], "a long, b long").coalesce(1)
+    for held in (graph.HELD, 5):
+        monkeypatch.setattr(graph, "HELD", held)
+        lab = {r.node: r.label for r in graph.components(graph._stars(path)).collect()}
+        assert lab == {i: i // 20 * 20 for i in range(60)}
