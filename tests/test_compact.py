@@ -124,3 +124,18 @@ def test_edges_are_stars_of_their_partitions_first(spark, monkeypatch):
         monkeypatch.setattr(graph, "HELD", held)
         lab = {r.node: r.label for r in graph.components(graph._stars(path)).collect()}
         assert lab == {i: i // 20 * 20 for i in range(60)}
+
+
+def test_a_stretch_has_equal_games_of_all_before_it_once(games):
+    from laddersmith.operators.folds import _dealt
+
+    rows = _dealt(games, None, False, 5, False, 1).where("phase = 1").select("segment", "us", "game_id", "h1", "h2", "s1", "s2", F.col("marks").bitwiseAND(3).alias("kind"), (F.col("marks").bitwiseAND(8) != 0).alias("mine"), "times").collect()
+    what = lambda r: (r.h1, r.h2, r.s1, r.s2, r.kind)
+    own = [r for r in rows if r.mine]
+    assert len(own) == 90 and len({r.segment for r in own}) == 5
+    for k in range(5):
+        before = sorted((r for r in own if r.segment < k), key=lambda r: (r.us, r.game_id))
+        past = [r for r in rows if not r.mine and r.segment == k]
+        assert len({what(r) for r in past}) == len(past)
+        assert {what(r): r.times for r in past} == {w: sum(what(r) == w for r in before) for w in map(what, before)}
+        assert all((r.us, r.game_id) == next((b.us, b.game_id) for b in before if what(b) == what(r)) for r in past)

@@ -132,3 +132,26 @@ def test_margins_alone_are_ridge_regression():
     x[d.row, d.col] = d.val
     want = np.linalg.solve(x.T @ x / 4 + 2 * np.eye(3), x.T @ np.array([g.s1 for g in gs]) / 4)
     assert [m.theta[p] for p in d.players] == pytest.approx(want.tolist(), abs=1e-7)
+
+
+def test_skill_through_time_holds_what_games_share_once():
+    sides = [[1, 2], [3], [2, 4]]
+    m = S.ThroughTime(iterations=3)
+    for i in range(300):
+        m.update(S.Game(i, float(i // 4), sides[i % 3], sides[(i + 1) % 3], i % 2, 0))
+    m.converge(force=True)
+    assert len(m.known) == 6 and len(m.days) == len(m.forms) == 300
+    assert not [v for v in vars(m).values() if isinstance(v, list) and len(v) > 6]  # nothing of a game is a Python object
+    assert all(isinstance(x, np.ndarray) for x in m.points) and sum(map(len, m.curves.values())) == len(m.points[0])
+    for p, c in m.curves.items():
+        assert [m.rating_at(p, d) for d, _, _ in c[:1]] != [] and m.rating_at(p, c[-1][0] + 1) == c[-1][1:] == m._get(p)
+        at = c[len(c) // 2][0]
+        assert m.rating_at(p, at) == [x[1:] for x in c if x[0] <= at][-1]
+
+
+def test_curves_are_learned_from_a_stream(spark):
+    from laddersmith import catalog
+    from laddersmith.plans import history
+
+    plan = history.curves(catalog._mates(spark, "/root/testdata/sf0.001")[0])._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "FlatMapGroups" not in plan
