@@ -17,6 +17,8 @@ from laddersmith.session import materialize, parallelism, ship
 
 #: Entities of a block of columns, and times of a stretch.
 WIDTH, STRETCH = 256, 4096
+#: Entities standing for others, at most, whose values at a time are one array.
+STANDS = 4096
 #: Where rows without a time stand (behind all others), and the place before all times.
 _LAST, _FIRST = 2**63 - 1, -(2**63)
 
@@ -89,6 +91,24 @@ def filled(marks: DataFrame, key: str, members: DataFrame | None = None, default
     return done.join(size, "block").select("us", "block", "at", F.slice("ratings", F.lit(1), F.col("size")).alias("ratings")), slots
 
 
+def filled_for(marks: DataFrame, members: DataFrame, key: str, shown: Column, width: int | None = None, most: int | None = None) -> DataFrame:
+    """(us, block, at, ratings) of all ``members`` (stand, key), by the ``marks`` of those who stand for them; ``shown`` says of an array ``ratings`` what is shown of it.
+
+    The stands are filled, and shown, once; a block's columns are places in their array. Where they are more than ``most``, every member is filled by itself."""
+    n = members.select("stand").distinct().count()
+    if n > (most or STANDS):
+        own = marks.withColumnRenamed(key, "stand").join(members, "stand").select(key, "us", "value")
+        return filled(own, key, width=width)[0].select("us", "block", "at", shown)
+    blocks, slots = filled(marks, key, width=max(n, 1))
+    width = width or WIDTH
+    places = numbered(members.join(slots.select(F.col(key).alias("stand"), (F.col("slot") + 1).alias("place")), "stand"), F.col(key))
+    places = places.select(F.expr(f"cast((pos - 1) div {width} as int)").alias("block"), F.col("pos"), "place").groupBy("block")
+    places = materialize(places.agg(F.array_sort(F.collect_list(F.struct("pos", "place"))).alias("x")).select("block", F.transform("x", lambda y: y["place"]).alias("places")), "filled-places")
+    # a row for each time, written out so that reading it is no part of dealing the blocks
+    one = materialize(blocks.select("us", "at", shown).repartition(parallelism(marks.sparkSession)), "filled-stands")
+    return one.crossJoin(places).select("us", "block", "at", F.transform("places", lambda k: F.element_at("ratings", k)).alias("ratings"))
+
+
 def time_of(us: str = "us") -> Column:
     return F.when(F.col(us) < _LAST, F.timestamp_micros(us))
 

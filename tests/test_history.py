@@ -28,3 +28,25 @@ def test_training_report(spark):
     # the search has run with the configured defaults
     again = evaluation.chrono_metrics(evaluation.chrono_predictions(g, "elo", best["params"]), g).head()
     assert best["metrics"]["nll"] == pytest.approx(again.nll, rel=1e-12) and best["params"]["tournament_multiplier"] == 1.25
+
+
+def test_filled_by_those_who_stand_for_others(spark):
+    from laddersmith.operators import intervals
+
+    marks = spark.createDataFrame([(1, 10, 1.0), (1, 30, 2.0), (2, 20, 5.0), (4, 10, None)], "player long, us long, value double")
+    members = spark.createDataFrame([(1, 1), (2, 2), (1, 3), (4, 4), (2, 7)], "stand long, player long")
+    every = marks.withColumnRenamed("player", "stand").join(members, "stand").select("player", "us", "value")
+    want = sorted(tuple(r) for r in intervals.filled(every, "player", width=2)[0].select("block", "us", "ratings").collect())
+    for most in (3, 2):
+        got = intervals.filled_for(marks, members, "player", F.col("ratings"), width=2, most=most)
+        assert sorted(tuple(r) for r in got.select("block", "us", "ratings").collect()) == want
+
+
+def test_dense_queries_fill_only_those_who_stand_for_others(spark, monkeypatch):
+    from laddersmith.operators import intervals
+
+    seen, filled = [], intervals.changes
+    monkeypatch.setattr(intervals, "changes", lambda h, key: seen.append(h.select(key).distinct().count()) or filled(h, key))
+    for q in (catalog.wide_rating_history, catalog.team_histories):
+        q(spark, SF)
+    assert seen and max(seen) <= catalog._mates(spark, SF)[1].select("stand").distinct().count()
