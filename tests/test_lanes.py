@@ -29,3 +29,49 @@ def test_lanes_say_what_models_say(cls):
         lane.learn(a, b, s1, s2, known, only, cup, court, p if rng.random() < 0.5 else None)
         for x, k in places.items():
             assert lane.shown(k)[0] == pytest.approx(m.expose(x), rel=1e-9, abs=1e-9)
+
+
+def test_skill_through_time_keeps_no_arrays_for_a_game():
+    """A sweep's cost is a game's few numbers; its results are those of messages one by one."""
+    rng, m = random.Random(2), S.ThroughTime(iterations=2)
+    rosters = [[1, 2], [2, 3, 4], [5], [6, 1]]
+    for i in range(60):
+        a, b = rng.sample(range(4), 2)
+        m.update(S.Game(i, float(i // 3), rosters[a], rosters[b], rng.randint(0, 2), rng.randint(0, 2), n1=[2] * len(rosters[a]), n2=None))
+    places = m.known[0][1]
+    assert isinstance(places, list) and all(isinstance(x, int | float) for p in places for x in p)
+    forms, days = list(m.forms), list(m.days)
+    slots = [(i, p) for i, f in enumerate(forms) for p in m.known[f][0]]
+    msg, ahead, behind = ({x: (0.0, 0.0) for x in slots} for _ in range(3))
+
+    def way(order, mine, other, first):
+        run, seen = {}, {}
+        for i in order:
+            own, places, margin, draw = m.known[forms[i]][:4]
+            now = []
+            for p in own:
+                pi, tau = run.get(p, first)
+                if p in seen and pi > 0:
+                    wide = 1 / pi + abs(days[i] - seen[p]) * m.gamma**2
+                    pi, tau = 1 / wide, tau / pi / wide
+                now.append((pi, tau))
+            q = [(pi + other[i, p][0], tau + other[i, p][1]) for p, (pi, tau) in zip(own, now, strict=True)]
+            out = m._messages([t / x for x, t in q], [1 / x for x, _ in q], places, margin, draw)
+            for p, (pi, tau), x, y in zip(own, now, *out, strict=True):
+                mine[i, p], msg[i, p], run[p], seen[p] = (pi, tau), (x, y), (pi + x, tau + y), days[i]
+
+    prior = (1 / m.sigma**2, m.mu / m.sigma**2)
+    for _ in range(2):
+        way(range(60), ahead, behind, prior)
+        way(range(59, -1, -1), behind, ahead, (0.0, 0.0))
+    m.converge(force=True)
+    run, seen, want = {}, {}, {}
+    for i, p in slots:
+        pi, tau = run.get(p, prior)
+        if p in seen:
+            wide = 1 / pi + (days[i] - seen[p]) * m.gamma**2
+            pi, tau = 1 / wide, tau / pi / wide
+        run[p], seen[p] = (pi + msg[i, p][0], tau + msg[i, p][1]), days[i]
+        want.setdefault(p, []).append((run[p][1] + behind[i, p][1]) / (run[p][0] + behind[i, p][0]))
+    for p, means in want.items():
+        assert [x[1] for x in m.curves[p]] == pytest.approx(means, rel=1e-9)
