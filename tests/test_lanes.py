@@ -75,3 +75,32 @@ def test_skill_through_time_keeps_no_arrays_for_a_game():
         want.setdefault(p, []).append((run[p][1] + behind[i, p][1]) / (run[p][0] + behind[i, p][0]))
     for p, means in want.items():
         assert [x[1] for x in m.curves[p]] == pytest.approx(means, rel=1e-9)
+
+
+def test_fading_games_reach_a_stretch_as_one_row(spark):
+    from pyspark.sql import functions as F
+
+    from laddersmith.operators import folds
+    from laddersmith.plans import evaluation, history
+    from laddersmith.plans.registry import decay
+
+    assert decay("bt_mov_time_decay", {"decay_base": 0.9}) == 0.9 and decay("bt_mov_time_decay", {"decay": 0.0}) is None and decay("bt_mov") is None
+    rng = random.Random(4)
+    rows = [(i, i // 2, *((["a"], ["b"]) if rng.random() < 0.5 else (["b"], ["c"])), rng.randint(0, 1), rng.randint(0, 1)) for i in range(80)]
+    g = spark.createDataFrame(rows, "game_id long, s long, r1 array<string>, r2 array<string>, score1 int, score2 int")
+    g = g.withColumn("ts", F.timestamp_seconds(F.col("s") * 300000)).drop("s").withColumn("team1", F.col("r1")[0]).withColumn("team2", F.col("r2")[0])
+    g = folds.prepare(g.withColumn("outcome_only", F.lit(False)).withColumn("tournament", F.lit(False))).cache()
+    # 2 pairs with 4 scores: no more rows a stretch, whatever the dates
+    past = folds._dealt(g, None, True, 4, True, 1, 0.9).where("phase = 1 and marks & 8 = 0").groupBy("segment").count().collect()
+    assert len(past) == 3 and all(r["count"] <= 8 for r in past)
+    whole = folds._dealt(g, None, True, 4, True, 1).where("phase = 1 and marks & 8 = 0").groupBy("segment").count()
+    assert whole.agg(F.max("count")).head()[0] > 8
+    params = {"decay": 0.9}
+    one = lambda df, v: {tuple(r)[:-1]: r[-1] for r in df.select(*v).collect()}
+    want = folds.fold(g, lambda p: history.make("bt_mov_time_decay", params | p), ratings=True, shared=True, segments=1)
+    got = history.batch_history(g, "bt_mov_time_decay", params)
+    want, got = one(want, ("ts", "player", "rating")), one(got, ("ts", "player", "rating"))
+    assert want.keys() == got.keys() and all(got[k] == pytest.approx(v, rel=1e-8) for k, v in want.items())
+    p = one(evaluation.chrono_predictions(g, "bt_mov_time_decay", params), ("game_id", "p"))
+    q = one(folds.fold(g, lambda p: history.make("bt_mov_time_decay", params | p), shared=True, segments=1), ("game_id", "p"))
+    assert p.keys() == q.keys() and all(p[k] == pytest.approx(v, abs=1e-7) for k, v in q.items())
